@@ -12,20 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import COMMENT, MODIFIERS, OPENERS, TRIVIA
-from .tokens import BODY_KINDS, CLASS_KINDS, is_in, last_where
+from ..functions.lexicon import MODIFIERS
+from .tokens import BODY_KINDS, CLASS_KINDS, is_in, last_where, since_decl
 
 PLAIN_CLASSES = ["class", "interface"]
 
 
 def _piece(alone: Column, gap: Column) -> Column:
-    comments = F.regexp_extract_all(
-        F.get(F.regexp_extract_all("raw", F.lit("^" + TRIVIA), F.lit(0)), F.lit(0)), F.lit("(" + COMMENT + ")"), F.lit(1)
-    )
-    has_comment = F.length(F.col("raw")) - F.length("tok") >= 2
-    has_comment = has_comment & (F.col("raw").contains("//") | F.col("raw").contains("/*"))
-    joined = F.when(has_comment & (F.size(comments) > 0), F.concat(F.array_join(comments, "\n"), F.lit("\n")))
-    gap = F.when(alone & is_in(F.col("encloser.bk"), "anon", *CLASS_KINDS), "\n\n").when(alone, "\n").otherwise(gap)
+    joined = F.concat(F.array_join("comments", "\n"), F.lit("\n"))
+    gap = F.when(alone & is_in(F.col("encl_bk"), "anon", *CLASS_KINDS), "\n\n").when(alone, "\n").otherwise(gap)
     return F.concat(gap, F.coalesce(joined, F.lit("")), F.col("tok"))
 
 
@@ -36,10 +31,10 @@ def printed_piece() -> Column:
     layout, so that the author's line breaks do not change them.
     """
     t, p1, p2, n1 = (F.col(c) for c in ("tok", "p1", "p2", "n1"))
-    bk, closed = F.col("inner.bk"), F.col("prev_inner.bk")
+    bk, closed = F.col("inner_bk"), F.col("closed_bk")
     label = (t == "case") | ((t == "default") & is_in(n1, ":", "->"))
     first_in_entry = (p1 == ":") & (F.col("case_pos") > F.coalesce(F.col("boundary_pos"), F.lit(-1)))
-    bare_branch = ((p1 == ")") & (closed == "if") & (t != "{")) | ((p1 == "else") & ~t.isin("{", "if"))
+    bare_branch = ((p1 == ")") & (closed == "(if") & (t != "{")) | ((p1 == "else") & ~t.isin("{", "if"))
     block_end = (t == "}") & ~is_in(bk, "arr")
     alone = F.col("starts") | label | first_in_entry | bare_branch | block_end | ((t == "else") & (p1 == ";"))
     operand_before = is_in(F.col("pk1"), "i", "s", "n", "c") | is_in(p1, ")", "]")
@@ -49,7 +44,7 @@ def printed_piece() -> Column:
     tight_after = is_in(p1, "(", "[", ".", "::", "!", "~", "@") | (is_in(p1, "<") & (F.col("gd1") > 0)) | unary
     tight_before = (
         t.isin(";", ",", ")", "]", ".", "::", "[", "...")
-        | ((t == "(") & ((F.col("pk1") == "i") | is_in(p1, "this", "super", "switch") | F.col("p1_g_close")))
+        | ((t == "(") & ((F.col("pk1") == "i") | is_in(p1, "this", "super", "switch") | (is_in(p1, ">") & (F.col("gd2") > 0))))
         | F.col("g_open")
         | F.col("g_close")
         | (t.isin("++", "--") & operand_before)
@@ -71,51 +66,67 @@ def is_branch() -> Column:
     return t.isin("if", "for", "while", "case", "catch", "&&", "||") | label
 
 
-def method_tokens(tokens: DataFrame) -> DataFrame:
-    """One row per token and enclosing method (``depth`` 1..n), plus header rows (``depth`` 0)."""
-    t, bk = F.col("tok"), F.col("inner.bk")
-    in_body = F.col("inner.pos").isNull() | is_in(bk, *BODY_KINDS)
-    in_init = F.coalesce(F.col("eq_pos") > F.col("decl.pos"), F.lit(False))
-    header = (in_body & ~in_init & ~t.isin("}", ";")) | is_in(bk, "method", "ctor") & (t == "{")
-    header = header | (is_in(bk, "method", "par") & (t == "(") | (bk == "method")) & ~t.isin("{", "}") & (
-        F.col("inner.tok") == "("
+# What a token row knows about the method around it.
+METHOD = {
+    "member": "decl_pos", "line": "decl_line", "name": "mname", "open": "pos", "owner": "decl_owner",
+    "owner_kind": "decl_owner_kind", "ent": "ent_level", "blk": "blk_level", "entc": "entc_level", "blkc": "blkc_level",
+}
+
+
+def in_header() -> Column:
+    """Tokens of a member's header: before "=", in the parameter list, and the opening brace."""
+    t, bk = F.col("tok"), F.col("inner_bk")
+    at_class = bk.isNull() | is_in(bk, *BODY_KINDS)
+    in_init = F.coalesce(F.col("eq_pos") > F.col("decl_pos"), F.lit(False))
+    brackets = (bk == "[") & (((t == "[") & is_in(F.col("n1"), "]")) | ((t == "]") & is_in(F.col("p1"), "[")))
+    return F.coalesce(
+        (at_class & ~in_init & ~t.isin("}", ";"))
+        | (is_in(bk, "method", "ctor") & (t == "{"))
+        | ((bk == "(par") & (t == "("))
+        | (bk == "(method")
+        | (brackets & ~in_init & is_in(F.col("decl_owner_kind"), "file", *BODY_KINDS)),
+        F.lit(False),
     )
-    levels = F.when(
-        F.col("method_level") > 0, F.sequence(F.lit(1).cast("long"), F.col("method_level").cast("long"))
-    ).otherwise(F.array().cast("array<bigint>"))
-    entries = F.when(F.coalesce(header, F.lit(False)), F.array_append(levels, F.lit(0).cast("long"))).otherwise(levels)
-    rows = tokens.withColumn("depth", F.explode(entries))
+
+
+def method_tokens(tokens: DataFrame, keep: Column | None = None) -> DataFrame:
+    """One row per token and enclosing method (``depth`` 1..n), plus header rows (``depth`` 0).
+
+    With ``keep``, other tokens are dropped before they are expanded and sorted;
+    the braces that open methods and headers always stay.
+    """
+    t, bk = F.col("tok"), F.col("inner_bk")
+    level = F.col("method_level")
+    body = (t == "{") & is_in(bk, "method")
+    rows = tokens if keep is None else tokens.filter(keep | body | ((t == "{") & (level > 0)))
+    depths = F.sequence(F.when(in_header(), 0).otherwise(1), level)
+    rows = rows.filter(in_header() | (level > 0)).withColumn("depth", F.explode(depths))
     order = W.partitionBy("path", "depth").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    opens = (t == "{") & (bk == "method") & (F.col("method_level") == F.col("depth"))
-    opened = F.struct(
-        F.col("decl.pos").alias("member"), F.col("decl.line").alias("line"), F.col("mname").alias("name"),
-        F.col("pos").alias("open"), F.col("decl.owner").alias("owner"), F.col("decl.owner_kind").alias("owner_kind"),
-        "ent_level", "blk_level", "entc_level", "blkc_level",
-    )
-    rows = rows.withColumn("method", F.when(F.col("depth") > 0, last_where(opens, opened).over(order)))
-    blocked = (t == "{") & ~is_in(bk, "method", "arr") & (F.col("blkc_level") == F.col("method.blkc_level") + 1)
+    opens = body & (level == F.col("depth")) & (F.col("depth") > 0)
+    rows = rows.withColumns({f"m_{name}": last_where(opens, F.col(source)).over(order) for name, source in METHOD.items()})
+    rows = rows.withColumn("in_header", F.col("depth") == 0)
+    blocked = (t == "{") & ~is_in(bk, "method", "arr") & (F.col("blkc_level") == F.col("m_blkc") + 1)
     return rows.withColumns(
         {
-            "member": F.coalesce(F.col("method.member"), F.col("decl.pos")),
-            "in_header": F.col("depth") == 0,
-            "stop_level": last_where(blocked & ~F.col("inner.entc"), F.col("entc_level")).over(order),
+            "member": F.when(F.col("depth") > 0, F.col("m_member")).otherwise(F.col("decl_pos")),
+            "stop_level": last_where(blocked & ~F.col("inner_entc"), F.col("entc_level")).over(order),
         }
     )
 
 
 def _cognitive() -> Column:
-    t, bk = F.col("tok"), F.col("inner.bk")
-    nest = F.col("entc_level") - F.col("method.entc_level")
-    reached = F.col("blkc_level") == F.col("method.blkc_level")
+    t, bk = F.col("tok"), F.col("inner_bk")
+    nest = F.col("entc_level") - F.col("m_entc")
+    reached = F.col("blkc_level") == F.col("m_blkc")
     starts = F.col("starts")
-    stop = F.when(reached, nest).otherwise(F.col("stop_level") - F.col("method.entc_level"))
+    stop = F.when(reached, nest).otherwise(F.col("stop_level") - F.col("m_entc"))
     worth = (
         F.when(is_ternary(), ((stop + 1) * (stop + 2) / 2).cast("long"))
         .when(~reached, 0)
         .when(starts & t.isin("if", "for", "while", "do", "switch"), 1 + nest)
-        .when((t == "(") & (bk == "if") & is_in(F.col("p2"), "else") & F.coalesce(F.col("prior_if_direct"), F.lit(False)), 1)
-        .when((t == "{") & (bk == "else") & F.col("inner.ent"), 1)
-        .when((t == "{") & (bk == "catch") & F.col("inner.entc"), nest)
+        .when((t == "(") & (bk == "(if") & is_in(F.col("p2"), "else") & F.coalesce(F.col("prior_if_direct"), F.lit(False)), 1)
+        .when((t == "{") & (bk == "else") & F.col("inner_ent"), 1)
+        .when((t == "{") & (bk == "catch") & F.col("inner_entc"), nest)
         .when(starts & t.isin("break", "continue") & is_in(F.col("nk1"), "i"), 1)
         .when(t.isin("&&", "||") & (F.col("if_paren_level") > 0), 1)
         .otherwise(0)
@@ -124,22 +135,29 @@ def _cognitive() -> Column:
 
 
 def _nesting() -> Column:
-    t, bk = F.col("tok"), F.col("inner.bk")
-    depth = F.col("ent_level") - F.col("method.ent_level")
-    blocked = F.col("blk_level") - F.col("method.blk_level")
-    entered = (t == "{") & F.col("inner.ent") & (blocked == 0)
-    switch = (t == "{") & (bk == "switch") & F.col("sib_par.direct") & (blocked == 1)
+    t, bk = F.col("tok"), F.col("inner_bk")
+    depth = F.col("ent_level") - F.col("m_ent")
+    blocked = F.col("blk_level") - F.col("m_blk")
+    entered = (t == "{") & F.col("inner_ent") & (blocked == 0)
+    switch = (t == "{") & (bk == "switch") & F.col("sib_direct") & (blocked == 1)
     return F.when(entered, depth).when(switch, depth + 1)
 
 
-def declared_members(tokens: DataFrame) -> DataFrame:
-    """One row per member: identity, header, and for methods every measure the rules need."""
-    t, bk = F.col("tok"), F.col("inner.bk")
+def declared_members(tokens: DataFrame, with_text: bool = True) -> DataFrame:
+    """One row per member: identity, header, and for methods every measure the rules need.
+
+    Without the printed text, only structural tokens are expanded.
+    """
+    t, bk = F.col("tok"), F.col("inner_bk")
     head, body = F.col("in_header"), ~F.col("in_header")
-    rows = method_tokens(tokens)
+    else_if = (t == "(") & is_in(F.col("p2"), "else")
+    structural = in_header() | F.col("starts") | is_branch() | t.isin("?", "{", "return") | else_if
+    rows = method_tokens(tokens, None if with_text else structural)
     opens_class = head & (t == "{") & is_in(bk, *CLASS_KINDS)
     class_name = head & is_in(F.col("p1"), "class", "interface", "enum", "record") & (F.col("kind") == "i")
-    header_word = head & (F.col("inner.pos").isNull() | is_in(bk, *BODY_KINDS)) & ~t.isin(OPENERS)
+    named = since_decl("mname_pos") & (F.col("pos") >= F.col("mname_pos"))
+    at_class = F.col("inner_pos").isNull() | is_in(bk, "[", *BODY_KINDS)
+    header_word = head & at_class & ~t.isin("(", "{") & ~named
     param_type_at = F.when(F.col("p1") == "...", F.struct(F.col("p2").alias("type"), F.col("p3").alias("before"))).otherwise(
         F.struct(F.col("p1").alias("type"), F.col("p2").alias("before"))
     )
@@ -154,32 +172,33 @@ def declared_members(tokens: DataFrame) -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("pos", v.alias("v"))))), lambda x: x["v"]), glue
     )
     members = rows.groupBy("path", "member").agg(
-        first(head, F.col("decl")).alias("decl"),
+        first(head, F.col("decl_line")).alias("line"),
+        first(head, F.col("decl_owner")).alias("owner"),
+        first(head, F.col("decl_owner_kind")).alias("owner_kind"),
+        F.max(head & F.col("decl_doc")).alias("has_doc"),
         first(opens_class, bk).alias("class_kind"),
         first(class_name, t).alias("class_name"),
         first(head & F.col("is_mname"), t).alias("method_name"),
         first(head & (t == "{"), F.col("pos")).alias("open_pos"),
         first(head & (t == "{"), bk).alias("open_kind"),
-        first(head & (t == "(") & (bk == "par"), F.col("p1")).alias("ctor_name"),
+        first(head & (t == "(") & (bk == "(par"), F.col("p1")).alias("ctor_name"),
         F.max(head & F.col("is_first_var")).alias("is_field"),
         join(header_word, t, " ").alias("header"),
         F.sort_array(F.collect_list(F.when(head & F.col("is_param"), param))).alias("params"),
         F.sort_array(F.collect_list(F.when(body & returns_null, F.struct("pos", "line")))).alias("null_returns"),
         count(head & F.col("is_param")).alias("n_params"),
-        count(body & F.col("starts") & (F.col("encloser.pos") == F.col("method.open"))).alias("n_stmts"),
+        count(body & F.col("starts") & (F.col("encl_pos") == F.col("m_open"))).alias("n_stmts"),
         (1 + count(body & is_branch())).alias("cc_no_ternary"),
         (1 + count(body & (is_branch() | is_ternary()))).alias("cc"),
         F.sum(F.when(body, _cognitive())).alias("cognitive"),
         F.coalesce(F.max(F.when(body, _nesting())), F.lit(0)).alias("nesting"),
-        join(body, printed_piece(), "").alias("printed"),
+        (join(body, printed_piece(), "") if with_text else F.lit("")).alias("printed"),
         F.max(F.when(body, F.col("pos"))).alias("close_pos"),
     )
     return members.select(
         "path", "member", "class_kind", "class_name", "method_name", "open_pos", "open_kind", "ctor_name", "is_field",
         "header", "params", "null_returns", "n_params", "n_stmts", "cc", "cc_no_ternary", "cognitive", "nesting", "close_pos",
-        F.ltrim("printed").alias("printed"),
-        F.col("decl.line").alias("line"), F.col("decl.raw").alias("raw"),
-        F.col("decl.owner").alias("owner"), F.col("decl.owner_kind").alias("owner_kind"),
+        "line", "owner", "owner_kind", "has_doc", F.ltrim("printed").alias("printed"),
     )
 
 
@@ -187,12 +206,10 @@ def header_has(word: str) -> Column:
     return F.col("header").rlike(rf"(?:^| ){word}(?: |$)")
 
 
-def methods(tokens: DataFrame) -> DataFrame:
+def methods(tokens: DataFrame, with_text: bool = True) -> DataFrame:
     """Declared methods, without constructors and annotation members."""
     name = F.col("method_name")
-    quoted = F.concat(F.lit(r" ?\Q"), name, F.lit(r"\E(?: throws .*)?(?: default)?$"))
-    before_name = F.regexp_replace("header", quoted, F.lit(""))
-    no_annotations = F.regexp_replace(before_name, r"@ [^ ]+(?: \. [^ ]+)* ?", "")
+    no_annotations = F.regexp_replace("header", r"@ [^ ]+(?: \. [^ ]+)* ?", "")
     no_modifiers = F.regexp_replace(no_annotations, r"(?:(?<=^| )(?:" + "|".join(MODIFIERS) + r") ?)+", "")
     no_type_params = F.regexp_replace(F.trim(no_modifiers), r"^< [^<>]*(?:<[^<>]*>[^<>]*)*> ", "")
     tidy = F.regexp_replace(F.regexp_replace(no_type_params, r" ?([<>.\[\]]) ?", "$1"), " ,", ",")
@@ -202,7 +219,7 @@ def methods(tokens: DataFrame) -> DataFrame:
         .when(header_has("private"), "private")
         .otherwise("")
     )
-    found = declared_members(tokens).filter(name.isNotNull() & (F.coalesce(F.col("owner_kind"), F.lit("")) != "annotation"))
+    found = declared_members(tokens, with_text).filter(name.isNotNull() & (F.col("owner_kind") != "annotation"))
     return found.withColumns(
         {
             "name": name,
@@ -225,7 +242,7 @@ def _names_after(word: str) -> Column:
 
 def class_rollup(tokens: DataFrame) -> DataFrame:
     """Classes and interfaces with counts over their direct members, in one aggregation."""
-    members = declared_members(tokens)
+    members = declared_members(tokens, with_text=False)
     is_class = F.col("class_kind").isNotNull()
     is_method = F.col("method_name").isNotNull()
     key = F.when(is_class & F.col("class_kind").isin(PLAIN_CLASSES), F.col("open_pos")).otherwise(F.col("owner"))
@@ -237,7 +254,7 @@ def class_rollup(tokens: DataFrame) -> DataFrame:
     count = lambda c: F.sum(F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0)).cast("int")
     self_ = lambda name, v=None: F.max(F.when(own, v if v is not None else F.col(name))).alias(name)
     # A nested class is a member row of its own block only, not of the class around it.
-    rolled = members.withColumn("block", key).filter(F.col("block").isNotNull()).groupBy("path", "block").agg(
+    rolled = members.withColumn("block", key).filter(F.col("block") >= 0).groupBy("path", "block").agg(
         self_("class_name"), self_("class_kind"), self_("line"), self_("header"), self_("member"),
         count(~own & is_method).alias("n_methods"),
         count(~own & F.coalesce(F.col("is_field"), F.lit(False)) & ~is_method & ~is_class).alias("n_fields"),

@@ -19,7 +19,7 @@ from ..config import AuditConfig
 from ..functions import text as tx
 from .findings import emit, findings_union, hit
 from .members import class_rollup, method_tokens, methods
-from .tokens import BODY_KINDS, is_in, javadoc_before, last_where, reading, since_decl
+from .tokens import BODY_KINDS, by_path, is_in, last_where, reading, since_decl, sum_adds, sum_ends
 
 Only = set[str] | None
 
@@ -168,11 +168,12 @@ def method_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Data
             line, node,
         ),
         "DOC-001": hit(
-            "DOC-001", F.col("is_public") & ~javadoc_before(F.col("raw")), "MINOR",
+            "DOC-001", F.col("is_public") & ~F.col("has_doc"), "MINOR",
             text("Missing Javadoc on public method -> ", name), line, node,
         ),
     }
-    found = with_maintainability(methods(tokens))
+    with_text = only is None or bool(only & {"SMELL-003", "MET-005"})
+    found = with_maintainability(methods(tokens, with_text))
     parts = []
     chosen = wanted(only, hits)
     if chosen:
@@ -220,15 +221,15 @@ def is_magic(value: Column) -> Column:
 
 def body_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     t, line, pos = F.col("tok"), F.col("line"), F.col("pos")
-    name = F.col("method.name")
+    name = F.col("m_name")
     raw = literal_value()
     literal = F.col("kind").isin("n", "s", "c")
     in_loop = (F.col("loop_level") > 0) | since_decl("bare_loop_pos")
     closes_operand = lambda c: is_in(c, "+", "-", ";", ")", ",", "]", "}", ":", "?", "==", "!=", "&&", "||")
     right = is_in(F.col("nk1"), "s") & closes_operand(F.col("n2"))
-    starts_sum = F.col("sum_from.pos") == pos - 2
+    starts_sum = F.col("sum_pos") == pos - 2
     left = is_in(F.col("pk1"), "s") & starts_sum
-    concat = (t == "+") & F.col("sum_adds") & (left | right) & ~F.coalesce(F.col("n1").startswith('"""') & ~left, F.lit(False))
+    concat = (t == "+") & sum_adds() & (left | right) & ~F.coalesce(F.col("n1").startswith('"""') & ~left, F.lit(False))
     hits = {
         "SMELL-011": hit(
             "SMELL-011", literal & is_magic(raw), "MINOR", text("Magic number '", raw, "' in method -> ", name), line, pos
@@ -237,12 +238,12 @@ def body_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFr
             hit(
                 "SMELL-013", in_loop & (t == "+="), "MAJOR",
                 text("String concatenation with '+=' inside a loop in method -> ", name),
-                F.coalesce(F.col("operand.line"), line), F.lit(0), 0,
+                F.coalesce(F.col("operand_line"), line), F.lit(0), 0,
             ),
             hit(
                 "SMELL-013", in_loop & concat, "MINOR",
                 text("String literal concatenation with '+' inside a loop in method -> ", name),
-                F.coalesce(F.col("sum_from.line"), line), F.lit(0), 1,
+                F.coalesce(F.col("sum_line"), line), F.lit(0), 1,
                 F.lit("Use StringBuilder.append() inside loops instead of String + literal."),
             ),
         ],
@@ -253,15 +254,15 @@ def body_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFr
 
 def exit_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     """Statements that follow a return or throw in the same block."""
-    block = ~is_in(F.col("encloser.bk"), "switch", "switchx", *BODY_KINDS)
-    starts = innermost(tokens).filter(F.col("starts") & F.col("encloser.pos").isNotNull() & block)
-    order = W.partitionBy("path", "encloser.pos").orderBy("pos")
+    block = ~is_in(F.col("encl_bk"), "switch", "switchx", *BODY_KINDS)
+    starts = innermost(tokens).filter(F.col("starts") & F.col("encl_pos").isNotNull() & block)
+    order = W.partitionBy("path", "encl_pos").orderBy("pos")
     after = starts.withColumn("after", F.lead(F.struct("line", "pos")).over(order))
     rows = after.filter(F.col("tok").isin("return", "throw") & F.col("after").isNotNull())
     step = F.when(F.col("tok") == "return", 0).otherwise(1)
-    message = text("Unreachable statement after '", F.col("tok"), "' in method -> ", F.col("method.name"))
+    message = text("Unreachable statement after '", F.col("tok"), "' in method -> ", F.col("m_name"))
     return emit(
-        rows, wanted(only, {"DEAD-001": hit("DEAD-001", F.lit(True), "MAJOR", message, F.col("after.line"), F.col("method.open"), step)})
+        rows, wanted(only, {"DEAD-001": hit("DEAD-001", F.lit(True), "MAJOR", message, F.col("after.line"), F.col("m_open"), step)})
     )
 
 
@@ -269,7 +270,7 @@ def exit_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFr
 
 
 def block_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
-    t, bk, pos = F.col("tok"), F.col("inner.bk"), F.col("pos")
+    t, bk, pos = F.col("tok"), F.col("inner_bk"), F.col("pos")
     caught = F.when(F.col("n1") == "final", F.struct(F.col("n2").alias("type"), F.col("n4").alias("end"))).otherwise(
         F.struct(F.col("n1").alias("type"), F.col("n3").alias("end"))
     )
@@ -279,7 +280,7 @@ def block_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataF
         {
             "SMELL-004": hit(
                 "SMELL-004", (t == "{") & is_in(F.col("n1"), "}"), "MAJOR", F.lit("Empty catch block detected"),
-                F.col("sib_par.line"), pos,
+                F.col("sib_line"), pos,
             ),
             "SMELL-012": hit(
                 "SMELL-012", (t == "(") & caught["type"].isin("Exception", "Throwable") & (caught["end"] == ")"), "MINOR",
@@ -288,7 +289,8 @@ def block_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataF
         },
     )
     if catch_hits:
-        parts.append(emit(tokens.filter((bk == "catch") & t.isin("{", "(")), catch_hits))
+        opens = ((bk == "catch") & (t == "{")) | ((bk == "(catch") & (t == "("))
+        parts.append(emit(tokens.filter(opens), catch_hits))
     switch_hits = wanted(
         only,
         {
@@ -300,8 +302,8 @@ def block_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataF
     )
     if switch_hits:
         default = (t == "default") & is_in(F.col("n1"), ":", "->") & ~is_in(F.col("p1"), ",")
-        rows = tokens.filter((bk == "switch") & ((t == "{") | default)).groupBy("path", F.col("inner.pos").alias("block")).agg(
-            F.max(default).alias("has_default"), F.max(F.when(t == "{", F.col("sib_par.line"))).alias("line_number")
+        rows = tokens.filter((bk == "switch") & ((t == "{") | default)).groupBy("path", F.col("inner_pos").alias("block")).agg(
+            F.max(default).alias("has_default"), F.max(F.when(t == "{", F.col("sib_line"))).alias("line_number")
         )
         parts.append(emit(rows, switch_hits))
     return findings_union(parts)
@@ -312,7 +314,7 @@ def block_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataF
 
 def variable_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     name, line, pos, p1 = F.col("tok"), F.col("line"), F.col("pos"), F.col("p1")
-    is_field = is_in(F.col("inner.bk"), *BODY_KINDS) & (F.col("inner.tok") == "{")
+    is_field = is_in(F.col("inner_bk"), *BODY_KINDS)
     constant = is_field & since_decl("static_pos") & since_decl("final_pos")
     named = is_field | (F.col("method_level") > 0)
     variable = named & ~constant
@@ -320,7 +322,7 @@ def variable_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Da
     hits = {
         "SMELL-015": hit(
             "SMELL-015", is_field & F.col("is_first_var") & p1.isin(RAW_TYPES) & (F.col("n1") != "["), "MAJOR",
-            text("Raw type usage -> '", p1, "' used without type parameter in field '", name, "'"), F.col("decl.line"), pos,
+            text("Raw type usage -> '", p1, "' used without type parameter in field '", name, "'"), F.col("decl_line"), pos,
         ),
         "SEC-001": hit(
             "SEC-001", literal & contains_any(F.lower(name), SENSITIVE_TERMS), "CRITICAL",
@@ -352,8 +354,8 @@ def variable_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Da
 def expression_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     t, p1, p2, pos = F.col("tok"), F.col("p1"), F.col("p2"), F.col("pos")
     scope_is = lambda name: F.col("is_scoped_call") & (p2 == name) & ~is_in(F.col("p3"), ".")
-    begin = F.coalesce(F.col("operand.line"), F.col("line"))
-    runtime = F.col("is_scoped_call") & (t == "exec") & (F.col("runtime_pos") >= F.col("operand.pos"))
+    begin = F.coalesce(F.col("operand_line"), F.col("line"))
+    runtime = F.col("is_scoped_call") & (t == "exec") & (F.col("runtime_pos") >= F.col("operand_pos"))
     argument = F.when(
         F.col("nk2").isin("s", "i") & is_in(F.col("n3"), ",", ")"), F.replace(F.col("n2"), F.lit('"'), F.lit(""))
     )
@@ -416,11 +418,11 @@ def sums(tokens: DataFrame) -> DataFrame:
         "file_pos": F.max(F.when(wordy & low.contains("file"), pos)).over(order),
         "mark_pos": F.max(F.when(contains_any(t, PATH_MARKS), pos)).over(order),
     }
-    rows = tokens.withColumns(seen).filter((F.col("sum_ends") | F.col("sum_adds")) & (F.col("sum_op") == "+"))
-    inside = lambda c: F.coalesce(F.col(c) > F.col("sum_from.pos"), F.lit(False))
+    rows = tokens.withColumns(seen).filter((sum_ends() | sum_adds()) & (F.col("sum_op") == "+"))
+    inside = lambda c: F.coalesce(F.col(c) > F.col("sum_pos"), F.lit(False))
     return rows.select(
-        "path", "pos", F.col("sum_from.line").alias("line"), F.col("sum_from.end_off").alias("text_from"),
-        (F.col("end_off") - F.length("raw")).alias("text_to"),
+        "path", "pos", F.col("sum_line").alias("line"), F.col("sum_end_off").alias("text_from"),
+        (F.col("end_off") - F.col("raw_len")).alias("text_to"),
         inside("sql_pos").alias("sql"), inside("ldap_pos").alias("ldap"),
         (inside("file_pos") & inside("mark_pos")).alias("file"),
     )
@@ -436,7 +438,7 @@ def sum_rules(tokens: DataFrame, files: DataFrame, cfg: AuditConfig, only: Only
         F.explode(F.array_compact(F.array(*[F.when(F.col(flag), F.lit(r)) for r, (flag, _) in chosen.items()]))).alias("rule"),
     )
     first = flagged.groupBy("path", "line", "rule").agg(F.min(F.struct("pos", "text_from", "text_to")).alias("e"))
-    source = files.select("path", "content").repartition("path")
+    source = by_path(files)
     code = F.when(F.col("content").contains("\r"), F.regexp_replace("content", r"\r\n?", "\n")).otherwise(F.col("content"))
     quoted = F.substring(code, (F.col("e.text_from") + 1).cast("int"), (F.col("e.text_to") - F.col("e.text_from")).cast("int"))
     rows = first.join(source, "path").select(
@@ -462,11 +464,11 @@ def local_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataF
     declares = body & F.col("is_var")
     param = ~body & F.col("is_param")
     uses = body & F.col("is_name_use")
-    opens = body & (F.col("pos") == F.col("method.open"))
+    opens = body & (F.col("pos") == F.col("m_open"))
     kept = rows.filter(declares | param | uses | opens).select(
         "path", "member", "pos", "line", "tok",
-        F.coalesce(F.col("method.name"), F.col("mname")).alias("name"),
-        F.col("method.line").alias("method_line"),
+        F.coalesce(F.col("m_name"), F.col("mname")).alias("name"),
+        F.col("m_line").alias("method_line"),
         declares.alias("declares"), param.alias("param"), uses.alias("uses"),
         F.coalesce(uses & own_start, F.lit(False)).alias("own_start"), F.coalesce(opens, F.lit(False)).alias("opens"),
     ).withColumn("has_body", F.max("opens").over(W.partitionBy("path", "member")))
@@ -492,36 +494,36 @@ def local_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataF
 
 def class_tokens(tokens: DataFrame, keep: Column) -> DataFrame:
     """Rows to keep, once per enclosing class or interface, with that class."""
-    opens = (F.col("tok") == "{") & is_in(F.col("inner.bk"), "class", "interface")
+    opens = (F.col("tok") == "{") & is_in(F.col("inner_bk"), "class", "interface")
     rows = tokens.filter((F.col("class_level") > 0) & (keep | opens)).withColumn(
         "depth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("class_level").cast("long")))
     )
     order = W.partitionBy("path", "depth").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     own = opens & (F.col("class_level") == F.col("depth"))
-    opened = F.struct(F.col("pos").alias("block"), F.col("class_kw.name").alias("name"))
-    return rows.withColumn("class", last_where(own, opened).over(order)).filter(keep)
+    names = {"c_block": F.col("pos"), "c_name": F.col("class_name")}
+    return rows.withColumns({c: last_where(own, v).over(order) for c, v in names.items()}).filter(keep)
 
 
 def private_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     """Private fields and methods no expression inside the class names or calls."""
     private = since_decl("private_pos")
-    at_class = is_in(F.col("inner.bk"), "class", "interface") & (F.col("inner.tok") == "{")
+    at_class = is_in(F.col("inner_bk"), "class", "interface")
     field = F.col("is_var") & at_class & private
     method = F.col("is_mname") & at_class & private
     rows = class_tokens(tokens, field | method | F.col("is_name_use") | F.col("is_call"))
-    own = F.col("inner.pos") == F.col("class.block")
-    per_name = W.partitionBy("path", "class.block", "tok")
+    own = F.col("inner_pos") == F.col("c_block")
+    per_name = W.partitionBy("path", "c_block", "tok")
     count = lambda c: F.max(F.coalesce(c, F.lit(False))).over(per_name)
     rows = rows.withColumns({"named": count(F.col("is_name_use")), "called": count(F.col("is_call"))})
-    place = F.col("decl.line")
+    place = F.col("decl_line")
     hits = {
         "DEAD-004": hit(
             "DEAD-004", method & own & ~F.col("called"), "MAJOR",
-            text("Unused private method -> ", F.col("tok"), " in class -> ", F.col("class.name")), place, F.col("pos"), 1,
+            text("Unused private method -> ", F.col("tok"), " in class -> ", F.col("c_name")), place, F.col("pos"), 1,
         ),
         "DEAD-005": hit(
             "DEAD-005", field & own & ~F.col("named"), "MINOR",
-            text("Unused private field -> ", F.col("tok"), " in class -> ", F.col("class.name")), place, F.col("pos"), 0,
+            text("Unused private field -> ", F.col("tok"), " in class -> ", F.col("c_name")), place, F.col("pos"), 0,
         ),
     }
     return emit(rows, wanted(only, hits))
@@ -529,18 +531,18 @@ def private_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Dat
 
 def envy_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     """Methods that call through other objects far more than they use their own class's fields."""
-    body = (F.col("depth") > 0) & is_in(F.col("method.owner_kind"), "class", "interface")
-    field = (F.col("depth") == 0) & F.col("is_var") & is_in(F.col("inner.bk"), "class", "interface") & (F.col("inner.tok") == "{")
+    body = (F.col("depth") > 0) & is_in(F.col("m_owner_kind"), "class", "interface")
+    field = (F.col("depth") == 0) & F.col("is_var") & is_in(F.col("inner_bk"), "class", "interface")
     call, use = body & F.col("is_scoped_call"), body & F.col("is_name_use")
     rows = method_tokens(tokens).filter(call | use | field).select(
-        "path", "tok", "member", field.alias("field"), call.alias("call"), use.alias("use"), "method",
-        F.coalesce(F.col("method.owner"), F.col("inner.pos")).alias("class"),
+        "path", "tok", "member", field.alias("field"), call.alias("call"), use.alias("use"), "m_name", "m_line",
+        F.coalesce(F.col("m_owner"), F.col("inner_pos")).alias("class"),
     )
     own = F.max("field").over(W.partitionBy("path", "class", "tok"))
     flag = lambda c: F.sum(F.when(c, 1).otherwise(0))
     per_method = rows.withColumn("own", own).filter(~F.col("field")).groupBy("path", "member").agg(
         flag(F.col("call")).alias("outside"), flag(F.col("use") & F.col("own")).alias("inside"),
-        F.max("method.name").alias("name"), F.max("method.line").alias("line"),
+        F.max("m_name").alias("name"), F.max("m_line").alias("line"),
     )
     found = hit(
         "SMELL-009", (F.col("outside") > 5) & (F.col("outside") > F.col("inside") * 2), "MINOR",
@@ -552,9 +554,9 @@ def envy_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFr
 def import_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     """Single imports whose last name occurs neither as an expression nor as a type."""
     t = F.col("tok")
-    imported = is_in(F.col("head.tok"), "import") & ((F.col("kind") == "i") | (t == "."))
+    imported = is_in(F.col("head_tok"), "import") & ((F.col("kind") == "i") | (t == "."))
     rows = tokens.filter(imported | F.col("is_name_use") | F.col("is_type_use")).select(
-        "path", "pos", "tok", "n1", imported.alias("imported"), F.col("decl.line").alias("line"), F.col("decl.pos").alias("member"),
+        "path", "pos", "tok", "n1", imported.alias("imported"), F.col("decl_line").alias("line"), F.col("decl_pos").alias("member"),
     )
     statement = W.partitionBy("path", "member").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("full", F.concat_ws("", F.collect_list(F.when(F.col("imported"), t)).over(statement)))

@@ -78,13 +78,22 @@ def newlines(column: Column) -> Column:
     return F.when(column.contains("\n"), F.length(column) - F.length(F.replace(column, F.lit("\n"), F.lit("")))).otherwise(0)
 
 
+def by_path(files: DataFrame) -> DataFrame:
+    """The text, hash-partitioned by path into ``spark.sql.shuffle.partitions`` parts.
+
+    The number is given, so that adaptive execution does not merge parts by
+    their size as text: tokens with their facts take some fifty times as much.
+    """
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path", "content").repartition(parts, "path")
+
+
 def lex(files: DataFrame) -> DataFrame:
-    """``files(path, content)`` to ``(path, pos, raw, tok, kind)``, comments kept in ``raw``."""
+    """``files(path, content)`` to one row per token; ``comments`` are those in front of it."""
     t = F.col("tok")
     text = F.when(F.col("content").contains("\r"), F.regexp_replace("content", r"\r\n?", "\n")).otherwise(F.col("content"))
     pieces = (
-        files.select("path", "content")
-        .repartition("path")
+        by_path(files)
         .select("path", F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("pos", "raw"))
     )
     stripped = F.ltrim(F.col("raw"), F.lit(" \t\n\r\f\x0b"))
@@ -102,37 +111,43 @@ def lex(files: DataFrame) -> DataFrame:
         .when(letter, "i")
         .otherwise("o")
     )
-    return pieces.withColumn("tok", token).filter(F.length("tok") > 0).withColumn("kind", kind)
+    cut = pieces.withColumn("tok", token).filter(F.length("tok") > 0)
+    before = F.substring("raw", F.lit(1), F.length("raw") - F.length("tok"))
+    commented = (F.length("raw") - F.length("tok") >= 2) & (F.col("raw").contains("//") | F.col("raw").contains("/*"))
+    comments = F.filter(F.regexp_extract_all(before, F.lit(COMMENT), F.lit(0)), lambda c: F.length(c) > 0)
+    return cut.select(
+        "path", "pos", "tok", kind.alias("kind"),
+        F.length("raw").alias("raw_len"),
+        newlines(F.col("raw")).alias("raw_nl"),
+        F.when(commented & (F.size(comments) > 0), comments).alias("comments"),
+    )
 
 
 def _reading_columns(tokens: DataFrame) -> DataFrame:
+    """Neighbours, line, offset and bracket level."""
     t = F.col("tok")
     step = F.when(t.isin(OPENERS), 1).when(t.isin(CLOSERS), -1).otherwise(0)
-    neighbours = {f"p{i}": F.lag("tok", i).over(reading()) for i in (1, 2, 3)}
-    neighbours |= {f"n{i}": F.lead("tok", i).over(reading()) for i in (1, 2, 3, 4)}
-    base = tokens.withColumns(
-        neighbours
-        | {
-            "pk1": F.lag("kind", 1).over(reading()),
-            "nk1": F.lead("kind", 1).over(reading()),
-            "nk2": F.lead("kind", 2).over(reading()),
-            "level_after": F.sum(step).over(running()),
-            "nl_total": F.sum(newlines(F.col("raw"))).over(running()),
-            "end_off": F.sum(F.length("raw")).over(running()),
-            "boundary_pos": F.max(F.when(t.isin(BOUNDARY), F.col("pos"))).over(reading().rowsBetween(*BEFORE)),
-        }
-    )
-    return base.withColumns(
+    before = reading().rowsBetween(*BEFORE)
+    columns = {f"p{i}": F.lag("tok", i).over(reading()) for i in (1, 2, 3)}
+    columns |= {f"n{i}": F.lead("tok", i).over(reading()) for i in (1, 2, 3, 4)}
+    columns |= {f"pk{i}": F.lag("kind", i).over(reading()) for i in (1, 2)}
+    columns |= {f"nk{i}": F.lead("kind", i).over(reading()) for i in (1, 2)}
+    columns |= {
+        "level_after": F.sum(step).over(running()).cast("int"),
+        "nl_total": F.sum("raw_nl").over(running()),
+        "end_off": F.sum("raw_len").over(running()),
+        "boundary_pos": F.max(F.when(t.isin(BOUNDARY), F.col("pos"))).over(before),
+    }
+    return tokens.withColumns(columns).withColumns(
         {
             "line": (F.col("nl_total") - newlines(t) + 1).cast("int"),
-            "start_off": F.col("end_off") - F.length("tok"),
             "lvl": F.col("level_after") + F.when(t.isin(CLOSERS), 1).otherwise(0),
         }
     )
 
 
 def _generic_columns(tokens: DataFrame) -> DataFrame:
-    """``gd``: how many type-argument lists are open after the token.
+    """``gd``: how many type-argument lists are open after the token; ``gd1`` to ``gd3`` for the tokens before.
 
     An opening "<" is told from a comparison by its neighbours. Closers need no
     such test: the running count, floored at zero, drops stray ">" signs.
@@ -148,39 +163,45 @@ def _generic_columns(tokens: DataFrame) -> DataFrame:
         | (is_in(n2, ",", ".", "[", "&") & pascal)
     )
     opens = F.coalesce((t == "<") & (no_operand | by_next | by_second), F.lit(False))
-    walk = F.sum(F.when(opens, 1).when(t == ">", -1).otherwise(0)).over(running())
-    out = tokens.withColumn("g_open", opens).withColumn("walk", walk)
-    out = out.withColumn("gd", F.col("walk") - F.least(F.lit(0), F.min("walk").over(running())))
-    out = out.withColumns({"gd1": F.lag("gd", 1).over(reading()), "gd2": F.lag("gd", 2).over(reading())})
-    return out.withColumns(
-        {
-            "g_close": (t == ">") & (F.coalesce(F.col("gd1"), F.lit(0)) > 0),
-            "p1_g_close": is_in(p1, ">") & (F.coalesce(F.col("gd2"), F.lit(0)) > 0),
-        }
+    out = tokens.withColumn("g_open", opens)
+    out = out.withColumn("walk", F.sum(F.when(F.col("g_open"), 1).when(t == ">", -1).otherwise(0)).over(running()))
+    lowest = {
+        i: F.least(F.lit(0), F.min("walk").over(reading().rowsBetween(W.unboundedPreceding, -i))) for i in range(4)
+    }
+    depths = {"gd": F.col("walk") - lowest[0]}
+    depths |= {f"gd{i}": F.coalesce(F.lag("walk", i).over(reading()) - lowest[i], F.lit(0)) for i in (1, 2, 3)}
+    out = out.withColumns(depths | {"n_g_open": F.lead("g_open").over(reading()), "next_line": F.lead("line").over(reading())})
+    return out.withColumn("g_close", (t == ">") & (F.col("gd1") > 0))
+
+
+def _type_end(tok: str, kind: str, before: str, depth: str) -> Column:
+    """Whether a name may follow the token as the declared name of a type ending there."""
+    tok_, before_ = F.col(tok), F.col(before)
+    return F.coalesce(
+        ((F.col(kind) == "i") & ~is_in(tok_, "record", "yield", "permits") & ~is_in(before_, "@"))
+        | is_in(tok_, *PRIMITIVES)
+        | (is_in(tok_, ">") & (F.col(depth) > 0))
+        | (is_in(tok_, "]") & is_in(before_, "["))
+        | is_in(tok_, "..."),
+        F.lit(False),
     )
 
 
 def _head_columns(tokens: DataFrame) -> DataFrame:
-    """``head``: the last earlier token that cannot be part of a type or a modifier."""
+    """``head_tok``: the last earlier token that cannot be part of a type or a modifier."""
     t = F.col("tok")
-    p1, p2, p3, n1 = (F.col(c) for c in ("p1", "p2", "p3", "n1"))
-    in_generic = F.col("gd") > 0
+    p1, n1 = F.col("p1"), F.col("n1")
+    before = reading().rowsBetween(*BEFORE)
+    pos = F.col("pos")
     type_part = (
         (F.col("kind") == "i")
         | t.isin(PRIMITIVES + MODIFIERS + [".", ",", "@", "..."])
         | F.col("g_open")
         | F.col("g_close")
-        | (in_generic & t.isin("extends", "super", "?", "&"))
+        | ((F.col("gd") > 0) & t.isin("extends", "super", "?", "&"))
         | ((t == "[") & is_in(n1, "]"))
         | ((t == "]") & is_in(p1, "["))
     )
-    p1_type_end = (
-        ((F.col("pk1") == "i") & ~is_in(p1, "record", "yield", "permits") & ~is_in(p2, "@"))
-        | is_in(p1, *PRIMITIVES)
-        | F.col("p1_g_close")
-        | (is_in(p1, "]") & is_in(p2, "["))
-        | is_in(p1, "...")
-    )
     record_kw = (t == "record") & (F.col("nk1") == "i") & is_in(F.col("n2"), "(", "<")
     class_kw = (t.isin("class", "interface", "enum") & ~is_in(p1, ".")) | record_kw
     plain_brace = (t == "{") & ~is_in(p1, "{")
@@ -188,75 +209,86 @@ def _head_columns(tokens: DataFrame) -> DataFrame:
     case_word = (t == "case") | ((t == "default") & is_in(n1, ":", "->"))
     out = tokens.withColumns(
         {
-            "p1_type_end": F.coalesce(p1_type_end, F.lit(False)),
-            "head": last_where(~type_part, F.struct("pos", "tok")).over(reading().rowsBetween(*BEFORE)),
-            "class_kw": last_where(class_kw, F.struct("pos", "tok", "p1", F.col("n1").alias("name"))).over(
-                reading().rowsBetween(*BEFORE)
-            ),
+            "p1_type_end": _type_end("p1", "pk1", "p2", "gd2"),
+            "head_tok": last_where(~type_part, t).over(before),
+            "class_kw_pos": F.max(F.when(class_kw, pos)).over(before),
+            "class_kw_kind": last_where(class_kw, F.when(p1 == "@", "annotation").otherwise(t)).over(before),
+            "class_name": last_where(class_kw, n1).over(before),
+            "record_pos": F.max(F.when(record_kw, pos)).over(running()),
             "is_array": (t == "{") & F.coalesce(last_where(plain_brace, array_brace).over(running()), F.lit(False)),
-            "case_pos": F.max(F.when(case_word, F.col("pos"))).over(reading().rowsBetween(*BEFORE)),
-            "arrow_pos": F.max(F.when(t == "->", F.col("pos"))).over(reading().rowsBetween(W.unboundedPreceding, -2)),
+            "case_pos": F.max(F.when(case_word, pos)).over(before),
+            "arrow_pos": F.max(F.when(t == "->", pos)).over(reading().rowsBetween(W.unboundedPreceding, -2)),
         }
     )
-    head = F.col("head.tok")
-    method_name = (
-        (F.col("kind") == "i")
-        & is_in(n1, "(")
-        & F.col("p1_type_end")
-        & (head.isNull() | is_in(head, *BOUNDARY, ")"))
+    head = F.col("head_tok")
+    at_start = head.isNull() | is_in(head, *BOUNDARY, ")")
+    out = out.withColumns(
+        {
+            "is_mname": (F.col("kind") == "i") & is_in(n1, "(") & F.col("p1_type_end") & at_start,
+            # The same seen from the parenthesis; both have the same head.
+            "p1_mname": (t == "(") & (F.col("pk1") == "i") & _type_end("p2", "pk2", "p3", "gd3") & at_start,
+        }
     )
-    out = out.withColumn("is_mname", method_name)
     return out.withColumns(
         {
-            "p1_mname": F.coalesce(F.lag("is_mname").over(reading()), F.lit(False)),
             "mname": last_where(F.col("is_mname"), t).over(running()),
-            "next_line": F.lead("line").over(reading()),
+            "mname_pos": F.max(F.when(F.col("is_mname"), pos)).over(running()),
         }
     )
 
 
 def _bracket_columns(tokens: DataFrame) -> DataFrame:
-    """``inner``: the innermost open bracket and what it belongs to."""
+    """``inner_pos`` and ``inner_bk``: the innermost open bracket and what it belongs to.
+
+    Kinds of parentheses begin with "(", so that "(if" is the condition and
+    "if" the block of an if statement.
+    """
     t = F.col("tok")
     p1, p2 = F.col("p1"), F.col("p2")
     direct = is_in(p2, *BOUNDARY) | p2.isNull()
-    head = F.col("head.tok")
+    head = F.col("head_tok")
     paren = (
-        F.when(p1.isin("if", "for", "while", "switch", "catch", "synchronized", "try"), p1)
-        .when(F.col("p1_mname"), "method")
-        .when(head == "new", "new")
-        .when((F.col("pk1") == "i") & is_in(p2, "@"), "annot")
-        .otherwise("par")
+        F.when(p1.isin("if", "for", "while", "switch", "catch", "synchronized", "try"), F.concat(F.lit("("), p1))
+        .when(F.col("p1_mname"), "(method")
+        .when(head == "new", "(new")
+        .when((F.col("pk1") == "i") & is_in(p2, "@"), "(annot")
+        .otherwise("(par")
     )
     out = tokens.withColumns({"paren": F.when(t == "(", paren), "direct": direct})
     is_if = (t == "(") & is_in(p1, "if")
+    is_try = t.isin("(", "{") & is_in(p1, "try")
+    before = level_order().rowsBetween(*BEFORE)
     out = out.withColumns(
         {
-            "sib_par": last_where(t == "(", F.struct("pos", "line", "paren", "direct", "p1", "p2")).over(level_running()),
+            "sib_paren": last_where(t == "(", F.col("paren")).over(level_running()),
+            "sib_direct": last_where(t == "(", F.col("direct")).over(level_running()),
+            "sib_p2": last_where(t == "(", p2).over(level_running()),
+            "sib_line": last_where(t == "(", F.col("line")).over(level_running()),
             "sib_if_direct": last_where(is_if, F.col("direct")).over(level_running()),
-            "prior_if_direct": last_where(is_if, F.col("direct")).over(level_order().rowsBetween(*BEFORE)),
+            "prior_if_direct": last_where(is_if, F.col("direct")).over(before),
+            "sib_try_direct": last_where(is_try, F.col("direct")).over(level_running()),
+            "sib_block_p1": last_where(t == "{", p1).over(before),
         }
+        | _chain_columns()
     )
-    out = _chain_columns(out)
-    sib = F.col("sib_par.paren")
-    statement_switch = F.col("sib_par.direct") | is_in(F.col("sib_par.p2"), ")", "else", "do", ":")
+    sib = F.col("sib_paren")
+    statement_switch = F.col("sib_direct") | is_in(F.col("sib_p2"), ")", "else", "do", ":")
     by_paren = (
-        F.when(sib.isin("for", "while"), "loop")
-        .when(sib == "try", "tryres")
-        .when(sib == "synchronized", "sync")
-        .when(sib == "switch", F.when(statement_switch, "switch").otherwise("switchx"))
-        .when(sib == "new", "anon")
-        .when(sib == "par", "ctor")
-        .otherwise(sib)
+        F.when(sib.isin("(for", "(while"), "loop")
+        .when(sib == "(try", "tryres")
+        .when(sib == "(synchronized", "sync")
+        .when(sib == "(switch", F.when(statement_switch, "switch").otherwise("switchx"))
+        .when(sib == "(new", "anon")
+        .when(sib == "(par", "ctor")
+        .otherwise(F.substring(sib, 2, 20))
     )
-    class_kind = F.when(F.col("class_kw.p1") == "@", "annotation").otherwise(F.col("class_kw.tok"))
     since_boundary = lambda pos: pos > F.coalesce(F.col("boundary_pos"), F.lit(-1))
     case_block = since_boundary(F.col("case_pos")) & (
         F.col("arrow_pos").isNull() | (F.col("arrow_pos") < F.col("case_pos"))
     )
     block = (
         F.when(F.col("is_array"), "arr")
-        .when(since_boundary(F.col("class_kw.pos")), class_kind)
+        .when(since_boundary(F.col("class_kw_pos")), F.col("class_kw_kind"))
         .when(p1 == "->", F.when(case_block, "case").otherwise("lambda"))
         .when(is_in(p1, ")") | (head == "throws"), by_paren)
         .when(p1.isin("else", "do", "try", "finally"), p1)
@@ -264,125 +296,144 @@ def _bracket_columns(tokens: DataFrame) -> DataFrame:
         .when(p1.isNull() | p1.isin("{", "}", ";", ":"), "bare")
         .otherwise("other")
     )
-    out = out.withColumn("bk", F.when(t == "{", block).when(t == "(", F.col("paren")).when(t == "[", F.lit("idx")))
-    is_try = (t == "{") & is_in(F.col("bk"), "try", "tryres")
+    do_tail = (t == "(") & is_in(p1, "while") & is_in(p2, "}") & is_in(F.col("sib_block_p1"), "do")
+    out = out.withColumn(
+        "bk", F.when(t == "{", block).when(do_tail, "(dowhile").when(t == "(", F.col("paren")).when(t == "[", F.lit("["))
+    )
+    bk = F.col("bk")
     entered = (
-        F.when(is_in(F.col("bk"), "if", "loop", "tryres"), F.col("sib_par.direct"))
-        .when(F.col("bk") == "else", F.coalesce(F.col("sib_if_direct"), F.lit(False)))
-        .when(is_in(F.col("bk"), "do", "try"), F.col("direct"))
+        F.when(is_in(bk, "if", "loop", "tryres"), F.col("sib_direct"))
+        .when(bk == "else", F.coalesce(F.col("sib_if_direct"), F.lit(False)))
+        .when(is_in(bk, "do", "try"), F.col("direct"))
         .otherwise(False)
     )
-    out = out.withColumn("ent", F.when(t == "{", entered).otherwise(False))
-    out = out.withColumns(
+    caught = (t == "{") & (bk == "catch") & F.coalesce(F.col("sib_try_direct"), F.lit(False))
+    opens = t.isin(OPENERS)
+    inner = lambda value: last_where(opens, value).over(level_running())
+    return out.withColumns(
         {
-            "sib_try_direct": last_where(is_try, F.col("ent")).over(level_order().rowsBetween(*BEFORE)),
-            "sib_block": last_where(t == "{", F.col("bk")).over(level_order().rowsBetween(*BEFORE)),
+            "inner_pos": F.max(F.when(opens, F.col("pos"))).over(level_running()),
+            "inner_bk": inner(bk),
+            "inner_ent": inner((t == "{") & entered),
+            "inner_entc": inner(((t == "{") & entered) | caught),
+            "inner_direct": inner(F.col("direct")),
         }
     )
-    do_tail = (t == "(") & (F.col("bk") == "while") & is_in(p2, "}") & is_in(F.col("sib_block"), "do")
-    out = out.withColumn("bk", F.when(do_tail, "dowhile").otherwise(F.col("bk")))
-    catch_entered = (F.col("bk") == "catch") & (t == "{") & F.coalesce(F.col("sib_try_direct"), F.lit(False))
-    out = out.withColumn("entc", F.col("ent") | F.coalesce(catch_entered, F.lit(False)))
-    opener = F.struct("pos", "tok", "bk", "ent", "entc", "direct", "p2")
-    return out.withColumn("inner", last_where(t.isin(OPENERS), opener).over(level_running()))
 
 
-def _chain_columns(tokens: DataFrame) -> DataFrame:
+def _chain_columns() -> dict[str, Column]:
     """Where the operand chain and the sum around a token begin, on its own bracket level.
 
-    ``operand``: first token of a call chain such as ``a.b(c).d``.
-    ``sum_from``: the token just before a sum ``a + b - c``; ``sum_op``: the last
+    ``operand_*``: first token of a call chain such as ``a.b(c).d``.
+    ``sum_*``: the token just before a sum ``a + b - c``, and ``sum_op`` the last
     "+", "-" or ending token seen before this one on the level.
     """
-    t, p1 = F.col("tok"), F.col("p1")
+    t, p1, pos = F.col("tok"), F.col("p1"), F.col("pos")
     begins = (F.col("kind").isin("i", "s", "n", "c") | t.isin("this", "super", "new")) & ~is_in(p1, ".", "new", "::") & (
         F.col("gd") == 0
     )
-    operand_before = is_in(F.col("pk1"), "i", "n", "s", "c") | is_in(
-        p1, ")", "]", "}", "this", "null", "true", "false", "++", "--"
-    )
+    before = level_order().rowsBetween(*BEFORE)
+    ends, adds = sum_ends(), sum_adds()
+    return {
+        "operand_pos": F.max(F.when(begins, pos)).over(level_running()),
+        "operand_line": last_where(begins, F.col("line")).over(level_running()),
+        "sum_pos": F.max(F.when(ends, pos)).over(before),
+        "sum_end_off": last_where(ends, F.col("end_off")).over(before),
+        "sum_line": last_where(ends, F.col("next_line")).over(before),
+        "sum_op": last_where(ends | adds, t).over(before),
+    }
+
+
+def sum_ends() -> Column:
+    """Tokens that bind less than "+", so a sum ends there."""
+    t, p1 = F.col("tok"), F.col("p1")
     comparison = t.isin("<", ">") & ~F.col("g_open") & ~F.col("g_close")
-    ends = (
+    return (
         t.isin(OPENERS + CLOSERS + [";", ":", "->"] + COMPARISONS + ASSIGNMENTS + CHAIN_BREAK_WORDS)
         | ((t == ",") & (F.col("gd") == 0))
         | ((t == "?") & ~is_in(p1, "<", ","))
         | comparison
         | ((t == "yield") & is_in(p1, *BOUNDARY))
     )
-    adds = t.isin("+", "-") & operand_before
-    before = level_order().rowsBetween(*BEFORE)
-    out = tokens.withColumns({"sum_ends": ends, "sum_adds": adds})
-    return out.withColumns(
-        {
-            "operand": last_where(begins, F.struct("pos", "line")).over(level_running()),
-            "sum_from": last_where(ends, F.struct("pos", "end_off", F.col("next_line").alias("line"))).over(before),
-            "sum_op": last_where(ends | adds, t).over(before),
-        }
+
+
+def sum_adds() -> Column:
+    """Binary "+" and "-"."""
+    operand_before = is_in(F.col("pk1"), "i", "n", "s", "c") | is_in(
+        F.col("p1"), ")", "]", "}", "this", "null", "true", "false", "++", "--"
     )
+    return F.col("tok").isin("+", "-") & operand_before
 
 
 def _statement_columns(tokens: DataFrame) -> DataFrame:
     """Statement and member starts, and running levels of enclosing constructs."""
-    t = F.col("tok")
-    p1 = F.col("p1")
+    t, p1, pos = F.col("tok"), F.col("p1"), F.col("pos")
+    bk = F.col("inner_bk")
+    opens, closes = t == "{", t == "}"
+    ent, entc = F.col("inner_ent"), F.col("inner_entc")
+
+    def level(inside: Column, opening: Column = opens, closing: Column = closes) -> Column:
+        """Open constructs at the token; the closing token counts as outside."""
+        change = F.when(opening & inside, 1).when(closing & inside, -1).otherwise(0)
+        return F.sum(change).over(running()).cast("int")
+
+    def level_with_closer(*kinds: str) -> Column:
+        inside = is_in(bk, *kinds)
+        return level(inside) + F.when(closes & inside, 1).otherwise(0)
+
+    counted = ~is_in(bk, "method", "arr")
+    loop_paren = is_in(bk, "(for", "(while")
+    parens = (t == "(", t == ")")
+    bare_loop = (t == ")") & loop_paren & ~is_in(F.col("n1"), "{", ";")
+    mods = {
+        f"{m}_pos": F.max(F.when(t == m, pos)).over(running())
+        for m in ("private", "static", "final")
+    }
     out = tokens.withColumns(
         {
-            "prev_inner": F.lag("inner").over(reading()),
-            "eq_pos": F.max(F.when((t == "=") & ~is_in(F.col("inner.bk"), "annot"), F.col("pos"))).over(running()),
+            "closed_bk": F.lag("inner_bk").over(reading()),
+            "closed_pos": F.lag("inner_pos").over(reading()),
+            "eq_pos": F.max(F.when((t == "=") & (F.coalesce(bk, F.lit("")) != "(annot"), pos)).over(running()),
+            "bare_loop_pos": F.max(F.when(bare_loop, pos)).over(running()),
+            "method_level": level_with_closer("method"),
+            "class_level": level_with_closer("class", "interface"),
+            "loop_level": level(is_in(bk, "loop")) + level(loop_paren, *parens),
+            "try_level": level(is_in(bk, "try")),
+            "ent_level": level(ent & counted),
+            "blk_level": level(~ent & counted),
+            "entc_level": level(entc & counted),
+            "blkc_level": level(~entc & counted),
+            "if_paren_level": level((bk == "(if") & F.col("inner_direct"), *parens),
         }
+        | mods
     )
-    closed = F.col("prev_inner.bk")
+    closed = F.col("closed_bk")
     continues = t.isin("}", "else", "catch", "finally") | ((t == "while") & (closed == "do"))
-    encloser = F.when(p1.isin("{", ";"), F.col("prev_inner")).when(~t.isin(OPENERS), F.col("inner"))
+    in_plain_block = closed.isNull() | (~is_in(F.substring(closed, 1, 1), "(", "[") & (closed != "arr"))
     starts = (
         p1.isNull()
         | ((p1 == "{") & (closed != "arr"))
-        | ((p1 == ";") & (closed.isNull() | ((F.col("prev_inner.tok") == "{") & (closed != "arr"))))
+        | ((p1 == ";") & in_plain_block)
         | ((p1 == "}") & is_in(closed, *CLOSING_KINDS))
     ) & ~continues
-    bk, opens = F.col("inner.bk"), t == "{"
-    closes = t == "}"
-
-    def level(*kinds: str) -> Column:
-        inside = is_in(bk, *kinds)
-        return F.sum(F.when(opens & inside, 1).when(closes & inside, -1).otherwise(0)).over(running()) + F.when(
-            closes & inside, 1
-        ).otherwise(0)
-
-    def flagged(condition: Column) -> Column:
-        return F.sum(F.when(opens & condition, 1).when(closes & condition, -1).otherwise(0)).over(running())
-
-    ent, entc = F.col("inner.ent"), F.col("inner.entc")
-    counted = ~is_in(bk, "method", "arr")
-    loop_paren = is_in(bk, "for", "while")
-    if_paren = (bk == "if") & F.col("inner.direct")
-    paren_level = lambda c: F.sum(
-        F.when((t == "(") & c, 1).when((t == ")") & c, -1).otherwise(0)
-    ).over(running())
+    around = lambda prev, own: F.when(p1.isin("{", ";"), F.col(prev)).when(~t.isin(OPENERS), F.col(own))
     out = out.withColumns(
         {
             "starts": F.coalesce(starts, F.lit(False)),
-            "encloser": encloser,
-            "method_level": level("method"),
-            "class_level": level("class", "interface"),
-            "loop_level": level("loop") + paren_level(loop_paren),
-            "try_level": level("try"),
-            "ent_level": flagged(ent & counted),
-            "blk_level": flagged(~ent & counted),
-            "entc_level": flagged(entc & counted),
-            "blkc_level": flagged(~entc & counted),
-            "if_paren_level": paren_level(if_paren),
+            "encl_pos": around("closed_pos", "inner_pos"),
+            "encl_bk": around("closed_bk", "inner_bk"),
         }
     )
-    start = F.struct("pos", "line", "raw", F.col("encloser.pos").alias("owner"), F.col("encloser.bk").alias("owner_kind"))
-    mods = {f"{m}_pos": F.max(F.when(t == m, F.col("pos"))).over(running()) for m in ("public", "private", "protected", "static", "final", "abstract")}
-    bare_loop = (t == ")") & loop_paren & ~is_in(F.col("n1"), "{", ";")
+    started = lambda value: last_where(F.col("starts"), value).over(running())
     return out.withColumns(
         {
-            "decl": last_where(F.col("starts"), start).over(running()),
-            "bare_loop_pos": F.max(F.when(bare_loop, F.col("pos"))).over(running()),
+            "decl_pos": F.max(F.when(F.col("starts"), pos)).over(running()),
+            "decl_line": started(F.col("line")),
+            # Owner -1: no block around the member.
+            "decl_owner": started(F.coalesce("encl_pos", F.lit(-1))),
+            "decl_owner_kind": started(F.coalesce("encl_bk", F.lit("file"))),
+            "decl_doc": started(documented()),
         }
-        | mods
     )
 
 
@@ -394,20 +445,25 @@ def tokens(files: DataFrame) -> DataFrame:
 
 def since_decl(position: str) -> Column:
     """Whether the position lies in the current member or statement."""
-    return F.coalesce(F.col(position) >= F.col("decl.pos"), F.lit(False))
+    return F.coalesce(F.col(position) >= F.col("decl_pos"), F.lit(False))
+
+
+def at_block(*kinds: str) -> Column:
+    """Whether the token lies directly in a block of one of the kinds."""
+    return is_in(F.col("inner_bk"), *kinds)
 
 
 def _roles(tokens: DataFrame) -> DataFrame:
     """What an identifier is used as; at most one of the flags is true."""
     t = F.col("tok")
     p1, p2, n1, n2 = (F.col(c) for c in ("p1", "p2", "n1", "n2"))
-    bk, head = F.col("inner.bk"), F.col("head.tok")
+    bk, head = F.col("inner_bk"), F.col("head_tok")
     ident = F.col("kind") == "i"
-    in_body = F.col("inner.pos").isNull() | is_in(bk, *BODY_KINDS)
-    in_init = F.col("eq_pos") > F.col("decl.pos")
-    decl_place = (F.col("inner.tok") == "{") & ~is_in(bk, "arr", "switch", "switchx") | is_in(bk, "for", "try")
-    # A switch body holds statements too, after its labels.
-    decl_place = F.coalesce(decl_place, F.lit(False)) | is_in(bk, "switch", "switchx")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    in_body = bk.isNull() | at_block(*BODY_KINDS)
+    in_init = F.col("eq_pos") > F.col("decl_pos")
+    decl_place = yes(~is_in(F.substring(bk, 1, 1), "(", "[") & (bk != "arr")) | at_block("(for", "(try")
     first_declarator = (
         ident
         & F.col("p1_type_end")
@@ -415,11 +471,10 @@ def _roles(tokens: DataFrame) -> DataFrame:
         & decl_place
         & (F.col("gd") == 0)
         & (head.isNull() | is_in(head, *BOUNDARY, "(", ")", ":"))
-        & ~is_in(head, "import", "package")
-        & ((n1 != ":") | (bk == "for"))
+        & ((n1 != ":") | (bk == "(for"))
         & ~is_in(p1, "...")
     )
-    out = tokens.withColumn("is_first_var", F.coalesce(first_declarator, F.lit(False)))
+    out = tokens.withColumn("is_first_var", yes(first_declarator))
     out = out.withColumn(
         "first_var_pos", F.max(F.when(F.col("is_first_var"), F.col("pos"))).over(reading().rowsBetween(*BEFORE))
     )
@@ -429,15 +484,14 @@ def _roles(tokens: DataFrame) -> DataFrame:
         & is_in(n1, "=", ",", ";", "[")
         & decl_place
         & (F.col("gd") == 0)
-        & (F.col("first_var_pos") >= F.col("decl.pos"))
+        & (F.col("first_var_pos") >= F.col("decl_pos"))
     )
-    variable = F.col("is_first_var") | F.coalesce(more, F.lit(False))
-    param = ident & (bk == "method") & (F.col("gd") == 0) & F.col("p1_type_end") & is_in(n1, ",", ")", "[")
-    out = out.withColumns({"is_var": variable, "is_param": F.coalesce(param, F.lit(False))})
+    param = ident & (bk == "(method") & (F.col("gd") == 0) & F.col("p1_type_end") & is_in(n1, ",", ")", "[")
+    out = out.withColumns({"is_var": F.col("is_first_var") | yes(more), "is_param": yes(param)})
 
     dotted = is_in(p1, ".")
-    after_new = F.coalesce(head == "new", F.lit(False)) & (F.col("head.pos") < F.col("pos"))
-    class_level_name = in_body & ~F.coalesce(in_init, F.lit(False))
+    after_new = is_in(head, "new")
+    class_level_name = in_body & no(in_init)
     call = (
         ident
         & is_in(n1, "(")
@@ -449,18 +503,18 @@ def _roles(tokens: DataFrame) -> DataFrame:
     created = ident & is_in(n1, "(", "<", "[") & after_new & (dotted | is_in(p1, "new"))
     cast = is_in(p1, "(") & is_in(n1, ")") & (
         is_in(F.col("nk2"), "i", "s", "n", "c") | is_in(n2, "(", "this", "new", "super", "!", "~", "switch")
-    ) & (bk == "par")
-    label = F.col("starts") & is_in(n1, ":") | is_in(p1, "break", "continue")
+    ) & (bk == "(par")
+    label = (F.col("starts") & is_in(n1, ":")) | is_in(p1, "break", "continue")
     generic_argument = F.col("gd") > 0
     type_place = (
-        (F.col("nk1") == "i") & ~is_in(p1, "@") & ~is_in(n1, "instanceof")
+        ((F.col("nk1") == "i") & ~is_in(p1, "@") & ~is_in(n1, "instanceof"))
         | generic_argument
-        | is_in(n1, "<") & (F.lead("gd").over(reading()) > F.col("gd"))
+        | (is_in(n1, "<") & F.col("n_g_open"))
         | (is_in(n1, "[") & is_in(n2, "]"))
         | is_in(n1, "...", "::")
         | is_in(p1, "instanceof", "extends", "implements", "throws", "permits")
         | is_in(head, "extends", "implements", "throws", "permits", "instanceof", "class", "interface")
-        | is_in(bk, "catch")
+        | at_block("(catch")
         | cast
         | created
         | (is_in(n1, ".") & is_in(n2, "class"))
@@ -472,27 +526,19 @@ def _roles(tokens: DataFrame) -> DataFrame:
         | F.col("is_mname")
         | is_in(p1, "class", "interface", "enum", "record", "@")
     )
-    outside = is_in(head, "import", "package") | is_in(t, "record") & F.coalesce(F.col("class_kw.pos") == F.col("pos"), F.lit(False))
-    member_name = is_in(bk, "annot") & is_in(n1, "=")
+    outside = is_in(head, "import", "package") | (F.col("record_pos") == F.col("pos"))
+    member_name = (bk == "(annot") & is_in(n1, "=")
     lambda_name = is_in(n1, "->") | (is_in(p1, "(") & is_in(n1, ")") & is_in(n2, "->"))
-    no = lambda c: ~F.coalesce(c, F.lit(False))
-    yes = lambda c: F.coalesce(c, F.lit(False))
     free = ident & no(declared) & no(label) & no(outside) & no(member_name) & no(lambda_name)
-    type_use = free & yes(type_place) & (no(dotted) | generic_argument | yes(created) | is_in(F.col("nk1"), "i"))
-    name_use = (
-        free
-        & no(type_place)
-        & no(dotted)
-        & ~is_in(n1, "(")
-        & (no(class_level_name))
-    )
     return out.withColumns(
         {
             "is_call": yes(call),
             "is_scoped_call": yes(ident & is_in(n1, "(") & dotted & ~after_new & ~F.col("is_mname")),
             "is_new": yes(created),
-            "is_type_use": yes(type_use),
-            "is_name_use": yes(name_use),
+            "is_type_use": free
+            & yes(type_place)
+            & (no(dotted) | generic_argument | yes(created) | is_in(F.col("nk1"), "i")),
+            "is_name_use": free & no(type_place) & no(dotted) & ~is_in(n1, "(") & no(class_level_name),
         }
     )
 
@@ -507,8 +553,6 @@ def rejects(files: DataFrame) -> DataFrame:
     return per_file.filter((F.col("surplus") != 0) | (F.col("lowest") < 0)).select("path", reason.alias("reason"))
 
 
-def javadoc_before(raw: Column) -> Column:
+def documented() -> Column:
     """Whether the last comment in front of the token is a documentation comment."""
-    comments = F.regexp_extract_all(raw, F.lit("^" + TRIVIA), F.lit(0))
-    last_comment = F.try_element_at(F.regexp_extract_all(F.get(comments, F.lit(0)), F.lit(COMMENT), F.lit(0)), F.lit(-1))
-    return F.coalesce(last_comment.rlike(r"^/\*\*[^/]"), F.lit(False))
+    return F.coalesce(F.try_element_at("comments", F.lit(-1)).rlike(r"^/\*\*[^/]"), F.lit(False))
