@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name, content_hash
+from ..functions.text import content_hash
 from .findings import emit, hit
 from .members import methods
 
@@ -74,12 +74,8 @@ def numbered_copies(items: DataFrame) -> DataFrame:
 
 
 def clone_findings(items: DataFrame) -> DataFrame:
-    name, n = F.col("label"), F.col("n")
-    at = lambda c: F.concat(base_name(F.col(f"{c}.path")), F.lit(":"), F.col(f"{c}.label"))
-    detail = (
-        F.when(n == 1, F.concat(F.lit("(duplicated in "), at("second"), F.lit(")")))
-        .when(n == 2, F.concat(F.lit("(duplicated from "), at("first"), F.lit(")")))
-        .otherwise(F.concat(F.lit("("), n.cast("string"), F.lit(" copies found across files)")))
-    )
-    message = F.concat(F.lit("Duplicate code block in method '"), name, F.lit("' "), detail)
-    return emit(numbered_copies(items), [hit("DUP-001", F.lit(True), "MAJOR", message, F.col("line"), F.col("node"))])
+    detail = """CASE n WHEN 1 THEN concat('(duplicated in ', substring_index(second.path, '/', -1), ':', second.label, ')')
+        WHEN 2 THEN concat('(duplicated from ', substring_index(first.path, '/', -1), ':', first.label, ')')
+        ELSE concat('(', n, ' copies found across files)') END"""
+    rows = numbered_copies(items).withColumn("detail", F.expr(detail))
+    return emit(rows, [hit("DUP-001", "true", "MAJOR", "Duplicate code block in method '{label}' {detail}", "line", "node")])

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import CATEGORY_OF_TYPE, RULES, advice
-from ..functions.text import base_name, null_to_dash
+from ..functions.sql import quote, say
+from ..functions.text import null_to_dash
 
 SCHEMA = (
     "type string, message string, severity string, file_name string, line_number int, rule_id string, "
@@ -20,43 +21,40 @@ COLUMNS = ["type", "message", "severity", "file_name", "line_number", "rule_id",
 
 def hit(
     rule_id: str,
-    condition: Column,
-    severity: Column | str,
-    message: Column,
-    line: Column,
-    node: Column,
-    step: Column | int = 0,
-    suggestion: Column | None = None,
-) -> Column:
-    """One candidate finding of a row; null unless the condition holds."""
+    condition: str,
+    severity: str,
+    message: str,
+    line: str,
+    node: str,
+    step: str = "0",
+    suggestion: str | None = None,
+) -> str:
+    """SQL for one candidate finding of a row; null unless the condition holds.
+
+    ``message`` is a template with expressions in braces. ``severity`` is one of
+    the three words or an expression.
+    """
     rule = RULES[rule_id]
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.when(
-        F.coalesce(condition, F.lit(False)),
-        F.struct(
-            F.lit(rule.type).alias("type"),
-            message.alias("message"),
-            as_col(severity).alias("severity"),
-            line.cast("int").alias("line_number"),
-            F.lit(rule_id).alias("rule_id"),
-            F.lit(rule.category).alias("category"),
-            (suggestion if suggestion is not None else advice(rule_id)).alias("suggestion"),
-            F.struct(
-                F.lit(rule.rank).alias("rank"), node.cast("long").alias("node"), as_col(step).cast("int").alias("step")
-            ).alias("ord"),
-        ),
-    )
-
-
-def emit(rows: DataFrame, hits: list[Column]) -> DataFrame:
+    fields = {
+        "type": quote(rule.type),
+        "message": say(message),
+        "severity": quote(severity) if severity.isupper() and severity.isalpha() else severity,
+        "line_number": f"CAST({line} AS INT)",
+        "rule_id": quote(rule_id),
+        "category": quote(rule.category),
+        "suggestion": suggestion or advice(rule_id),
+        "ord": f"named_struct('rank', {rule.rank}, 'node', CAST({node} AS BIGINT), 'step', CAST({step} AS INT))",
+    }
+    struct = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+    return f"CASE WHEN coalesce({condition}, false) THEN named_struct({struct}) END"
+
+
+def emit(rows: DataFrame, hits: list[str]) -> DataFrame:
     """All findings of one grain in a single pass over its rows."""
-    found = rows.select("path", F.explode(F.array_compact(F.array(*hits))).alias("f"))
-    return found.select(
-        *[F.col(f"f.{c}") for c in ("type", "message", "severity")],
-        base_name(F.col("path")).alias("file_name"),
-        *[F.col(f"f.{c}") for c in ("line_number", "rule_id", "category", "suggestion")],
-        "path",
-        F.col("f.ord").alias("ord"),
+    found = rows.selectExpr("path", f"explode(array_compact(array({', '.join(hits)}))) AS f")
+    return found.selectExpr(
+        "f.type", "f.message", "f.severity", "substring_index(path, '/', -1) AS file_name", "f.line_number", "f.rule_id",
+        "f.category", "f.suggestion", "path", "f.ord",
     )
 
 

@@ -9,61 +9,49 @@ needed. Header tokens get one extra row on level 0.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import MODIFIERS
-from .tokens import BODY_KINDS, CLASS_KINDS, is_in, last_where, since_decl
+from ..functions.sql import UP_TO, add, among, either, last_when, words, yes
+from .tokens import BODY_KINDS, CLASS_KINDS, IS_BRANCH, IS_TERNARY, since_decl
 
 PLAIN_CLASSES = ["class", "interface"]
+OPENS_BLOCK = "tok = '{'"
+
+
+def _gap() -> str:
+    """White space in front of a token that does not begin a line."""
+    signs = ["(", "[", "{", ",", ";", "=", "+", "-", "*", "/", "<", ">", "?", ":", "->", "return", "&&", "||", "==", "!="]
+    tight = either(
+        among("p1", "(", "[", ".", "::", "!", "~", "@"),
+        yes("p1 = '<' AND gd1 > 0"),
+        among("p1", "+", "-", "++", "--") + " AND " + among("p2", *signs),
+        f"tok IN ({words(';', ',', ')', ']', '.', '::', '[', '...')})",
+        "tok = '(' AND " + either(yes("pk1 = 'i'"), among("p1", "this", "super", "switch"), yes("p1 = '>' AND gd2 > 0")),
+        "g_open", "g_close",
+        "tok IN ('++', '--') AND " + either(among("pk1", "i", "s", "n", "c"), among("p1", ")", "]")),
+        "tok = ':' AND " + either(among("p1", "default"), among("p2", "case")),
+    )
+    return f"CASE WHEN {tight} THEN '' ELSE ' ' END"
 
 
-def _piece(alone: Column, gap: Column) -> Column:
-    joined = F.concat(F.array_join("comments", "\n"), F.lit("\n"))
-    gap = F.when(alone & is_in(F.col("encl_bk"), "anon", *CLASS_KINDS), "\n\n").when(alone, "\n").otherwise(gap)
-    return F.concat(gap, F.coalesce(joined, F.lit("")), F.col("tok"))
-
-
-def printed_piece() -> Column:
+def printed_piece() -> str:
     """The token with the white space a pretty printer puts in front of it.
 
     Line counts, token counts and clone hashes are taken from code in one
     layout, so that the author's line breaks do not change them.
     """
-    t, p1, p2, n1 = (F.col(c) for c in ("tok", "p1", "p2", "n1"))
-    bk, closed = F.col("inner_bk"), F.col("closed_bk")
-    label = (t == "case") | ((t == "default") & is_in(n1, ":", "->"))
-    first_in_entry = (p1 == ":") & (F.col("case_pos") > F.coalesce(F.col("boundary_pos"), F.lit(-1)))
-    bare_branch = ((p1 == ")") & (closed == "(if") & (t != "{")) | ((p1 == "else") & ~t.isin("{", "if"))
-    block_end = (t == "}") & ~is_in(bk, "arr")
-    alone = F.col("starts") | label | first_in_entry | bare_branch | block_end | ((t == "else") & (p1 == ";"))
-    operand_before = is_in(F.col("pk1"), "i", "s", "n", "c") | is_in(p1, ")", "]")
-    unary = is_in(p1, "+", "-", "++", "--") & (
-        is_in(p2, "(", "[", "{", ",", ";", "=", "+", "-", "*", "/", "<", ">", "?", ":", "->", "return", "&&", "||", "==", "!=")
+    alone = either(
+        "starts", "tok = 'case'", "tok = 'default' AND " + among("n1", ":", "->"),
+        yes("p1 = ':' AND case_pos > coalesce(boundary_pos, -1)"),
+        yes("p1 = ')' AND closed_bk = '(if' AND tok <> '{'"),
+        yes("p1 = 'else' AND tok NOT IN ('{', 'if')"),
+        "tok = '}' AND NOT " + among("inner_bk", "arr"),
+        yes("tok = 'else' AND p1 = ';'"),
     )
-    tight_after = is_in(p1, "(", "[", ".", "::", "!", "~", "@") | (is_in(p1, "<") & (F.col("gd1") > 0)) | unary
-    tight_before = (
-        t.isin(";", ",", ")", "]", ".", "::", "[", "...")
-        | ((t == "(") & ((F.col("pk1") == "i") | is_in(p1, "this", "super", "switch") | (is_in(p1, ">") & (F.col("gd2") > 0))))
-        | F.col("g_open")
-        | F.col("g_close")
-        | (t.isin("++", "--") & operand_before)
-        | ((t == ":") & (is_in(p1, "default") | is_in(p2, "case")))
-    )
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    gap = F.when(yes(tight_after) | yes(tight_before), "").otherwise(" ")
-    return _piece(yes(alone), gap)
-
-
-def is_ternary() -> Column:
-    return (F.col("tok") == "?") & ~is_in(F.col("p1"), "<", ",")
-
-
-def is_branch() -> Column:
-    """Tokens that add a path, other than "?"; the "while" that closes a do loop stands for the loop."""
-    t = F.col("tok")
-    label = (t == "default") & is_in(F.col("n1"), ":", "->")
-    return t.isin("if", "for", "while", "case", "catch", "&&", "||") | label
+    member = among("encl_bk", "anon", *CLASS_KINDS)
+    gap = f"CASE WHEN {alone} THEN CASE WHEN {member} THEN '\\n\\n' ELSE '\\n' END ELSE {_gap()} END"
+    return f"concat({gap}, coalesce(concat(array_join(comments, '\\n'), '\\n'), ''), tok)"
 
 
 # What a token row knows about the method around it.
@@ -71,76 +59,63 @@ METHOD = {
     "member": "decl_pos", "line": "decl_line", "name": "mname", "open": "pos", "owner": "decl_owner",
     "owner_kind": "decl_owner_kind", "ent": "ent_level", "blk": "blk_level", "entc": "entc_level", "blkc": "blkc_level",
 }
-
-
-def in_header() -> Column:
-    """Tokens of a member's header: before "=", in the parameter list, and the opening brace."""
-    t, bk = F.col("tok"), F.col("inner_bk")
-    at_class = bk.isNull() | is_in(bk, *BODY_KINDS)
-    in_init = F.coalesce(F.col("eq_pos") > F.col("decl_pos"), F.lit(False))
-    brackets = (bk == "[") & (((t == "[") & is_in(F.col("n1"), "]")) | ((t == "]") & is_in(F.col("p1"), "[")))
-    return F.coalesce(
-        (at_class & ~in_init & ~t.isin("}", ";"))
-        | (is_in(bk, "method", "ctor") & (t == "{"))
-        | ((bk == "(par") & (t == "("))
-        | (bk == "(method")
-        | (brackets & ~in_init & is_in(F.col("decl_owner_kind"), "file", *BODY_KINDS)),
-        F.lit(False),
-    )
-
-
-def method_tokens(tokens: DataFrame, keep: Column | None = None) -> DataFrame:
+AT_CLASS = either("inner_bk IS NULL", among("inner_bk", *BODY_KINDS))
+NOT_IN_INIT = "NOT " + yes("eq_pos > decl_pos")
+# Tokens of a member's header: before "=", in the parameter list, and the opening brace.
+IN_HEADER = either(
+    f"{AT_CLASS} AND {NOT_IN_INIT} AND tok NOT IN ('}}', ';')",
+    "tok = '{' AND " + among("inner_bk", "method", "ctor"),
+    "tok = '(' AND " + among("inner_bk", "(par"),
+    among("inner_bk", "(method"),
+    yes("inner_bk = '[' AND ((tok = '[' AND n1 = ']') OR (tok = ']' AND p1 = '['))")
+    + f" AND {NOT_IN_INIT} AND " + among("decl_owner_kind", "file", *BODY_KINDS),
+)
+
+
+def method_tokens(tokens: DataFrame, keep: str | None = None) -> DataFrame:
     """One row per token and enclosing method (``depth`` 1..n), plus header rows (``depth`` 0).
 
     With ``keep``, other tokens are dropped before they are expanded and sorted;
-    the braces that open methods and headers always stay.
+    braces that open blocks of methods always stay.
     """
-    t, bk = F.col("tok"), F.col("inner_bk")
-    level = F.col("method_level")
-    body = (t == "{") & is_in(bk, "method")
-    rows = tokens if keep is None else tokens.filter(keep | body | ((t == "{") & (level > 0)))
-    depths = F.sequence(F.when(in_header(), 0).otherwise(1), level)
-    rows = rows.filter(in_header() | (level > 0)).withColumn("depth", F.explode(depths))
-    order = W.partitionBy("path", "depth").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    opens = body & (level == F.col("depth")) & (F.col("depth") > 0)
-    rows = rows.withColumns({f"m_{name}": last_where(opens, F.col(source)).over(order) for name, source in METHOD.items()})
-    rows = rows.withColumn("in_header", F.col("depth") == 0)
-    blocked = (t == "{") & ~is_in(bk, "method", "arr") & (F.col("blkc_level") == F.col("m_blkc") + 1)
-    return rows.withColumns(
-        {
-            "member": F.when(F.col("depth") > 0, F.col("m_member")).otherwise(F.col("decl_pos")),
-            "stop_level": last_where(blocked & ~F.col("inner_entc"), F.col("entc_level")).over(order),
-        }
+    opens = f"{OPENS_BLOCK} AND " + among("inner_bk", "method")
+    inside = f"({IN_HEADER} OR method_level > 0)"
+    kept = inside if keep is None else f"{inside} AND {either(keep, opens, OPENS_BLOCK)}"
+    depths = f"explode(sequence(CASE WHEN {IN_HEADER} THEN 0 ELSE 1 END, method_level))"
+    rows = add(tokens.filter(kept), depth=depths)
+    order = "PARTITION BY path, depth ORDER BY pos"
+    own = f"{opens} AND method_level = depth AND depth > 0"
+    rows = add(rows, **{f"m_{name}": last_when(own, source, order) for name, source in METHOD.items()})
+    blocked = "tok = '{' AND NOT " + among("inner_bk", "method", "arr") + " AND NOT inner_entc AND blkc_level = m_blkc + 1"
+    return add(
+        rows,
+        in_header="depth = 0",
+        member="CASE WHEN depth > 0 THEN m_member ELSE decl_pos END",
+        stop_level=last_when(blocked, "entc_level", order),
     )
 
 
-def _cognitive() -> Column:
-    t, bk = F.col("tok"), F.col("inner_bk")
-    nest = F.col("entc_level") - F.col("m_entc")
-    reached = F.col("blkc_level") == F.col("m_blkc")
-    starts = F.col("starts")
-    stop = F.when(reached, nest).otherwise(F.col("stop_level") - F.col("m_entc"))
-    worth = (
-        F.when(is_ternary(), ((stop + 1) * (stop + 2) / 2).cast("long"))
-        .when(~reached, 0)
-        .when(starts & t.isin("if", "for", "while", "do", "switch"), 1 + nest)
-        .when((t == "(") & (bk == "(if") & is_in(F.col("p2"), "else") & F.coalesce(F.col("prior_if_direct"), F.lit(False)), 1)
-        .when((t == "{") & (bk == "else") & F.col("inner_ent"), 1)
-        .when((t == "{") & (bk == "catch") & F.col("inner_entc"), nest)
-        .when(starts & t.isin("break", "continue") & is_in(F.col("nk1"), "i"), 1)
-        .when(t.isin("&&", "||") & (F.col("if_paren_level") > 0), 1)
-        .otherwise(0)
-    )
-    return F.coalesce(worth, F.lit(0))
+# Share of a token in the cognitive complexity of a method around it.
+COGNITIVE = f"""CASE
+    WHEN {IS_TERNARY} THEN CAST((CASE WHEN blkc_level = m_blkc THEN entc_level ELSE stop_level END - m_entc + 1)
+        * (CASE WHEN blkc_level = m_blkc THEN entc_level ELSE stop_level END - m_entc + 2) / 2 AS INT)
+    WHEN blkc_level <> m_blkc THEN 0
+    WHEN starts AND tok IN ('if', 'for', 'while', 'do', 'switch') THEN 1 + entc_level - m_entc
+    WHEN tok = '(' AND inner_bk = '(if' AND p2 = 'else' AND prior_if_direct THEN 1
+    WHEN tok = '{{' AND inner_bk = 'else' AND inner_ent THEN 1
+    WHEN tok = '{{' AND inner_bk = 'catch' AND inner_entc THEN entc_level - m_entc
+    WHEN starts AND tok IN ('break', 'continue') AND nk1 = 'i' THEN 1
+    WHEN tok IN ('&&', '||') AND if_paren_level > 0 THEN 1
+    ELSE 0 END"""
 
+# Depth reached at the brace of a block that is walked into, or at a switch, which is not.
+NESTING = """CASE
+    WHEN tok = '{' AND inner_ent AND blk_level = m_blk THEN ent_level - m_ent
+    WHEN tok = '{' AND inner_bk = 'switch' AND sib_direct AND blk_level = m_blk + 1 THEN ent_level - m_ent + 1 END"""
 
-def _nesting() -> Column:
-    t, bk = F.col("tok"), F.col("inner_bk")
-    depth = F.col("ent_level") - F.col("m_ent")
-    blocked = F.col("blk_level") - F.col("m_blk")
-    entered = (t == "{") & F.col("inner_ent") & (blocked == 0)
-    switch = (t == "{") & (bk == "switch") & F.col("sib_direct") & (blocked == 1)
-    return F.when(entered, depth).when(switch, depth + 1)
+# A parameter's type is the word before its name, unless qualified or an array.
+PARAM = """named_struct('pos', pos, 'name', tok, 'line', line, 'type', CASE WHEN p1 = '...' THEN p2 ELSE p1 END,
+    'simple', CASE WHEN p1 = '...' THEN p3 ELSE p2 END <> '.' AND n1 <> '[')"""
 
 
 def declared_members(tokens: DataFrame, with_text: bool = True) -> DataFrame:
@@ -148,119 +123,97 @@ def declared_members(tokens: DataFrame, with_text: bool = True) -> DataFrame:
 
     Without the printed text, only structural tokens are expanded.
     """
-    t, bk = F.col("tok"), F.col("inner_bk")
-    head, body = F.col("in_header"), ~F.col("in_header")
-    else_if = (t == "(") & is_in(F.col("p2"), "else")
-    structural = in_header() | F.col("starts") | is_branch() | t.isin("?", "{", "return") | else_if
+    structural = either(IN_HEADER, "starts", IS_BRANCH, "tok IN ('?', 'return')", yes("tok = '(' AND p2 = 'else'"))
     rows = method_tokens(tokens, None if with_text else structural)
-    opens_class = head & (t == "{") & is_in(bk, *CLASS_KINDS)
-    class_name = head & is_in(F.col("p1"), "class", "interface", "enum", "record") & (F.col("kind") == "i")
-    named = since_decl("mname_pos") & (F.col("pos") >= F.col("mname_pos"))
-    at_class = F.col("inner_pos").isNull() | is_in(bk, "[", *BODY_KINDS)
-    header_word = head & at_class & ~t.isin("(", "{") & ~named
-    param_type_at = F.when(F.col("p1") == "...", F.struct(F.col("p2").alias("type"), F.col("p3").alias("before"))).otherwise(
-        F.struct(F.col("p1").alias("type"), F.col("p2").alias("before"))
-    )
-    param = F.struct(
-        "pos", F.col("tok").alias("name"), "line", param_type_at["type"].alias("type"),
-        ((param_type_at["before"] != ".") & (F.col("n1") != "[")).alias("simple"),
-    )
-    returns_null = (t == "return") & is_in(F.col("n1"), "null") & is_in(F.col("n2"), ";")
-    count = lambda c: F.sum(F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0))
-    first = lambda c, v: F.max(F.when(c, v))
-    join = lambda c, v, glue: F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("pos", v.alias("v"))))), lambda x: x["v"]), glue
-    )
-    members = rows.groupBy("path", "member").agg(
-        first(head, F.col("decl_line")).alias("line"),
-        first(head, F.col("decl_owner")).alias("owner"),
-        first(head, F.col("decl_owner_kind")).alias("owner_kind"),
-        F.max(head & F.col("decl_doc")).alias("has_doc"),
-        first(opens_class, bk).alias("class_kind"),
-        first(class_name, t).alias("class_name"),
-        first(head & F.col("is_mname"), t).alias("method_name"),
-        first(head & (t == "{"), F.col("pos")).alias("open_pos"),
-        first(head & (t == "{"), bk).alias("open_kind"),
-        first(head & (t == "(") & (bk == "(par"), F.col("p1")).alias("ctor_name"),
-        F.max(head & F.col("is_first_var")).alias("is_field"),
-        join(header_word, t, " ").alias("header"),
-        F.sort_array(F.collect_list(F.when(head & F.col("is_param"), param))).alias("params"),
-        F.sort_array(F.collect_list(F.when(body & returns_null, F.struct("pos", "line")))).alias("null_returns"),
-        count(head & F.col("is_param")).alias("n_params"),
-        count(body & F.col("starts") & (F.col("encl_pos") == F.col("m_open"))).alias("n_stmts"),
-        (1 + count(body & is_branch())).alias("cc_no_ternary"),
-        (1 + count(body & (is_branch() | is_ternary()))).alias("cc"),
-        F.sum(F.when(body, _cognitive())).alias("cognitive"),
-        F.coalesce(F.max(F.when(body, _nesting())), F.lit(0)).alias("nesting"),
-        (join(body, printed_piece(), "") if with_text else F.lit("")).alias("printed"),
-        F.max(F.when(body, F.col("pos"))).alias("close_pos"),
-    )
-    return members.select(
-        "path", "member", "class_kind", "class_name", "method_name", "open_pos", "open_kind", "ctor_name", "is_field",
-        "header", "params", "null_returns", "n_params", "n_stmts", "cc", "cc_no_ternary", "cognitive", "nesting", "close_pos",
-        "line", "owner", "owner_kind", "has_doc", F.ltrim("printed").alias("printed"),
-    )
-
-
-def header_has(word: str) -> Column:
-    return F.col("header").rlike(rf"(?:^| ){word}(?: |$)")
+    named = f"{since_decl('mname_pos')} AND pos >= mname_pos"
+    at_class = either("inner_bk IS NULL", among("inner_bk", "[", *BODY_KINDS))
+    header_word = f"in_header AND {at_class} AND tok NOT IN ('(', '{{') AND NOT ({named})"
+
+    def first(condition: str, value: str) -> str:
+        return f"max(CASE WHEN in_header AND {condition} THEN {value} END)"
+
+    def count(condition: str) -> str:
+        return f"count(CASE WHEN {condition} THEN 1 END)"
+
+    def joined(condition: str, value: str, glue: str) -> str:
+        rows_ = f"sort_array(collect_list(CASE WHEN {condition} THEN named_struct('pos', pos, 'v', {value}) END))"
+        return f"array_join(transform({rows_}, x -> x.v), '{glue}')"
+
+    measures = {
+        "line": first("true", "decl_line"),
+        "owner": first("true", "decl_owner"),
+        "owner_kind": first("true", "decl_owner_kind"),
+        "has_doc": "max(in_header AND decl_doc)",
+        "class_kind": first("tok = '{' AND " + among("inner_bk", *CLASS_KINDS), "inner_bk"),
+        "class_name": first("kind = 'i' AND " + among("p1", "class", "interface", "enum", "record"), "tok"),
+        "method_name": first("is_mname", "tok"),
+        "open_pos": first("tok = '{'", "pos"),
+        "open_kind": first("tok = '{'", "inner_bk"),
+        "is_field": "max(in_header AND is_first_var)",
+        "header": joined(header_word, "tok", " "),
+        "params": f"sort_array(collect_list(CASE WHEN in_header AND is_param THEN {PARAM} END))",
+        "null_returns": "sort_array(collect_list(CASE WHEN NOT in_header AND tok = 'return' AND n1 = 'null' AND n2 = ';' "
+        "THEN named_struct('pos', pos, 'line', line) END))",
+        "n_params": count("in_header AND is_param"),
+        "n_stmts": count("NOT in_header AND starts AND encl_pos = m_open"),
+        "cc_no_ternary": "1 + " + count(f"NOT in_header AND {IS_BRANCH}"),
+        "cc": "1 + " + count(f"NOT in_header AND ({IS_BRANCH} OR {IS_TERNARY})"),
+        "cognitive": f"coalesce(sum(CASE WHEN NOT in_header THEN {COGNITIVE} END), 0)",
+        "nesting": f"coalesce(max(CASE WHEN NOT in_header THEN {NESTING} END), 0)",
+        "close_pos": "max(CASE WHEN NOT in_header THEN pos END)",
+        "printed": f"ltrim({joined('NOT in_header', printed_piece(), '')})" if with_text else "''",
+    }
+    return rows.groupBy("path", "member").agg(*[F.expr(f"{value} AS {name}") for name, value in measures.items()])
 
 
 def methods(tokens: DataFrame, with_text: bool = True) -> DataFrame:
     """Declared methods, without constructors and annotation members."""
-    name = F.col("method_name")
-    no_annotations = F.regexp_replace("header", r"@ [^ ]+(?: \. [^ ]+)* ?", "")
-    no_modifiers = F.regexp_replace(no_annotations, r"(?:(?<=^| )(?:" + "|".join(MODIFIERS) + r") ?)+", "")
-    no_type_params = F.regexp_replace(F.trim(no_modifiers), r"^< [^<>]*(?:<[^<>]*>[^<>]*)*> ", "")
-    tidy = F.regexp_replace(F.regexp_replace(no_type_params, r" ?([<>.\[\]]) ?", "$1"), " ,", ",")
-    visibility = (
-        F.when(header_has("public"), "public")
-        .when(header_has("protected"), "protected")
-        .when(header_has("private"), "private")
-        .otherwise("")
+    found = declared_members(tokens, with_text).filter("method_name IS NOT NULL AND owner_kind <> 'annotation'")
+    no_annotations = r"regexp_replace(header, r'@ [^ ]+(?: \. [^ ]+)* ?', '')"
+    modifiers = "|".join(MODIFIERS)
+    no_modifiers = f"trim(regexp_replace({no_annotations}, r'(?:(?<=^| )(?:{modifiers}) ?)+', ''))"
+    no_type_params = f"regexp_replace({no_modifiers}, r'^< [^<>]*(?:<[^<>]*>[^<>]*)*> ', '')"
+    tidy = rf"trim(regexp_replace(regexp_replace({no_type_params}, r' ?([<>.\[\]]) ?', '$1'), ' ,', ','))"
+    return add(
+        found,
+        name="method_name",
+        has_body=yes("open_kind = 'method'"),
+        return_type=tidy,
+        visibility="""CASE WHEN array_contains(split(header, ' '), 'public') THEN 'public'
+            WHEN array_contains(split(header, ' '), 'protected') THEN 'protected'
+            WHEN array_contains(split(header, ' '), 'private') THEN 'private' ELSE '' END""",
+        is_abstract="array_contains(split(header, ' '), 'abstract')",
     )
-    found = declared_members(tokens, with_text).filter(name.isNotNull() & (F.col("owner_kind") != "annotation"))
-    return found.withColumns(
-        {
-            "name": name,
-            "has_body": F.col("open_kind") == "method",
-            "return_type": F.trim(tidy),
-            "visibility": visibility,
-            "is_private": header_has("private"),
-            "is_public": header_has("public"),
-            "is_abstract": header_has("abstract"),
-        }
-    ).withColumn("has_body", F.coalesce(F.col("has_body"), F.lit(False)))
 
 
 def _names_after(word: str) -> Column:
-    clause = F.regexp_extract("header", rf"(?:^| ){word} (.*?)(?: implements .*| extends .*| permits .*)?$", 1)
-    flat = F.regexp_replace(clause, r" ?< [^<>]*(?:< [^<>]*(?:< [^<>]*> ?)*[^<>]*> ?)*[^<>]*> ?", "")
-    simple = F.transform(F.split(flat, " ?, ?"), lambda x: F.regexp_replace(x, r"^.*\. ?", ""))
-    return F.when(clause == "", F.array().cast("array<string>")).otherwise(F.transform(simple, F.trim))
+    """Simple names listed after ``extends`` or ``implements``, type arguments removed."""
+    level0 = r"< [^<>]*>"
+    level1 = rf"< (?:[^<>]|{level0})*>"
+    flat = F.regexp_replace("header", rf" ?< (?:[^<>]|{level1})*>", "")
+    clause = F.regexp_extract(flat, rf"(?:^| ){word} (.*?)(?: implements .*| extends .*| permits .*)?$", 1)
+    simple = F.transform(F.split(clause, " ?, ?"), lambda x: F.trim(F.regexp_replace(x, r"^.*\. ?", "")))
+    return F.when(clause == "", F.array().cast("array<string>")).otherwise(simple)
 
 
 def class_rollup(tokens: DataFrame) -> DataFrame:
     """Classes and interfaces with counts over their direct members, in one aggregation."""
-    members = declared_members(tokens, with_text=False)
-    is_class = F.col("class_kind").isNotNull()
-    is_method = F.col("method_name").isNotNull()
-    key = F.when(is_class & F.col("class_kind").isin(PLAIN_CLASSES), F.col("open_pos")).otherwise(F.col("owner"))
-    accessor = (
-        F.col("method_name").rlike("^(?:get|set|is)") & (F.col("open_kind") == "method") & (F.col("n_stmts") <= 1)
-    )
-    own = is_class & F.col("class_kind").isin(PLAIN_CLASSES)
-    ctor = ~is_class & ~is_method & (F.col("open_kind") == "ctor")
-    count = lambda c: F.sum(F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0)).cast("int")
-    self_ = lambda name, v=None: F.max(F.when(own, v if v is not None else F.col(name))).alias(name)
-    # A nested class is a member row of its own block only, not of the class around it.
-    rolled = members.withColumn("block", key).filter(F.col("block") >= 0).groupBy("path", "block").agg(
-        self_("class_name"), self_("class_kind"), self_("line"), self_("header"), self_("member"),
-        count(~own & is_method).alias("n_methods"),
-        count(~own & F.coalesce(F.col("is_field"), F.lit(False)) & ~is_method & ~is_class).alias("n_fields"),
-        count(~own & ctor).alias("n_constructors"),
-        count(~own & is_method & accessor).alias("n_accessors"),
+    own = among("class_kind", *PLAIN_CLASSES)
+    method = "method_name IS NOT NULL"
+    accessor = f"{method} AND method_name RLIKE '^(?:get|set|is)' AND open_kind = 'method' AND n_stmts <= 1"
+    count = lambda c: f"CAST(count(CASE WHEN NOT {own} AND {c} THEN 1 END) AS INT)"
+    measures = {c: f"max(CASE WHEN {own} THEN {c} END)" for c in ("class_name", "class_kind", "line", "header", "member")}
+    # A nested class is a row of its own block only, not of the class around it.
+    measures |= {
+        "n_methods": count(method),
+        "n_fields": count("is_field AND method_name IS NULL AND class_kind IS NULL"),
+        "n_constructors": count("open_kind = 'ctor' AND method_name IS NULL AND class_kind IS NULL"),
+        "n_accessors": count(accessor),
+    }
+    members = add(declared_members(tokens, with_text=False), block=f"CASE WHEN {own} THEN open_pos ELSE owner END")
+    rolled = members.filter("block >= 0").groupBy("path", "block").agg(
+        *[F.expr(f"{value} AS {name}") for name, value in measures.items()]
     )
-    return rolled.filter(F.col("class_name").isNotNull()).withColumns(
+    return rolled.filter("class_name IS NOT NULL").withColumns(
         {"extended": _names_after("extends"), "implemented": _names_after("implements")}
     )

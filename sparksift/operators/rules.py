@@ -7,73 +7,69 @@ no more than its own columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import (
     CLOSEABLE_TYPES, IP_PATTERN, LDAP_WORDS, PATH_MARKS, RAW_TYPES, SENSITIVE_TERMS, SHORT_NAMES, SQL_WORDS,
-    TEST_ANNOTATIONS, VAGUE_NAMES, WEAK_HASHES, advice, contains_any,
+    TEST_ANNOTATIONS, VAGUE_NAMES, WEAK_HASHES, advice,
 )
 from ..config import AuditConfig
 from ..functions import text as tx
+from ..functions.sql import (
+    EARLIER, READ, UP_TO, add, among, both, contains_any, either, last_when, max_when, quote, say, words, yes,
+)
 from .findings import emit, findings_union, hit
 from .members import class_rollup, method_tokens, methods
-from .tokens import BODY_KINDS, by_path, is_in, last_where, reading, since_decl, sum_adds, sum_ends
+from .tokens import BODY_KINDS, SUM_ADDS, SUM_ENDS, by_path, since_decl, unix_lines
 
 Only = set[str] | None
 
 
-def wanted(only: Only, hits: dict[str, Column | list[Column]]) -> list[Column]:
-    out: list[Column] = []
+def wanted(only: Only, hits: dict[str, str | list[str]]) -> list[str]:
+    out: list[str] = []
     for rule_id, found in hits.items():
         if only is None or rule_id in only:
             out.extend(found if isinstance(found, list) else [found])
     return out
 
 
-def text(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
+def is_camel(name: str) -> str:
+    return rf"({name} RLIKE r'^\p{{javaLowerCase}}' AND NOT contains({name}, '_'))"
 
-def is_camel(name: Column) -> Column:
-    return name.rlike(r"^\p{javaLowerCase}") & ~name.contains("_")
 
-
-def is_pascal(name: Column) -> Column:
-    return name.rlike(r"^\p{javaUpperCase}") & ~name.contains("_") & (name != F.upper(name))
+def is_pascal(name: str) -> str:
+    return rf"({name} RLIKE r'^\p{{javaUpperCase}}' AND NOT contains({name}, '_') AND {name} <> upper({name}))"
 
 
 # Classes -----------------------------------------------------------------
 
 
 def class_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
-    name, n, fields, line, node = (F.col(c) for c in ("class_name", "n_methods", "n_fields", "line", "block"))
-    many_methods, many_fields = n > cfg.max_class_methods, fields > cfg.max_class_fields
-    is_error = F.exists("extended", lambda p: p.endswith("Exception") | (p == "Error"))
+    many_methods, many_fields = f"n_methods > {cfg.max_class_methods}", f"n_fields > {cfg.max_class_fields}"
+    is_error = "exists(extended, p -> endswith(p, 'Exception') OR p = 'Error')"
+    at = ("line", "block")
     hits = {
         "SMELL-001": hit(
-            "SMELL-001", many_methods, "MAJOR", text("Large class detected -> ", name, " (", n, " methods)"), line, node,
-            suggestion=advice("SMELL-001", F.lit(cfg.max_class_methods)),
-        ),
-        "SMELL-006": hit(
-            "SMELL-006", many_fields, "MAJOR", text("Too many fields in class -> ", name, " (", fields, " fields)"), line, node
+            "SMELL-001", many_methods, "MAJOR", "Large class detected -> {class_name} ({n_methods} methods)", *at,
+            suggestion=advice("SMELL-001", str(cfg.max_class_methods)),
         ),
+        "SMELL-006": hit("SMELL-006", many_fields, "MAJOR", "Too many fields in class -> {class_name} ({n_fields} fields)", *at),
         "SMELL-007": hit(
-            "SMELL-007", many_methods & many_fields, "CRITICAL",
-            text("God Class detected -> ", name, " (", n, " methods, ", fields, " fields)"), line, node,
+            "SMELL-007", both(many_methods, many_fields), "CRITICAL",
+            "God Class detected -> {class_name} ({n_methods} methods, {n_fields} fields)", *at,
         ),
         "SMELL-008": hit(
-            "SMELL-008", (n >= 4) & (F.col("n_accessors") == n), "MINOR",
-            text("Data Class detected -> ", name, " (only getters/setters)"), line, node,
+            "SMELL-008", "n_methods >= 4 AND n_accessors = n_methods", "MINOR",
+            "Data Class detected -> {class_name} (only getters/setters)", *at,
         ),
         "NAME-001": hit(
-            "NAME-001", ~is_pascal(name), "MINOR", text("Class name '", name, "' does not follow PascalCase convention"), line, node
+            "NAME-001", "NOT " + is_pascal("class_name"), "MINOR",
+            "Class name '{class_name}' does not follow PascalCase convention", *at,
         ),
         "NAME-008": hit(
-            "NAME-008", is_error & ~name.endswith("Exception") & ~name.endswith("Error"), "MINOR",
-            text("Exception class '", name, "' does not end with 'Exception'"), line, node,
-            suggestion=advice("NAME-008", name),
+            "NAME-008", f"{is_error} AND NOT (endswith(class_name, 'Exception') OR endswith(class_name, 'Error'))", "MINOR",
+            "Exception class '{class_name}' does not end with 'Exception'", *at, suggestion=advice("NAME-008", "class_name"),
         ),
     }
     return emit(class_rollup(tokens), wanted(only, hits))
@@ -89,108 +85,92 @@ def with_maintainability(found: DataFrame) -> DataFrame:
     ).withColumn("mi", tx.maintainability(F.col("body_words"), F.col("cc_no_ternary"), F.col("body_lines")))
 
 
-def complexity_band(cc: Column, cfg: AuditConfig) -> tuple[Column, Column, Column]:
-    """Severity, opening word and advice by the highest threshold passed."""
-    bands = [
-        (cfg.complexity_critical, "CRITICAL", "Very high", "Refactor this method into smaller, focused sub-methods. Complexity: "),
-        (cfg.complexity_major, "MAJOR", "High", "Consider breaking this method into smaller methods. Complexity: "),
-        (cfg.complexity_minor, "MINOR", "Moderate", "Method is becoming complex. Complexity: "),
-    ]
-    pick = lambda value: F.coalesce(*[F.when(cc > b[0], value(b)) for b in bands])
-    return (
-        pick(lambda b: F.lit(b[1])),
-        pick(lambda b: F.lit(b[2])),
-        pick(lambda b: text(b[3], cc, f" (threshold: {b[0]})")),
-    )
+def by_band(value: str, bands: list[tuple[int, str]]) -> str:
+    """The text of the first band whose bound the value passes."""
+    return "CASE " + " ".join(f"WHEN {value} > {bound} THEN {text}" for bound, text in bands) + " END"
 
 
 def method_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
-    name, line, body = F.col("name"), F.col("line"), F.col("has_body")
-    node = F.coalesce("close_pos", "open_pos", "member")
-    bad_params = F.filter("params", lambda p: (F.length(p["name"]) > 1) & ~is_camel(p["name"]))
-    is_test = F.col("header").rlike(r"@ (?:" + "|".join(TEST_ANNOTATIONS) + r")(?: (?!\.)|$)")
-    told = name.rlike("^(?:test|should|given|when)|_should|_when")
-    severity, word, cc_advice = complexity_band(F.col("cc"), cfg)
-    cog, limit = F.col("cognitive"), cfg.cognitive_threshold
-    cog_severity = F.when(cog > limit * 3, "CRITICAL").when(cog > limit * 2, "MAJOR").otherwise("MINOR")
-    grade = tx.maintainability_grade(F.col("mi"), cfg.maintainability_grade_a, cfg.maintainability_grade_b)
-    returns = F.col("null_returns")
-    typed = ~F.col("return_type").isin("void", "Void")
-    flag = F.get(F.filter("params", lambda p: p["simple"] & p["type"].isin("boolean", "Boolean")), F.lit(0))
+    at = ("line", "node")
+    minor, major, critical = cfg.complexity_minor, cfg.complexity_major, cfg.complexity_critical
+    limit = cfg.cognitive_threshold
+    grade = f"CASE WHEN mi >= {cfg.maintainability_grade_a} THEN 'A' WHEN mi >= {cfg.maintainability_grade_b} THEN 'B' ELSE 'C' END"
+    tests = "|".join(TEST_ANNOTATIONS)
+    cc_advice = by_band(
+        "cc",
+        [
+            (critical, say(f"Refactor this method into smaller, focused sub-methods. Complexity: {{cc}} (threshold: {critical})")),
+            (major, say(f"Consider breaking this method into smaller methods. Complexity: {{cc}} (threshold: {major})")),
+            (minor, say(f"Method is becoming complex. Complexity: {{cc}} (threshold: {minor})")),
+        ],
+    )
     hits = {
         "SMELL-002": hit(
-            "SMELL-002", F.col("n_params") > cfg.max_parameters, "MINOR",
-            text("Too many parameters in method -> ", name, " (", F.col("n_params"), " params)"), line, node,
-            suggestion=advice("SMELL-002", F.lit(cfg.max_parameters)),
-        ),
-        "SMELL-010": hit(
-            "SMELL-010", flag.isNotNull(), "MINOR",
-            text("Boolean parameter '", flag["name"], "' in method -> ", name), line, node,
+            "SMELL-002", f"n_params > {cfg.max_parameters}", "MINOR", "Too many parameters in method -> {name} ({n_params} params)", *at,
+            suggestion=advice("SMELL-002", str(cfg.max_parameters)),
         ),
+        "SMELL-010": hit("SMELL-010", "flag IS NOT NULL", "MINOR", "Boolean parameter '{flag.name}' in method -> {name}", *at),
         "SMELL-003": hit(
-            "SMELL-003", body & (F.col("body_lines") > cfg.max_method_lines), "MAJOR",
-            text("Long method detected -> ", name, " (", F.col("body_lines"), " lines)"), line, node,
-            suggestion=advice("SMELL-003", F.lit(cfg.max_method_lines)),
+            "SMELL-003", f"has_body AND body_lines > {cfg.max_method_lines}", "MAJOR",
+            "Long method detected -> {name} ({body_lines} lines)", *at, suggestion=advice("SMELL-003", str(cfg.max_method_lines)),
         ),
         "SMELL-017": hit(
-            "SMELL-017", body & (F.col("n_stmts") == 0) & ~F.col("is_abstract"), "MINOR",
-            text("Empty method body -> ", name), line, node,
+            "SMELL-017", "has_body AND n_stmts = 0 AND NOT is_abstract", "MINOR", "Empty method body -> {name}", *at
         ),
         "SMELL-005": hit(
-            "SMELL-005", body & (F.col("nesting") > cfg.max_nesting_depth), "MAJOR",
-            text("Deeply nested code in method -> ", name, " (depth: ", F.col("nesting"), ")"), line, node,
-            suggestion=advice("SMELL-005", F.lit(cfg.max_nesting_depth)),
+            "SMELL-005", f"has_body AND nesting > {cfg.max_nesting_depth}", "MAJOR",
+            "Deeply nested code in method -> {name} (depth: {nesting})", *at,
+            suggestion=advice("SMELL-005", str(cfg.max_nesting_depth)),
         ),
         "NAME-002": hit(
-            "NAME-002", ~is_camel(name), "MINOR", text("Method name '", name, "' does not follow camelCase convention"), line, node
+            "NAME-002", "NOT " + is_camel("name"), "MINOR", "Method name '{name}' does not follow camelCase convention", *at
         ),
         "NAME-009": hit(
-            "NAME-009", is_test & ~told, "MINOR",
-            text("Test method '", name, "' does not follow a descriptive naming convention"), line, node,
+            "NAME-009",
+            rf"header RLIKE r'@ (?:{tests})(?: (?!\.)|$)' AND NOT name RLIKE '^(?:test|should|given|when)|_should|_when'", "MINOR",
+            "Test method '{name}' does not follow a descriptive naming convention", *at,
         ),
         # Several such parameters share the method's line, so only the first can be kept.
         "NAME-004": hit(
-            "NAME-004", F.size(bad_params) > 0, "MINOR",
-            text("Parameter '", F.get(bad_params, F.lit(0))["name"], "' in method '", name, "' does not follow camelCase"), line, node,
+            "NAME-004", "odd_param IS NOT NULL", "MINOR", "Parameter '{odd_param.name}' in method '{name}' does not follow camelCase", *at
         ),
         "MET-001": hit(
-            "MET-001", F.col("cc") > cfg.complexity_minor, severity,
-            text(word, " cyclomatic complexity (", F.col("cc"), ") in method -> ", name), line, node, suggestion=cc_advice,
+            "MET-001", f"cc > {minor}", by_band("cc", [(critical, "'CRITICAL'"), (major, "'MAJOR'"), (minor, "'MINOR'")]),
+            "{cc_word} cyclomatic complexity ({cc}) in method -> {name}", *at, suggestion=cc_advice,
         ),
         "MET-002": hit(
-            "MET-002", body & (cog > limit), cog_severity,
-            text("High cognitive complexity (", cog, ") in method -> ", name), line, node,
-            suggestion=advice("MET-002", F.lit(limit)),
+            "MET-002", f"has_body AND cognitive > {limit}",
+            by_band("cognitive", [(limit * 3, "'CRITICAL'"), (limit * 2, "'MAJOR'"), (limit, "'MINOR'")]),
+            "High cognitive complexity ({cognitive}) in method -> {name}", *at, suggestion=advice("MET-002", str(limit)),
         ),
         "MET-005": hit(
-            "MET-005", body & (grade != "A"), F.when(grade == "B", "MINOR").otherwise("MAJOR"),
-            text("Low Maintainability Index (MI=", F.format_string("%.1f", F.col("mi")), ", Grade=", grade, ") in method -> ", name),
-            line, node,
+            "MET-005", "has_body AND grade <> 'A'", "CASE WHEN grade = 'B' THEN 'MINOR' ELSE 'MAJOR' END",
+            "Low Maintainability Index (MI={mi_shown}, Grade={grade}) in method -> {name}", *at,
         ),
         "DOC-001": hit(
-            "DOC-001", F.col("is_public") & ~F.col("has_doc"), "MINOR",
-            text("Missing Javadoc on public method -> ", name), line, node,
+            "DOC-001", "visibility = 'public' AND NOT has_doc", "MINOR", "Missing Javadoc on public method -> {name}", *at
         ),
     }
     with_text = only is None or bool(only & {"SMELL-003", "MET-005"})
-    found = with_maintainability(methods(tokens, with_text))
+    found = add(
+        with_maintainability(methods(tokens, with_text)),
+        node="coalesce(close_pos, open_pos, member)",
+        flag="get(filter(params, p -> p.simple AND p.type IN ('boolean', 'Boolean')), 0)",
+        odd_param=f"get(filter(params, p -> length(p.name) > 1 AND NOT {is_camel('p.name')}), 0)",
+        cc_word=by_band("cc", [(critical, "'Very high'"), (major, "'High'"), (minor, "'Moderate'")]),
+        grade=grade,
+        mi_shown="format_string('%.1f', mi)",
+    )
     parts = []
     chosen = wanted(only, hits)
     if chosen:
         parts.append(emit(found, chosen))
     if only is None or "SMELL-016" in only:
-        rows = found.filter(body & typed).select("path", "name", "return_type", node.alias("node"), F.explode(returns).alias("r"))
+        typed = found.filter("has_body AND return_type NOT IN ('void', 'Void')")
+        rows = typed.selectExpr("path", "name", "return_type", "node", "explode(null_returns) AS r")
+        message = "Returning null from method -> '{name}' (return type: {return_type})"
         parts.append(
-            emit(
-                rows,
-                [
-                    hit(
-                        "SMELL-016", F.lit(True), "MAJOR",
-                        text("Returning null from method -> '", name, "' (return type: ", F.col("return_type"), ")"),
-                        F.col("r.line"), F.col("node"), F.col("r.pos"), advice("SMELL-016", F.col("return_type")),
-                    )
-                ],
-            )
+            emit(rows, [hit("SMELL-016", "true", "MAJOR", message, "r.line", "node", "r.pos", advice("SMELL-016", "return_type"))])
         )
     return findings_union(parts)
 
@@ -198,112 +178,91 @@ def method_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Data
 # Tokens inside methods ---------------------------------------------------
 
 
-def innermost(tokens: DataFrame) -> DataFrame:
-    """Tokens of method bodies with the method right around them."""
-    return method_tokens(tokens).filter((F.col("depth") > 0) & (F.col("depth") == F.col("method_level")))
-
+def innermost(tokens: DataFrame, keep: str) -> DataFrame:
+    """Wanted tokens of method bodies with the method right around them."""
+    return method_tokens(tokens, keep).filter(f"depth > 0 AND depth = method_level AND ({keep})")
 
-def literal_value() -> Column:
-    t = F.col("tok")
-    quoted = F.when(t.startswith('"""'), F.substring(t, F.lit(4), F.length(t) - 6)).when(
-        F.col("kind").isin("s", "c"), F.substring(t, F.lit(2), F.length(t) - 2)
-    )
-    return F.coalesce(quoted, t)
 
+# The text between the quotes, or the token itself.
+LITERAL = """CASE WHEN startswith(tok, '\"\"\"') THEN substring(tok, 4, length(tok) - 6)
+    WHEN kind IN ('s', 'c') THEN substring(tok, 2, length(tok) - 2) ELSE tok END"""
 
-def is_magic(value: Column) -> Column:
-    """A number other than 0, 1 and -1; the words for infinity and not-a-number count in one spelling only."""
-    word = value.rlike(r"(?i)^\s*[+-]?(?:nan|inf|infinity)\s*$")
-    number = value.try_cast("double")
-    plain = number.isNotNull() & (number != 0.0) & (number != 1.0) & (number != -1.0)
-    return F.when(word, value.rlike(r"^\s*[+-]?(?:NaN|Infinity)\s*$")).otherwise(F.coalesce(plain, F.lit(False)))
+# A number other than 0, 1 and -1; infinity and not-a-number count in one spelling only.
+IS_MAGIC = r"""CASE WHEN literal RLIKE r'(?i)^\s*[+-]?(?:nan|inf|infinity)\s*$' THEN literal RLIKE r'^\s*[+-]?(?:NaN|Infinity)\s*$'
+    ELSE try_cast(literal AS DOUBLE) NOT IN (0.0D, 1.0D, -1.0D) END"""
 
 
 def body_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
-    t, line, pos = F.col("tok"), F.col("line"), F.col("pos")
-    name = F.col("m_name")
-    raw = literal_value()
-    literal = F.col("kind").isin("n", "s", "c")
-    in_loop = (F.col("loop_level") > 0) | since_decl("bare_loop_pos")
-    closes_operand = lambda c: is_in(c, "+", "-", ";", ")", ",", "]", "}", ":", "?", "==", "!=", "&&", "||")
-    right = is_in(F.col("nk1"), "s") & closes_operand(F.col("n2"))
-    starts_sum = F.col("sum_pos") == pos - 2
-    left = is_in(F.col("pk1"), "s") & starts_sum
-    concat = (t == "+") & sum_adds() & (left | right) & ~F.coalesce(F.col("n1").startswith('"""') & ~left, F.lit(False))
+    in_loop = either("loop_level > 0", since_decl("bare_loop_pos"))
+    ends = among("n2", "+", "-", ";", ")", ",", "]", "}", ":", "?", "==", "!=", "&&", "||")
+    left = "pk1 = 's' AND sum_pos = pos - 2 AND NOT startswith(p1, '\"\"\"')"
+    right = f"nk1 = 's' AND {ends} AND NOT startswith(n1, '\"\"\"')"
+    joins = both("tok = '+'", SUM_ADDS, either(yes(left), yes(right)))
     hits = {
         "SMELL-011": hit(
-            "SMELL-011", literal & is_magic(raw), "MINOR", text("Magic number '", raw, "' in method -> ", name), line, pos
+            "SMELL-011", f"kind IN ('n', 's', 'c') AND {IS_MAGIC}", "MINOR", "Magic number '{literal}' in method -> {m_name}", "line", "pos"
         ),
         "SMELL-013": [
             hit(
-                "SMELL-013", in_loop & (t == "+="), "MAJOR",
-                text("String concatenation with '+=' inside a loop in method -> ", name),
-                F.coalesce(F.col("operand_line"), line), F.lit(0), 0,
+                "SMELL-013", f"tok = '+=' AND {in_loop}", "MAJOR",
+                "String concatenation with '+=' inside a loop in method -> {m_name}", "coalesce(operand_line, line)", "0", "0",
             ),
             hit(
-                "SMELL-013", in_loop & concat, "MINOR",
-                text("String literal concatenation with '+' inside a loop in method -> ", name),
-                F.coalesce(F.col("sum_line"), line), F.lit(0), 1,
-                F.lit("Use StringBuilder.append() inside loops instead of String + literal."),
+                "SMELL-013", f"{joins} AND {in_loop}", "MINOR",
+                "String literal concatenation with '+' inside a loop in method -> {m_name}", "coalesce(sum_line, line)", "0", "1",
+                quote("Use StringBuilder.append() inside loops instead of String + literal."),
             ),
         ],
     }
-    rows = innermost(tokens).filter(literal | t.isin("+", "+="))
-    return emit(rows, wanted(only, hits))
+    keep = []
+    if only is None or "SMELL-011" in only:
+        keep.append("kind IN ('n', 's', 'c')")
+    if only is None or "SMELL-013" in only:
+        keep.append("tok IN ('+', '+=')")
+    return emit(add(innermost(tokens, either(*keep)), literal=LITERAL), wanted(only, hits))
 
 
 def exit_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     """Statements that follow a return or throw in the same block."""
-    block = ~is_in(F.col("encl_bk"), "switch", "switchx", *BODY_KINDS)
-    starts = innermost(tokens).filter(F.col("starts") & F.col("encl_pos").isNotNull() & block)
-    order = W.partitionBy("path", "encl_pos").orderBy("pos")
-    after = starts.withColumn("after", F.lead(F.struct("line", "pos")).over(order))
-    rows = after.filter(F.col("tok").isin("return", "throw") & F.col("after").isNotNull())
-    step = F.when(F.col("tok") == "return", 0).otherwise(1)
-    message = text("Unreachable statement after '", F.col("tok"), "' in method -> ", F.col("m_name"))
-    return emit(
-        rows, wanted(only, {"DEAD-001": hit("DEAD-001", F.lit(True), "MAJOR", message, F.col("after.line"), F.col("m_open"), step)})
-    )
+    in_block = f"starts AND encl_pos IS NOT NULL AND encl_bk NOT IN ({words('switch', 'switchx', *BODY_KINDS)})"
+    after = "lead(line) OVER (PARTITION BY path, encl_pos ORDER BY pos)"
+    rows = add(innermost(tokens, in_block), after=after).filter("tok IN ('return', 'throw') AND after IS NOT NULL")
+    step = "CASE WHEN tok = 'return' THEN 0 ELSE 1 END"
+    message = "Unreachable statement after '{tok}' in method -> {m_name}"
+    return emit(rows, [hit("DEAD-001", "true", "MAJOR", message, "after", "m_open", step)])
 
 
 # Blocks ------------------------------------------------------------------
 
 
 def block_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
-    t, bk, pos = F.col("tok"), F.col("inner_bk"), F.col("pos")
-    caught = F.when(F.col("n1") == "final", F.struct(F.col("n2").alias("type"), F.col("n4").alias("end"))).otherwise(
-        F.struct(F.col("n1").alias("type"), F.col("n3").alias("end"))
-    )
     parts = []
     catch_hits = wanted(
         only,
         {
-            "SMELL-004": hit(
-                "SMELL-004", (t == "{") & is_in(F.col("n1"), "}"), "MAJOR", F.lit("Empty catch block detected"),
-                F.col("sib_line"), pos,
-            ),
+            "SMELL-004": hit("SMELL-004", "tok = '{' AND n1 = '}'", "MAJOR", "Empty catch block detected", "sib_line", "pos"),
             "SMELL-012": hit(
-                "SMELL-012", (t == "(") & caught["type"].isin("Exception", "Throwable") & (caught["end"] == ")"), "MINOR",
-                text("Catching generic ", caught["type"], " is too broad"), F.col("line"), pos,
+                "SMELL-012", "tok = '(' AND caught IN ('Exception', 'Throwable') AND caught_end = ')'", "MINOR",
+                "Catching generic {caught} is too broad", "line", "pos",
             ),
         },
     )
     if catch_hits:
-        opens = ((bk == "catch") & (t == "{")) | ((bk == "(catch") & (t == "("))
-        parts.append(emit(tokens.filter(opens), catch_hits))
+        opens = "(inner_bk = 'catch' AND tok = '{') OR (inner_bk = '(catch' AND tok = '(')"
+        rows = add(
+            tokens.filter(opens),
+            caught="CASE WHEN n1 = 'final' THEN n2 ELSE n1 END",
+            caught_end="CASE WHEN n1 = 'final' THEN n4 ELSE n3 END",
+        )
+        parts.append(emit(rows, catch_hits))
     switch_hits = wanted(
         only,
-        {
-            "SMELL-014": hit(
-                "SMELL-014", ~F.col("has_default"), "MINOR", F.lit("switch statement missing 'default' case"),
-                F.col("line_number"), F.col("block"),
-            )
-        },
+        {"SMELL-014": hit("SMELL-014", "NOT has_default", "MINOR", "switch statement missing 'default' case", "at_line", "block")},
     )
     if switch_hits:
-        default = (t == "default") & is_in(F.col("n1"), ":", "->") & ~is_in(F.col("p1"), ",")
-        rows = tokens.filter((bk == "switch") & ((t == "{") | default)).groupBy("path", F.col("inner_pos").alias("block")).agg(
-            F.max(default).alias("has_default"), F.max(F.when(t == "{", F.col("sib_line"))).alias("line_number")
+        default = yes("tok = 'default' AND n1 IN (':', '->') AND p1 <> ','")
+        rows = tokens.filter(f"inner_bk = 'switch' AND (tok = '{{' OR {default})").groupBy("path", F.expr("inner_pos AS block")).agg(
+            F.expr(f"max({default}) AS has_default"), F.expr("max(CASE WHEN tok = '{' THEN sib_line END) AS at_line")
         )
         parts.append(emit(rows, switch_hits))
     return findings_union(parts)
@@ -313,36 +272,34 @@ def block_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataF
 
 
 def variable_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
-    name, line, pos, p1 = F.col("tok"), F.col("line"), F.col("pos"), F.col("p1")
-    is_field = is_in(F.col("inner_bk"), *BODY_KINDS)
-    constant = is_field & since_decl("static_pos") & since_decl("final_pos")
-    named = is_field | (F.col("method_level") > 0)
-    variable = named & ~constant
-    literal = is_in(F.col("n1"), "=") & is_in(F.col("nk2"), "s") & ~F.col("n2").startswith('"""') & is_in(F.col("n3"), ";", ",", ")")
+    is_field = among("inner_bk", *BODY_KINDS)
+    constant = both(is_field, since_decl("static_pos"), since_decl("final_pos"))
+    variable = both(either(is_field, "method_level > 0"), f"NOT {constant}")
+    literal = "n1 = '=' AND nk2 = 's' AND NOT startswith(n2, '\"\"\"') AND n3 IN (';', ',', ')')"
+    at = ("line", "pos")
     hits = {
         "SMELL-015": hit(
-            "SMELL-015", is_field & F.col("is_first_var") & p1.isin(RAW_TYPES) & (F.col("n1") != "["), "MAJOR",
-            text("Raw type usage -> '", p1, "' used without type parameter in field '", name, "'"), F.col("decl_line"), pos,
+            "SMELL-015", f"{is_field} AND is_first_var AND p1 IN ({words(*RAW_TYPES)}) AND n1 <> '['", "MAJOR",
+            "Raw type usage -> '{p1}' used without type parameter in field '{tok}'", "decl_line", "pos",
         ),
         "SEC-001": hit(
-            "SEC-001", literal & contains_any(F.lower(name), SENSITIVE_TERMS), "CRITICAL",
-            text("Hardcoded sensitive value -> ", name), line, pos,
+            "SEC-001", f"{literal} AND {contains_any('lower(tok)', SENSITIVE_TERMS)}", "CRITICAL",
+            "Hardcoded sensitive value -> {tok}", *at,
         ),
         "NAME-003": hit(
-            "NAME-003", variable & (F.length(name) > 1) & ~is_camel(name), "MINOR",
-            text("Variable '", name, "' does not follow camelCase convention"), line, pos,
+            "NAME-003", f"{variable} AND length(tok) > 1 AND NOT {is_camel('tok')}", "MINOR",
+            "Variable '{tok}' does not follow camelCase convention", *at,
         ),
         "NAME-005": hit(
-            "NAME-005", constant & ~name.rlike("^[A-Z][A-Z0-9_]*$"), "MINOR",
-            text("Constant '", name, "' does not follow UPPER_SNAKE_CASE convention"), line, pos,
+            "NAME-005", f"{constant} AND NOT tok RLIKE '^[A-Z][A-Z0-9_]*$'", "MINOR",
+            "Constant '{tok}' does not follow UPPER_SNAKE_CASE convention", *at,
         ),
         "NAME-006": hit(
-            "NAME-006", variable & (F.length(name) == 1) & ~name.isin(SHORT_NAMES), "MINOR",
-            text("Single-letter variable name '", name, "' is not descriptive"), line, pos,
+            "NAME-006", f"{variable} AND length(tok) = 1 AND tok NOT IN ({words(*SHORT_NAMES)})", "MINOR",
+            "Single-letter variable name '{tok}' is not descriptive", *at,
         ),
         "NAME-007": hit(
-            "NAME-007", variable & F.lower(name).isin(VAGUE_NAMES), "MINOR",
-            text("Non-descriptive variable name '", name, "'"), line, pos,
+            "NAME-007", f"{variable} AND lower(tok) IN ({words(*VAGUE_NAMES)})", "MINOR", "Non-descriptive variable name '{tok}'", *at
         ),
     }
     return emit(tokens.filter("is_var"), wanted(only, hits))
@@ -352,54 +309,56 @@ def variable_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Da
 
 
 def expression_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
-    t, p1, p2, pos = F.col("tok"), F.col("p1"), F.col("p2"), F.col("pos")
-    scope_is = lambda name: F.col("is_scoped_call") & (p2 == name) & ~is_in(F.col("p3"), ".")
-    begin = F.coalesce(F.col("operand_line"), F.col("line"))
-    runtime = F.col("is_scoped_call") & (t == "exec") & (F.col("runtime_pos") >= F.col("operand_pos"))
-    argument = F.when(
-        F.col("nk2").isin("s", "i") & is_in(F.col("n3"), ",", ")"), F.replace(F.col("n2"), F.lit('"'), F.lit(""))
-    )
-    made = lambda name: F.col("is_new") & (p1 == "new") & (F.col("n1") == "(") & t.isin(name)
-    address = F.when(F.col("kind") == "s", tx.trim_control(literal_value()))
-    string = (F.col("kind") == "s") & ~t.startswith('"""')
-    line = F.col("line")
+    def scoped(name: str, scope: str) -> str:
+        return f"tok = '{name}' AND is_scoped_call AND p2 = '{scope}' AND NOT {among('p3', '.')}"
+
+    def made(*types: str) -> str:
+        return f"is_new AND p1 = 'new' AND n1 = '(' AND tok IN ({words(*types)})"
+
+    begin = "coalesce(operand_line, line)"
+    string = "kind = 's' AND NOT startswith(tok, '\"\"\"')"
+    here, at_begin = ("line", "pos"), (begin, "pos")
     hits = {
-        "SEC-003": hit("SEC-003", (t == "exit") & scope_is("System"), "MAJOR", F.lit("System.exit() usage detected"), begin, pos),
-        "SEC-004": hit(
-            "SEC-004", made(["Random"]), "MAJOR", F.lit("Insecure random number generator -> java.util.Random"), line, pos
-        ),
+        "SEC-003": hit("SEC-003", scoped("exit", "System"), "MAJOR", "System.exit() usage detected", *at_begin),
+        "SEC-004": hit("SEC-004", made("Random"), "MAJOR", "Insecure random number generator -> java.util.Random", *here),
         "SEC-005": hit(
-            "SEC-005", made(CLOSEABLE_TYPES) & (F.col("try_level") > 0), "MAJOR",
-            text("Potential resource leak -> ", t, " not in try-with-resources"), line, pos, suggestion=advice("SEC-005", t),
+            "SEC-005", made(*CLOSEABLE_TYPES) + " AND try_level > 0", "MAJOR",
+            "Potential resource leak -> {tok} not in try-with-resources", *here, suggestion=advice("SEC-005", "tok"),
         ),
         "SEC-006": hit(
-            "SEC-006", F.col("is_call") & (t == "getInstance") & argument.isin(WEAK_HASHES), "CRITICAL",
-            text("Weak cryptographic algorithm used -> ", argument), begin, pos, suggestion=advice("SEC-006", argument),
+            "SEC-006", f"is_call AND tok = 'getInstance' AND argument IN ({words(*WEAK_HASHES)})", "CRITICAL",
+            "Weak cryptographic algorithm used -> {argument}", *at_begin, suggestion=advice("SEC-006", "argument"),
         ),
         "SEC-009": hit(
-            "SEC-009", runtime, "CRITICAL", F.lit("Runtime.exec() usage - potential command injection"), begin, pos
+            "SEC-009", "is_scoped_call AND tok = 'exec' AND runtime_pos >= operand_pos", "CRITICAL",
+            "Runtime.exec() usage - potential command injection", *at_begin,
         ),
         "SEC-010": hit(
-            "SEC-010", F.col("is_call") & (t == "printStackTrace"), "MAJOR",
-            F.lit("printStackTrace() detected - stack trace may be exposed"), begin, pos,
-        ),
-        "SEC-011": hit(
-            "SEC-011", (t == "sleep") & scope_is("Thread"), "MAJOR", F.lit("Thread.sleep() detected in production code"), begin, pos
+            "SEC-010", "is_call AND tok = 'printStackTrace'", "MAJOR",
+            "printStackTrace() detected - stack trace may be exposed", *at_begin,
         ),
+        "SEC-011": hit("SEC-011", scoped("sleep", "Thread"), "MAJOR", "Thread.sleep() detected in production code", *at_begin),
         "SEC-012": hit(
-            "SEC-012", string & address.rlike(IP_PATTERN), "MAJOR", text('Hardcoded IP address -> "', address, '"'), line, pos
+            "SEC-012", f"{string} AND address RLIKE r'{IP_PATTERN}'", "MAJOR", 'Hardcoded IP address -> "{address}"', *here
         ),
         "SEC-013": hit(
-            "SEC-013", made(["ObjectInputStream"]), "CRITICAL", F.lit("Unsafe deserialization -> ObjectInputStream usage detected"),
-            line, pos,
+            "SEC-013", made("ObjectInputStream"), "CRITICAL", "Unsafe deserialization -> ObjectInputStream usage detected", *here
         ),
     }
-    seen = F.max(F.when(t.contains("Runtime") | t.contains("runtime"), pos)).over(
-        reading().rowsBetween(W.unboundedPreceding, -2)
+    rows = add(
+        tokens,
+        runtime_pos=max_when(
+            "contains(tok, 'Runtime') OR contains(tok, 'runtime')", "pos", READ, "ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING"
+        ),
+        argument="CASE WHEN nk2 IN ('s', 'i') AND n3 IN (',', ')') THEN replace(n2, '\"', '') END",
+        address=rf"CASE WHEN kind = 's' THEN regexp_replace({LITERAL}, r'^[\x00-\x20]+|[\x00-\x20]+$', '') END",
     )
-    rows = tokens.withColumn("runtime_pos", seen)
-    candidates = string | ((F.col("kind") == "i") & is_in(F.col("n1"), "("))
-    return emit(rows.filter(candidates), wanted(only, hits))
+    kinds = []
+    if only is None or "SEC-012" in only:
+        kinds.append(string)
+    if only is None or only - {"SEC-012"}:
+        kinds.append("kind = 'i' AND n1 = '('")
+    return emit(rows.filter(either(*kinds)), wanted(only, hits))
 
 
 def sums(tokens: DataFrame) -> DataFrame:
@@ -408,48 +367,37 @@ def sums(tokens: DataFrame) -> DataFrame:
     A word occurs in the expression if its last position before the end lies
     after the beginning, so no text is assembled to search it.
     """
-    t, pos = F.col("tok"), F.col("pos")
-    order = reading().rowsBetween(W.unboundedPreceding, -1)
-    low = F.lower(t)
-    wordy = F.col("kind").isin("i", "s", "c", "k")
+    wordy = "kind IN ('i', 's', 'c', 'k')"
     seen = {
-        "sql_pos": F.max(F.when(wordy & contains_any(low, SQL_WORDS), pos)).over(order),
-        "ldap_pos": F.max(F.when(wordy & contains_any(low, LDAP_WORDS), pos)).over(order),
-        "file_pos": F.max(F.when(wordy & low.contains("file"), pos)).over(order),
-        "mark_pos": F.max(F.when(contains_any(t, PATH_MARKS), pos)).over(order),
+        "sql_pos": f"{wordy} AND {contains_any('lower(tok)', SQL_WORDS)}",
+        "ldap_pos": f"{wordy} AND {contains_any('lower(tok)', LDAP_WORDS)}",
+        "file_pos": f"{wordy} AND contains(lower(tok), 'file')",
+        "mark_pos": contains_any("tok", PATH_MARKS),
     }
-    rows = tokens.withColumns(seen).filter((sum_ends() | sum_adds()) & (F.col("sum_op") == "+"))
-    inside = lambda c: F.coalesce(F.col(c) > F.col("sum_pos"), F.lit(False))
-    return rows.select(
-        "path", "pos", F.col("sum_line").alias("line"), F.col("sum_end_off").alias("text_from"),
-        (F.col("end_off") - F.col("raw_len")).alias("text_to"),
-        inside("sql_pos").alias("sql"), inside("ldap_pos").alias("ldap"),
-        (inside("file_pos") & inside("mark_pos")).alias("file"),
+    rows = add(tokens, **{name: max_when(found, "pos", READ, EARLIER) for name, found in seen.items()})
+    return rows.filter(both(either(SUM_ENDS, SUM_ADDS), "sum_op = '+'")).selectExpr(
+        "path", "pos", "sum_line AS line", "sum_end_off AS text_from", "end_off - raw_len AS text_to",
+        f"{yes('sql_pos > sum_pos')} AS sql", f"{yes('ldap_pos > sum_pos')} AS ldap",
+        f"{yes('file_pos > sum_pos AND mark_pos > sum_pos')} AS file",
     )
 
 
 def sum_rules(tokens: DataFrame, files: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     """Injection rules. Only flagged expressions, one per line and rule, meet the text again to be quoted."""
-    kinds = {"SEC-002": ("sql", "Possible SQL Injection -> "), "SEC-007": ("ldap", "Possible LDAP Injection -> "),
-             "SEC-008": ("file", "Possible Path Traversal -> ")}
+    kinds = {
+        "SEC-002": ("sql", "Possible SQL Injection -> {expr}"),
+        "SEC-007": ("ldap", "Possible LDAP Injection -> {expr}"),
+        "SEC-008": ("file", "Possible Path Traversal -> {expr}"),
+    }
     chosen = {r: k for r, k in kinds.items() if only is None or r in only}
-    flagged = sums(tokens).select(
-        "path", "line", "pos", "text_from", "text_to",
-        F.explode(F.array_compact(F.array(*[F.when(F.col(flag), F.lit(r)) for r, (flag, _) in chosen.items()]))).alias("rule"),
-    )
+    flags = ", ".join(f"CASE WHEN {flag} THEN '{rule}' END" for rule, (flag, _) in chosen.items())
+    flagged = sums(tokens).selectExpr("path", "line", "pos", "text_from", "text_to", f"explode(array_compact(array({flags}))) AS rule")
     first = flagged.groupBy("path", "line", "rule").agg(F.min(F.struct("pos", "text_from", "text_to")).alias("e"))
-    source = by_path(files)
-    code = F.when(F.col("content").contains("\r"), F.regexp_replace("content", r"\r\n?", "\n")).otherwise(F.col("content"))
-    quoted = F.substring(code, (F.col("e.text_from") + 1).cast("int"), (F.col("e.text_to") - F.col("e.text_from")).cast("int"))
-    rows = first.join(source, "path").select(
-        "path", "line", "rule", F.col("e.pos").alias("pos"),
-        tx.truncate_text(F.regexp_replace(tx.normalise_code(quoted), " +", " "), 80).alias("expr"),
-    )
-    hits = [
-        hit(r, F.col("rule") == r, "CRITICAL", text(label, F.col("expr")), F.col("line"), F.col("pos"))
-        for r, (_, label) in chosen.items()
-    ]
-    return emit(rows, hits)
+    source = by_path(files).withColumn("content", unix_lines(F.col("content")))
+    quoted = F.expr("substring(content, CAST(e.text_from + 1 AS INT), CAST(e.text_to - e.text_from AS INT))")
+    shown = tx.truncate_text(F.regexp_replace(tx.normalise_code(quoted), " +", " "), 80)
+    rows = first.join(source, "path").select("path", "line", "rule", F.col("e.pos").alias("pos"), shown.alias("expr"))
+    return emit(rows, [hit(r, f"rule = '{r}'", "CRITICAL", message, "line", "pos") for r, (_, message) in chosen.items()])
 
 
 # Names: declared against used --------------------------------------------
@@ -457,73 +405,64 @@ def sum_rules(tokens: DataFrame, files: DataFrame, cfg: AuditConfig, only: Only
 
 def local_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     """Locals and parameters no expression of the method body names, in one aggregation per name."""
-    t = F.col("tok")
-    rows = method_tokens(tokens)
-    body = F.col("depth") > 0
-    own_start = is_in(F.col("p1"), "=") & (F.col("p2") == t) & is_in(F.col("n1"), ";", ",")
-    declares = body & F.col("is_var")
-    param = ~body & F.col("is_param")
-    uses = body & F.col("is_name_use")
-    opens = body & (F.col("pos") == F.col("m_open"))
-    kept = rows.filter(declares | param | uses | opens).select(
-        "path", "member", "pos", "line", "tok",
-        F.coalesce(F.col("m_name"), F.col("mname")).alias("name"),
-        F.col("m_line").alias("method_line"),
-        declares.alias("declares"), param.alias("param"), uses.alias("uses"),
-        F.coalesce(uses & own_start, F.lit(False)).alias("own_start"), F.coalesce(opens, F.lit(False)).alias("opens"),
-    ).withColumn("has_body", F.max("opens").over(W.partitionBy("path", "member")))
-    per_name = kept.filter(~F.col("opens")).groupBy("path", "member", "tok").agg(
-        F.min(F.when(F.col("declares"), F.struct("pos", "name", "method_line"))).alias("local"),
-        F.min(F.when(F.col("param"), F.struct("pos", "name", "line"))).alias("param"),
-        F.max("uses").alias("used"),
-        F.max(F.col("uses") & ~F.col("own_start")).alias("used_elsewhere"),
-        F.max("has_body").alias("has_body"),
+    named = either("is_var", "is_param", "is_name_use")
+    rows = add(
+        method_tokens(tokens, named),
+        declares="depth > 0 AND is_var",
+        param="depth = 0 AND is_param",
+        uses="depth > 0 AND is_name_use",
+        opens=yes("depth > 0 AND pos = m_open"),
+        own_start=yes("p1 = '=' AND p2 = tok AND n1 IN (';', ',')"),
+    ).filter("declares OR param OR uses OR opens")
+    rows = add(rows, has_body="max(opens) OVER (PARTITION BY path, member)").filter("NOT opens")
+    per_name = rows.groupBy("path", "member", "tok").agg(
+        F.expr("min(CASE WHEN declares THEN named_struct('pos', pos, 'name', m_name, 'line', m_line) END) AS var"),
+        F.expr("min(CASE WHEN param THEN named_struct('pos', pos, 'name', mname, 'line', line) END) AS par"),
+        F.expr("max(uses) AS used"),
+        F.expr("max(uses AND NOT own_start) AS used_elsewhere"),
+        F.expr("max(has_body) AS has_body"),
     )
     hits = {
         "DEAD-002": hit(
-            "DEAD-002", F.col("local").isNotNull() & ~F.col("used_elsewhere"), "MINOR",
-            text("Unused variable -> ", t, " in method -> ", F.col("local.name")), F.col("local.method_line"), F.col("local.pos"),
+            "DEAD-002", "var IS NOT NULL AND NOT used_elsewhere", "MINOR", "Unused variable -> {tok} in method -> {var.name}",
+            "var.line", "var.pos",
         ),
         "DEAD-006": hit(
-            "DEAD-006", F.col("param").isNotNull() & F.col("has_body") & ~F.col("used") & ~t.isin("arg", "args"), "MINOR",
-            text("Unused parameter '", t, "' in method -> ", F.col("param.name")), F.col("param.line"), F.col("param.pos"),
+            "DEAD-006", "par IS NOT NULL AND has_body AND NOT used AND tok NOT IN ('arg', 'args')", "MINOR",
+            "Unused parameter '{tok}' in method -> {par.name}", "par.line", "par.pos",
         ),
     }
     return emit(per_name, wanted(only, hits))
 
 
-def class_tokens(tokens: DataFrame, keep: Column) -> DataFrame:
+def class_tokens(tokens: DataFrame, keep: str) -> DataFrame:
     """Rows to keep, once per enclosing class or interface, with that class."""
-    opens = (F.col("tok") == "{") & is_in(F.col("inner_bk"), "class", "interface")
-    rows = tokens.filter((F.col("class_level") > 0) & (keep | opens)).withColumn(
-        "depth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("class_level").cast("long")))
-    )
-    order = W.partitionBy("path", "depth").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    own = opens & (F.col("class_level") == F.col("depth"))
-    names = {"c_block": F.col("pos"), "c_name": F.col("class_name")}
-    return rows.withColumns({c: last_where(own, v).over(order) for c, v in names.items()}).filter(keep)
+    opens = "tok = '{' AND " + among("inner_bk", "class", "interface")
+    rows = tokens.filter(f"class_level > 0 AND {either(keep, opens)}")
+    rows = add(rows, depth="explode(sequence(1, class_level))")
+    order, own = "PARTITION BY path, depth ORDER BY pos", f"{opens} AND class_level = depth"
+    return add(rows, c_block=max_when(own, "pos", order), c_name=last_when(own, "class_name", order)).filter(keep)
 
 
 def private_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     """Private fields and methods no expression inside the class names or calls."""
-    private = since_decl("private_pos")
-    at_class = is_in(F.col("inner_bk"), "class", "interface")
-    field = F.col("is_var") & at_class & private
-    method = F.col("is_mname") & at_class & private
-    rows = class_tokens(tokens, field | method | F.col("is_name_use") | F.col("is_call"))
-    own = F.col("inner_pos") == F.col("c_block")
-    per_name = W.partitionBy("path", "c_block", "tok")
-    count = lambda c: F.max(F.coalesce(c, F.lit(False))).over(per_name)
-    rows = rows.withColumns({"named": count(F.col("is_name_use")), "called": count(F.col("is_call"))})
-    place = F.col("decl_line")
+    private = both(among("inner_bk", "class", "interface"), since_decl("private_pos"))
+    field, method = both("is_var", private), both("is_mname", private)
+    rows = class_tokens(tokens, either(field, method, "is_name_use", "is_call"))
+    rows = add(
+        rows,
+        named="max(is_name_use) OVER (PARTITION BY path, c_block, tok)",
+        called="max(is_call) OVER (PARTITION BY path, c_block, tok)",
+        own="inner_pos = c_block",
+    )
     hits = {
         "DEAD-004": hit(
-            "DEAD-004", method & own & ~F.col("called"), "MAJOR",
-            text("Unused private method -> ", F.col("tok"), " in class -> ", F.col("c_name")), place, F.col("pos"), 1,
+            "DEAD-004", f"{method} AND own AND NOT called", "MAJOR", "Unused private method -> {tok} in class -> {c_name}",
+            "decl_line", "pos", "1",
         ),
         "DEAD-005": hit(
-            "DEAD-005", field & own & ~F.col("named"), "MINOR",
-            text("Unused private field -> ", F.col("tok"), " in class -> ", F.col("c_name")), place, F.col("pos"), 0,
+            "DEAD-005", f"{field} AND own AND NOT named", "MINOR", "Unused private field -> {tok} in class -> {c_name}",
+            "decl_line", "pos", "0",
         ),
     }
     return emit(rows, wanted(only, hits))
@@ -531,41 +470,32 @@ def private_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Dat
 
 def envy_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     """Methods that call through other objects far more than they use their own class's fields."""
-    body = (F.col("depth") > 0) & is_in(F.col("m_owner_kind"), "class", "interface")
-    field = (F.col("depth") == 0) & F.col("is_var") & is_in(F.col("inner_bk"), "class", "interface")
-    call, use = body & F.col("is_scoped_call"), body & F.col("is_name_use")
-    rows = method_tokens(tokens).filter(call | use | field).select(
-        "path", "tok", "member", field.alias("field"), call.alias("call"), use.alias("use"), "m_name", "m_line",
-        F.coalesce(F.col("m_owner"), F.col("inner_pos")).alias("class"),
-    )
-    own = F.max("field").over(W.partitionBy("path", "class", "tok"))
-    flag = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    per_method = rows.withColumn("own", own).filter(~F.col("field")).groupBy("path", "member").agg(
-        flag(F.col("call")).alias("outside"), flag(F.col("use") & F.col("own")).alias("inside"),
-        F.max("m_name").alias("name"), F.max("m_line").alias("line"),
+    rows = add(
+        method_tokens(tokens, either("is_scoped_call", "is_name_use", "is_var")),
+        body="depth > 0 AND " + among("m_owner_kind", "class", "interface"),
+        field="depth = 0 AND is_var AND " + among("inner_bk", "class", "interface"),
+        class_="CASE WHEN depth > 0 THEN m_owner ELSE inner_pos END",
+    ).filter("field OR (body AND (is_scoped_call OR is_name_use))")
+    rows = add(rows, own="max(field) OVER (PARTITION BY path, class_, tok)")
+    per_method = rows.filter("NOT field").groupBy("path", "member").agg(
+        F.expr("count(CASE WHEN is_scoped_call THEN 1 END) AS outside"),
+        F.expr("count(CASE WHEN is_name_use AND own THEN 1 END) AS inside"),
+        F.expr("max(m_name) AS name"), F.expr("max(m_line) AS line"),
     )
-    found = hit(
-        "SMELL-009", (F.col("outside") > 5) & (F.col("outside") > F.col("inside") * 2), "MINOR",
-        text("Feature Envy in method -> ", F.col("name"), " (uses external data more than own)"), F.col("line"), F.col("member"),
-    )
-    return emit(per_method, [found])
+    message = "Feature Envy in method -> {name} (uses external data more than own)"
+    return emit(per_method, [hit("SMELL-009", "outside > 5 AND outside > inside * 2", "MINOR", message, "line", "member")])
 
 
 def import_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     """Single imports whose last name occurs neither as an expression nor as a type."""
-    t = F.col("tok")
-    imported = is_in(F.col("head_tok"), "import") & ((F.col("kind") == "i") | (t == "."))
-    rows = tokens.filter(imported | F.col("is_name_use") | F.col("is_type_use")).select(
-        "path", "pos", "tok", "n1", imported.alias("imported"), F.col("decl_line").alias("line"), F.col("decl_pos").alias("member"),
-    )
-    statement = W.partitionBy("path", "member").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("full", F.concat_ws("", F.collect_list(F.when(F.col("imported"), t)).over(statement)))
-    used = F.max(~F.col("imported")).over(W.partitionBy("path", "tok"))
-    last = F.col("imported") & is_in(F.col("n1"), ";")
-    rows = rows.withColumn("used", used).filter(last & ~F.col("used"))
-    return emit(
-        rows, [hit("DEAD-003", F.lit(True), "MINOR", text("Unused import -> ", F.col("full")), F.col("line"), F.col("pos"))]
+    imported = yes("head = 'import' AND (kind = 'i' OR tok = '.')")
+    rows = add(tokens, imported=imported).filter("imported OR is_name_use OR is_type_use").selectExpr(
+        "path", "pos", "tok", "n1", "imported", "decl_line", "decl_pos"
     )
+    parts = f"collect_list(CASE WHEN imported THEN tok END) OVER (PARTITION BY path, decl_pos ORDER BY pos {UP_TO})"
+    rows = add(rows, full=f"concat_ws('', {parts})", used="max(NOT imported) OVER (PARTITION BY path, tok)")
+    unused = rows.filter("imported AND n1 = ';' AND NOT used")
+    return emit(unused, [hit("DEAD-003", "true", "MINOR", "Unused import -> {full}", "decl_line", "pos")])
 
 
 # Files -------------------------------------------------------------------
@@ -573,20 +503,20 @@ def import_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Data
 
 def file_rules(files: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     """Size and comment share of the raw text; a projection, no shuffle."""
-    rows = files.withColumn("profile", tx.line_profile(F.col("content")))
-    rows = rows.select("path", "profile", tx.comment_ratio(F.col("profile")).alias("ratio"))
-    code = F.col("profile.code")
-    name = tx.base_name(F.col("path"))
-    percent = F.format_string("%.1f%%", F.col("ratio") * 100)
+    profile = files.select("path", tx.line_profile(F.col("content")).alias("profile"))
+    rows = profile.select(
+        "path", F.expr("substring_index(path, '/', -1) AS name"), F.col("profile.code").alias("code"),
+        tx.comment_ratio(F.col("profile")).alias("ratio"),
+    ).withColumn("percent", F.expr("format_string('%.1f%%', ratio * 100)"))
+    least = f"{cfg.min_comment_ratio * 100:.0f}%"
     hits = {
         "MET-003": hit(
-            "MET-003", code > cfg.max_file_loc, "MAJOR", text("Large file -> ", name, " (", code, " code lines)"), F.lit(1), F.lit(0),
-            suggestion=advice("MET-003", F.lit(cfg.max_file_loc)),
+            "MET-003", f"code > {cfg.max_file_loc}", "MAJOR", "Large file -> {name} ({code} code lines)", "1", "0",
+            suggestion=advice("MET-003", str(cfg.max_file_loc)),
         ),
         "MET-004": hit(
-            "MET-004", (F.col("ratio") < cfg.min_comment_ratio) & (code > cfg.min_commented_loc), "MINOR",
-            text("Low comment-to-code ratio in ", name, " (", percent, ")"), F.lit(1), F.lit(0),
-            suggestion=advice("MET-004", F.lit(f"{cfg.min_comment_ratio * 100:.0f}%")),
+            "MET-004", f"ratio < {cfg.min_comment_ratio} AND code > {cfg.min_commented_loc}", "MINOR",
+            "Low comment-to-code ratio in {name} ({percent})", "1", "0", suggestion=advice("MET-004", quote(least)),
         ),
     }
     return emit(rows, wanted(only, hits))

@@ -14,7 +14,7 @@ from ..config import AuditConfig
 from ..functions import text as tx
 from .clones import clone_findings
 from .findings import emit, findings_union, hit
-from .rules import file_rules, text
+from .rules import file_rules
 
 SECRET = r"(?i)([a-z0-9_]*(?:" + "|".join(SENSITIVE_TERMS) + r')[a-z0-9_]*)[ \t]*=[ \t]*"[^"\n]*"'
 ADDRESS = r"(?:^|[^0-9.])([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})"
@@ -36,19 +36,14 @@ def matching_lines(files: DataFrame, pattern: str) -> DataFrame:
 
 
 def secret_findings(files: DataFrame) -> DataFrame:
-    rows = matching_lines(files, SECRET)
-    return emit(
-        rows,
-        [hit("SEC-001", F.lit(True), "CRITICAL", text("Hardcoded sensitive value -> ", F.col("match")), F.col("line_number"), F.col("nth"))],
-    )
+    found = hit("SEC-001", "true", "CRITICAL", "Hardcoded sensitive value -> {match}", "line_number", "nth")
+    return emit(matching_lines(files, SECRET), [found])
 
 
 def address_findings(files: DataFrame) -> DataFrame:
-    address = F.col("match")
-    shown = ~address.startswith("127.") & (address != "0.0.0.0")
-    rows = matching_lines(files, ADDRESS)
-    message = text('Hardcoded IP address -> "', address, '"')
-    return emit(rows, [hit("SEC-012", shown, "MAJOR", message, F.col("line_number"), F.col("nth"))])
+    shown = "match NOT LIKE '127.%' AND match <> '0.0.0.0'"
+    found = hit("SEC-012", shown, "MAJOR", 'Hardcoded IP address -> "{match}"', "line_number", "nth")
+    return emit(matching_lines(files, ADDRESS), [found])
 
 
 def text_clones(files: DataFrame) -> DataFrame:

@@ -17,22 +17,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
-
-from ..functions.lexicon import (
-    CLOSERS,
-    COMMENT,
-    KEYWORDS,
-    MODIFIERS,
-    OPENERS,
-    PRIMITIVES,
-    TOKEN,
-    TRIVIA,
-)
 
-BEFORE = (W.unboundedPreceding, -1)
+from ..functions.lexicon import COMMENT, KEYWORDS, MODIFIERS, PRIMITIVES, TOKEN, TRIVIA
+from ..functions.sql import EARLIER, LEVEL, READ, UP_TO, add, among, both, either, last_when, level, max_when, words, yes
 
 BOUNDARY = ["{", "}", ";"]
 CLASS_KINDS = ["class", "interface", "enum", "record", "annotation"]
@@ -42,36 +30,35 @@ CLOSING_KINDS = CLASS_KINDS + [
     "method", "ctor", "init", "bare", "if", "else", "loop", "do", "try", "tryres",
     "catch", "finally", "sync", "switch", "case", "other",
 ]
-COMPARISONS = ["==", "!=", "<=", ">=", "&&", "||", "&", "|", "^"]
-ASSIGNMENTS = ["=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<="]
-CHAIN_BREAK_WORDS = ["return", "throw", "case", "else", "do", "assert", "instanceof", "default"]
-
-
-def reading() -> WindowSpec:
-    """All tokens of a file in reading order."""
-    return W.partitionBy("path").orderBy("pos")
-
-
-def level_order() -> WindowSpec:
-    """The tokens on one bracket level of a file."""
-    return W.partitionBy("path", "lvl").orderBy("pos")
-
-
-def running() -> WindowSpec:
-    return reading().rowsBetween(W.unboundedPreceding, W.currentRow)
-
-
-def level_running() -> WindowSpec:
-    return level_order().rowsBetween(W.unboundedPreceding, W.currentRow)
 
-
-def is_in(column: Column, *words) -> Column:
-    """Membership that is false, not null, for a missing neighbour."""
-    return F.coalesce(column.isin(*words), F.lit(False))
+OPENS = "tok IN ('(', '[', '{')"
+CLOSES = "tok IN (')', ']', '}')"
+BRACE_STEP = "CASE WHEN tok IN ('(', '[', '{') THEN 1 WHEN tok IN (')', ']', '}') THEN -1 ELSE 0 END"
+IS_TERNARY = "(tok = '?' AND NOT " + among("p1", "<", ",") + ")"
+# Tokens that add a path, other than "?"; the "while" that closes a do loop stands for the loop.
+IS_BRANCH = (
+    "(tok IN ('if', 'for', 'while', 'case', 'catch', '&&', '||') OR (tok = 'default' AND " + among("n1", ":", "->") + "))"
+)
+# Tokens that bind less than "+", so a sum ends there.
+SUM_ENDS = either(
+    OPENS, CLOSES,
+    "tok IN (';', ':', '->', '==', '!=', '<=', '>=', '&&', '||', '&', '|', '^')",
+    "tok IN ('=', '+=', '-=', '*=', '/=', '%=', '&=', '|=', '^=', '<<=')",
+    "tok IN ('return', 'throw', 'case', 'else', 'do', 'assert', 'instanceof', 'default')",
+    "tok = ',' AND gd = 0",
+    IS_TERNARY,
+    "tok IN ('<', '>') AND NOT g_open AND NOT g_close",
+    "tok = 'yield' AND " + among("p1", *BOUNDARY),
+)
+# Binary "+" and "-".
+SUM_ADDS = "(tok IN ('+', '-') AND (" + among("pk1", "i", "n", "s", "c") + " OR " + among(
+    "p1", ")", "]", "}", "this", "null", "true", "false", "++", "--"
+) + "))"
 
 
-def last_where(condition: Column, value: Column) -> Column:
-    return F.last(F.when(condition, value), ignorenulls=True)
+def since_decl(position: str) -> str:
+    """Whether the position lies in the current member or statement."""
+    return yes(f"{position} >= decl_pos")
 
 
 def newlines(column: Column) -> Column:
@@ -88,61 +75,52 @@ def by_path(files: DataFrame) -> DataFrame:
     return files.select("path", "content").repartition(parts, "path")
 
 
+def unix_lines(column: Column) -> Column:
+    return F.when(column.contains("\r"), F.regexp_replace(column, r"\r\n?", "\n")).otherwise(column)
+
+
 def lex(files: DataFrame) -> DataFrame:
     """``files(path, content)`` to one row per token; ``comments`` are those in front of it."""
-    t = F.col("tok")
-    text = F.when(F.col("content").contains("\r"), F.regexp_replace("content", r"\r\n?", "\n")).otherwise(F.col("content"))
-    pieces = (
-        by_path(files)
-        .select("path", F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("pos", "raw"))
-    )
-    stripped = F.ltrim(F.col("raw"), F.lit(" \t\n\r\f\x0b"))
-    token = F.when(
-        stripped.startswith("//") | stripped.startswith("/*"), F.regexp_replace("raw", "^" + TRIVIA, "")
-    ).otherwise(stripped)
-    first = F.substring(t, 1, 1)
-    letter = (F.lower(first) != F.upper(first)) | is_in(first, "_", "$") | first.rlike(r"^\p{L}")
-    digit = first.between("0", "9") | ((first == ".") & F.substring(t, 2, 1).between("0", "9"))
-    kind = (
-        F.when(first == '"', "s")
-        .when(first == "'", "c")
-        .when(digit, "n")
-        .when(t.isin(KEYWORDS), "k")
-        .when(letter, "i")
-        .otherwise("o")
+    raw = F.col("raw")
+    pieces = by_path(files).select(
+        "path", F.posexplode(F.regexp_extract_all(unix_lines(F.col("content")), F.lit(TOKEN), F.lit(0))).alias("pos", "raw")
     )
-    cut = pieces.withColumn("tok", token).filter(F.length("tok") > 0)
-    before = F.substring("raw", F.lit(1), F.length("raw") - F.length("tok"))
-    commented = (F.length("raw") - F.length("tok") >= 2) & (F.col("raw").contains("//") | F.col("raw").contains("/*"))
-    comments = F.filter(F.regexp_extract_all(before, F.lit(COMMENT), F.lit(0)), lambda c: F.length(c) > 0)
-    return cut.select(
-        "path", "pos", "tok", kind.alias("kind"),
-        F.length("raw").alias("raw_len"),
-        newlines(F.col("raw")).alias("raw_nl"),
-        F.when(commented & (F.size(comments) > 0), comments).alias("comments"),
+    stripped = F.ltrim(raw, F.lit(" \t\n\r\f\x0b"))
+    commented = stripped.startswith("//") | stripped.startswith("/*")
+    token = F.when(commented, F.regexp_replace("raw", "^" + TRIVIA, "")).otherwise(stripped)
+    cut = pieces.withColumn("tok", token).filter("length(tok) > 0")
+    before = F.substring("raw", F.lit(1), F.length(raw) - F.length("tok"))
+    maybe = (F.length(raw) - F.length("tok") >= 2) & (before.contains("//") | before.contains("/*"))
+    measured = cut.withColumns(
+        {"raw_nl": newlines(raw), "comments": F.when(maybe, F.regexp_extract_all(before, F.lit(COMMENT), F.lit(0)))}
     )
+    first = "substring(tok, 1, 1)"
+    kind = f"""CASE WHEN {first} = '"' THEN 's' WHEN {first} = "'" THEN 'c'
+        WHEN {first} BETWEEN '0' AND '9' OR ({first} = '.' AND substring(tok, 2, 1) BETWEEN '0' AND '9') THEN 'n'
+        WHEN tok IN ({words(*KEYWORDS)}) THEN 'k'
+        WHEN lower({first}) <> upper({first}) OR {first} IN ('_', '$') OR {first} RLIKE r'^\\p{{L}}' THEN 'i' ELSE 'o' END"""
+    return measured.selectExpr("path", "pos", "tok", f"{kind} AS kind", "length(raw) AS raw_len", "raw_nl", "comments")
 
 
 def _reading_columns(tokens: DataFrame) -> DataFrame:
     """Neighbours, line, offset and bracket level."""
-    t = F.col("tok")
-    step = F.when(t.isin(OPENERS), 1).when(t.isin(CLOSERS), -1).otherwise(0)
-    before = reading().rowsBetween(*BEFORE)
-    columns = {f"p{i}": F.lag("tok", i).over(reading()) for i in (1, 2, 3)}
-    columns |= {f"n{i}": F.lead("tok", i).over(reading()) for i in (1, 2, 3, 4)}
-    columns |= {f"pk{i}": F.lag("kind", i).over(reading()) for i in (1, 2)}
-    columns |= {f"nk{i}": F.lead("kind", i).over(reading()) for i in (1, 2)}
-    columns |= {
-        "level_after": F.sum(step).over(running()).cast("int"),
-        "nl_total": F.sum("raw_nl").over(running()),
-        "end_off": F.sum("raw_len").over(running()),
-        "boundary_pos": F.max(F.when(t.isin(BOUNDARY), F.col("pos"))).over(before),
-    }
-    return tokens.withColumns(columns).withColumns(
-        {
-            "line": (F.col("nl_total") - newlines(t) + 1).cast("int"),
-            "lvl": F.col("level_after") + F.when(t.isin(CLOSERS), 1).otherwise(0),
-        }
+    columns = {f"p{i}": f"lag(tok, {i}) OVER ({READ})" for i in (1, 2, 3)}
+    columns |= {f"n{i}": f"lead(tok, {i}) OVER ({READ})" for i in (1, 2, 3, 4)}
+    columns |= {f"pk{i}": f"lag(kind, {i}) OVER ({READ})" for i in (1, 2)}
+    columns |= {f"nk{i}": f"lead(kind, {i}) OVER ({READ})" for i in (1, 2, 3)}
+    out = add(
+        tokens,
+        **columns,
+        level_after=f"CAST(sum({BRACE_STEP}) OVER ({READ} {UP_TO}) AS INT)",
+        nl_total=f"sum(raw_nl) OVER ({READ} {UP_TO})",
+        end_off=f"sum(raw_len) OVER ({READ} {UP_TO})",
+        boundary_pos=max_when(f"tok IN ({words(*BOUNDARY)})", "pos", READ, EARLIER),
+    )
+    own_lines = "CASE WHEN contains(tok, '\n') THEN length(tok) - length(replace(tok, '\n', '')) ELSE 0 END"
+    return add(
+        out,
+        line=f"CAST(nl_total - {own_lines} + 1 AS INT)",
+        lvl=f"level_after + CASE WHEN {CLOSES} THEN 1 ELSE 0 END",
     )
 
 
@@ -152,407 +130,290 @@ def _generic_columns(tokens: DataFrame) -> DataFrame:
     An opening "<" is told from a comparison by its neighbours. Closers need no
     such test: the running count, floored at zero, drops stray ">" signs.
     """
-    t = F.col("tok")
-    n1, n2, n3, p1 = (F.col(c) for c in ("n1", "n2", "n3", "p1"))
-    pascal = p1.rlike(r"^\p{Lu}(?:[\p{L}\p{Nd}_$]*\p{Ll}.*)?$")
-    no_operand = p1.isNull() | is_in(p1, ".", *BOUNDARY, *MODIFIERS)
-    by_next = is_in(n1, ">", "?", "@", *PRIMITIVES)
-    by_second = (F.col("pk1") == "i") & (F.col("nk1") == "i") & (
-        is_in(n2, "extends", "super", "<")
-        | (is_in(n2, ">") & ((n3 != ">") | pascal))
-        | (is_in(n2, ",", ".", "[", "&") & pascal)
+    pascal = r"p1 RLIKE r'^\p{Lu}(?:[\p{L}\p{Nd}_$]*\p{Ll}.*)?$'"
+    opens = both(
+        "tok = '<'",
+        either(
+            "p1 IS NULL",
+            among("p1", ".", *BOUNDARY, *MODIFIERS),
+            among("n1", ">", "?", "@", *PRIMITIVES),
+            both(
+                "pk1 = 'i' AND nk1 = 'i'",
+                either(
+                    among("n2", "extends", "super", "<"),
+                    f"n2 = '>' AND (n3 <> '>' OR {pascal})",
+                    f"n2 IN (',', '.', '[', '&') AND {pascal}",
+                ),
+            ),
+        ),
     )
-    opens = F.coalesce((t == "<") & (no_operand | by_next | by_second), F.lit(False))
-    out = tokens.withColumn("g_open", opens)
-    out = out.withColumn("walk", F.sum(F.when(F.col("g_open"), 1).when(t == ">", -1).otherwise(0)).over(running()))
-    lowest = {
-        i: F.least(F.lit(0), F.min("walk").over(reading().rowsBetween(W.unboundedPreceding, -i))) for i in range(4)
-    }
-    depths = {"gd": F.col("walk") - lowest[0]}
-    depths |= {f"gd{i}": F.coalesce(F.lag("walk", i).over(reading()) - lowest[i], F.lit(0)) for i in (1, 2, 3)}
-    out = out.withColumns(depths | {"n_g_open": F.lead("g_open").over(reading()), "next_line": F.lead("line").over(reading())})
-    return out.withColumn("g_close", (t == ">") & (F.col("gd1") > 0))
+    out = add(tokens, g_open=yes(opens))
+    out = add(out, walk=f"sum(CASE WHEN g_open THEN 1 WHEN tok = '>' THEN -1 ELSE 0 END) OVER ({READ} {UP_TO})")
 
+    def lowest(back: int) -> str:
+        frame = UP_TO if back == 0 else f"ROWS BETWEEN UNBOUNDED PRECEDING AND {back} PRECEDING"
+        return f"least(0, min(walk) OVER ({READ} {frame}))"
 
-def _type_end(tok: str, kind: str, before: str, depth: str) -> Column:
-    """Whether a name may follow the token as the declared name of a type ending there."""
-    tok_, before_ = F.col(tok), F.col(before)
-    return F.coalesce(
-        ((F.col(kind) == "i") & ~is_in(tok_, "record", "yield", "permits") & ~is_in(before_, "@"))
-        | is_in(tok_, *PRIMITIVES)
-        | (is_in(tok_, ">") & (F.col(depth) > 0))
-        | (is_in(tok_, "]") & is_in(before_, "["))
-        | is_in(tok_, "..."),
-        F.lit(False),
+    depths = {f"gd{i}": f"coalesce(lag(walk, {i}) OVER ({READ}) - {lowest(i)}, 0)" for i in (1, 2, 3)}
+    out = add(
+        out, gd=f"walk - {lowest(0)}", **depths, n_g_open=f"lead(g_open) OVER ({READ})", next_line=f"lead(line) OVER ({READ})"
     )
+    return add(out, g_close="(tok = '>' AND gd1 > 0)")
 
 
-def _head_columns(tokens: DataFrame) -> DataFrame:
-    """``head_tok``: the last earlier token that cannot be part of a type or a modifier."""
-    t = F.col("tok")
-    p1, n1 = F.col("p1"), F.col("n1")
-    before = reading().rowsBetween(*BEFORE)
-    pos = F.col("pos")
-    type_part = (
-        (F.col("kind") == "i")
-        | t.isin(PRIMITIVES + MODIFIERS + [".", ",", "@", "..."])
-        | F.col("g_open")
-        | F.col("g_close")
-        | ((F.col("gd") > 0) & t.isin("extends", "super", "?", "&"))
-        | ((t == "[") & is_in(n1, "]"))
-        | ((t == "]") & is_in(p1, "["))
-    )
-    record_kw = (t == "record") & (F.col("nk1") == "i") & is_in(F.col("n2"), "(", "<")
-    class_kw = (t.isin("class", "interface", "enum") & ~is_in(p1, ".")) | record_kw
-    plain_brace = (t == "{") & ~is_in(p1, "{")
-    array_brace = is_in(p1, "=", "]", ",", "(", "default")
-    case_word = (t == "case") | ((t == "default") & is_in(n1, ":", "->"))
-    out = tokens.withColumns(
-        {
-            "p1_type_end": _type_end("p1", "pk1", "p2", "gd2"),
-            "head_tok": last_where(~type_part, t).over(before),
-            "class_kw_pos": F.max(F.when(class_kw, pos)).over(before),
-            "class_kw_kind": last_where(class_kw, F.when(p1 == "@", "annotation").otherwise(t)).over(before),
-            "class_name": last_where(class_kw, n1).over(before),
-            "record_pos": F.max(F.when(record_kw, pos)).over(running()),
-            "is_array": (t == "{") & F.coalesce(last_where(plain_brace, array_brace).over(running()), F.lit(False)),
-            "case_pos": F.max(F.when(case_word, pos)).over(before),
-            "arrow_pos": F.max(F.when(t == "->", pos)).over(reading().rowsBetween(W.unboundedPreceding, -2)),
-        }
-    )
-    head = F.col("head_tok")
-    at_start = head.isNull() | is_in(head, *BOUNDARY, ")")
-    out = out.withColumns(
-        {
-            "is_mname": (F.col("kind") == "i") & is_in(n1, "(") & F.col("p1_type_end") & at_start,
-            # The same seen from the parenthesis; both have the same head.
-            "p1_mname": (t == "(") & (F.col("pk1") == "i") & _type_end("p2", "pk2", "p3", "gd3") & at_start,
-        }
-    )
-    return out.withColumns(
-        {
-            "mname": last_where(F.col("is_mname"), t).over(running()),
-            "mname_pos": F.max(F.when(F.col("is_mname"), pos)).over(running()),
-        }
+def _type_end(tok: str, kind: str, before: str, depth: str) -> str:
+    """Whether a name may follow the token as the declared name of a type ending there."""
+    return yes(
+        either(
+            both(f"{kind} = 'i'", "NOT " + among(tok, "record", "yield", "permits"), "NOT " + among(before, "@")),
+            among(tok, *PRIMITIVES, "..."),
+            f"{tok} = '>' AND {depth} > 0",
+            f"{tok} = ']' AND {before} = '['",
+        )
     )
 
 
-def _bracket_columns(tokens: DataFrame) -> DataFrame:
-    """``inner_pos`` and ``inner_bk``: the innermost open bracket and what it belongs to.
-
-    Kinds of parentheses begin with "(", so that "(if" is the condition and
-    "if" the block of an if statement.
-    """
-    t = F.col("tok")
-    p1, p2 = F.col("p1"), F.col("p2")
-    direct = is_in(p2, *BOUNDARY) | p2.isNull()
-    head = F.col("head_tok")
-    paren = (
-        F.when(p1.isin("if", "for", "while", "switch", "catch", "synchronized", "try"), F.concat(F.lit("("), p1))
-        .when(F.col("p1_mname"), "(method")
-        .when(head == "new", "(new")
-        .when((F.col("pk1") == "i") & is_in(p2, "@"), "(annot")
-        .otherwise("(par")
-    )
-    out = tokens.withColumns({"paren": F.when(t == "(", paren), "direct": direct})
-    is_if = (t == "(") & is_in(p1, "if")
-    is_try = t.isin("(", "{") & is_in(p1, "try")
-    before = level_order().rowsBetween(*BEFORE)
-    out = out.withColumns(
-        {
-            "sib_paren": last_where(t == "(", F.col("paren")).over(level_running()),
-            "sib_direct": last_where(t == "(", F.col("direct")).over(level_running()),
-            "sib_p2": last_where(t == "(", p2).over(level_running()),
-            "sib_line": last_where(t == "(", F.col("line")).over(level_running()),
-            "sib_if_direct": last_where(is_if, F.col("direct")).over(level_running()),
-            "prior_if_direct": last_where(is_if, F.col("direct")).over(before),
-            "sib_try_direct": last_where(is_try, F.col("direct")).over(level_running()),
-            "sib_block_p1": last_where(t == "{", p1).over(before),
-        }
-        | _chain_columns()
-    )
-    sib = F.col("sib_paren")
-    statement_switch = F.col("sib_direct") | is_in(F.col("sib_p2"), ")", "else", "do", ":")
-    by_paren = (
-        F.when(sib.isin("(for", "(while"), "loop")
-        .when(sib == "(try", "tryres")
-        .when(sib == "(synchronized", "sync")
-        .when(sib == "(switch", F.when(statement_switch, "switch").otherwise("switchx"))
-        .when(sib == "(new", "anon")
-        .when(sib == "(par", "ctor")
-        .otherwise(F.substring(sib, 2, 20))
-    )
-    since_boundary = lambda pos: pos > F.coalesce(F.col("boundary_pos"), F.lit(-1))
-    case_block = since_boundary(F.col("case_pos")) & (
-        F.col("arrow_pos").isNull() | (F.col("arrow_pos") < F.col("case_pos"))
-    )
-    block = (
-        F.when(F.col("is_array"), "arr")
-        .when(since_boundary(F.col("class_kw_pos")), F.col("class_kw_kind"))
-        .when(p1 == "->", F.when(case_block, "case").otherwise("lambda"))
-        .when(is_in(p1, ")") | (head == "throws"), by_paren)
-        .when(p1.isin("else", "do", "try", "finally"), p1)
-        .when(p1 == "static", "init")
-        .when(p1.isNull() | p1.isin("{", "}", ";", ":"), "bare")
-        .otherwise("other")
-    )
-    do_tail = (t == "(") & is_in(p1, "while") & is_in(p2, "}") & is_in(F.col("sib_block_p1"), "do")
-    out = out.withColumn(
-        "bk", F.when(t == "{", block).when(do_tail, "(dowhile").when(t == "(", F.col("paren")).when(t == "[", F.lit("["))
+def _head_columns(tokens: DataFrame) -> DataFrame:
+    """``head``: the last earlier token that cannot be part of a type or a modifier."""
+    type_part = yes(
+        either(
+            "kind = 'i'", "g_open", "g_close",
+            f"tok IN ({words(*PRIMITIVES, *MODIFIERS, '.', ',', '@', '...')})",
+            "gd > 0 AND tok IN ('extends', 'super', '?', '&')",
+            "tok = '[' AND n1 = ']'",
+            "tok = ']' AND p1 = '['",
+        )
     )
-    bk = F.col("bk")
-    entered = (
-        F.when(is_in(bk, "if", "loop", "tryres"), F.col("sib_direct"))
-        .when(bk == "else", F.coalesce(F.col("sib_if_direct"), F.lit(False)))
-        .when(is_in(bk, "do", "try"), F.col("direct"))
-        .otherwise(False)
+    record = yes("tok = 'record' AND nk1 = 'i' AND n2 IN ('(', '<')")
+    class_word = either("tok IN ('class', 'interface', 'enum') AND NOT " + among("p1", "."), record)
+    case_word = either("tok = 'case'", "tok = 'default' AND n1 IN (':', '->')")
+    out = add(
+        tokens,
+        p1_type_end=_type_end("p1", "pk1", "p2", "gd2"),
+        head=last_when(f"NOT {type_part}", "tok", READ, EARLIER),
+        class_kw_pos=max_when(class_word, "pos", READ, EARLIER),
+        class_kw_kind=last_when(class_word, "CASE WHEN p1 = '@' THEN 'annotation' ELSE tok END", READ, EARLIER),
+        class_name=last_when(class_word, "n1", READ, EARLIER),
+        record_pos=max_when(record, "pos"),
+        is_array="(tok = '{' AND " + yes(
+            last_when("tok = '{' AND NOT " + among("p1", "{"), among("p1", "=", "]", ",", "(", "default"), READ)
+        ) + ")",
+        case_pos=max_when(case_word, "pos", READ, EARLIER),
+        arrow_pos=max_when("tok = '->'", "pos", READ, "ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING"),
     )
-    caught = (t == "{") & (bk == "catch") & F.coalesce(F.col("sib_try_direct"), F.lit(False))
-    opens = t.isin(OPENERS)
-    inner = lambda value: last_where(opens, value).over(level_running())
-    return out.withColumns(
-        {
-            "inner_pos": F.max(F.when(opens, F.col("pos"))).over(level_running()),
-            "inner_bk": inner(bk),
-            "inner_ent": inner((t == "{") & entered),
-            "inner_entc": inner(((t == "{") & entered) | caught),
-            "inner_direct": inner(F.col("direct")),
-        }
+    at_start = either("head IS NULL", among("head", *BOUNDARY, ")"))
+    out = add(
+        out,
+        is_mname=yes(f"kind = 'i' AND n1 = '(' AND p1_type_end AND {at_start}"),
+        # The same seen from the parenthesis; both have the same head.
+        p1_mname=yes(f"tok = '(' AND pk1 = 'i' AND {_type_end('p2', 'pk2', 'p3', 'gd3')} AND {at_start}"),
     )
+    return add(out, mname=last_when("is_mname", "tok", READ), mname_pos=max_when("is_mname", "pos"))
 
 
-def _chain_columns() -> dict[str, Column]:
+def _chain_columns() -> dict[str, str]:
     """Where the operand chain and the sum around a token begin, on its own bracket level.
 
     ``operand_*``: first token of a call chain such as ``a.b(c).d``.
     ``sum_*``: the token just before a sum ``a + b - c``, and ``sum_op`` the last
     "+", "-" or ending token seen before this one on the level.
     """
-    t, p1, pos = F.col("tok"), F.col("p1"), F.col("pos")
-    begins = (F.col("kind").isin("i", "s", "n", "c") | t.isin("this", "super", "new")) & ~is_in(p1, ".", "new", "::") & (
-        F.col("gd") == 0
+    begins = yes(
+        "(kind IN ('i', 's', 'n', 'c') OR tok IN ('this', 'super', 'new')) AND gd = 0 AND NOT " + among("p1", ".", "new", "::")
     )
-    before = level_order().rowsBetween(*BEFORE)
-    ends, adds = sum_ends(), sum_adds()
     return {
-        "operand_pos": F.max(F.when(begins, pos)).over(level_running()),
-        "operand_line": last_where(begins, F.col("line")).over(level_running()),
-        "sum_pos": F.max(F.when(ends, pos)).over(before),
-        "sum_end_off": last_where(ends, F.col("end_off")).over(before),
-        "sum_line": last_where(ends, F.col("next_line")).over(before),
-        "sum_op": last_where(ends | adds, t).over(before),
+        "operand_pos": max_when(begins, "pos", LEVEL),
+        "operand_line": last_when(begins, "line", LEVEL),
+        "sum_pos": max_when(SUM_ENDS, "pos", LEVEL, EARLIER),
+        "sum_end_off": last_when(SUM_ENDS, "end_off", LEVEL, EARLIER),
+        "sum_line": last_when(SUM_ENDS, "next_line", LEVEL, EARLIER),
+        "sum_op": last_when(either(SUM_ENDS, SUM_ADDS), "tok", LEVEL, EARLIER),
     }
 
 
-def sum_ends() -> Column:
-    """Tokens that bind less than "+", so a sum ends there."""
-    t, p1 = F.col("tok"), F.col("p1")
-    comparison = t.isin("<", ">") & ~F.col("g_open") & ~F.col("g_close")
-    return (
-        t.isin(OPENERS + CLOSERS + [";", ":", "->"] + COMPARISONS + ASSIGNMENTS + CHAIN_BREAK_WORDS)
-        | ((t == ",") & (F.col("gd") == 0))
-        | ((t == "?") & ~is_in(p1, "<", ","))
-        | comparison
-        | ((t == "yield") & is_in(p1, *BOUNDARY))
-    )
-
+def _bracket_columns(tokens: DataFrame) -> DataFrame:
+    """``inner_pos`` and ``inner_bk``: the innermost open bracket and what it belongs to.
 
-def sum_adds() -> Column:
-    """Binary "+" and "-"."""
-    operand_before = is_in(F.col("pk1"), "i", "n", "s", "c") | is_in(
-        F.col("p1"), ")", "]", "}", "this", "null", "true", "false", "++", "--"
+    Kinds of parentheses begin with "(", so that "(if" is the condition and
+    "if" the block of an if statement.
+    """
+    out = add(
+        tokens,
+        direct=either("p2 IS NULL", among("p2", *BOUNDARY)),
+        paren="""CASE WHEN tok <> '(' THEN NULL
+            WHEN p1 IN ('if', 'for', 'while', 'switch', 'catch', 'synchronized', 'try') THEN concat('(', p1)
+            WHEN p1_mname THEN '(method' WHEN head = 'new' THEN '(new' WHEN pk1 = 'i' AND p2 = '@' THEN '(annot' ELSE '(par' END""",
+    )
+    out = add(
+        out,
+        sib_paren=last_when("tok = '('", "paren", LEVEL),
+        sib_direct=last_when("tok = '('", "direct", LEVEL),
+        sib_p2=last_when("tok = '('", "p2", LEVEL),
+        sib_line=last_when("tok = '('", "line", LEVEL),
+        sib_if_direct=last_when("tok = '(' AND p1 = 'if'", "direct", LEVEL),
+        prior_if_direct=last_when("tok = '(' AND p1 = 'if'", "direct", LEVEL, EARLIER),
+        sib_try_direct=last_when("tok IN ('(', '{') AND p1 = 'try'", "direct", LEVEL),
+        sib_block_p1=last_when("tok = '{'", "p1", LEVEL, EARLIER),
+        **_chain_columns(),
+    )
+    block = """CASE WHEN is_array THEN 'arr'
+        WHEN class_kw_pos > coalesce(boundary_pos, -1) THEN class_kw_kind
+        WHEN p1 = '->' THEN CASE WHEN case_pos > coalesce(boundary_pos, -1) AND (arrow_pos IS NULL OR arrow_pos < case_pos)
+            THEN 'case' ELSE 'lambda' END
+        WHEN p1 = ')' OR head = 'throws' THEN CASE sib_paren WHEN '(for' THEN 'loop' WHEN '(while' THEN 'loop' WHEN '(try' THEN 'tryres'
+            WHEN '(synchronized' THEN 'sync' WHEN '(new' THEN 'anon' WHEN '(par' THEN 'ctor'
+            WHEN '(switch' THEN CASE WHEN sib_direct OR sib_p2 IN (')', 'else', 'do', ':') THEN 'switch' ELSE 'switchx' END
+            ELSE substring(sib_paren, 2, 20) END
+        WHEN p1 IN ('else', 'do', 'try', 'finally') THEN p1
+        WHEN p1 = 'static' THEN 'init'
+        WHEN p1 IS NULL OR p1 IN ('{', '}', ';', ':') THEN 'bare'
+        ELSE 'other' END"""
+    do_tail = "tok = '(' AND p1 = 'while' AND p2 = '}' AND sib_block_p1 = 'do'"
+    out = add(
+        out, bk=f"CASE WHEN tok = '{{' THEN {block} WHEN {do_tail} THEN '(dowhile' WHEN tok = '(' THEN paren WHEN tok = '[' THEN '[' END"
+    )
+    entered = """coalesce(tok = '{' AND CASE WHEN bk IN ('if', 'loop', 'tryres') THEN sib_direct
+        WHEN bk = 'else' THEN sib_if_direct WHEN bk IN ('do', 'try') THEN direct ELSE false END, false)"""
+    caught = yes("tok = '{' AND bk = 'catch' AND sib_try_direct")
+    return add(
+        out,
+        inner_pos=max_when(OPENS, "pos", LEVEL),
+        inner_bk=last_when(OPENS, "bk", LEVEL),
+        inner_ent=last_when(OPENS, entered, LEVEL),
+        inner_entc=last_when(OPENS, f"({entered} OR {caught})", LEVEL),
+        inner_direct=last_when(OPENS, "direct", LEVEL),
     )
-    return F.col("tok").isin("+", "-") & operand_before
 
 
 def _statement_columns(tokens: DataFrame) -> DataFrame:
     """Statement and member starts, and running levels of enclosing constructs."""
-    t, p1, pos = F.col("tok"), F.col("p1"), F.col("pos")
-    bk = F.col("inner_bk")
-    opens, closes = t == "{", t == "}"
-    ent, entc = F.col("inner_ent"), F.col("inner_entc")
-
-    def level(inside: Column, opening: Column = opens, closing: Column = closes) -> Column:
-        """Open constructs at the token; the closing token counts as outside."""
-        change = F.when(opening & inside, 1).when(closing & inside, -1).otherwise(0)
-        return F.sum(change).over(running()).cast("int")
-
-    def level_with_closer(*kinds: str) -> Column:
-        inside = is_in(bk, *kinds)
-        return level(inside) + F.when(closes & inside, 1).otherwise(0)
-
-    counted = ~is_in(bk, "method", "arr")
-    loop_paren = is_in(bk, "(for", "(while")
-    parens = (t == "(", t == ")")
-    bare_loop = (t == ")") & loop_paren & ~is_in(F.col("n1"), "{", ";")
-    mods = {
-        f"{m}_pos": F.max(F.when(t == m, pos)).over(running())
-        for m in ("private", "static", "final")
-    }
-    out = tokens.withColumns(
-        {
-            "closed_bk": F.lag("inner_bk").over(reading()),
-            "closed_pos": F.lag("inner_pos").over(reading()),
-            "eq_pos": F.max(F.when((t == "=") & (F.coalesce(bk, F.lit("")) != "(annot"), pos)).over(running()),
-            "bare_loop_pos": F.max(F.when(bare_loop, pos)).over(running()),
-            "method_level": level_with_closer("method"),
-            "class_level": level_with_closer("class", "interface"),
-            "loop_level": level(is_in(bk, "loop")) + level(loop_paren, *parens),
-            "try_level": level(is_in(bk, "try")),
-            "ent_level": level(ent & counted),
-            "blk_level": level(~ent & counted),
-            "entc_level": level(entc & counted),
-            "blkc_level": level(~entc & counted),
-            "if_paren_level": level((bk == "(if") & F.col("inner_direct"), *parens),
-        }
-        | mods
+    opens, closes = "tok = '{'", "tok = '}'"
+    round_ = ("tok = '('", "tok = ')'")
+    counted = "NOT " + among("inner_bk", "method", "arr")
+    loop_paren = among("inner_bk", "(for", "(while")
+
+    def with_closer(*kinds: str) -> str:
+        inside = among("inner_bk", *kinds)
+        return f"{level(opens, closes, inside)} + CASE WHEN {closes} AND {inside} THEN 1 ELSE 0 END"
+
+    out = add(
+        tokens,
+        closed_bk=f"lag(inner_bk) OVER ({READ})",
+        closed_pos=f"lag(inner_pos) OVER ({READ})",
+        eq_pos=max_when("tok = '=' AND coalesce(inner_bk, '') <> '(annot'", "pos"),
+        bare_loop_pos=max_when(f"tok = ')' AND {loop_paren} AND NOT {among('n1', '{', ';')}", "pos"),
+        method_level=with_closer("method"),
+        class_level=with_closer("class", "interface"),
+        loop_level=f"{level(opens, closes, among('inner_bk', 'loop'))} + {level(*round_, loop_paren)}",
+        try_level=level(opens, closes, among("inner_bk", "try")),
+        ent_level=level(opens, closes, f"inner_ent AND {counted}"),
+        blk_level=level(opens, closes, f"NOT inner_ent AND {counted}"),
+        entc_level=level(opens, closes, f"inner_entc AND {counted}"),
+        blkc_level=level(opens, closes, f"NOT inner_entc AND {counted}"),
+        if_paren_level=level(*round_, "inner_bk = '(if' AND inner_direct"),
+        **{f"{m}_pos": max_when(f"tok = '{m}'", "pos") for m in ("private", "static", "final")},
     )
-    closed = F.col("closed_bk")
-    continues = t.isin("}", "else", "catch", "finally") | ((t == "while") & (closed == "do"))
-    in_plain_block = closed.isNull() | (~is_in(F.substring(closed, 1, 1), "(", "[") & (closed != "arr"))
-    starts = (
-        p1.isNull()
-        | ((p1 == "{") & (closed != "arr"))
-        | ((p1 == ";") & in_plain_block)
-        | ((p1 == "}") & is_in(closed, *CLOSING_KINDS))
-    ) & ~continues
-    around = lambda prev, own: F.when(p1.isin("{", ";"), F.col(prev)).when(~t.isin(OPENERS), F.col(own))
-    out = out.withColumns(
-        {
-            "starts": F.coalesce(starts, F.lit(False)),
-            "encl_pos": around("closed_pos", "inner_pos"),
-            "encl_bk": around("closed_bk", "inner_bk"),
-        }
+    starts = both(
+        either(
+            "p1 IS NULL",
+            "p1 = '{' AND closed_bk <> 'arr'",
+            "p1 = ';' AND (closed_bk IS NULL OR (substring(closed_bk, 1, 1) NOT IN ('(', '[') AND closed_bk <> 'arr'))",
+            f"p1 = '}}' AND closed_bk IN ({words(*CLOSING_KINDS)})",
+        ),
+        "tok NOT IN ('}', 'else', 'catch', 'finally')",
+        "NOT " + yes("tok = 'while' AND closed_bk = 'do'"),
     )
-    started = lambda value: last_where(F.col("starts"), value).over(running())
-    return out.withColumns(
-        {
-            "decl_pos": F.max(F.when(F.col("starts"), pos)).over(running()),
-            "decl_line": started(F.col("line")),
-            # Owner -1: no block around the member.
-            "decl_owner": started(F.coalesce("encl_pos", F.lit(-1))),
-            "decl_owner_kind": started(F.coalesce("encl_bk", F.lit("file"))),
-            "decl_doc": started(documented()),
-        }
+    out = add(
+        out,
+        starts=yes(starts),
+        encl_pos=f"CASE WHEN p1 IN ('{{', ';') THEN closed_pos WHEN NOT {OPENS} THEN inner_pos END",
+        encl_bk=f"CASE WHEN p1 IN ('{{', ';') THEN closed_bk WHEN NOT {OPENS} THEN inner_bk END",
+    )
+    documented = yes(r"try_element_at(comments, -1) RLIKE r'^/\*\*[^/]'")
+    return add(
+        out,
+        decl_pos=max_when("starts", "pos"),
+        decl_line=last_when("starts", "line", READ),
+        # Owner -1: no block around the member.
+        decl_owner=last_when("starts", "coalesce(encl_pos, -1)", READ),
+        decl_owner_kind=last_when("starts", "coalesce(encl_bk, 'file')", READ),
+        decl_doc=last_when("starts", documented, READ),
     )
-
-
-def tokens(files: DataFrame) -> DataFrame:
-    """The token facts every rule reads."""
-    stages = [lex, _reading_columns, _generic_columns, _head_columns, _bracket_columns, _statement_columns, _roles]
-    return reduce(lambda df, stage: stage(df), stages, files)
-
-
-def since_decl(position: str) -> Column:
-    """Whether the position lies in the current member or statement."""
-    return F.coalesce(F.col(position) >= F.col("decl_pos"), F.lit(False))
-
-
-def at_block(*kinds: str) -> Column:
-    """Whether the token lies directly in a block of one of the kinds."""
-    return is_in(F.col("inner_bk"), *kinds)
 
 
 def _roles(tokens: DataFrame) -> DataFrame:
     """What an identifier is used as; at most one of the flags is true."""
-    t = F.col("tok")
-    p1, p2, n1, n2 = (F.col(c) for c in ("p1", "p2", "n1", "n2"))
-    bk, head = F.col("inner_bk"), F.col("head_tok")
-    ident = F.col("kind") == "i"
-    no = lambda c: ~F.coalesce(c, F.lit(False))
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    in_body = bk.isNull() | at_block(*BODY_KINDS)
-    in_init = F.col("eq_pos") > F.col("decl_pos")
-    decl_place = yes(~is_in(F.substring(bk, 1, 1), "(", "[") & (bk != "arr")) | at_block("(for", "(try")
-    first_declarator = (
-        ident
-        & F.col("p1_type_end")
-        & is_in(n1, "=", ";", ",", "[", ":")
-        & decl_place
-        & (F.col("gd") == 0)
-        & (head.isNull() | is_in(head, *BOUNDARY, "(", ")", ":"))
-        & ((n1 != ":") | (bk == "(for"))
-        & ~is_in(p1, "...")
-    )
-    out = tokens.withColumn("is_first_var", yes(first_declarator))
-    out = out.withColumn(
-        "first_var_pos", F.max(F.when(F.col("is_first_var"), F.col("pos"))).over(reading().rowsBetween(*BEFORE))
-    )
-    more = (
-        ident
-        & is_in(p1, ",")
-        & is_in(n1, "=", ",", ";", "[")
-        & decl_place
-        & (F.col("gd") == 0)
-        & (F.col("first_var_pos") >= F.col("decl_pos"))
+    in_class = either("inner_bk IS NULL", among("inner_bk", *BODY_KINDS))
+    in_init = yes("eq_pos > decl_pos")
+    plain_block = yes("substring(inner_bk, 1, 1) NOT IN ('(', '[') AND inner_bk <> 'arr'")
+    place = either(plain_block, among("inner_bk", "(for", "(try"))
+    first_var = both(
+        "kind = 'i' AND p1_type_end AND gd = 0 AND p1 <> '...'",
+        "n1 IN ('=', ';', ',', '[') OR (n1 = ':' AND inner_bk = '(for')",
+        place,
+        either("head IS NULL", among("head", *BOUNDARY, "(", ")", ":")),
     )
-    param = ident & (bk == "(method") & (F.col("gd") == 0) & F.col("p1_type_end") & is_in(n1, ",", ")", "[")
-    out = out.withColumns({"is_var": F.col("is_first_var") | yes(more), "is_param": yes(param)})
-
-    dotted = is_in(p1, ".")
-    after_new = is_in(head, "new")
-    class_level_name = in_body & no(in_init)
-    call = (
-        ident
-        & is_in(n1, "(")
-        & ~F.col("is_mname")
-        & ~after_new
-        & ~is_in(p1, "@", "record", "case", "instanceof")
-        & (dotted | ~class_level_name)
+    out = add(tokens, is_first_var=yes(first_var))
+    out = add(out, first_var_pos=max_when("is_first_var", "pos", READ, EARLIER))
+    more_vars = f"kind = 'i' AND p1 = ',' AND n1 IN ('=', ',', ';', '[') AND gd = 0 AND first_var_pos >= decl_pos AND {place}"
+    param = "kind = 'i' AND inner_bk = '(method' AND gd = 0 AND p1_type_end AND n1 IN (',', ')', '[')"
+    out = add(out, is_var=f"(is_first_var OR {yes(more_vars)})", is_param=yes(param))
+
+    after_new = yes("head = 'new'")
+    bare_class_level = f"({in_class} AND NOT {in_init})"
+    called = f"kind = 'i' AND n1 = '(' AND NOT is_mname AND NOT {after_new}"
+    created = yes(f"kind = 'i' AND n1 IN ('(', '<', '[') AND {after_new} AND p1 IN ('.', 'new')")
+    cast = yes(
+        "p1 = '(' AND n1 = ')' AND inner_bk = '(par' AND "
+        "(nk2 IN ('i', 's', 'n', 'c') OR n2 IN ('(', 'this', 'new', 'super', '!', '~', 'switch'))"
     )
-    created = ident & is_in(n1, "(", "<", "[") & after_new & (dotted | is_in(p1, "new"))
-    cast = is_in(p1, "(") & is_in(n1, ")") & (
-        is_in(F.col("nk2"), "i", "s", "n", "c") | is_in(n2, "(", "this", "new", "super", "!", "~", "switch")
-    ) & (bk == "(par")
-    label = (F.col("starts") & is_in(n1, ":")) | is_in(p1, "break", "continue")
-    generic_argument = F.col("gd") > 0
-    type_place = (
-        ((F.col("nk1") == "i") & ~is_in(p1, "@") & ~is_in(n1, "instanceof"))
-        | generic_argument
-        | (is_in(n1, "<") & F.col("n_g_open"))
-        | (is_in(n1, "[") & is_in(n2, "]"))
-        | is_in(n1, "...", "::")
-        | is_in(p1, "instanceof", "extends", "implements", "throws", "permits")
-        | is_in(head, "extends", "implements", "throws", "permits", "instanceof", "class", "interface")
-        | at_block("(catch")
-        | cast
-        | created
-        | (is_in(n1, ".") & is_in(n2, "class"))
-        | (after_new & ~is_in(n1, "("))
+    headed = ["extends", "implements", "throws", "permits", "instanceof"]
+    out = add(
+        out,
+        is_call=yes(f"{called} AND NOT {among('p1', '@', 'record', 'case', 'instanceof')} AND (p1 = '.' OR NOT {bare_class_level})"),
+        is_scoped_call=yes(f"{called} AND p1 = '.'"),
+        is_new=created,
+        type_place=yes(
+            either(
+                f"nk1 = 'i' AND NOT {among('p1', '@')}",
+                "gd > 0", "n1 = '<' AND n_g_open", "n1 = '[' AND n2 = ']'", among("n1", "...", "::"),
+                among("p1", *headed), among("head", *headed, "class", "interface"), among("inner_bk", "(catch"),
+                cast, created, f"{after_new} AND n1 <> '('",
+                "n1 = '.' AND (n2 = 'class' OR nk3 = 'i')", r"n1 = '.' AND n3 = '<' AND n2 RLIKE r'^\p{Lu}'",
+            )
+        ),
+        free="kind = 'i' AND NOT " + either(
+            "p1_type_end", "is_var", "is_mname", among("p1", "class", "interface", "enum", "record", "@", "break", "continue"),
+            yes("starts AND n1 = ':'"), among("head", "import", "package"), yes("record_pos = pos"),
+            yes("inner_bk = '(annot' AND n1 = '='"),
+            yes("n1 = '->' OR (p1 = '(' AND n1 = ')' AND n2 = '->')"),
+        ),
     )
-    declared = (
-        F.col("p1_type_end")
-        | F.col("is_var")
-        | F.col("is_mname")
-        | is_in(p1, "class", "interface", "enum", "record", "@")
-    )
-    outside = is_in(head, "import", "package") | (F.col("record_pos") == F.col("pos"))
-    member_name = (bk == "(annot") & is_in(n1, "=")
-    lambda_name = is_in(n1, "->") | (is_in(p1, "(") & is_in(n1, ")") & is_in(n2, "->"))
-    free = ident & no(declared) & no(label) & no(outside) & no(member_name) & no(lambda_name)
-    return out.withColumns(
-        {
-            "is_call": yes(call),
-            "is_scoped_call": yes(ident & is_in(n1, "(") & dotted & ~after_new & ~F.col("is_mname")),
-            "is_new": yes(created),
-            "is_type_use": free
-            & yes(type_place)
-            & (no(dotted) | generic_argument | yes(created) | is_in(F.col("nk1"), "i")),
-            "is_name_use": free & no(type_place) & no(dotted) & ~is_in(n1, "(") & no(class_level_name),
-        }
+    dotted = among("p1", ".")
+    return add(
+        out,
+        is_type_use=f"(free AND type_place AND (NOT {dotted} OR gd > 0 OR is_new OR {among('nk1', 'i')}))",
+        is_name_use=f"(free AND NOT type_place AND NOT {dotted} AND NOT {among('n1', '(')} AND NOT {bare_class_level})",
     )
 
 
+# The columns that rules read; everything else is scaffolding.
+FACTS = """path pos tok kind raw_len comments p1 p2 p3 n1 n2 n3 n4 pk1 nk1 nk2 end_off boundary_pos line lvl gd gd1 gd2 g_open g_close
+    head class_name mname mname_pos is_mname case_pos sib_direct sib_line prior_if_direct operand_pos operand_line sum_pos sum_end_off
+    sum_line sum_op inner_pos inner_bk inner_ent inner_entc closed_bk eq_pos bare_loop_pos method_level class_level loop_level try_level
+    ent_level blk_level entc_level blkc_level if_paren_level private_pos static_pos final_pos starts encl_pos encl_bk decl_pos decl_line
+    decl_owner decl_owner_kind decl_doc is_first_var is_var is_param is_call is_scoped_call is_new is_type_use is_name_use""".split()
+
+
+def tokens(files: DataFrame) -> DataFrame:
+    """The token facts every rule reads."""
+    stages = [lex, _reading_columns, _generic_columns, _head_columns, _bracket_columns, _statement_columns, _roles]
+    return reduce(lambda df, stage: stage(df), stages, files).select(*FACTS)
+
+
 def rejects(files: DataFrame) -> DataFrame:
-    """Files whose brackets do not balance; ``audit`` leaves them out and reports them here."""
-    t = F.col("tok")
-    step = F.when(t.isin(OPENERS), 1).when(t.isin(CLOSERS), -1).otherwise(0)
-    level = lex(files).withColumn("level", F.sum(step).over(running()))
-    per_file = level.groupBy("path").agg(F.sum(step).alias("surplus"), F.min("level").alias("lowest"))
-    reason = F.when(F.col("lowest") < 0, "closing bracket without an opening one").otherwise("bracket left open")
-    return per_file.filter((F.col("surplus") != 0) | (F.col("lowest") < 0)).select("path", reason.alias("reason"))
-
-
-def documented() -> Column:
-    """Whether the last comment in front of the token is a documentation comment."""
-    return F.coalesce(F.try_element_at("comments", F.lit(-1)).rlike(r"^/\*\*[^/]"), F.lit(False))
+    """Files whose brackets do not balance, with the reason."""
+    level_now = add(lex(files), level=f"sum({BRACE_STEP}) OVER ({READ} {UP_TO})")
+    per_file = level_now.groupBy("path").agg(F.expr(f"sum({BRACE_STEP}) AS surplus"), F.min("level").alias("lowest"))
+    reason = "CASE WHEN lowest < 0 THEN 'closing bracket without an opening one' ELSE 'bracket left open' END AS reason"
+    return per_file.filter("surplus <> 0 OR lowest < 0").selectExpr("path", reason)

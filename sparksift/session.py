@@ -18,6 +18,8 @@ def build_session(master: str | None = None, app: str = "sparksift", **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # A rule compiles about 120 classes; the default of 100 entries would evict them all on every run.
+        "spark.sql.codegen.cache.maxEntries": "2000",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)

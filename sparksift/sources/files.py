@@ -27,7 +27,7 @@ def scan_sources(spark: SparkSession, folder: str, suffix: str = ".java") -> Dat
     return found.select(
         "path",
         F.substring_index("path", "/", -1).alias("file_name"),
-        F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.decode("content", "UTF-8").alias("content"),
     )
 
 
