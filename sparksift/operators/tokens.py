@@ -124,6 +124,15 @@ def _reading_columns(tokens: DataFrame) -> DataFrame:
     )
 
 
+# Over all tokens of a file: brackets left open, and the lowest level reached.
+SURPLUS = f"sum({BRACE_STEP}) OVER (PARTITION BY path)"
+LOWEST = "min(level_after) OVER (PARTITION BY path)"
+
+
+def _balanced_files(tokens: DataFrame) -> DataFrame:
+    return add(tokens, surplus=SURPLUS, lowest=LOWEST).filter("surplus = 0 AND lowest >= 0")
+
+
 def _generic_columns(tokens: DataFrame) -> DataFrame:
     """``gd``: how many type-argument lists are open after the token; ``gd1`` to ``gd3`` for the tokens before.
 
@@ -248,6 +257,7 @@ def _bracket_columns(tokens: DataFrame) -> DataFrame:
         out,
         sib_paren=last_when("tok = '('", "paren", LEVEL),
         sib_direct=last_when("tok = '('", "direct", LEVEL),
+        sib_p1=last_when("tok = '('", "p1", LEVEL),
         sib_p2=last_when("tok = '('", "p2", LEVEL),
         sib_line=last_when("tok = '('", "line", LEVEL),
         sib_if_direct=last_when("tok = '(' AND p1 = 'if'", "direct", LEVEL),
@@ -261,12 +271,14 @@ def _bracket_columns(tokens: DataFrame) -> DataFrame:
         WHEN p1 = '->' THEN CASE WHEN case_pos > coalesce(boundary_pos, -1) AND (arrow_pos IS NULL OR arrow_pos < case_pos)
             THEN 'case' ELSE 'lambda' END
         WHEN p1 = ')' OR head = 'throws' THEN CASE sib_paren WHEN '(for' THEN 'loop' WHEN '(while' THEN 'loop' WHEN '(try' THEN 'tryres'
-            WHEN '(synchronized' THEN 'sync' WHEN '(new' THEN 'anon' WHEN '(par' THEN 'ctor'
+            WHEN '(synchronized' THEN 'sync' WHEN '(new' THEN 'anon'
+            WHEN '(par' THEN CASE WHEN sib_p2 = ',' OR (sib_p2 = '{' AND sib_p1 <> class_name) THEN 'anon' ELSE 'ctor' END
             WHEN '(switch' THEN CASE WHEN sib_direct OR sib_p2 IN (')', 'else', 'do', ':') THEN 'switch' ELSE 'switchx' END
             ELSE substring(sib_paren, 2, 20) END
         WHEN p1 IN ('else', 'do', 'try', 'finally') THEN p1
         WHEN p1 = 'static' THEN 'init'
         WHEN p1 IS NULL OR p1 IN ('{', '}', ';', ':') THEN 'bare'
+        WHEN class_kw_kind = 'record' AND p1 = class_name THEN 'ctor'
         ELSE 'other' END"""
     do_tail = "tok = '(' AND p1 = 'while' AND p2 = '}' AND sib_block_p1 = 'do'"
     out = add(
@@ -379,12 +391,12 @@ def _roles(tokens: DataFrame) -> DataFrame:
                 "gd > 0", "n1 = '<' AND n_g_open", "n1 = '[' AND n2 = ']'", among("n1", "...", "::"),
                 among("p1", *headed), among("head", *headed, "class", "interface"), among("inner_bk", "(catch"),
                 cast, created, f"{after_new} AND n1 <> '('",
-                "n1 = '.' AND (n2 = 'class' OR nk3 = 'i')", r"n1 = '.' AND n3 = '<' AND n2 RLIKE r'^\p{Lu}'",
+                "n1 = '.' AND (n2 = 'class' OR (nk2 = 'i' AND nk3 = 'i'))", r"n1 = '.' AND n3 = '<' AND n2 RLIKE r'^\p{Lu}'",
             )
         ),
         free="kind = 'i' AND NOT " + either(
             "p1_type_end", "is_var", "is_mname", among("p1", "class", "interface", "enum", "record", "@", "break", "continue"),
-            yes("starts AND n1 = ':'"), among("head", "import", "package"), yes("record_pos = pos"),
+            yes("starts AND (n1 = ':' OR tok = 'yield')"), among("head", "import", "package"), yes("record_pos = pos"),
             yes("inner_bk = '(annot' AND n1 = '='"),
             yes("n1 = '->' OR (p1 = '(' AND n1 = ')' AND n2 = '->')"),
         ),
@@ -406,14 +418,14 @@ FACTS = """path pos tok kind raw_len comments p1 p2 p3 n1 n2 n3 n4 pk1 nk1 nk2 e
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """The token facts every rule reads."""
-    stages = [lex, _reading_columns, _generic_columns, _head_columns, _bracket_columns, _statement_columns, _roles]
+    """The token facts every rule reads; files with unbalanced brackets are left to ``rejects``."""
+    stages = [lex, _reading_columns, _balanced_files, _generic_columns, _head_columns, _bracket_columns, _statement_columns, _roles]
     return reduce(lambda df, stage: stage(df), stages, files).select(*FACTS)
 
 
 def rejects(files: DataFrame) -> DataFrame:
     """Files whose brackets do not balance, with the reason."""
-    level_now = add(lex(files), level=f"sum({BRACE_STEP}) OVER ({READ} {UP_TO})")
-    per_file = level_now.groupBy("path").agg(F.expr(f"sum({BRACE_STEP}) AS surplus"), F.min("level").alias("lowest"))
+    level_now = add(lex(files), level_after=f"sum({BRACE_STEP}) OVER ({READ} {UP_TO})")
+    per_file = level_now.groupBy("path").agg(F.expr(f"sum({BRACE_STEP}) AS surplus"), F.min("level_after").alias("lowest"))
     reason = "CASE WHEN lowest < 0 THEN 'closing bracket without an opening one' ELSE 'bracket left open' END AS reason"
     return per_file.filter("surplus <> 0 OR lowest < 0").selectExpr("path", reason)
