@@ -6,14 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Every character up to U+0020.
+CONTROL = "".join(map(chr, range(33)))
+WORD_MARKS = " \t\n\x0b\f\r;{}()[],."
+
+
 def trim_control(column: Column) -> Column:
     """Strip every character up to U+0020 from both ends, not only blanks."""
-    return F.regexp_replace(column, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.trim(column, F.lit(CONTROL))
 
 
-def split_count(column: Column, delimiter: str) -> Column:
-    """Number of pieces between delimiters, pieces after the last text not counted."""
-    body = F.regexp_replace(column, rf"(?:{delimiter})++\z", "")
+def split_count(column: Column, delimiter: str, marks: str) -> Column:
+    """Number of pieces between delimiters, pieces after the last text not counted.
+
+    ``marks`` are the characters that delimiters are made of.
+    """
+    body = F.rtrim(column, F.lit(marks))
     return F.when(column == "", 1).when(body == "", 0).otherwise(F.size(F.split(body, delimiter)))
 
 
@@ -24,7 +32,7 @@ def line_profile(content: Column, line_mark: str = "//", block_open: str = "/*",
     so nothing is exploded and nothing is shuffled.
     """
     text = F.when(content.contains("\r"), F.regexp_replace(content, r"\r\n?", "\n")).otherwise(content)
-    body = F.regexp_replace(text, r"\n++\z", "")
+    body = F.rtrim(text, F.lit("\n"))
     nothing = F.array().cast("array<string>")
     lines = F.when((body == "") & (text != ""), nothing).otherwise(F.split(body, "\n"))
     zero = F.struct(
@@ -65,15 +73,16 @@ def normalise_code(column: Column) -> Column:
 
 
 def content_hash(column: Column) -> Column:
-    return F.sha2(normalise_code(column), 256)
+    """SHA-256 of the normalised text. Never null, so joins on it need no null test, which would hash twice."""
+    return F.coalesce(F.sha2(normalise_code(column), 256), F.lit(""))
 
 
 def code_words(column: Column) -> Column:
-    return split_count(column, r"\s+|[;{}()\[\],.]")
+    return split_count(column, r"\s+|[;{}()\[\],.]", WORD_MARKS)
 
 
 def code_lines(column: Column) -> Column:
-    return split_count(column, r"\n")
+    return split_count(column, r"\n", "\n")
 
 
 def maintainability(words: Column, complexity: Column, lines: Column) -> Column:

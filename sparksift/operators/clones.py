@@ -36,15 +36,6 @@ def method_items(tokens: DataFrame, min_statements: int = 3) -> DataFrame:
     )
 
 
-def text_items(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Whole texts as items; the label is the id."""
-    key = F.col(id_column).cast("string")
-    return texts.select(
-        key.alias("path"), key.alias("label"), F.lit(1).alias("line"), F.lit(0).cast("long").alias("node"),
-        content_hash(F.col(text_column)).alias("hash"),
-    )
-
-
 def clone_groups(items: DataFrame) -> DataFrame:
     """Hashes held by more than one item, with their number of copies."""
     return items.groupBy("hash").agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)

@@ -49,9 +49,14 @@ def hit(
     return f"CASE WHEN coalesce({condition}, false) THEN named_struct({struct}) END"
 
 
-def emit(rows: DataFrame, hits: list[str]) -> DataFrame:
-    """All findings of one grain in a single pass over its rows."""
-    found = rows.selectExpr("path", f"explode(array_compact(array({', '.join(hits)}))) AS f")
+def emit(rows: DataFrame, hits: Iterable[str] = (), many: Iterable[str] = ()) -> DataFrame:
+    """All findings of one grain in a single pass over its rows.
+
+    ``hits`` are single candidates, ``many`` are arrays of findings of a row.
+    """
+    arrays = [f"array_compact(array({', '.join(hits)}))"] if hits else []
+    arrays += many
+    found = rows.selectExpr("path", f"explode({arrays[0] if len(arrays) == 1 else 'concat(' + ', '.join(arrays) + ')'}) AS f")
     return found.selectExpr(
         "f.type", "f.message", "f.severity", "substring_index(path, '/', -1) AS file_name", "f.line_number", "f.rule_id",
         "f.category", "f.suggestion", "path", "f.ord",

@@ -501,15 +501,18 @@ def import_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Data
 # Files -------------------------------------------------------------------
 
 
-def file_rules(files: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
-    """Size and comment share of the raw text; a projection, no shuffle."""
-    profile = files.select("path", tx.line_profile(F.col("content")).alias("profile"))
-    rows = profile.select(
-        "path", F.expr("substring_index(path, '/', -1) AS name"), F.col("profile.code").alias("code"),
+def measured_files(files: DataFrame) -> DataFrame:
+    """Files with code lines and comment share of the raw text; a projection, no shuffle."""
+    profiled = files.withColumn("profile", tx.line_profile(F.col("content")))
+    return profiled.select(
+        *files.columns, F.expr("substring_index(path, '/', -1) AS name"), F.col("profile.code").alias("code"),
         tx.comment_ratio(F.col("profile")).alias("ratio"),
     ).withColumn("percent", F.expr("format_string('%.1f%%', ratio * 100)"))
+
+
+def file_hits(cfg: AuditConfig) -> dict[str, str]:
     least = f"{cfg.min_comment_ratio * 100:.0f}%"
-    hits = {
+    return {
         "MET-003": hit(
             "MET-003", f"code > {cfg.max_file_loc}", "MAJOR", "Large file -> {name} ({code} code lines)", "1", "0",
             suggestion=advice("MET-003", str(cfg.max_file_loc)),
@@ -519,4 +522,7 @@ def file_rules(files: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFra
             "Low comment-to-code ratio in {name} ({percent})", "1", "0", suggestion=advice("MET-004", quote(least)),
         ),
     }
-    return emit(rows, wanted(only, hits))
+
+
+def file_rules(files: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
+    return emit(measured_files(files), wanted(only, file_hits(cfg)))

@@ -1,7 +1,8 @@
 """Rules that hold for any text, applied to document tables.
 
 A document is a file here: its path is ``source/id``, its lines are the lines of
-the text. Documents without a candidate are dropped before lines are exploded.
+the text. All rules but the clone rule come from one projection over the texts,
+so a table is read twice for a full audit: once for the hits, once for hashes.
 """
 
 from __future__ import annotations
@@ -12,12 +13,16 @@ from pyspark.sql import functions as F
 from ..catalog import SENSITIVE_TERMS
 from ..config import AuditConfig
 from ..functions import text as tx
+from ..functions.sql import quote
 from .clones import clone_findings
 from .findings import emit, findings_union, hit
-from .rules import file_rules
+from .rules import file_hits, measured_files
 
 SECRET = r"(?i)([a-z0-9_]*(?:" + "|".join(SENSITIVE_TERMS) + r')[a-z0-9_]*)[ \t]*=[ \t]*"[^"\n]*"'
 ADDRESS = r"(?:^|[^0-9.])([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})"
+# What a line must hold to be searched at all; cheap to look for.
+SECRET_SIGN = r'=[ \t]*"'
+ADDRESS_SIGN = r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"
 
 
 def document_files(documents: DataFrame) -> DataFrame:
@@ -26,32 +31,43 @@ def document_files(documents: DataFrame) -> DataFrame:
     )
 
 
-def matching_lines(files: DataFrame, pattern: str) -> DataFrame:
-    """Every match with its line, in reading order."""
-    lines = files.filter(F.col("content").rlike(pattern)).select(
-        "path", F.posexplode(F.split("content", "\n")).alias("at", "line")
-    )
-    matches = F.posexplode(F.regexp_extract_all("line", F.lit(pattern), F.lit(1))).alias("nth", "match")
-    return lines.filter(F.col("line").rlike(pattern)).select("path", (F.col("at") + 1).alias("line_number"), matches)
+def line_matches(pattern: str, sign: str) -> str:
+    """SQL for all matches in ``content`` as an array of (line, nth, match), in reading order."""
+    numbered = "transform(split(content, '\\n'), (text, at) -> named_struct('line', at + 1, 'text', text))"
+    signed = f"filter({numbered}, x -> x.text RLIKE {quote(sign)})"
+    found = f"transform(regexp_extract_all(x.text, {quote(pattern)}, 1), (m, nth) -> named_struct('line', x.line, 'nth', nth, 'match', m))"
+    nothing = "CAST(array() AS array<struct<line: int, nth: int, match: string>>)"
+    return f"CASE WHEN content RLIKE {quote(sign)} THEN flatten(transform({signed}, x -> {found})) ELSE {nothing} END"
+
+
+SECRET_HIT = hit("SEC-001", "true", "CRITICAL", "Hardcoded sensitive value -> {m.match}", "m.line", "m.nth")
+ADDRESS_HIT = hit(
+    "SEC-012", "m.match NOT LIKE '127.%' AND m.match <> '0.0.0.0'", "MAJOR", 'Hardcoded IP address -> "{m.match}"', "m.line", "m.nth"
+)
+
+
+def hits_of(matches: str, found: str) -> str:
+    return f"array_compact(transform({matches}, m -> {found}))"
 
 
 def secret_findings(files: DataFrame) -> DataFrame:
-    found = hit("SEC-001", "true", "CRITICAL", "Hardcoded sensitive value -> {match}", "line_number", "nth")
-    return emit(matching_lines(files, SECRET), [found])
+    return emit(files, many=[hits_of(line_matches(SECRET, SECRET_SIGN), SECRET_HIT)])
 
 
 def address_findings(files: DataFrame) -> DataFrame:
-    shown = "match NOT LIKE '127.%' AND match <> '0.0.0.0'"
-    found = hit("SEC-012", shown, "MAJOR", 'Hardcoded IP address -> "{match}"', "line_number", "nth")
-    return emit(matching_lines(files, ADDRESS), [found])
+    return emit(files, many=[hits_of(line_matches(ADDRESS, ADDRESS_SIGN), ADDRESS_HIT)])
 
 
-def text_clones(files: DataFrame) -> DataFrame:
-    items = files.select(
-        "path", tx.base_name(F.col("path")).alias("label"), F.lit(1).alias("line"), F.lit(0).cast("long").alias("node"),
+def text_items(files: DataFrame) -> DataFrame:
+    """Whole texts as items to compare; the label is the file name."""
+    return files.select(
+        "path", F.substring_index("path", "/", -1).alias("label"), F.lit(1).alias("line"), F.lit(0).cast("long").alias("node"),
         tx.content_hash(F.col("content")).alias("hash"),
     )
-    return clone_findings(items)
+
+
+def text_clones(files: DataFrame) -> DataFrame:
+    return clone_findings(text_items(files))
 
 
 def text_maintainability(files: DataFrame, complexity: int = 1) -> DataFrame:
@@ -72,11 +88,13 @@ def low_maintainability(files: DataFrame, cfg: AuditConfig = AuditConfig()) -> D
 
 def text_audit(files: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
     """All text rules on a document table, before de-duplication."""
-    parts = []
+    parts, single, many = [], [], []
     if cfg.enable_security:
-        parts += [secret_findings(files), address_findings(files)]
+        many = [hits_of(line_matches(SECRET, SECRET_SIGN), SECRET_HIT), hits_of(line_matches(ADDRESS, ADDRESS_SIGN), ADDRESS_HIT)]
+    if cfg.enable_metrics:
+        single = list(file_hits(cfg).values())
+    if single or many:
+        parts.append(emit(measured_files(files) if single else files, single, many))
     if cfg.enable_duplication:
         parts.append(text_clones(files))
-    if cfg.enable_metrics:
-        parts.append(file_rules(files, cfg))
     return findings_union(parts)

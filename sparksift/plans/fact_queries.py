@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import AuditConfig
 from ..functions import text as tx
 from ..operators import text_rules as T
-from ..operators.clones import clone_findings, clone_groups, method_items, text_items
+from ..operators.clones import clone_findings, clone_groups, method_items
 from ..operators.findings import findings_dedup
 from ..operators.members import class_rollup, methods
 from ..operators.rules import file_rules, with_maintainability
@@ -376,7 +376,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "dup_001_clone": (doc_findings(T.text_clones), clones_sql(DOC_ITEMS)),
     "dup_001_clone_groups": (
-        on_documents(lambda d: clone_groups(text_items(d, "doc_id", "text"))),
+        on_documents(lambda d: clone_groups(T.text_items(T.document_files(d)))),
         f"SELECT sha256({NORMAL}) AS hash, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",
     ),
     "dup_001_clone_methods": (
