@@ -64,7 +64,8 @@ def emit(rows: DataFrame, hits: Iterable[str] = (), many: Iterable[str] = ()) ->
 
 
 def findings_union(parts: Iterable[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """All findings in one table; every part has the columns in the order ``emit`` gives them."""
+    return reduce(DataFrame.union, parts)
 
 
 def dedup_key(key: str = "path") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from ..catalog import RULES
@@ -53,18 +55,32 @@ def rule_findings(files: DataFrame, rule_id: str, cfg: AuditConfig = AuditConfig
     return findings_dedup(findings_of(files, tokens(files), {rule_id}, cfg))
 
 
+def stored_facts(facts: DataFrame) -> DataFrame:
+    """The token facts as a table bucketed by path in the shared checkpoint folder.
+
+    Each grain then reads its own columns only, and reads them already
+    partitioned by path, so no grain shuffles tokens. The facts arrive hashed
+    into as many parts as there are buckets: one file per bucket is written.
+    The table stays in the folder until the caller drops it.
+    """
+    spark = facts.sparkSession
+    name = f"sparksift_tokens_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}"
+    facts.write.format("parquet").option("path", folder).bucketBy(buckets, "path").saveAsTable(name)
+    return spark.table(name)
+
+
 def audit(files: DataFrame, cfg: AuditConfig = AuditConfig(), key: str = "path") -> DataFrame:
     """De-duplicated findings of all rules that are switched on.
 
-    A dozen grains read the token facts, so the facts are written once to the
-    shared checkpoint folder; they keep their partitioning by path, and no grain
-    has to shuffle tokens. Files with unbalanced brackets are left out, see
-    ``rejects``.
+    A dozen grains read the token facts, so these are computed and written once.
+    Files with unbalanced brackets have no token facts, see ``rejects``; the
+    rules on size and comments look at the text alone and cover them too.
     """
     on = cfg.enabled_analyzers()
     only = {r.rule_id for r in RULES.values() if r.analyzer in on}
-    ensure_checkpoint_dir(files.sparkSession)
-    facts = tokens(files).checkpoint()
+    facts = stored_facts(tokens(files))
     return apply_toggles(findings_dedup(findings_of(files, facts, only, cfg), key), on)
 
 
