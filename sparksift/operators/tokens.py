@@ -65,14 +65,28 @@ def newlines(column: Column) -> Column:
     return F.when(column.contains("\n"), F.length(column) - F.length(F.replace(column, F.lit("\n"), F.lit("")))).otherwise(0)
 
 
+# Bytes of text per part: its tokens with their facts take some fifty times as much.
+TEXT_PER_PART = 1 << 20
+
+
+def text_parts(files: DataFrame) -> int:
+    """Parts to hash the text into: ``spark.sql.shuffle.partitions``, or fewer if Spark knows the input to be small.
+
+    There are never fewer than the cores at hand. An input of unknown size counts as large.
+    """
+    spark = files.sparkSession
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = max(spark.sparkContext.defaultParallelism, size // TEXT_PER_PART)
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted))
+
+
 def by_path(files: DataFrame) -> DataFrame:
-    """The text, hash-partitioned by path into ``spark.sql.shuffle.partitions`` parts.
+    """The text, hash-partitioned by path.
 
-    The number is given, so that adaptive execution does not merge parts by
-    their size as text: tokens with their facts take some fifty times as much.
+    The number of parts is given, so that adaptive execution does not merge
+    them by their size as text.
     """
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("path", "content").repartition(parts, "path")
+    return files.select("path", "content").repartition(text_parts(files), "path")
 
 
 def unix_lines(column: Column) -> Column:

@@ -11,7 +11,7 @@ from ..config import AuditConfig
 from ..operators import rules as R
 from ..operators.clones import clone_findings, method_items
 from ..operators.findings import apply_toggles, findings_dedup, findings_union
-from ..operators.tokens import rejects, tokens
+from ..operators.tokens import rejects, text_parts, tokens
 from ..session import ensure_checkpoint_dir
 
 # Which function yields which rules.
@@ -55,7 +55,7 @@ def rule_findings(files: DataFrame, rule_id: str, cfg: AuditConfig = AuditConfig
     return findings_dedup(findings_of(files, tokens(files), {rule_id}, cfg))
 
 
-def stored_facts(facts: DataFrame) -> DataFrame:
+def stored_facts(facts: DataFrame, buckets: int) -> DataFrame:
     """The token facts as a table bucketed by path in the shared checkpoint folder.
 
     Each grain then reads its own columns only, and reads them already
@@ -65,7 +65,6 @@ def stored_facts(facts: DataFrame) -> DataFrame:
     """
     spark = facts.sparkSession
     name = f"sparksift_tokens_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = f"{ensure_checkpoint_dir(spark)}/{name}"
     facts.write.format("parquet").option("path", folder).bucketBy(buckets, "path").saveAsTable(name)
     return spark.table(name)
@@ -80,7 +79,7 @@ def audit(files: DataFrame, cfg: AuditConfig = AuditConfig(), key: str = "path")
     """
     on = cfg.enabled_analyzers()
     only = {r.rule_id for r in RULES.values() if r.analyzer in on}
-    facts = stored_facts(tokens(files))
+    facts = stored_facts(tokens(files), text_parts(files))
     return apply_toggles(findings_dedup(findings_of(files, facts, only, cfg), key), on)
 
 
