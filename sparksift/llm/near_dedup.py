@@ -5,11 +5,11 @@ it. Two documents are linked if their probability Jaccard similarity, the sum ov
 1 / sum_e max(x_e / x_d, y_e / y_d), or the plain Jaccard similarity of their shingle sets is at least 0.8. A class is a connected component
 of links; its id is its smallest document id, and that document stays.
 
-1. *Signature.* Each shingle is a Poisson process whose rate is its weight; arrivals fall on one of 240 components, and the earliest
+1. *Signature.* Each shingle is a Poisson process whose rate is its weight; arrivals fall on one of 150 components, and the earliest
    arrival at a component names it. Arrivals are made in order of time and stop as soon as every component of the document has one.
    The chance that a component agrees is the probability Jaccard similarity.
 2. *Classes of equal shingles* are formed first (two 64-bit sums over shingles and weights), so copies never meet in a pair.
-3. *Bands*: 40 bands of 6 components. A pair of similarity 0.8 shares none with a chance of 5e-6, one of 0.2 some with 0.3 %.
+3. *Bands*: 30 bands of 5 components. A pair of similarity 0.8 shares none with a chance of 7e-6, one of 0.2 some with 1 %.
 4. *Verification by hubs.* In each bucket every text is compared exactly with one hub, drawn by a hash that differs by bucket. Links are
    contracted to components, and buckets that still hold several components get new hubs, against members of other components only.
    After `HUB_ROUNDS`, texts of different components in a bucket are compared with each other: nothing is left out, and a large group
@@ -32,9 +32,10 @@ from .graph import components, stored
 from .text_arrays import U64, Words, mix, rolling, slices, texts_of, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, BAND_SIZE = 40, 6
+BANDS, BAND_SIZE = 30, 5
 SIZE = BANDS * BAND_SIZE
 HUB_ROUNDS = 3
+SIGNED_BYTES = 3 << 20  # of text at once: a step of the arrivals costs the same for few and many texts
 GOLD, OTHER = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
 
 
@@ -104,7 +105,7 @@ SIGNED = "id long, s1 long, s2 long, bands array<long>"
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SIGNED_BYTES):
         n = batch.num_rows
         text, value, count = shingles(words_of(texts_of(batch.column(1))), n)
         sums = [np.zeros(n, U64), np.zeros(n, U64)]

@@ -8,7 +8,7 @@ starts earlier: in a document with a smaller id, or earlier in the same document
    positions, so an anchor's count is never below that of any of its windows, and there are some seven times fewer anchors than
    windows. Partition sketches are sparse and are merged in two levels by ranges of cells. The merged sketch, one bit for each cell
    ("two or more"), is the only thing that is broadcast: 32 MB, whatever the input. On larger inputs it rules out less, and loses nothing.
-2. *Exact pass.* Windows whose anchor is estimated repeated are sorted within the task by a 128-bit hash. Only the first of each in the
+2. *Exact pass.* Windows whose anchor is estimated repeated are sorted within the task by a 96-bit hash. Only the first of each in the
    task is shuffled, so a passage in a third of all documents costs one row per task. In each hash partition rows are sorted and streamed, and all
    but the first start are removals.
 
@@ -34,7 +34,7 @@ ROWS, CELL_BITS, CHUNK_BITS = 2, 27, 20
 FAN = 16
 SEEDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 NULL_ID = (1 << 63) - 1
-FLUSH_ANCHORS, FLUSH_WINDOWS = 4_000_000, 1_500_000
+FLUSH_ANCHORS, FLUSH_WINDOWS = 2_000_000, 500_000
 
 
 def anchors(words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,8 +138,8 @@ def repeated_cells(texts: DataFrame, window: int, anchor: int, bits: int) -> lis
     return maps
 
 
-OPEN = "settled boolean, h1 long, h2 long, id long, text_key long, at int, until int"
-TYPES = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+OPEN = "settled boolean, h1 long, h2 int, id long, text_key int, at int, until int"
+TYPES = [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 NAMES = [x.split()[0] for x in OPEN.split(", ")]
 
 
@@ -171,12 +171,13 @@ def candidate_windows(sketch, window: int, anchor: int, bits: int):
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             first = (ids == ids[lead]) & (at == at[lead])
             o = np.flatnonzero(first)
-            yield batch_of([np.zeros(len(o), bool), h1[o].view(np.int64), h2[o].view(np.int64), ids[o], keys[o], at[o], at[o] + window])
+            o = o[np.lexsort((at[o], keys[o], ids[o]))]  # rows of one document together compress well
+            yield batch_of([np.zeros(len(o), bool), h1[o].view(np.int64), h2[o], ids[o], keys[o], at[o], np.zeros(len(o), np.int32)])
             s = np.flatnonzero(~first)
             s = s[np.lexsort((at[s], keys[s], ids[s]))]
             i, k, a, z = runs(ids[s], keys[s], at[s], window)
-            spread = mix(i.view(U64) ^ k.view(U64)).view(np.int64)
-            yield batch_of([np.ones(len(i), bool), spread, spread, i, k, a.astype(np.int32), z.astype(np.int32)])
+            spread = mix(i.view(U64)).view(np.int64)  # settled spans only pass through, dealt by document
+            yield batch_of([np.ones(len(i), bool), spread, np.zeros(len(i), np.int32), i, k, a.astype(np.int32), z.astype(np.int32)])
 
         held, n = [], 0
         for batch in slices(batches, "text"):
@@ -193,7 +194,7 @@ def candidate_windows(sketch, window: int, anchor: int, bits: int):
             if not len(chosen):
                 continue
             doc = words.text[chosen]
-            held.append((rolling(words.hashes, window, 1)[chosen], rolling(words.hashes, window, 2)[chosen], ints(batch.column(0), NULL_ID)[doc], ints(batch.column(1), 0)[doc], (chosen - words.first[doc]).astype(np.int32)))
+            held.append((rolling(words.hashes, window, 1)[chosen], (rolling(words.hashes, window, 2)[chosen] >> U64(32)).astype(np.uint32).view(np.int32), ints(batch.column(0), NULL_ID)[doc], ints(batch.column(1), 0).astype(np.int32)[doc], (chosen - words.first[doc]).astype(np.int32)))
             n += len(chosen)
             if n >= FLUSH_WINDOWS:
                 yield from flush(held)
@@ -204,28 +205,32 @@ def candidate_windows(sketch, window: int, anchor: int, bits: int):
     return run
 
 
-SPANS = "id long, text_key long, at int, until int"
+SPANS = "id long, text_key int, at int, until int"
 
 
-def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def later_windows(window: int):
     """Of rows sorted by (h1, h2, id, at), all windows but the first start of each; settled spans pass through."""
-    last = None
-    for batch in batches:
-        settled, h1, h2, ids, keys, at, until = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        n = len(h1)
-        if not n:
-            continue
-        new = np.ones(n, bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (settled[1:] != settled[:-1])
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        lead_id, lead_at = ids[lead], at[lead]
-        if last is not None and not settled[0] and last[:2] == (h1[0], h2[0]):  # the group goes on from the batch before
-            same = lead == 0
-            lead_id[same], lead_at[same] = last[2], last[3]
-        if not settled[-1]:
-            last = (h1[-1], h2[-1], lead_id[-1], lead_at[-1])
-        out = np.flatnonzero(settled | (ids != lead_id) | (at != lead_at))
-        yield batch_of([ids[out], keys[out], at[out], until[out]], TYPES[3:], NAMES[3:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            settled, h1, h2, ids, keys, at, until = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            n = len(h1)
+            if not n:
+                continue
+            new = np.ones(n, bool)
+            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (settled[1:] != settled[:-1])
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+            lead_id, lead_at = ids[lead], at[lead]
+            if last is not None and not settled[0] and last[:2] == (h1[0], h2[0]):  # the group goes on from the batch before
+                same = lead == 0
+                lead_id[same], lead_at[same] = last[2], last[3]
+            if not settled[-1]:
+                last = (h1[-1], h2[-1], lead_id[-1], lead_at[-1])
+            out = np.flatnonzero(settled | (ids != lead_id) | (at != lead_at))
+            yield batch_of([ids[out], keys[out], at[out], np.where(settled[out], until[out], at[out] + window).astype(np.int32)], TYPES[3:], NAMES[3:])
+
+    return run
 
 
 RESULT = StructType().add("n_words", "long").add("n_removed", "long").add("kept", "string").add("kept_sha256", "string")
@@ -267,7 +272,7 @@ def removed_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, b
     """Spans of words to remove, as (id, text_key, at, until), of rows (id, text_key, text)."""
     sketch = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows, window, anchor, bits))
     found = rows.select("id", "text_key", "text").mapInArrow(candidate_windows(sketch, window, anchor, bits), OPEN)
-    return found.repartition("h1").sortWithinPartitions("settled", "h1", "h2", "id", "at").mapInArrow(later_windows, SPANS)
+    return found.repartition("h1").sortWithinPartitions("settled", "h1", "h2", "id", "at").mapInArrow(later_windows(window), SPANS)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = True, window: int = WINDOW, bits: int = CELL_BITS, result: str = "repeats") -> DataFrame:
@@ -277,7 +282,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     column, which is not returned. kept_sha256 is of the kept words joined by one space. An input column named like `result` is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (result, text_col)]
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("__row"))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.hash(text_col).alias("__key"), F.col(text_col).alias("__text"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("__row"))
     rows = keyed.select(F.col("__id").alias("id"), F.col("__key").alias("text_key"), F.col("__text").alias("text"))
     spans = removed_spans(rows, window=window, bits=bits).groupBy("id", "text_key").agg(F.collect_list(F.struct("at", "until")).alias("__spans"))  # no more than the words of one document
     joined = keyed.join(spans, (F.col("__id") == F.col("id")) & (F.col("__key") == F.col("text_key")), "left").select("__row", "__text", "__spans")

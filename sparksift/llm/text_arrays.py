@@ -1,7 +1,7 @@
 """Words, lines and n-grams of whole Arrow batches as numpy arrays.
 
 A batch of texts is one byte buffer with offsets, so words and their hashes come from a few array operations per batch instead
-of a Python loop per word. A word is ``[^\\x20\\x09-\\x0D]+`` in UTF-8 bytes. Hashes have 64 bits; exact grouping uses two lanes.
+of a Python loop per word. A word is ``[^\\x20\\x09-\\x0D]+`` in UTF-8 bytes. Hashes have 64 bits; exact grouping uses two lanes of a hash.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
-SPAN = 1 << 19
+SLICE_BYTES = 1 << 19
+SPAN = 1 << 18
 _RANDOM = np.random.default_rng(20240229)
 BYTE_VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
 BASES = [int(x) | 1 for x in _RANDOM.integers(1 << 40, 1 << 63, 4, dtype=np.uint64)]
