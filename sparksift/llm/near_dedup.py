@@ -1,19 +1,20 @@
 """Near duplicates by ProbMinHash over weighted shingles, banding, and exact verification.
 
-A document's shingles are its runs of five words, weighted by their number; a document of one to four words has one shingle, all of
-it. Two documents are linked if their probability Jaccard similarity, the sum over common shingles d of
-1 / sum_e max(x_e / x_d, y_e / y_d), or the plain Jaccard similarity of their shingle sets is at least 0.8. A class is a connected component
-of links; its id is its smallest document id, and that document stays.
+A document's shingles are its runs of five words; one that occurs n times weighs 1 + ln n, so that a phrase repeated a thousand times does not outweigh
+the rest of a text. A document of one to four words has one shingle, all of it. Two documents are linked if the Jaccard similarity of their shingle
+sets is at least 0.8. A class is a connected component of links; its id is its smallest document id, and that document stays.
 
 1. *Signature.* Each shingle is a Poisson process whose rate is its weight; arrivals fall on one of 150 components, and the earliest
    arrival at a component names it. Arrivals are made in order of time and stop as soon as every component of the document has one.
-   The chance that a component agrees is the probability Jaccard similarity.
+   The chance that a component agrees is the probability Jaccard similarity, the sum over common shingles d of 1 / sum_e max(x_e / x_d, y_e / y_d),
+   which is the plain one where weights are equal.
 2. *Classes of equal shingles* are formed first (two 64-bit sums over shingles and weights), so copies never meet in a pair.
 3. *Bands*: 30 bands of 5 components. A pair of similarity 0.8 shares none with a chance of 7e-6, one of 0.2 some with 1 %.
-4. *Verification by hubs.* In each bucket every text is compared exactly with one hub, drawn by a hash that differs by bucket. Links are
-   contracted to components, and buckets that still hold several components get new hubs, against members of other components only.
-   After `HUB_ROUNDS`, texts of different components in a bucket are compared with each other: nothing is left out, and a large group
-   of near copies, which the hubs have joined, costs rows in proportion to its size.
+4. *Verification.* Pairs are compared exactly, and only those of one bucket that links have not joined yet. A bucket with no more than `EACH` such
+   pairs for each of its texts is settled at once. In larger ones every text is compared with one hub, first the text that shares most
+   buckets; links are contracted to components, and new hubs are drawn as long as a round joins `WORTH` of the texts. A group of near copies is
+   joined after a few rounds, for one comparison a text and round. What is left in large buckets are texts that share a passage rather than being
+   copies; their pairs come from an exact prefix-filter join on their rarest shingles.
 
 Defined cases: a text without words (null, empty, blank) is a class of its own; rows with one id are one document of all their shingle
 sets' links, and null ids are returned as classes of their own, not compared.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components, stored
@@ -34,7 +35,7 @@ from .text_arrays import U64, Words, mix, rolling, slices, texts_of, words_of
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_SIZE = 30, 5
 SIZE = BANDS * BAND_SIZE
-HUB_ROUNDS = 3
+HUB_ROUNDS, EACH, WORTH = 8, 4, 0.05
 SIGNED_BYTES = 3 << 20  # of text at once: a step of the arrivals costs the same for few and many texts
 GOLD, OTHER = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
 
@@ -60,11 +61,15 @@ def shingles(words: Words, n_texts: int, k: int = SHINGLE) -> tuple[np.ndarray,
     return t[at], v[at], np.diff(np.append(at, len(t)))
 
 
-def signatures(text: np.ndarray, value: np.ndarray, count: np.ndarray, n_texts: int, size: int = SIZE) -> np.ndarray:
+def weights(count: np.ndarray) -> np.ndarray:
+    return 1 + np.log(count)
+
+
+def signatures(text: np.ndarray, value: np.ndarray, weight: np.ndarray, n_texts: int, size: int = SIZE) -> np.ndarray:
     """ProbMinHash signatures (n_texts, size); texts without shingles get zeros."""
     best = np.full(n_texts * size, np.inf)
     owner = np.zeros(n_texts * size, U64)
-    total = np.bincount(text, count, n_texts)
+    total = np.bincount(text, weight, n_texts)
     limit = np.full(n_texts, 0.0)
     has = total > 0
     limit[has] = size * (np.log(size) + 2) / total[has]
@@ -79,7 +84,7 @@ def signatures(text: np.ndarray, value: np.ndarray, count: np.ndarray, n_texts:
             draw = now[fresh[now]]
             if len(draw):
                 u = mix(value[draw] + GOLD * (arrival[draw] + U64(1)))
-                time[draw] += -np.log(((u >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / count[draw]
+                time[draw] += -np.log(((u >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight[draw]
                 fresh[draw] = False
             now = now[time[now] <= limit[text[now]]]
             slot = ((mix(value[now] ^ (OTHER * (arrival[now] + U64(1)))) >> U64(32)) * U64(size) >> U64(32)).astype(np.int64)
@@ -111,65 +116,88 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros(n, U64), np.zeros(n, U64)]
         for lane, salt in enumerate((GOLD, OTHER)):
             np.add.at(sums[lane], text, mix(value ^ mix(count.astype(U64) * salt + U64(lane))))
-        bands = band_hashes(signatures(text, value, count, n))
+        bands = band_hashes(signatures(text, value, weights(count), n))
         some = np.bincount(text, minlength=n) > 0
         offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[some].reshape(-1).view(np.int64)))
         yield pa.record_batch([batch.column(0).cast(pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), lists], ["id", "s1", "s2", "bands"])
 
 
-WEIGHED = "id long, shingles binary, counts binary"
+SETS = "id long, shingles binary"
 
 
-def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        text, value, count = shingles(words_of(texts_of(batch.column(1))), batch.num_rows)
+        text, value, _ = shingles(words_of(texts_of(batch.column(1))), batch.num_rows)
         cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
-        yield pa.record_batch(
-            [
-                batch.column(0).cast(pa.int64()),
-                pa.array([value[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-                pa.array([count[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-            ],
-            ["id", "shingles", "counts"],
-        )
-
-
-def similarity(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> tuple[float, float]:
-    """(plain, probability) Jaccard similarity of weighted sets with sorted keys."""
+        yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array([value[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["id", "shingles"])
+
+
+def single_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            ids, blobs = batch.column(0).slice(k, 64).to_pylist(), batch.column(1).slice(k, 64).to_pylist()
+            sizes = [len(b) // 8 for b in blobs]
+            columns = [np.repeat(np.array(ids, np.int64), sizes), np.frombuffer(b"".join(blobs), np.int64), np.repeat(np.array(sizes, np.int32), sizes)]
+            yield pa.record_batch([pa.array(c) for c in columns], ["id", "shingle", "size"])
+
+
+def similarity(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> float:
+    """Probability Jaccard similarity of two texts, of their sorted shingles and counts."""
     common, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     if not len(common):
-        return 0.0, 0.0
-    plain = len(common) / (len(x) + len(y) - len(common))
-    a, b = nx[i].astype(float), ny[j].astype(float)
+        return 0.0
+    nx, ny = weights(nx), weights(ny)
+    a, b = nx[i], ny[j]
     ratio = a / b
     order = np.argsort(ratio)
-    ratio, a, b = ratio[order], a[order], b[order]
+    a, b = a[order], b[order]
     only_x, only_y = float(nx.sum() - a.sum()), float(ny.sum() - b.sum())
     # sum_e max(x_e / x_d, y_e / y_d): the x side for common e of a larger ratio than d, the y side for the others
-    above = a.sum() - np.cumsum(a)
-    below = np.cumsum(b)
-    return plain, float((1.0 / ((only_x + above) / a + (only_y + below) / b)).sum())
+    above, below = a.sum() - np.cumsum(a), np.cumsum(b)
+    return float((1.0 / ((only_x + above) / a + (only_y + below) / b)).sum())
 
 
 def verified(threshold: float):
+    """Pairs whose shingle sets have a Jaccard similarity of the threshold or more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, nx, y, ny = (c.to_pylist() for c in batch.columns)
-            good = [
-                max(similarity(np.frombuffer(p, U64), np.frombuffer(np_, "<u4"), np.frombuffer(q, U64), np.frombuffer(nq, "<u4"))) >= threshold - 1e-12
-                for p, np_, q, nq in zip(x, nx, y, ny, strict=True)
-            ]
-            keep = [i for i, g in enumerate(good) if g]
+            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            keep = []
+            for i, (p, q) in enumerate(zip(x, y, strict=True)):
+                both = (len(p) + len(q)) // 8
+                if min(len(p), len(q)) >= threshold * max(len(p), len(q)) - 1e-6:
+                    common = both - len(np.unique(np.frombuffer(p + q, U64)))
+                    if common >= threshold * (both - common) - 1e-9:
+                        keep.append(i)
             yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
     return run
 
 
 def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), F.col("counts").alias("nx"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"), F.col("counts").alias("ny"))
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "nx", "y", "ny").mapInArrow(verified(threshold), "a long, b long"))
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verified(threshold), "a long, b long"))
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of members (id, root) of different roots that can reach the threshold, by their rarest shingles.
+
+    With shingles ordered by their number of members, rarest first, two sets of n and m shingles that reach the threshold t share one within the first
+    n - ceil(t n) + 1 and m - ceil(t m) + 1, and t n <= m <= n / t. A passage that all members hold is at the end of that order. The
+    first common shingle, at places i and j, must leave room for t / (1 + t) (n + m) common ones: 1 + min(n - i, m - j).
+    """
+    rows = members.join(sets, "id").select("id", "shingles").mapInArrow(single_shingles, "id long, shingle long, size int")
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "shingle"))  # within one text
+    kept = rows.join(counts, "shingle").withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - F.ceil(F.lit(threshold - 1e-9) * F.col("size")) + 1)
+    prefix = stored(kept.filter("n > 1").join(members, "id").select("id", "root", "shingle", "size", "rank"))
+    other = prefix.select("shingle", F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("size").alias("size2"), F.col("rank").alias("rank2"))
+    near = (F.least("size", "size2") >= F.lit(threshold - 1e-9) * F.greatest("size", "size2")) & (F.col("root") < F.col("root2"))
+    near &= 1 + F.least(F.col("size") - F.col("rank"), F.col("size2") - F.col("rank2")) >= F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("size2")) - 1e-6
+    return prefix.join(other, "shingle").filter(near).select(*ordered("id", "id2")).distinct()
 
 
 def ordered(a: str, b: str) -> list:
@@ -178,25 +206,41 @@ def ordered(a: str, b: str) -> list:
 
 def near_links(buckets: DataFrame, sets: DataFrame, threshold: float, rounds: int = HUB_ROUNDS) -> DataFrame:
     """Links whose components are those of all pairs in a bucket that reach the threshold. buckets: (bucket, id)."""
-    links, members = None, buckets.withColumn("root", F.col("id"))
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            hubs = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id", F.lit(turn)).alias("h"), F.col("id").alias("hub"), F.col("root").alias("hub_root"))).alias("m"))
-            pairs = members.join(hubs.select("bucket", "m.hub", "m.hub_root"), "bucket").filter("root <> hub_root").select(*ordered("id", "hub"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
+    degrees = stored(buckets.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("degree")))
+    buckets = stored(buckets.join(degrees, "id").select("bucket", "id", "degree"))
+    links, members, turn, before = None, buckets.withColumn("root", F.col("id")), 0, 0
+    while True:
+        by_root = members.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+        # pairs of members of different components
+        open_ = by_root.groupBy("bucket").agg(F.sum("c").alias("n"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("pairs > 0")
+        members = stored(members.join(open_, "bucket"))
+        if members.isEmpty():
+            return links
+        few = F.col("pairs") <= EACH * F.col("n")
+        small = members.filter(few).select("bucket", "id", "root")
+        other = small.select("bucket", F.col("id").alias("id2"), F.col("root").alias("root2"))
+        pairs = small.join(other, "bucket").filter("root < root2").select(*ordered("id", "id2"))
+        large = members.filter(~few).select("bucket", "id", "root", "degree")
+        texts = large.select("id", "root").distinct()
+        n = texts.count()
+        last = turn == rounds or turn > 0 and before < WORTH * n
+        if last:
+            pairs = pairs.unionByName(prefix_pairs(texts, sets, threshold))
         else:
-            other = members.select("bucket", F.col("id").alias("id2"), F.col("root").alias("root2"))
-            pairs = members.join(other, "bucket").filter("root < root2").select(*ordered("id", "id2"))
+            # first the text that shares most buckets, as the original of a group does; then texts by chance, in proportion to that
+            chance = -F.log((F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 30)) + 0.5) / (1 << 30)) / F.col("degree")
+            first = chance if turn else -F.col("degree").cast("double")
+            hubs = large.groupBy("bucket").agg(F.min(F.struct(first.alias("h"), F.col("id").alias("hub"), F.col("root").alias("hub_root"))).alias("m"))
+            # one hub for each text and round: of the buckets whose hub it isn't joined with, any
+            chosen = large.join(hubs.select("bucket", "m.hub", "m.hub_root"), "bucket").filter("root <> hub_root").groupBy("id").agg(F.min(F.struct(F.xxhash64("bucket", F.lit(turn)).alias("h"), "hub")).alias("m"))
+            pairs = pairs.unionByName(chosen.select(*ordered("id", "m.hub")))
         found = linked(pairs.distinct(), sets, threshold)
         links = found if links is None else stored(links.unionByName(found).distinct())
-        if turn == rounds:
-            return links
-        roots = components(links)
-        named = buckets.join(roots, buckets.id == roots.node, "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-        several = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-        members = stored(named.join(several, "bucket"))
-        if members.isEmpty():
+        if last or not n:
             return links
-    return links
+        roots, before, turn = components(links), found.count(), turn + 1
+        members = large.select("bucket", "id", "degree").join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", "degree", F.coalesce("root", "id").alias("root"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -211,7 +255,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = stored(exploded.join(shared, "bucket").select("bucket", F.col("rep").alias("id")))
     wanted = buckets.select("id").distinct()
     reps = rows.join(wanted, "id", "left_semi")
-    sets = stored(reps.mapInArrow(weighed, WEIGHED).dropDuplicates(["id"]))
+    sets = stored(reps.mapInArrow(shingle_sets, SETS).dropDuplicates(["id"]))
     links = near_links(buckets, sets, threshold)
     copies = with_words.join(texts.select("s1", "s2", "rep"), ["s1", "s2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.unionByName(copies))

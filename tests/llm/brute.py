@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -35,21 +36,20 @@ def shingles(text, k=5):
     return Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else Counter()
 
 
-def similarities(x, y):
-    common = x.keys() & y.keys()
-    plain = len(common) / (len(x.keys() | y.keys()) or 1)
-    probability = sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in x.keys() | y.keys()) for d in common) if 0.5 < plain < 1 or plain == 1 and x != y else plain
-    return plain, probability
+def probability_jaccard(x, y):
+    x, y = ({k: 1 + math.log(n) for k, n in c.items()} for c in (x, y))
+    every = x.keys() | y.keys()
+    return sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in every) for d in x.keys() & y.keys())
 
 
 def near_classes(docs, threshold=0.8):
-    sets = {i: shingles(t) for i, t in docs}
+    sets = {i: shingles(t).keys() for i, t in docs}
     holders = defaultdict(set)
     for i, s in sets.items():
         for x in s:
             holders[x].add(i)
     pairs = {p for h in holders.values() for p in combinations(sorted(h), 2)}
-    return classes(list(sets), [p for p in pairs if max(similarities(sets[p[0]], sets[p[1]])) >= threshold])
+    return classes(list(sets), [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])])
 
 
 def remove_repeats(docs, window=20):
