@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import hosts, html_text, language, licenses, mixing, near_dedup, packing, quality, substrings, vectors
+from . import hosts, html_text, language, licenses, mixing, near_dedup, oracle_sql, packing, quality, substrings, vectors
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": oracle_sql.license_sql(), "op9_url_filter": oracle_sql.url_sql()}
