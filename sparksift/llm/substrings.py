@@ -107,20 +107,32 @@ def sketch_parts(bits: int, chunk_bits: int, window: int, anchor: int):
 
 
 def merged_parts(chunk_bits: int, last: bool):
-    """Adds sketches of the same chunk, up to two; `last` gives one bit for each cell, others give sketches again."""
+    """Adds sketches of the same chunk, up to two; `last` gives one bit for each cell, others give sketches again.
+
+    Rows come sorted by their chunk, so one chunk's counts are held at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, int, int], np.ndarray] = {}
+        def result(row: int, chunk: int, salt: int) -> pa.RecordBatch:
+            cells = np.flatnonzero(have).astype(np.uint32)
+            blob = np.packbits(have > 1).tobytes() if last else packed((cells << np.uint32(1)) | (have[cells] > 1))
+            return pa.record_batch([pa.array([row], pa.int32()), pa.array([chunk], pa.int32()), pa.array([salt], pa.int32()), pa.array([blob], pa.binary())], ["row", "chunk", "salt", "cells"])
+
+        now, have = None, np.zeros(1 << chunk_bits, np.uint8)
         for batch in batches:
-            for row, chunk, salt, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                have = counts.setdefault((row, chunk, 0 if last else salt), np.zeros(1 << chunk_bits, np.uint8))
+            for k in range(batch.num_rows):
+                row, chunk, salt, blob = (batch.column(i)[k].as_py() for i in range(4))
+                key = (row, chunk, 0 if last else salt)
+                if key != now:
+                    if now:
+                        yield result(*now)
+                    now = key
+                    have[:] = 0
                 codes = unpacked(blob)
                 cells = codes >> np.uint32(1)
                 have[cells] = np.minimum(have[cells] + 1 + (codes & np.uint32(1)).astype(np.uint8), 2)
-        for (row, chunk, salt), have in counts.items():
-            cells = np.flatnonzero(have).astype(np.uint32)
-            blob = np.packbits(have > 1).tobytes() if last else packed((cells << np.uint32(1)) | (have[cells] > 1))
-            yield pa.record_batch([pa.array([row], pa.int32()), pa.array([chunk], pa.int32()), pa.array([salt], pa.int32()), pa.array([blob], pa.binary())], ["row", "chunk", "salt", "cells"])
+        if now:
+            yield result(*now)
 
     return run
 
@@ -129,11 +141,11 @@ def repeated_cells(texts: DataFrame, window: int, anchor: int, bits: int) -> lis
     """The merged sketch of all windows as ROWS bitmaps of 2**bits cells; its size doesn't depend on the input."""
     chunk_bits = min(CHUNK_BITS, bits)
     parts = texts.select("text").mapInArrow(sketch_parts(bits, chunk_bits, window, anchor), SKETCH)
-    parts = parts.repartition("row", "chunk", "salt").mapInArrow(merged_parts(chunk_bits, False), SKETCH)
-    parts = parts.repartition("row", "chunk").mapInArrow(merged_parts(chunk_bits, True), SKETCH)
+    parts = parts.repartition("row", "chunk", "salt").sortWithinPartitions("row", "chunk", "salt").mapInArrow(merged_parts(chunk_bits, False), SKETCH)
+    parts = parts.repartition("row", "chunk").sortWithinPartitions("row", "chunk").mapInArrow(merged_parts(chunk_bits, True), SKETCH)
     maps = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(ROWS)]
     size = (1 << chunk_bits) // 8
-    for part in parts.select("row", "chunk", "cells").toLocalIterator():
+    for part in parts.select("row", "chunk", "cells").collect():  # as large as the bitmaps
         maps[part.row][part.chunk * size : (part.chunk + 1) * size] = np.frombuffer(bytes(part.cells), np.uint8)
     return maps
 
