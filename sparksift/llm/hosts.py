@@ -6,7 +6,7 @@ method of moments: with rho = 1 / (strength + 1), a group of n pages has varianc
 blocked if the lower posterior bound of its host's bad rate, mean - Z * deviation, is over `LIMIT`. Hosts without labelled pages have their domain's prior.
 
 Counts by host combine before the shuffle, and verdicts are joined back by host, so a host with a third of all pages is one row and a join that can be split.
-Everything is SQL. Rules are a short fixed list, so they are an expression; the longest rule that fits wins.
+Everything is DataFrame functions. Rules are a short fixed list, so they are an expression; the longest rule that fits wins.
 
 Defined cases: url null or without `://` gives empty host and path, which are judged like any other host; outcomes of pages that aren't there, and null
 outcomes, count nowhere; several outcomes of a page are bad if one is; rows with one id are judged each; without any outcomes no page is blocked by reputation.
@@ -19,6 +19,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 # Rules (verdict, host, path) and public suffixes of two labels.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 TWO_LABEL_SUFFIXES = ["ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "org.uk"]
@@ -52,33 +54,28 @@ def domains(host: Column) -> tuple[Column, Column]:
     return domain, suffix
 
 
-#: {strength} of a level whose groups have n pages, k of them bad, around m; the same text serves all levels.
-REPUTATION = f"""
-WITH suffixes AS (SELECT suffix, SUM(n) AS n, SUM(k) AS k FROM {{hosts}} GROUP BY suffix),
-domains AS (SELECT domain, suffix, SUM(n) AS n, SUM(k) AS k FROM {{hosts}} GROUP BY domain, suffix),
-overall AS (SELECT (SUM(k) + 1.0D) / (SUM(n) + 2.0D) AS m FROM {{hosts}}),
-suffix_prior AS (SELECT s.*, (SELECT m FROM overall) AS m FROM suffixes s),
-suffix_strength AS (SELECT {{strength}} AS strength FROM suffix_prior),
-suffix_mean AS (
-  SELECT suffix, (k + m * (SELECT strength FROM suffix_strength)) / (n + (SELECT strength FROM suffix_strength)) AS m FROM suffix_prior),
-domain_prior AS (SELECT d.domain, d.suffix, d.n, d.k, s.m FROM domains d JOIN suffix_mean s ON d.suffix = s.suffix),
-domain_strength AS (SELECT {{strength}} AS strength FROM domain_prior),
-domain_mean AS (
-  SELECT domain, suffix, (k + m * (SELECT strength FROM domain_strength)) / (n + (SELECT strength FROM domain_strength)) AS m FROM domain_prior),
-host_prior AS (SELECT h.host, h.n, h.k, d.m FROM {{hosts}} h JOIN domain_mean d ON h.domain = d.domain AND h.suffix = d.suffix),
-host_strength AS (SELECT {{strength}} AS strength FROM host_prior),
-posterior AS (
-  SELECT host, n + (SELECT strength FROM host_strength) AS total, (k + m * (SELECT strength FROM host_strength)) / (n + (SELECT strength FROM host_strength)) AS mean
-  FROM host_prior)
-SELECT host AS rated_host, mean, mean - {Z}D * SQRT(mean * (1 - mean) / (total + 1)) AS lower_bound FROM posterior
-"""
 STRENGTH = f"""1 / GREATEST({LEAST_RHO}D, LEAST({MOST_RHO}D, COALESCE(
   (SUM((k - n * m) * (k - n * m)) - SUM(n * m * (1 - m))) / NULLIF(SUM(n * (n - 1) * m * (1 - m)), 0), {MOST_RHO}D))) - 1"""
 
 
+def shrunk(groups: DataFrame) -> DataFrame:
+    """Groups of n pages, k of them bad, around m, with the strength of their level, the posterior mean and its weight."""
+    strength = groups.agg(F.expr(STRENGTH)).scalar()
+    weighed = groups.withColumn("strength", strength)
+    return weighed.withColumns({"mean": F.expr("(k + m * strength) / (n + strength)"), "total": F.expr("n + strength")})
+
+
 def reputation(hosts: DataFrame) -> DataFrame:
-    """(rated_host, mean, lower_bound) of hosts (host, domain, suffix, n, k)."""
-    return hosts.sparkSession.sql(REPUTATION.replace("{strength}", STRENGTH), hosts=hosts)
+    """(rated_host, mean, lower_bound) of hosts (host, domain, suffix, n, k). Each level is stored, so it is computed once."""
+    hosts, counts = stored(hosts), [F.sum("n").alias("n"), F.sum("k").alias("k")]
+    overall = hosts.agg(F.expr("(SUM(k) + 1.0D) / (SUM(n) + 2.0D)")).scalar()
+    suffixes = stored(hosts.groupBy("suffix").agg(*counts).withColumn("m", overall))
+    means = shrunk(suffixes).select("suffix", F.col("mean").alias("m"))
+    domains = stored(hosts.groupBy("domain", "suffix").agg(*counts).join(means, "suffix"))
+    means = shrunk(domains).select("domain", "suffix", F.col("mean").alias("m"))
+    rated = shrunk(stored(hosts.join(means, ["domain", "suffix"])))
+    bound = F.expr(f"mean - {Z}D * SQRT(mean * (1 - mean) / (total + 1))")
+    return rated.select(F.col("host").alias("rated_host"), "mean", bound.alias("lower_bound"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, limit: float = LIMIT) -> DataFrame:
