@@ -35,7 +35,7 @@ from .text_arrays import U64, Words, mix, rolling, slices, texts_of, words_of
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_SIZE = 30, 5
 SIZE = BANDS * BAND_SIZE
-HUB_ROUNDS, EACH, WORTH = 8, 4, 0.05
+HUB_ROUNDS, EACH, WORTH = 8, 4, 0.5
 SIGNED_BYTES = 3 << 20  # of text at once: a step of the arrivals costs the same for few and many texts
 GOLD, OTHER = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
 
@@ -208,20 +208,18 @@ def near_links(buckets: DataFrame, sets: DataFrame, threshold: float, rounds: in
     """Links whose components are those of all pairs in a bucket that reach the threshold. buckets: (bucket, id)."""
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
     degrees = stored(buckets.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("degree")))
-    buckets = stored(buckets.join(degrees, "id").select("bucket", "id", "degree"))
     links, members, turn, before = None, buckets.withColumn("root", F.col("id")), 0, 0
     while True:
         by_root = members.groupBy("bucket", "root").agg(F.count("*").alias("c"))
         # pairs of members of different components
         open_ = by_root.groupBy("bucket").agg(F.sum("c").alias("n"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("pairs > 0")
-        members = stored(members.join(open_, "bucket"))
+        members = stored(members.join(open_, "bucket").select("bucket", "id", "root", (F.col("pairs") <= EACH * F.col("n")).alias("few")))
         if members.isEmpty():
             return links
-        few = F.col("pairs") <= EACH * F.col("n")
-        small = members.filter(few).select("bucket", "id", "root")
+        small = members.filter("few").select("bucket", "id", "root")
         other = small.select("bucket", F.col("id").alias("id2"), F.col("root").alias("root2"))
         pairs = small.join(other, "bucket").filter("root < root2").select(*ordered("id", "id2"))
-        large = members.filter(~few).select("bucket", "id", "root", "degree")
+        large = members.filter("not few").select("bucket", "id", "root")
         texts = large.select("id", "root").distinct()
         n = texts.count()
         last = turn == rounds or turn > 0 and before < WORTH * n
@@ -231,7 +229,7 @@ def near_links(buckets: DataFrame, sets: DataFrame, threshold: float, rounds: in
             # first the text that shares most buckets, as the original of a group does; then texts by chance, in proportion to that
             chance = -F.log((F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 30)) + 0.5) / (1 << 30)) / F.col("degree")
             first = chance if turn else -F.col("degree").cast("double")
-            hubs = large.groupBy("bucket").agg(F.min(F.struct(first.alias("h"), F.col("id").alias("hub"), F.col("root").alias("hub_root"))).alias("m"))
+            hubs = large.join(degrees, "id").groupBy("bucket").agg(F.min(F.struct(first.alias("h"), F.col("id").alias("hub"), F.col("root").alias("hub_root"))).alias("m"))
             # one hub for each text and round: of the buckets whose hub it isn't joined with, any
             chosen = large.join(hubs.select("bucket", "m.hub", "m.hub_root"), "bucket").filter("root <> hub_root").groupBy("id").agg(F.min(F.struct(F.xxhash64("bucket", F.lit(turn)).alias("h"), "hub")).alias("m"))
             pairs = pairs.unionByName(chosen.select(*ordered("id", "m.hub")))
@@ -240,7 +238,7 @@ def near_links(buckets: DataFrame, sets: DataFrame, threshold: float, rounds: in
         if last or not n:
             return links
         roots, before, turn = components(links), found.count(), turn + 1
-        members = large.select("bucket", "id", "degree").join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", "degree", F.coalesce("root", "id").alias("root"))
+        members = large.select("bucket", "id").join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
