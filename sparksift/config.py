@@ -3,9 +3,44 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass, fields, replace
 
 
+# Names in a settings file of the fields below, and its settings for other parts, with their types.
+NAMES = {
+    "maxParameters": "max_parameters",
+    "maxMethodLines": "max_method_lines",
+    "maxClassMethods": "max_class_methods",
+    "maxNestingDepth": "max_nesting_depth",
+    "maxClassFields": "max_class_fields",
+    "complexityMinor": "complexity_minor",
+    "complexityMajor": "complexity_major",
+    "complexityCritical": "complexity_critical",
+    "cognitiveComplexityThreshold": "cognitive_threshold",
+    "maxFileLOC": "max_file_loc",
+    "minCommentRatio": "min_comment_ratio",
+    "maintainabilityGradeA": "maintainability_grade_a",
+    "maintainabilityGradeB": "maintainability_grade_b",
+    "enableCodeSmells": "enable_code_smells",
+    "enableDeadCode": "enable_dead_code",
+    "enableSecurity": "enable_security",
+    "enableMetrics": "enable_metrics",
+    "enableNaming": "enable_naming",
+    "enableDuplication": "enable_duplication",
+}
+OTHER_PARTS = {"minDuplicateTokens": "int", "outputDirectory": "str", "jsonReportName": "str", "htmlReportName": "str"}
+
+
+def fits(value: object, kind: str) -> bool:
+    """Whether a JSON value is of the kind; a whole number is a fraction too, a switch is no number."""
+    if kind == "bool" or isinstance(value, bool):
+        return kind == "bool" and isinstance(value, bool)
+    if kind == "float":
+        return isinstance(value, (int, float)) and math.isfinite(value)
+    return isinstance(value, int if kind == "int" else str)
+
+
 @dataclass(frozen=True)
 class AuditConfig:
     # Default thresholds of the rules.
@@ -49,9 +84,13 @@ class AuditConfig:
 
     @classmethod
     def from_json(cls, text: str | None) -> "AuditConfig":
-        """Settings from a JSON object of field names; no text at all means the defaults.
+        """Settings from a JSON object; no text at all means the defaults.
 
-        An unreadable object or an unknown name falls back to the defaults as a whole.
+        Names are those of the fields or the spelled ones of a settings file
+        (``NAMES``); the settings of its other parts are accepted and have no
+        effect here. An unreadable object, an unknown name or a value of
+        another type falls back to the defaults as a whole, so nothing but
+        numbers and switches ever reaches a rule.
         """
         if not text:
             return cls()
@@ -59,7 +98,16 @@ class AuditConfig:
             values = json.loads(text)
         except ValueError:
             return cls()
-        known = {f.name for f in fields(cls)}
-        if not isinstance(values, dict) or not set(values) <= known:
+        if not isinstance(values, dict):
             return cls()
-        return cls(**values)
+        types, chosen = {f.name: f.type for f in fields(cls)}, {}
+        for name, value in values.items():
+            if name in OTHER_PARTS:
+                if not fits(value, OTHER_PARTS[name]):
+                    return cls()
+                continue
+            field = NAMES.get(name, name)
+            if field not in types or not fits(value, types[field]):
+                return cls()
+            chosen[field] = float(value) if types[field] == "float" else value
+        return cls(**chosen)

@@ -73,8 +73,8 @@ def normalise_code(column: Column) -> Column:
 
 
 def content_hash(column: Column) -> Column:
-    """SHA-256 of the normalised text. Never null, so joins on it need no null test, which would hash twice."""
-    return F.coalesce(F.sha2(normalise_code(column), 256), F.lit(""))
+    """SHA-256 of the normalised text; null for a text that is null."""
+    return F.sha2(normalise_code(column), 256)
 
 
 def code_words(column: Column) -> Column:
@@ -85,6 +85,7 @@ def code_lines(column: Column) -> Column:
     return split_count(column, r"\n", "\n")
 
 
+# The coefficients of the index, the marks that words are split at, the limits of the grades.
 def maintainability(words: Column, complexity: Column, lines: Column) -> Column:
     """Maintainability index on a scale of 0 to 100, from a simplified Halstead volume."""
     volume = F.when(words > 0, words * F.log(words.cast("double")) / F.log(F.lit(2.0))).otherwise(F.lit(1.0))

@@ -37,14 +37,16 @@ def method_items(tokens: DataFrame, min_statements: int = 3) -> DataFrame:
 
 
 def clone_groups(items: DataFrame) -> DataFrame:
-    """Hashes held by more than one item, with their number of copies."""
-    return items.groupBy("hash").agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
+    """Hashes held by more than one item, with their number of copies; items without a text have no hash."""
+    return items.filter("hash IS NOT NULL").groupBy("hash").agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
 
 
 def numbered_copies(items: DataFrame) -> DataFrame:
     """Items of clone groups with their occurrence number ``n`` and the first and second occurrence."""
     place = F.struct("path", "label")
-    rows = items.withColumn("chunk", file_chunk(F.col("path")))
+    # counts combine before the shuffle; what occurs once leaves before anything is sorted
+    copied = clone_groups(items).select("hash")
+    rows = items.join(copied, "hash", "left_semi").withColumn("chunk", file_chunk(F.col("path")))
     inside = W.partitionBy("hash", "chunk").orderBy("path", "node")
     local = rows.withColumn("local_n", F.row_number().over(inside))
     per_chunk = local.groupBy("hash", "chunk").agg(

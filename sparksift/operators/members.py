@@ -151,6 +151,8 @@ def declared_members(tokens: DataFrame, with_text: bool = True) -> DataFrame:
         "open_kind": first("tok = '{'", "inner_bk"),
         "is_field": "max(in_header AND is_first_var)",
         "header": joined(header_word, "tok", " "),
+        # the same without type arguments, however deep
+        "flat_header": joined(f"{header_word} AND gd = 0 AND NOT g_close", "tok", " "),
         "params": f"sort_array(collect_list(CASE WHEN in_header AND is_param THEN {PARAM} END))",
         "null_returns": "sort_array(collect_list(CASE WHEN NOT in_header AND tok = 'return' AND n1 = 'null' AND n2 = ';' "
         "THEN named_struct('pos', pos, 'line', line) END))",
@@ -172,7 +174,11 @@ def methods(tokens: DataFrame, with_text: bool = True) -> DataFrame:
     no_annotations = r"regexp_replace(header, r'@ [^ ]+(?: \. [^ ]+)* ?', '')"
     modifiers = "|".join(MODIFIERS)
     no_modifiers = f"trim(regexp_replace({no_annotations}, r'(?:(?<=^| )(?:{modifiers}) ?)+', ''))"
-    no_type_params = f"regexp_replace({no_modifiers}, r'^< [^<>]*(?:<[^<>]*>[^<>]*)*> ', '')"
+    # type parameters are the brackets in front; a fold over the words counts how deep they go
+    no_type_params = f"""aggregate(split({no_modifiers}, ' '), named_struct('depth', 0, 'ahead', true, 'text', ''), (s, w) -> CASE
+        WHEN s.ahead AND (s.depth > 0 OR w = '<') THEN named_struct(
+            'depth', s.depth + CASE w WHEN '<' THEN 1 WHEN '>' THEN -1 ELSE 0 END, 'ahead', s.depth > 1 OR w <> '>', 'text', s.text)
+        ELSE named_struct('depth', 0, 'ahead', false, 'text', concat(s.text, ' ', w)) END, s -> trim(s.text))"""
     tidy = rf"trim(regexp_replace(regexp_replace({no_type_params}, r' ?([<>.\[\]]) ?', '$1'), ' ,', ','))"
     return add(
         found,
@@ -187,11 +193,8 @@ def methods(tokens: DataFrame, with_text: bool = True) -> DataFrame:
 
 
 def _names_after(word: str) -> Column:
-    """Simple names listed after ``extends`` or ``implements``, type arguments removed."""
-    level0 = r"< [^<>]*>"
-    level1 = rf"< (?:[^<>]|{level0})*>"
-    flat = F.regexp_replace("header", rf" ?< (?:[^<>]|{level1})*>", "")
-    clause = F.regexp_extract(flat, rf"(?:^| ){word} (.*?)(?: implements .*| extends .*| permits .*)?$", 1)
+    """Simple names listed after ``extends`` or ``implements``, type arguments left out."""
+    clause = F.regexp_extract("flat_header", rf"(?:^| ){word} (.*?)(?: implements .*| extends .*| permits .*)?$", 1)
     simple = F.transform(F.split(clause, " ?, ?"), lambda x: F.trim(F.regexp_replace(x, r"^.*\. ?", "")))
     return F.when(clause == "", F.array().cast("array<string>")).otherwise(simple)
 
@@ -202,7 +205,7 @@ def class_rollup(tokens: DataFrame) -> DataFrame:
     method = "method_name IS NOT NULL"
     accessor = f"{method} AND method_name RLIKE '^(?:get|set|is)' AND open_kind = 'method' AND n_stmts <= 1"
     count = lambda c: f"CAST(count(CASE WHEN NOT {own} AND {c} THEN 1 END) AS INT)"
-    measures = {c: f"max(CASE WHEN {own} THEN {c} END)" for c in ("class_name", "class_kind", "line", "header", "member")}
+    measures = {c: f"max(CASE WHEN {own} THEN {c} END)" for c in ("class_name", "class_kind", "line", "flat_header", "member")}
     # A nested class is a row of its own block only, not of the class around it.
     measures |= {
         "n_methods": count(method),

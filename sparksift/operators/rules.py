@@ -7,7 +7,7 @@ no more than its own columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import (
@@ -16,6 +16,7 @@ from ..catalog import (
 )
 from ..config import AuditConfig
 from ..functions import text as tx
+from ..functions.lexicon import TOKEN, TRIVIA
 from ..functions.sql import (
     EARLIER, READ, UP_TO, add, among, both, contains_any, either, last_when, max_when, quote, say, words, yes,
 )
@@ -382,6 +383,14 @@ def sums(tokens: DataFrame) -> DataFrame:
     )
 
 
+def spaced_tokens(text: Column) -> Column:
+    """The tokens of an expression, one blank where blanks or comments stood; what is inside a literal stays as it is."""
+    pieces = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    bare = F.transform(pieces, lambda p: F.regexp_replace(p, "^" + TRIVIA, ""))
+    spaced = F.transform(F.arrays_zip(pieces.alias("p"), bare.alias("t")), lambda z: F.concat(F.when(z["p"] != z["t"], " ").otherwise(""), z["t"]))
+    return F.trim(F.array_join(spaced, ""))
+
+
 def sum_rules(tokens: DataFrame, files: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     """Injection rules. Only flagged expressions, one per line and rule, meet the text again to be quoted."""
     kinds = {
@@ -395,7 +404,7 @@ def sum_rules(tokens: DataFrame, files: DataFrame, cfg: AuditConfig, only: Only
     first = flagged.groupBy("path", "line", "rule").agg(F.min(F.struct("pos", "text_from", "text_to")).alias("e"))
     source = by_path(files).withColumn("content", unix_lines(F.col("content")))
     quoted = F.expr("substring(content, CAST(e.text_from + 1 AS INT), CAST(e.text_to - e.text_from AS INT))")
-    shown = tx.truncate_text(F.regexp_replace(tx.normalise_code(quoted), " +", " "), 80)
+    shown = tx.truncate_text(spaced_tokens(quoted), 80)
     rows = first.join(source, "path").select("path", "line", "rule", F.col("e.pos").alias("pos"), shown.alias("expr"))
     return emit(rows, [hit(r, f"rule = '{r}'", "CRITICAL", message, "line", "pos") for r, (_, message) in chosen.items()])
 

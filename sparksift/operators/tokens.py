@@ -65,19 +65,13 @@ def newlines(column: Column) -> Column:
     return F.when(column.contains("\n"), F.length(column) - F.length(F.replace(column, F.lit("\n"), F.lit("")))).otherwise(0)
 
 
-# Bytes of text per part: its tokens with their facts take some fifty times as much.
-TEXT_PER_PART = 1 << 20
+# Spark's own limit on the buckets of a table.
+MOST_PARTS = 100_000
 
 
 def text_parts(files: DataFrame) -> int:
-    """Parts to hash the text into: ``spark.sql.shuffle.partitions``, or fewer if Spark knows the input to be small.
-
-    There are never fewer than the cores at hand. An input of unknown size counts as large.
-    """
-    spark = files.sparkSession
-    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = max(spark.sparkContext.defaultParallelism, size // TEXT_PER_PART)
-    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted))
+    """Parts to hash the text into: ``spark.sql.shuffle.partitions``, as far as a table may have buckets."""
+    return min(MOST_PARTS, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def by_path(files: DataFrame) -> DataFrame:

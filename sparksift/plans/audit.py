@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..catalog import RULES
 from ..config import AuditConfig
@@ -55,32 +57,60 @@ def rule_findings(files: DataFrame, rule_id: str, cfg: AuditConfig = AuditConfig
     return findings_dedup(findings_of(files, tokens(files), {rule_id}, cfg))
 
 
-def stored_facts(facts: DataFrame, buckets: int) -> DataFrame:
+def stored_facts(facts: DataFrame, buckets: int, name: str | None = None) -> DataFrame:
     """The token facts as a table bucketed by path in the shared checkpoint folder.
 
     Each grain then reads its own columns only, and reads them already
     partitioned by path, so no grain shuffles tokens. The facts arrive hashed
     into as many parts as there are buckets: one file per bucket is written.
-    The table stays in the folder until the caller drops it.
+    ``drop_facts`` with the name of the table removes it and its folder.
     """
     spark = facts.sparkSession
-    name = f"sparksift_tokens_{uuid.uuid4().hex}"
+    name = name or f"sparksift_tokens_{uuid.uuid4().hex}"
     folder = f"{ensure_checkpoint_dir(spark)}/{name}"
     facts.write.format("parquet").option("path", folder).bucketBy(buckets, "path").saveAsTable(name)
     return spark.table(name)
 
 
-def audit(files: DataFrame, cfg: AuditConfig = AuditConfig(), key: str = "path") -> DataFrame:
+def drop_facts(spark: SparkSession, name: str) -> None:
+    """Drops the table and empties its folder, which an external table would leave."""
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.range(0).write.mode("overwrite").parquet(folder)
+
+
+def audit(files: DataFrame, cfg: AuditConfig = AuditConfig(), key: str = "path", facts_name: str | None = None) -> DataFrame:
     """De-duplicated findings of all rules that are switched on.
 
-    A dozen grains read the token facts, so these are computed and written once.
+    A dozen grains read the token facts, so these are computed and written once,
+    into a table that stays until ``drop_facts``; ``audit_run`` sees to that.
     Files with unbalanced brackets have no token facts, see ``rejects``; the
     rules on size and comments look at the text alone and cover them too.
     """
     on = cfg.enabled_analyzers()
     only = {r.rule_id for r in RULES.values() if r.analyzer in on}
-    facts = stored_facts(tokens(files), text_parts(files))
+    facts = stored_facts(tokens(files), text_parts(files), facts_name)
     return apply_toggles(findings_dedup(findings_of(files, facts, only, cfg), key), on)
 
 
-__all__ = ["audit", "findings_of", "rejects", "rule_findings"]
+@contextmanager
+def audit_run(files: DataFrame, cfg: AuditConfig = AuditConfig(), key: str = "path") -> Iterator[DataFrame]:
+    """``with audit_run(files) as findings:`` the findings, whose stored facts are gone afterwards."""
+    name = f"sparksift_tokens_{uuid.uuid4().hex}"
+    try:
+        yield audit(files, cfg, key, name)
+    finally:
+        if files.sparkSession.catalog.tableExists(name):
+            drop_facts(files.sparkSession, name)
+
+
+def coverage(files: DataFrame) -> DataFrame:
+    """(path, reason) of every file that the token rules did not see: no file drops out of an audit unnoticed.
+
+    ``reason`` is that of ``rejects``, or that the file has no text.
+    """
+    empty = files.filter("content IS NULL").selectExpr("path", "'no text' AS reason")
+    return rejects(files.filter("content IS NOT NULL")).unionByName(empty)
+
+
+__all__ = ["audit", "audit_run", "coverage", "drop_facts", "findings_of", "rejects", "rule_findings"]

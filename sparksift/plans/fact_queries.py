@@ -81,7 +81,8 @@ CLASS_FILE = java(
     repeat("k % 3", "concat('    C', k, '(', repeat('int a, ', i), 'int z) { }')"),
     repeat("k % 7", "concat('    abstract List<A> m', i, '(int a);')"),
     "'    static class In { void x() { int local = 1; } }'",
-    head="concat('public class C', k, '<T extends A> extends a.Base', s, '<T> implements A, b.B<T> {')",
+    head="concat('public class C', k, '<T extends A', repeat('<B', cast(k % 7 as int)), repeat('>', cast(k % 7 as int)), '> extends a.Base', s, "
+    "repeat('<T', cast(k % 7 + 1 as int)), repeat('>', cast(k % 7 + 1 as int)), ' implements A, b.B<T> {')",
 )
 
 
@@ -96,7 +97,7 @@ METHOD_FILE = java(
     "concat('    ', element_at(array('public ', 'protected static ', '@A private final ', ''), cast(k % 4 as int) + 1), "
     "element_at(array('void', 'int[]', 'Map<String, List<A>>'), cast(k % 3 as int) + 1), ' m', k, '(', "
     "array_join(" + repeat("k % 5", "concat('final int[] a', i)") + ", ', '), ') {')",
-    repeat("s", "'        o.go();'"), "'    }'", "'    abstract <T> T none(T t);'",
+    repeat("s", "'        o.go();'"), "'    }'", "concat('    abstract <T extends A', repeat('<B', cast(k % 7 as int)), repeat('>', cast(k % 7 as int)), '> T none(T t);')",
 )
 
 
@@ -226,20 +227,37 @@ LINES_OF_DOCS = (
     "SELECT path, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_number FROM "
     "(SELECT concat(source, '/', doc_id) AS path, string_split(text, chr(10)) AS l FROM documents)"
 )
-SECRET_SQL = T.SECRET.replace("'", "''")
-SECRETS = (
-    f"SELECT path, CAST(line_number AS INTEGER) AS line_number, 'CRITICAL' AS severity, "
-    f"concat('Hardcoded sensitive value -> ', regexp_extract(line, '{SECRET_SQL}', 1)) AS message "
-    f"FROM ({LINES_OF_DOCS}) WHERE regexp_matches(line, '{SECRET_SQL}')"
+# Words that are given a quoted text and hold a sensitive term; whole runs of digits and dots that begin with an address of their own.
+SECRET_LIST = (
+    "list_filter(regexp_extract_all(line, '([A-Za-z0-9_]+)[ \t]*=[ \t]*\"[^\"]*\"', 1), lambda w: regexp_matches(lower(w), "
+    "'password|passwd|pwd|pass|secret|apikey|api_key|token|credentials|privatekey|private_key'))"
 )
-ADDRESSES = (
-    "SELECT path, CAST(line_number AS INTEGER) AS line_number, 'MAJOR' AS severity, concat('Hardcoded IP address -> \"', m, '\"') AS message "
-    "FROM (SELECT path, line_number, m, row_number() OVER (PARTITION BY path, line_number ORDER BY nth) AS r FROM "
-    f"(SELECT path, line_number, unnest(ms) AS m, unnest(range(len(ms))) AS nth FROM (SELECT path, line_number, regexp_extract_all(line, '{T.ADDRESS}', 1) AS ms "
-    f"FROM ({LINES_OF_DOCS}))) WHERE m NOT LIKE '127.%' AND m <> '0.0.0.0') WHERE r = 1"
+ADDRESS_LIST = (
+    r"list_transform(list_filter(regexp_extract_all(line, '[0-9.]+'), lambda r: regexp_full_match(r, '[0-9]{1,3}(\.[0-9]{1,3}){3}(\.|\.\..*)?')), "
+    r"lambda r: regexp_extract(r, '^[0-9]{1,3}(\.[0-9]{1,3}){3}'))"
 )
 
 
+def matches_sql(found: str) -> str:
+    """(path, line_number, m, nth) of the list that an expression finds in a line."""
+    return (
+        "SELECT path, line_number, unnest(ms) AS m, unnest(range(len(ms))) AS nth FROM "
+        f"(SELECT path, line_number, {found} AS ms FROM ({LINES_OF_DOCS}))"
+    )
+
+
+def first_match_sql(found: str, severity: str, message: str, where: str = "true") -> str:
+    return (
+        f"SELECT path, CAST(line_number AS INTEGER) AS line_number, '{severity}' AS severity, {message} AS message FROM "
+        f"(SELECT *, row_number() OVER (PARTITION BY path, line_number ORDER BY nth) AS r FROM ({matches_sql(found)}) WHERE {where}) WHERE r = 1"
+    )
+
+
+OUTSIDE = "m NOT LIKE '127.%' AND m <> '0.0.0.0'"
+SECRETS = first_match_sql(SECRET_LIST, "CRITICAL", "concat('Hardcoded sensitive value -> ', m)")
+ADDRESSES = first_match_sql(ADDRESS_LIST, "MAJOR", "concat('Hardcoded IP address -> \"', m, '\"')", OUTSIDE)
+
+
 def clones_sql(items: str) -> str:
     """Clone findings over ``items(path, label, line, hash)``."""
     order = "substr(md5(path), 1, 3), path"

@@ -12,11 +12,11 @@ from ..catalog import RULES
 from ..config import AuditConfig
 from ..functions.text import null_to_dash
 from ..operators import findings as A
-from ..operators.text_rules import ADDRESS, document_files, text_audit
+from ..operators.text_rules import document_files, text_audit
 from ..session import ensure_checkpoint_dir
 from ..sources.files import EXPORT, write_csv, write_json
 from ..sources.tables import table
-from .fact_queries import DOC_ITEMS, LINES_OF_DOCS, SECRET_SQL, Query, clones_sql
+from .fact_queries import ADDRESS_LIST, DOC_ITEMS, OUTSIDE, SECRET_LIST, Query, clones_sql, matches_sql
 
 
 CONFIG = AuditConfig(max_file_loc=30, min_commented_loc=25)
@@ -59,18 +59,14 @@ def fixed(rule_id: str, blank: str = "") -> str:
 
 def found_sql(cfg: AuditConfig = CONFIG) -> str:
     """All findings before de-duplication."""
-    matches = lambda rx: (
-        "SELECT path, line_number, unnest(ms) AS m, unnest(range(len(ms))) AS nth FROM "
-        f"(SELECT path, line_number, regexp_extract_all(line, '{rx}', 1) AS ms FROM ({LINES_OF_DOCS}))"
-    )
     code = (
         "SELECT concat(source, '/', doc_id) AS path, doc_id, len(list_filter(string_split(text, chr(10)), "
         r"lambda x: NOT regexp_full_match(x, '[\x00-\x20]*'))) AS code FROM documents"
     )
     parts = [
-        f"SELECT path, line_number, 'CRITICAL' AS severity, concat('Hardcoded sensitive value -> ', m) AS message, nth, {fixed('SEC-001')} FROM ({matches(SECRET_SQL)})",
-        f"SELECT path, line_number, 'MAJOR', concat('Hardcoded IP address -> \"', m, '\"'), nth, {fixed('SEC-012')} FROM ({matches(ADDRESS)}) "
-        "WHERE m NOT LIKE '127.%' AND m <> '0.0.0.0'",
+        f"SELECT path, line_number, 'CRITICAL' AS severity, concat('Hardcoded sensitive value -> ', m) AS message, nth, {fixed('SEC-001')} FROM ({matches_sql(SECRET_LIST)})",
+        f"SELECT path, line_number, 'MAJOR', concat('Hardcoded IP address -> \"', m, '\"'), nth, {fixed('SEC-012')} FROM ({matches_sql(ADDRESS_LIST)}) "
+        f"WHERE {OUTSIDE}",
         f"SELECT path, line_number, severity, message, 0, {fixed('DUP-001')} FROM ({clones_sql(DOC_ITEMS)})",
         f"SELECT path, 1, 'MAJOR', concat('Large file -> ', doc_id, ' (', code, ' code lines)'), 0, {fixed('MET-003', str(cfg.max_file_loc))} "
         f"FROM ({code}) WHERE code > {cfg.max_file_loc}",

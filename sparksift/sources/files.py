@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import null_to_dash
@@ -10,25 +11,24 @@ from ..functions.text import null_to_dash
 FILE_COLUMNS = ["path", "file_name", "content"]
 
 
+def as_text(content: Column) -> Column:
+    """Bytes read as UTF-8; what is malformed becomes U+FFFD, so one odd byte never ends a scan."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def scan_sources(spark: SparkSession, folder: str, suffix: str = ".java") -> DataFrame:
     """All files below a folder whose name ends with the suffix in exactly this case.
 
     A folder that does not exist yields an empty table.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+    try:
+        found = reader.load(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "path string, file_name string, content string")
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{suffix}")
-        .load(folder)
-    )
-    return found.select(
-        "path",
-        F.substring_index("path", "/", -1).alias("file_name"),
-        F.decode("content", "UTF-8").alias("content"),
-    )
+    return found.select("path", F.substring_index("path", "/", -1).alias("file_name"), as_text(F.col("content")).alias("content"))
 
 
 def uploaded_sources(uploads: DataFrame, suffix: str = ".java") -> DataFrame:

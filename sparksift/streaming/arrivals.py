@@ -7,13 +7,15 @@ between batches and a clone is one within its set.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import AuditConfig
-from ..plans.audit import audit
+from ..plans.audit import audit_run
+from ..sources.files import as_text
 
 
 def arriving_sources(spark: SparkSession, folder: str, suffix: str = ".java") -> DataFrame:
@@ -25,7 +27,7 @@ def arriving_sources(spark: SparkSession, folder: str, suffix: str = ".java") ->
         .option("pathGlobFilter", f"*{suffix}")
         .load(folder)
     )
-    return found.select("path", F.decode("content", "UTF-8").alias("content"))
+    return found.select("path", as_text(F.col("content")).alias("content"))
 
 
 def audit_arrivals(
@@ -37,9 +39,9 @@ def audit_arrivals(
     A batch that is run again after a failure overwrites its own folder, so
     nothing is written twice.
     """
-    find = run or (lambda files: audit(files, cfg))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        find(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        with nullcontext(run(batch)) if run else audit_run(batch, cfg) as findings:
+            findings.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return sources.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -52,6 +52,14 @@ def test_calls(facts):
     }
 
 
+def test_types_of_any_depth(java_files):
+    deep = "class A<T extends B<C<D<E<F>>>>> extends p.P<Q<R<S<T>>>> implements I<J<K<L>>>, M { <T extends B<C<D<E>>>> Map<String, T> m() { return null; } }"
+    found = tokens(java_files(("A.java", deep)))
+    row = class_rollup(found).first()
+    assert (row.extended, row.implemented) == (["P"], ["I", "M"])
+    assert [r.return_type for r in methods(found).collect()] == ["Map<String, T>"]
+
+
 def test_every_character_is_covered_once(java_files, spark):
     text = 'class A { // c\n  String s = "a\\"b" + \'"\'; /* x\n */ int i = 0x1F + 1_000 + .5e-3f; }\n// end\n'
     found = tokens(java_files(("A.java", text))).orderBy("pos").collect()

@@ -11,6 +11,7 @@ from sparksift.config import AuditConfig
 from sparksift.functions import text as tx
 from sparksift.operators import findings as A
 from sparksift.operators.clones import numbered_copies
+from sparksift.operators.text_rules import address_findings, document_files, secret_findings, text_clones
 from sparksift.sources.files import scan_sources, uploaded_sources, write_csv, write_json
 
 
@@ -104,6 +105,37 @@ def test_scan(spark, tmp_path):
     assert scan_sources(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_scan_of_malformed_bytes(spark, tmp_path):
+    (tmp_path / "A.java").write_bytes(b"class \xe9 { }")
+    (tmp_path / "B.java").write_bytes(b"class B { }")
+    found = {r.file_name: r.content for r in scan_sources(spark, str(tmp_path)).collect()}
+    assert found == {"A.java": "class \ufffd { }", "B.java": "class B { }"}
+
+
+def documents(spark, *texts):
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    return document_files(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+
+
+def test_addresses_are_whole(spark):
+    texts = ["a 10.0.0.12345 b", "1.2.3.4.5", "10.0.0.1.", "x=192.168.1.1;", "10.0.0.1 and 10.0.0.2", "1234.1.1.1", "127.0.0.1", "10.0.0.1..2"]
+    found = {(r.path, r.message) for r in address_findings(documents(spark, *texts)).collect()}
+    want = [(2, "10.0.0.1"), (3, "192.168.1.1"), (4, "10.0.0.1"), (4, "10.0.0.2"), (7, "10.0.0.1")]
+    assert found == {(f"s/{i}", f'Hardcoded IP address -> "{m}"') for i, m in want}
+
+
+def test_secrets_in_long_lines(spark):
+    """Time in proportion to the length of a line: a word of a megabyte takes no longer than its reading."""
+    texts = ["a" * 1_000_000 + '="', 'myPassword = "x"', 'title = "password"', 'x="1"secret="2"', "b" * 500_000 + '="v"']
+    found = {(r.path, r.message) for r in secret_findings(documents(spark, *texts)).collect()}
+    assert found == {("s/1", "Hardcoded sensitive value -> myPassword"), ("s/3", "Hardcoded sensitive value -> secret")}
+
+
+def test_texts_that_are_missing_are_no_clones(spark):
+    found = text_clones(documents(spark, None, None, "same", "same", "")).collect()
+    assert {r.path for r in found} == {"s/2", "s/3"}
+
+
 def test_uploads(spark):
     rows = [("A.java", b"1", 1), ("A.java", b"2", 2), ("B.JAVA", b"3", 3), ("c.txt", b"4", 4), (None, b"5", 5)]
     found = uploaded_sources(spark.createDataFrame(rows, "name string, content binary, upload_ord int"))
@@ -112,6 +144,11 @@ def test_uploads(spark):
 
 def test_config():
     assert AuditConfig.from_json(AuditConfig(max_parameters=9).to_json()).max_parameters == 9
+    assert AuditConfig.from_json('{"maxParameters": 9, "minCommentRatio": 1, "enableNaming": false, "outputDirectory": "."}') == AuditConfig(
+        max_parameters=9, min_comment_ratio=1.0, enable_naming=False
+    )
+    for wrong in ('{"max_parameters": "9 OR true"}', '{"maxParameters": true}', '{"enableNaming": 1}', '{"maxFileLOC": 1.5}', "[]", '{"outputDirectory": 1}'):
+        assert AuditConfig.from_json(wrong) == AuditConfig()
     assert AuditConfig.from_json(None) == AuditConfig.from_json("{") == AuditConfig.from_json('{"unknown": 1}') == AuditConfig()
 
 

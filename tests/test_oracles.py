@@ -12,7 +12,9 @@ TABLES = (
 ).split()
 CHOICE = (
     "source_tokens class_profile cognitive smell_009_feature_envy dead_003_unused_import sec_002_sql_injection "
-    "dup_001_clone dup_001_clone_methods findings_dedup quality_gate summary_rollup write_csv maintainability"
+    "dup_001_clone dup_001_clone_methods findings_dedup quality_gate summary_rollup write_csv maintainability "
+    "method_profile name_008_exception_suffix smell_016_null_return sec_001_hardcoded_secret_documents sec_012_hardcoded_ip "
+    "sec_007_ldap_injection sec_008_path_traversal content_hash"
 ).split()
 KEYS = sorted(entry.queries()) if os.environ.get("SIFT_ALL") else CHOICE
 
@@ -44,4 +46,7 @@ def test_query_equals_its_sql(spark, con, key):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    """Those of the training-data part are tested against plain Python where SQL can't say the same."""
+    without = set(entry.queries()) - set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert all(key == "pipeline" or key.startswith("op") for key in without)

@@ -2,7 +2,7 @@
 
 import os
 
-from sparksift.plans.audit import audit
+from sparksift.plans.audit import audit, audit_run, coverage
 from sparksift.streaming.arrivals import arriving_sources, audit_arrivals
 
 SAMPLES = os.path.join(os.path.dirname(__file__), "samples")
@@ -22,3 +22,19 @@ def test_arrivals(spark, java_files, tmp_path):
     expected = audit(java_files(("x/Ledger.java", text)))
     pick = lambda df: sorted((r.file_name, r.line_number, r.rule_id, r.message) for r in df.collect())
     assert pick(found) == pick(expected)
+
+
+def test_a_run_leaves_no_facts(spark, java_files):
+    before = {t.name for t in spark.catalog.listTables()}
+    files = java_files(("A.java", "class A { void m() { System.exit(1); }"), ("B.java", "class B { void m() { System.exit(1); } }"), ("C.java", None))
+    with audit_run(files) as findings:
+        assert {r.file_name for r in findings.filter("rule_id = 'SEC-003'").collect()} == {"B.java"}
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert {r.path: r.reason for r in coverage(files).collect()} == {"A.java": "bracket left open", "C.java": "no text"}
+
+
+def test_messages_keep_literals_whole(spark, java_files):
+    text = 'class A { void m(String n) { run("http://host/file/" + n); find("select a // b" + /* c */ n); } }'
+    with audit_run(java_files(("A.java", text))) as findings:
+        shown = {r.message for r in findings.filter("rule_id IN ('SEC-002', 'SEC-008')").collect()}
+    assert shown == {'Possible Path Traversal -> "http://host/file/" + n', 'Possible SQL Injection -> "select a // b" + n'}
