@@ -234,7 +234,7 @@ def near_links(buckets: DataFrame, sets: DataFrame, threshold: float, rounds: in
             chosen = large.join(hubs.select("bucket", "m.hub", "m.hub_root"), "bucket").filter("root <> hub_root").groupBy("id").agg(F.min(F.struct(F.xxhash64("bucket", F.lit(turn)).alias("h"), "hub")).alias("m"))
             pairs = pairs.unionByName(chosen.select(*ordered("id", "m.hub")))
         found = linked(pairs.distinct(), sets, threshold)
-        links = found if links is None else stored(links.unionByName(found).distinct())
+        links = found if links is None else links.unionByName(found)
         if last or not n:
             return links
         roots, before, turn = components(links), found.count(), turn + 1
@@ -252,8 +252,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = exploded.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("bucket")
     buckets = stored(exploded.join(shared, "bucket").select("bucket", F.col("rep").alias("id")))
     wanted = buckets.select("id").distinct()
-    reps = rows.join(wanted, "id", "left_semi")
-    sets = stored(reps.mapInArrow(shingle_sets, SETS).dropDuplicates(["id"]))
+    reps = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    sets = stored(reps.mapInArrow(shingle_sets, SETS))
     links = near_links(buckets, sets, threshold)
     copies = with_words.join(texts.select("s1", "s2", "rep"), ["s1", "s2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.unionByName(copies))
