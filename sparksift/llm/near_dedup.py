@@ -10,7 +10,7 @@ sets is at least 0.8. A class is a connected component of links; its id is its s
    which is the plain one where weights are equal.
 2. *Classes of equal shingles* are formed first (two 64-bit sums over shingles and weights), so copies never meet in a pair.
 3. *Bands*: 30 bands of 5 components. A pair of similarity 0.8 shares none with a chance of 7e-6, one of 0.2 some with 1 %.
-4. *Verification.* Pairs are compared exactly, and only those of one bucket that links have not joined yet. A bucket with no more than `EACH` such
+4. *Verification.* Pairs are compared exactly, and only those of one bucket that links have not joined yet and whose sizes allow the threshold. A bucket with no more than `EACH` such
    pairs for each of its texts is settled at once. In larger ones every text is compared with one hub, first the text that shares most
    buckets; links are contracted to components, and new hubs are drawn as long as a round joins `WORTH` of the texts. A group of near copies is
    joined after a few rounds, for one comparison a text and round. What is left in large buckets are texts that share a passage rather than being
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components, stored
@@ -106,7 +106,7 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mix((mix(parts) * weights).sum(2, dtype=U64) + np.arange(bands, dtype=U64) * OTHER)
 
 
-SIGNED = "id long, s1 long, s2 long, bands array<long>"
+SIGNED = "id long, s1 long, s2 long, size int, bands array<long>"
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +117,11 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lane, salt in enumerate((GOLD, OTHER)):
             np.add.at(sums[lane], text, mix(value ^ mix(count.astype(U64) * salt + U64(lane))))
         bands = band_hashes(signatures(text, value, weights(count), n))
-        some = np.bincount(text, minlength=n) > 0
+        sizes = np.bincount(text, minlength=n)
+        some = sizes > 0
         offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[some].reshape(-1).view(np.int64)))
-        yield pa.record_batch([batch.column(0).cast(pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), lists], ["id", "s1", "s2", "bands"])
+        yield pa.record_batch([batch.column(0).cast(pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), pa.array(sizes, pa.int32()), lists], ["id", "s1", "s2", "size", "bands"])
 
 
 SETS = "id long, shingles binary"
@@ -195,17 +196,22 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> DataF
     kept = rows.join(counts, "shingle").withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - F.ceil(F.lit(threshold - 1e-9) * F.col("size")) + 1)
     prefix = stored(kept.filter("n > 1").join(members, "id").select("id", "root", "shingle", "size", "rank"))
     other = prefix.select("shingle", F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("size").alias("size2"), F.col("rank").alias("rank2"))
-    near = (F.least("size", "size2") >= F.lit(threshold - 1e-9) * F.greatest("size", "size2")) & (F.col("root") < F.col("root2"))
+    near = fits("size", "size2", threshold) & (F.col("root") < F.col("root2"))
     near &= 1 + F.least(F.col("size") - F.col("rank"), F.col("size2") - F.col("rank2")) >= F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("size2")) - 1e-6
     return prefix.join(other, "shingle").filter(near).select(*ordered("id", "id2")).distinct()
 
 
+def fits(a: str, b: str, threshold: float) -> Column:
+    """Sets of these sizes can reach the threshold."""
+    return F.least(a, b) >= F.lit(threshold - 1e-9) * F.greatest(a, b)
+
+
 def ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def near_links(buckets: DataFrame, sets: DataFrame, threshold: float, rounds: int = HUB_ROUNDS) -> DataFrame:
-    """Links whose components are those of all pairs in a bucket that reach the threshold. buckets: (bucket, id)."""
+    """Links whose components are those of all pairs in a bucket that reach the threshold. buckets: (bucket, id, size), size of the shingle set."""
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
     degrees = stored(buckets.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("degree")))
     links, members, turn, before = None, buckets.withColumn("root", F.col("id")), 0, 0
@@ -213,13 +219,13 @@ def near_links(buckets: DataFrame, sets: DataFrame, threshold: float, rounds: in
         by_root = members.groupBy("bucket", "root").agg(F.count("*").alias("c"))
         # pairs of members of different components
         open_ = by_root.groupBy("bucket").agg(F.sum("c").alias("n"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("pairs > 0")
-        members = stored(members.join(open_, "bucket").select("bucket", "id", "root", (F.col("pairs") <= EACH * F.col("n")).alias("few")))
+        members = stored(members.join(open_, "bucket").select("bucket", "id", "size", "root", (F.col("pairs") <= EACH * F.col("n")).alias("few")))
         if members.isEmpty():
             return links
-        small = members.filter("few").select("bucket", "id", "root")
-        other = small.select("bucket", F.col("id").alias("id2"), F.col("root").alias("root2"))
-        pairs = small.join(other, "bucket").filter("root < root2").select(*ordered("id", "id2"))
-        large = members.filter("not few").select("bucket", "id", "root")
+        small = members.filter("few").select("bucket", "id", "size", "root")
+        other = small.select("bucket", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
+        pairs = small.join(other, "bucket").filter((F.col("root") < F.col("root2")) & fits("size", "size2", threshold)).select(*ordered("id", "id2"))
+        large = members.filter("not few").select("bucket", "id", "size", "root")
         texts = large.select("id", "root").distinct()
         n = texts.count()
         last = turn == rounds or turn > 0 and before < WORTH * n
@@ -229,16 +235,16 @@ def near_links(buckets: DataFrame, sets: DataFrame, threshold: float, rounds: in
             # first the text that shares most buckets, as the original of a group does; then texts by chance, in proportion to that
             chance = -F.log((F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 30)) + 0.5) / (1 << 30)) / F.col("degree")
             first = chance if turn else -F.col("degree").cast("double")
-            hubs = large.join(degrees, "id").groupBy("bucket").agg(F.min(F.struct(first.alias("h"), F.col("id").alias("hub"), F.col("root").alias("hub_root"))).alias("m"))
-            # one hub for each text and round: of the buckets whose hub it isn't joined with, any
-            chosen = large.join(hubs.select("bucket", "m.hub", "m.hub_root"), "bucket").filter("root <> hub_root").groupBy("id").agg(F.min(F.struct(F.xxhash64("bucket", F.lit(turn)).alias("h"), "hub")).alias("m"))
+            hubs = large.join(degrees, "id").groupBy("bucket").agg(F.min(F.struct(first.alias("h"), F.col("id").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"))).alias("m"))
+            # one hub for each text and round: of the buckets whose hub it isn't joined with but may be similar to, any
+            chosen = large.join(hubs.select("bucket", "m.hub", "m.hub_size", "m.hub_root"), "bucket").filter((F.col("root") != F.col("hub_root")) & fits("size", "hub_size", threshold)).groupBy("id").agg(F.min(F.struct(F.xxhash64("bucket", F.lit(turn)).alias("h"), "hub")).alias("m"))
             pairs = pairs.unionByName(chosen.select(*ordered("id", "m.hub")))
         found = linked(pairs.distinct(), sets, threshold)
         links = found if links is None else links.unionByName(found)
         if last or not n:
             return links
         roots, before, turn = components(links), found.count(), turn + 1
-        members = large.select("bucket", "id").join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+        members = large.select("bucket", "id", "size").join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("root"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -246,11 +252,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marks = stored(rows.filter("id is not null").mapInArrow(signed, SIGNED))
     with_words = marks.filter(F.size("bands") > 0)
-    texts = stored(with_words.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    exploded = texts.select("rep", F.explode("bands").alias("bucket"))
+    texts = stored(with_words.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    exploded = texts.select("rep", "size", F.explode("bands").alias("bucket"))
     # a bucket is a hash that holds its band's number, so bands never mix
     shared = exploded.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("bucket")
-    buckets = stored(exploded.join(shared, "bucket").select("bucket", F.col("rep").alias("id")))
+    buckets = stored(exploded.join(shared, "bucket").select("bucket", F.col("rep").alias("id"), "size"))
     wanted = buckets.select("id").distinct()
     reps = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"])
     sets = stored(reps.mapInArrow(shingle_sets, SETS))
