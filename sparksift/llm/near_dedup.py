@@ -221,7 +221,7 @@ def near_links(buckets: DataFrame, sets: DataFrame, threshold: float, rounds: in
         open_ = by_root.groupBy("bucket").agg(F.sum("c").alias("n"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("pairs > 0")
         members = stored(members.join(open_, "bucket").select("bucket", "id", "size", "root", (F.col("pairs") <= EACH * F.col("n")).alias("few")))
         if members.isEmpty():
-            return links
+            return buckets.sparkSession.createDataFrame([], "a long, b long") if links is None else links
         small = members.filter("few").select("bucket", "id", "size", "root")
         other = small.select("bucket", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
         pairs = small.join(other, "bucket").filter((F.col("root") < F.col("root2")) & fits("size", "size2", threshold)).select(*ordered("id", "id2"))

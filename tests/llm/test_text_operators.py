@@ -86,6 +86,15 @@ def test_large_bucket_of_a_shared_passage(spark):
     assert {r.id: r.class_id for r in got.collect()} == brute.near_classes(rows)
 
 
+@pytest.mark.parametrize("texts", [["one text alone"], ["a b c d e f"] * 3, ["a b c d e f", "g h i j k l", "m n"], [None, ""]])
+def test_no_candidate_pairs(spark, texts):
+    """One document, only exact copies, all different, no words: there is no bucket to open."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute.near_classes(list(enumerate(texts)))
+    assert {r.id: r.class_id for r in near_dedup.near_classes(docs).collect()} == want
+    assert sorted(r.doc_id for r in near_dedup.one_of_each(docs).collect()) == sorted(set(want.values()))
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     value = rng.integers(1, 1 << 62, 120, dtype=np.uint64)
