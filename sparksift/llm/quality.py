@@ -30,8 +30,8 @@ from .graph import stored
 from .text_arrays import IS_SPACE, Texts, Words, rolling, slices, span_hashes, texts_of, windows_inside, words_of
 
 MIN_WORDS, MOST_REPEATED, REPEAT_WINDOW = 20, 30, 8
-SUBSET, STEPS, LEAST, LEVEL = 0.75, 4, 60, 1 - 1e-9
-FLOOR = np.array([0.25, 0.1, 0.25, 0.5, 0.5])
+SUBSET, STEPS, LEAST, LEVEL = 0.75, 4, 60, 0.999
+FLOOR = np.array([0.1, 0.05, 0.1, 0.4, 0.4])  # beside a centre of 0, shares over 2.9 % of symbols or 25.6 % of repeats reject alone
 DIMENSIONS = len(FLOOR)
 FINE = 64  # bins of a statistic for medians and quartiles: 1 / FINE
 SYMBOLS = b"#*$%&|<>"

@@ -283,6 +283,19 @@ def test_quality_rejects_outliers_only(spark):
     assert not any(got[i].kept for i, *_ in bad)
 
 
+def test_quality_rejects_by_one_statistic(spark):
+    """A twelfth of symbols, or lines of which half are repeated, and nothing else of note."""
+    rng = random.Random(4)
+    line = lambda: " ".join("w" * rng.randrange(2, 9) + str(rng.randrange(999)) for _ in range(12))
+    good = [(i, "\n".join(line() for _ in range(rng.randrange(6, 30))), "en", "s") for i in range(200)]
+    symbols = [(1000 + i, "\n".join(line().replace(" ", " | ").replace("| ", "", 5) for _ in range(12)), "en", "s") for i in range(10)]
+    repeats = [(2000 + i, "\n".join(line() + "\nread more" for _ in range(12)), "en", "s") for i in range(10)]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(good + symbols + repeats, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(got[i].kept for i, *_ in good)
+    assert not any(got[i].kept for i, *_ in symbols + repeats)
+
+
 def test_chi_squared():
     assert quality.chi_squared(quality.quantile(0.95, 5), 5) == pytest.approx(0.95)
     assert quality.quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
