@@ -1,7 +1,8 @@
 """Visible text of HTML pages, laid out as a browser would: a tree with implied tags, visibility rules, blocks, lists and aligned tables.
 
 `tree` reads tags with one pattern and keeps a stack of open elements. Start tags close what the standard says they imply (a paragraph before a block,
-list items, cells, rows, options), end tags close up to their match, unmatched ones are ignored. `render` walks the tree without recursion. Not
+list items, cells, rows, options), end tags close up to their match, unmatched ones are ignored. In a table,
+section or row a form is closed at once, and all but parts of tables goes in front of the table. `render` walks the tree without recursion. Not
 visible: head, script, style, templates and other elements without a rendering, comments, elements with `hidden` or an inline style of `display: none`,
 and under `visibility: hidden` all but elements that are visible again; closed dialogs; what a closed `details` holds besides its summary.
 
@@ -28,8 +29,8 @@ from .text_arrays import slices
 # The elements that the rules speak of.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noembed noframes iframe xmp".split())
-UNSEEN = set("head script style template noscript title meta link base object iframe audio video canvas svg math datalist noembed noframes param source track area map".split())
-BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp caption".split())
+UNSEEN = set("head script style template noscript title meta link base object iframe audio video canvas datalist noembed noframes param source track area".split())
+BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td text tfoot th thead tr ul xmp caption".split())  # text is one of svg
 SPACED = set("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 ol p pre table ul xmp hr".split())
 ENDS_PARAGRAPH = set("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul xmp".split())
 # A start tag closes open elements of these names, up to an element of the second list.
@@ -49,6 +50,15 @@ IMPLIED = {
     "rp": (["rt", "rp"], ["ruby"]),
 }
 SCOPE = set("html table td th caption template button object".split())  # end tags don't reach through these
+SECTIONS = ("tbody", "thead", "tfoot")
+TABLE_PARTS = set("caption colgroup col tbody thead tfoot tr td th".split())
+# In a table, section or row these stay; all else goes in front of the table.
+TABLE_CONTEXT = {"table", "tr", *SECTIONS}
+IN_TABLE = TABLE_PARTS | set("script style template form".split())
+# How far a part's start tag ends what is open in its table.
+PART_CONTEXT = {"td": ("tr", *SECTIONS), "th": ("tr", *SECTIONS), "tr": SECTIONS, "col": ("colgroup",)}
+# Elements of svg and math that are not rendered.
+FOREIGN_UNSEEN = {"svg": set("desc metadata defs symbol clippath mask marker pattern".split()), "math": set("annotation annotation-xml".split())}
 HEAD_ONLY = set("title meta link base style script noscript template".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?)*+)(?:>|\Z)", re.S)
@@ -81,9 +91,37 @@ def tree(page: str) -> Node:
         while len(stack) > depth:
             count[stack.pop().tag] -= 1
 
+    def table_at() -> int:
+        """The depth of the innermost table if no cell, caption or template is open in it, else 0."""
+        if count.get("table"):
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth].tag == "table":
+                    return depth
+                if stack[depth].tag in ("td", "th", "caption", "template"):
+                    break
+        return 0
+
+    def place(item: "Node | str") -> Node:
+        """Adds to the open element, or in front of the table that can't hold the item; returns the parent."""
+        depth = table_at() if stack[-1].tag in TABLE_CONTEXT else 0
+        if not depth:
+            stack[-1].children.append(item)
+            return stack[-1]
+        parent = stack[depth].parent
+        at = len(parent.children) - 1
+        while parent.children[at] is not stack[depth]:
+            at -= 1
+        parent.children.insert(at, item)
+        return parent
+
     def push(tag: str, attributes: dict) -> Node:
+        if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            pop_to(len(stack) - 1)
         node = Node(tag, attributes, stack[-1])
-        stack[-1].children.append(node)
+        if tag in IN_TABLE:
+            stack[-1].children.append(node)
+        else:
+            node.parent = place(node)
         if tag not in VOID:
             stack.append(node)
             count[tag] = count.get(tag, 0) + 1
@@ -94,7 +132,7 @@ def tree(page: str) -> Node:
         if not any(count.get(n) for n in names):
             return
         for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in stops:
+            if stack[depth].tag in stops or stack[depth].tag == "template":
                 return
             if stack[depth].tag in names:
                 pop_to(depth)
@@ -111,7 +149,11 @@ def tree(page: str) -> Node:
         if text:
             if text.strip():
                 leave_head()
-            stack[-1].children.append(html.unescape(text))
+                if stack[-1].tag == "colgroup":
+                    pop_to(len(stack) - 1)
+                place(html.unescape(text))
+            else:
+                stack[-1].children.append(html.unescape(text))
         if not found:
             break
         at = found.end()
@@ -130,7 +172,7 @@ def tree(page: str) -> Node:
                     if stack[depth].tag == name:
                         pop_to(depth)
                         break
-                    if stack[depth].tag in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "body"):
+                    if stack[depth].tag in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "template"):
                         break
             continue
         if name in ("html", "body") and (name == "html" or count.get("body")):
@@ -143,18 +185,32 @@ def tree(page: str) -> Node:
             close(["p"], SCOPE)
         if name in IMPLIED:
             close(*IMPLIED[name])
+        if count.get("table") and name in TABLE_PARTS:
+            close(["td", "th", "caption"], ["table"])
+            depth = table_at()
+            if depth:
+                last = len(stack) - 1
+                while last > depth and stack[last].tag not in PART_CONTEXT.get(name, ()):
+                    last -= 1
+                pop_to(last + 1)
+        elif name == "table" and table_at():  # one without a cell around it ends the table before
+            pop_to(table_at())
         if name in ("td", "th") and stack[-1].tag not in ("tr",) and count.get("table"):
             if stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 push("tr", {})
         node = push(name, attributes_of(rest) if rest.strip(" /") else {})
-        if name in RAW:
+        if any(count.get(k) and name in v for k, v in FOREIGN_UNSEEN.items()):
+            node.attributes["hidden"] = ""
+        if rest.endswith("/") and name not in VOID and (count.get("svg") or count.get("math")):
+            pop_to(len(stack) - 1)
+        elif name == "form" and node.parent.tag in TABLE_CONTEXT:
+            pop_to(len(stack) - 1)
+        elif name in RAW:
             closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|</{re.escape(name)}\Z", re.I).search(page, at)
             body = page[at : closing.start() if closing else len(page)]
             node.children.append(html.unescape(body) if name in ("textarea", "title") else body)
             at = closing.end() if closing else len(page)
             pop_to(len(stack) - 1)
-        elif rest.endswith("/") and name in ("svg", "math", "path", "use"):
-            pop_to(len(stack) - 1)
     return root
 
 

@@ -51,6 +51,28 @@ def test_rules(page, text):
     assert " ".join(render(page).split()) == " ".join(text.split())
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><tr><form><td>a<td>b</form></table>c", "a  b\n\nc"),
+        ("<table><form><tr><td>a</form><tr><td>b</table>", "a\nb"),
+        ("<table><div><tr><td>a</td></tr></div><tr><td>b</table>", "a\nb"),
+        ("x<table>loose<tr>text<td>a</td><p>more</p><td>b</table>y", "xloosetext\n\nmore\n\na  b\n\ny"),
+        ("<table><tbody><tr><h2>head</h2><td>a</table>", "head\n\na"),
+        ("<table><tr><td>a<tr><table><tr><td>b</table></table>", "a\n\nb"),
+        ("<table><colgroup><col>c<tr><td>a</table>", "c\n\na"),
+        ("<table><caption>t<td>a</table>", "t\na"),
+        ("<table><template><tr><td>x</template><tr><td>a</table>", "a"),
+        ("<tr>stray<td>a", "stray\na"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>", "x=1"),
+        ("<svg><title>t</title><defs><text>d</text></defs><rect/><text>a</text><text>b</text></svg>", "a\nb"),
+        ("<map name=m><area href=q><a href=r>link</a></map>", "link"),
+    ],
+)
+def test_no_visible_text_is_lost(page, text):
+    assert [line for line in render(page).split("\n") if line] == [line for line in text.split("\n") if line]
+
+
 def test_deep_and_long_pages():
     assert render("<div>" * 20_000 + "x") == "x"
     assert render("<b>" + "word " * 200_000).count("word") == 200_000
