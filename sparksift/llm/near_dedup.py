@@ -16,8 +16,9 @@ sets is at least 0.8. A class is a connected component of links; its id is its s
    joined after a few rounds, for one comparison a text and round. What is left in large buckets are texts that share a passage rather than being
    copies; their pairs come from an exact prefix-filter join on their rarest shingles.
 
-Defined cases: a text without words (null, empty, blank) is a class of its own; rows with one id are one document of all their shingle
-sets' links, and null ids are returned as classes of their own, not compared.
+Defined cases: a text without words (null, empty, blank) is a class of its own. Each distinct shingle set has a key of its own for buckets and sets. Rows
+with one id are one document of all their texts' links; null ids are returned as classes of their own, not compared. `one_of_each` goes by texts, with
+null ids compared too: a row is dropped only if its class keeps another row.
 """
 
 from __future__ import annotations
@@ -106,13 +107,13 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mix((mix(parts) * weights).sum(2, dtype=U64) + np.arange(bands, dtype=U64) * OTHER)
 
 
-SIGNED = "id long, s1 long, s2 long, size int, bands array<long>"
+SIGNED = "null_id boolean, id long, h1 long, h2 long, s1 long, s2 long, size int, bands array<long>"
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", SIGNED_BYTES):
         n = batch.num_rows
-        text, value, count = shingles(words_of(texts_of(batch.column(1))), n)
+        text, value, count = shingles(words_of(texts_of(batch.column(4))), n)
         sums = [np.zeros(n, U64), np.zeros(n, U64)]
         for lane, salt in enumerate((GOLD, OTHER)):
             np.add.at(sums[lane], text, mix(value ^ mix(count.astype(U64) * salt + U64(lane))))
@@ -121,7 +122,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = sizes > 0
         offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[some].reshape(-1).view(np.int64)))
-        yield pa.record_batch([batch.column(0).cast(pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), pa.array(sizes, pa.int32()), lists], ["id", "s1", "s2", "size", "bands"])
+        yield pa.record_batch([*batch.columns[:4], *(pa.array(s.view(np.int64)) for s in sums), pa.array(sizes, pa.int32()), lists], [*KEY, "s1", "s2", "size", "bands"])
 
 
 SETS = "id long, shingles binary"
@@ -247,28 +248,58 @@ def near_links(buckets: DataFrame, sets: DataFrame, threshold: float, rounds: in
         members = large.select("bucket", "id", "size").join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("root"))
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, class_id, kept) of every row's id: one row for each document id, and one for all null ids if there are any."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marks = stored(rows.filter("id is not null").mapInArrow(signed, SIGNED))
+KEY = ["null_id", "id", "h1", "h2"]  # of a row: its id (0 for null) and its text's hashes
+
+
+def keys(id_: Column, text: Column) -> list[Column]:
+    id_ = id_.cast("long")
+    return [c.alias(k) for k, c in zip(KEY, (id_.isNull(), F.coalesce(id_, F.lit(0)), F.xxhash64(text), F.xxhash64(F.lit(1), text)), strict=True)]
+
+
+def text_links(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (KEY, text): (KEY, s1, s2, some) of each row, (rep, first, s1, s2) of each distinct shingle set, and links (a, b) of reps.
+
+    first is the smallest key of a row that has the set, null ids last.
+    """
+    marks = stored(rows.mapInArrow(signed, SIGNED))
     with_words = marks.filter(F.size("bands") > 0)
-    texts = stored(with_words.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    first = F.min(F.struct(*KEY)).alias("first")
+    # stored, so that reps are drawn once
+    texts = stored(with_words.groupBy("s1", "s2").agg(first, F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id()))
     exploded = texts.select("rep", "size", F.explode("bands").alias("bucket"))
     # a bucket is a hash that holds its band's number, so bands never mix
     shared = exploded.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("bucket")
     buckets = stored(exploded.join(shared, "bucket").select("bucket", F.col("rep").alias("id"), "size"))
-    wanted = buckets.select("id").distinct()
-    reps = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    sets = stored(reps.mapInArrow(shingle_sets, SETS))
-    links = near_links(buckets, sets, threshold)
-    copies = with_words.join(texts.select("s1", "s2", "rep"), ["s1", "s2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    roots = components(links.unionByName(copies))
+    wanted = texts.join(buckets.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi").select("first.*", "rep")
+    reps = rows.join(wanted, KEY).dropDuplicates(KEY)  # by the join's key, so without another shuffle
+    sets = stored(reps.select(F.col("rep").alias("id"), "text").mapInArrow(shingle_sets, SETS))
+    return marks.select(*KEY, "s1", "s2", (F.size("bands") > 0).alias("some")), texts.select("rep", "first", "s1", "s2"), near_links(buckets, sets, threshold)
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, class_id, kept) of every row's id: one row for each document id, and one for all null ids if there are any."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marks, texts, found = text_links(rows.filter("id is not null").select(*keys(F.col("id"), F.col("text")), "text"), threshold)
+    names = texts.select("rep", F.col("first.id").alias("name"))
+    links = found.join(names.select(F.col("rep").alias("a"), F.col("name").alias("x")), "a").join(names.select(F.col("rep").alias("b"), F.col("name").alias("y")), "b")
+    copies = marks.filter("some").join(texts.select("s1", "s2", F.col("first.id").alias("b")), ["s1", "s2"]).filter("id <> b").select(F.col("id").alias("a"), "b")
+    roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(copies))
     ids = rows.select("id").distinct()
     out = ids.join(roots, ids.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("class_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("class_id")))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose document is kept, each once; its columns."""
-    kept = near_classes(docs, id_col, text_col).filter("kept").select(F.col("id").alias("__id"))
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__id"]), "left_semi").dropDuplicates([id_col])
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class of texts, that of the smallest id, null ids last; the columns of `docs`.
+
+    Rows of one id are classed by their own texts, and so are rows of null ids. Of rows without words those equal in id and text are one, and
+    those of null ids all stay.
+    """
+    named = [k.alias(f"__{n}") for k, n in zip(keys(docs[id_col], docs[text_col]), KEY, strict=True)]
+    marks, texts, links = text_links(docs.select(*keys(docs[id_col], docs[text_col]), docs[text_col].alias("text")), threshold)
+    classes = texts.join(components(links), F.col("rep") == F.col("node"), "left").groupBy(F.coalesce("root", "rep").alias("class")).agg(F.min("first").alias("first"))
+    chosen = classes.select("first.*", F.lit(True).alias("some")).unionByName(marks.filter("not some").select(*KEY, "some").distinct())
+    chosen = chosen.select(*(F.col(k).alias(f"__{k}") for k in KEY), F.col("some").alias("__some"))
+    found = docs.select("*", *named).join(chosen, [f"__{k}" for k in KEY])
+    own = F.when(F.col("__null_id") & ~F.col("__some"), F.monotonically_increasing_id())
+    return found.withColumn("__own", own).dropDuplicates([*(f"__{k}" for k in KEY), "__own"]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -95,6 +95,18 @@ def test_no_candidate_pairs(spark, texts):
     assert sorted(r.doc_id for r in near_dedup.one_of_each(docs).collect()) == sorted(set(want.values()))
 
 
+def test_texts_of_null_and_repeated_ids(spark):
+    """Each distinct text is held against the others; only rows whose class keeps another row go."""
+    text = lambda c, *more: " ".join([*(f"{c}{k}" for k in range(60)), *more])
+    a, b, c, x, y = map(text, "abcxy")
+    rows = [(None, a), (None, b), (None, b), (None, None), (None, None), (1, c), (7, x), (7, y), (7, y), (9, text("y", "end")), (None, text("c", "end")), (8, text("x", "end"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+    assert got == {None: None, 1: 1, 7: 7, 8: 7, 9: 7}
+    kept = sorted((str(r.doc_id), str(r.text)) for r in near_dedup.one_of_each(docs).collect())
+    assert kept == sorted((str(i), str(t)) for i, t in [(None, a), (None, b), (None, None), (None, None), (1, c), (7, x), (7, y)])
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     value = rng.integers(1, 1 << 62, 120, dtype=np.uint64)
