@@ -8,8 +8,9 @@ sets is at least 0.8. A class is a connected component of links; its id is its s
    arrival at a component names it. Arrivals are made in order of time and stop as soon as every component of the document has one.
    The chance that a component agrees is the probability Jaccard similarity, the sum over common shingles d of 1 / sum_e max(x_e / x_d, y_e / y_d),
    which is the plain one where weights are equal.
-2. *Classes of equal shingles* are formed first (two 64-bit sums over shingles and weights), so copies never meet in a pair.
-3. *Bands*: 30 bands of 5 components. A pair of similarity 0.8 shares none with a chance of 7e-6, one of 0.2 some with 1 %.
+2. *Classes of equal shingle sets* are formed first (two 64-bit sums over shingles, whatever their counts), so copies never meet in a pair.
+3. *Bands*: 30 bands of 5 components, and of texts whose shingles differ in count 30 more of a signature with unit weights, in the same
+   buckets. So every pair meets by its plain similarity too, which links are defined by: one of 0.8 shares no band with a chance of 7e-6 at most.
 4. *Verification.* Pairs are compared exactly, and only those of one bucket that links have not joined yet and whose sizes allow the threshold. A bucket with no more than `EACH` such
    pairs for each of its texts is settled at once. In larger ones every text is compared with one hub, first the text that shares most
    buckets; links are contracted to components, and new hubs are drawn as long as a round joins `WORTH` of the texts. A group of near copies is
@@ -107,6 +108,22 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mix((mix(parts) * weights).sum(2, dtype=U64) + np.arange(bands, dtype=U64) * OTHER)
 
 
+def all_bands(text: np.ndarray, value: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, 2 * BANDS) band hashes of weighted and of unit weight signatures, and which of them count: equal ones once, none of texts without shingles."""
+    first = np.searchsorted(text, np.arange(n))
+    has = np.bincount(text, minlength=n) > 0
+    uneven = np.bincount(text, count != count[np.minimum(first, len(count) - 1)][text], n) > 0 if len(count) else np.zeros(n, bool)
+    weighted = band_hashes(signatures(text, value, weights(count), n))
+    bands, used = np.hstack([weighted, weighted]), np.repeat(np.stack([has, np.zeros(n, bool)], 1), BANDS, axis=1)
+    if uneven.any():  # with one count for all shingles the two signatures are the same
+        at = uneven[text]
+        number = np.cumsum(uneven) - 1
+        unit = band_hashes(signatures(number[text[at]], value[at], np.ones(at.sum()), int(uneven.sum())))
+        bands[uneven, BANDS:] = unit
+        used[uneven, BANDS:] = unit != weighted[uneven]
+    return bands, used
+
+
 SIGNED = "null_id boolean, id long, h1 long, h2 long, s1 long, s2 long, size int, bands array<long>"
 
 
@@ -116,12 +133,11 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, value, count = shingles(words_of(texts_of(batch.column(4))), n)
         sums = [np.zeros(n, U64), np.zeros(n, U64)]
         for lane, salt in enumerate((GOLD, OTHER)):
-            np.add.at(sums[lane], text, mix(value ^ mix(count.astype(U64) * salt + U64(lane))))
-        bands = band_hashes(signatures(text, value, weights(count), n))
+            np.add.at(sums[lane], text, mix(value ^ mix(salt + U64(lane))))
+        bands, used = all_bands(text, value, count, n)
         sizes = np.bincount(text, minlength=n)
-        some = sizes > 0
-        offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[some].reshape(-1).view(np.int64)))
+        offsets = np.concatenate([[0], np.cumsum(used.sum(1))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[used].view(np.int64)))
         yield pa.record_batch([*batch.columns[:4], *(pa.array(s.view(np.int64)) for s in sums), pa.array(sizes, pa.int32()), lists], [*KEY, "s1", "s2", "size", "bands"])
 
 

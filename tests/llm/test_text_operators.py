@@ -107,6 +107,30 @@ def test_texts_of_null_and_repeated_ids(spark):
     assert kept == sorted((str(i), str(t)) for i, t in [(None, a), (None, b), (None, None), (None, None), (1, c), (7, x), (7, y)])
 
 
+def test_links_whatever_the_counts(spark):
+    """A few shingles occur often in one text and once in the other; sets are the same or nearly so."""
+    rows = []
+    for i in range(60):
+        words = [f"t{i}w{k}" for k in range(100)]
+        often = " ".join([" ".join(words[:40])] * 40)  # some joints more
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, f"{often} {' '.join(words[40:])}")]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute.near_classes(rows)
+    assert len(set(want.values())) == 60
+    assert {r.id: r.class_id for r in got.collect()} == want
+
+
+def test_bands_have_those_of_unit_weights():
+    rng = np.random.default_rng(2)
+    value = np.sort(rng.integers(1, 1 << 62, 100, dtype=np.uint64))
+    text, twice = np.repeat([0, 2], 100), np.concatenate([value, value])
+    count = np.concatenate([np.ones(100, int), np.where(np.arange(100) < 30, 1000, 1)])
+    bands, used = near_dedup.all_bands(text, twice, count, 3)
+    plain, other = ({*bands[k][used[k]].tolist()} for k in (0, 2))
+    assert len(plain) == near_dedup.BANDS and plain <= other and not used[1].any()
+    assert len(other) == used[2].sum()
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     value = rng.integers(1, 1 << 62, 120, dtype=np.uint64)
