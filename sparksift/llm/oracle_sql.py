@@ -1,8 +1,8 @@
-"""The license scan and the URL filter once more, as plain DuckDB SQL: every block with every template, every page with every rule."""
+"""Some operators once more, as plain DuckDB SQL: every block with every template, every page with every rule, every document with every item."""
 
 from __future__ import annotations
 
-from . import hosts, licenses
+from . import hosts, infill, licenses, reverse_search
 
 
 def text(value: str) -> str:
@@ -74,3 +74,41 @@ h2 AS (SELECT host, n + g AS total, (k + m * g) / (n + g) AS mean FROM h1, (SELE
 SELECT page_id, u.host, u.path, rule, coalesce(kind, CASE WHEN mean - {hosts.Z} * sqrt(mean * (1 - mean) / (total + 1)) > {hosts.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM urls u JOIN h2 USING (host) LEFT JOIN ruled r ON u.host = r.host AND u.path = r.path
 """
+
+
+def infill_sql() -> str:
+    draw = "CAST('0x' || substr(h, {}, 8) AS BIGINT)"
+    sentinels = " OR ".join(f"contains(t, '{s}')" for s in (infill.PREFIX, infill.SUFFIX, infill.MIDDLE))
+    part = "array_to_string(list_slice(lines, {}, {}), '')"
+    return rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{infill.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+lined AS (SELECT *, CASE WHEN t = '' THEN CAST([] AS VARCHAR[]) ELSE regexp_extract_all(t, '[^\n]*\n|[^\n]+') END AS lines FROM docs),
+drawn AS (
+  SELECT doc_id, t, lines, CAST(len(lines) AS BIGINT) AS n, {draw.format(1)} % (len(lines) + 1) AS x, {draw.format(9)} % (len(lines) + 1) AS y,
+    CASE WHEN t = '' OR {sentinels} OR {draw.format(17)} % 100 >= {infill.RATE} THEN 'plain' WHEN {draw.format(25)} % 100 < {infill.SPM_SHARE} THEN 'spm' ELSE 'psm' END AS form
+  FROM lined),
+parts AS (SELECT doc_id, n, form, t, {part.format(1, 'least(x, y)')} AS p, {part.format('least(x, y) + 1', 'greatest(x, y)')} AS m, {part.format('greatest(x, y) + 1', 'n')} AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{infill.PREFIX}' || p || '{infill.SUFFIX}' || s || '{infill.MIDDLE}' || m
+    ELSE '{infill.SUFFIX}' || s || '{infill.PREFIX}' || p || '{infill.MIDDLE}' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+def search_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    terms = rf"regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({terms}) AS term FROM benchmark) GROUP BY item_id, term),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS terms FROM documents),
+totals AS (SELECT count(*) AS big_n, sum(len(terms))::BIGINT AS big_l FROM docs WHERE len(terms) > 0),
+held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, totals GROUP BY term),
+sized AS (SELECT r, doc_id, 75 + (25 * len(terms) * big_n) // big_l AS m FROM docs, totals),
+scores AS (
+  SELECT item_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN sized USING (r) GROUP BY item_id, r),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores JOIN docs USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= {reverse_search.TOP}
+"""

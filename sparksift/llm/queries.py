@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import hosts, html_text, language, licenses, mixing, near_dedup, oracle_sql, packing, quality, substrings, vectors
+from . import (
+    binary_packing, hosts, html_text, infill, language, licenses, mixing, near_dedup, oracle_sql, packing, quality, reverse_search, substrings, vectors,
+)
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +60,22 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = binary_packing.pieces(table(spark, sf_dir, "documents"))
+    out = binary_packing.bucketed(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "batch")
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = [F.sha2(text, 256).alias(name) for text, name in ((F.col("output"), "output_sha256"), (infill.restored(F.col("output"), F.col("form")), "restored_sha256"))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_reverse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reverse_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,10 +84,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_html_text, op2_near_dedup, op3_language, op4_mixing, op5_substring_dedup, op6_license_scan, op7_packing, op8_quality, op9_url_filter, op10_vector_dedup, pipeline,
+        op1_html_text, op2_near_dedup, op3_language, op4_mixing, op5_substring_dedup, op6_license_scan, op7_packing, op8_quality, op9_url_filter, op10_vector_dedup,
+        op11_binary_packing, op12_infill, op13_reverse_search, pipeline,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_license_scan": oracle_sql.license_sql(), "op9_url_filter": oracle_sql.url_sql()}
+    return {"op6_license_scan": oracle_sql.license_sql(), "op9_url_filter": oracle_sql.url_sql(), "op12_infill": oracle_sql.infill_sql(), "op13_reverse_search": oracle_sql.search_sql()}

@@ -115,9 +115,10 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(raw, at - base)
 
 
-def words_of(texts: Texts, hashes: bool = True) -> Words:
+def words_of(texts: Texts, hashes: bool = True, gap: np.ndarray = IS_SPACE) -> Words:
+    """Maximal runs of bytes that are not in `gap`, a table of 256 flags."""
     data, offsets = texts.data, texts.offsets
-    inside = ~IS_SPACE[data]
+    inside = ~gap[data]
     new = np.ones(len(data), bool)
     new[1:] = ~inside[:-1]
     cuts = offsets[:-1][offsets[:-1] < len(data)]
