@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components, stored
+from ..storage import Scratch
+from .graph import components, rooted, star_edges, stored
 from .text_arrays import U64, Words, mix, rolling, slices, texts_of, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_SIZE = 30, 5
 SIZE = BANDS * BAND_SIZE
 HUB_ROUNDS, EACH, WORTH = 8, 4, 0.5
+SALTED = 4096  # members of a bucket that one task of a settled bucket's join takes
 SIGNED_BYTES = 3 << 20  # of text at once: a step of the arrivals costs the same for few and many texts
 GOLD, OTHER = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
 
@@ -229,19 +231,23 @@ def ordered(a: str, b: str) -> list:
 
 def near_links(buckets: DataFrame, sets: DataFrame, threshold: float, rounds: int = HUB_ROUNDS) -> DataFrame:
     """Links whose components are those of all pairs in a bucket that reach the threshold. buckets: (bucket, id, size), size of the shingle set."""
+    scratch = Scratch(buckets.sparkSession)
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
-    degrees = stored(buckets.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("degree")))
+    degrees = scratch.stored(buckets.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("degree")))
     links, members, turn, before = None, buckets.withColumn("root", F.col("id")), 0, 0
+    stars = last_members = None
     while True:
         by_root = members.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-        # pairs of members of different components
-        open_ = by_root.groupBy("bucket").agg(F.sum("c").alias("n"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("pairs > 0")
-        members = stored(members.join(open_, "bucket").select("bucket", "id", "size", "root", (F.col("pairs") <= EACH * F.col("n")).alias("few")))
+        # pairs of members of different components, and the component with most members
+        open_ = by_root.groupBy("bucket").agg(
+            F.sum("c").alias("n"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.max(F.struct("c", "root")).alias("most")
+        ).filter("pairs > 0")
+        few = F.col("pairs") <= EACH * F.col("n")
+        members = scratch.stored(members.join(open_, "bucket").select("bucket", "id", "size", "root", "n", few.alias("few"), (F.col("root") != F.col("most.root")).alias("minor")))
+        scratch.drop(stars, last_members)
         if members.isEmpty():
             return buckets.sparkSession.createDataFrame([], "a long, b long") if links is None else links
-        small = members.filter("few").select("bucket", "id", "size", "root")
-        other = small.select("bucket", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
-        pairs = small.join(other, "bucket").filter((F.col("root") < F.col("root2")) & fits("size", "size2", threshold)).select(*ordered("id", "id2"))
+        pairs = settled_pairs(members.filter("few"), threshold)
         large = members.filter("not few").select("bucket", "id", "size", "root")
         texts = large.select("id", "root").distinct()
         n = texts.count()
@@ -259,9 +265,28 @@ def near_links(buckets: DataFrame, sets: DataFrame, threshold: float, rounds: in
         found = linked(pairs.distinct(), sets, threshold)
         links = found if links is None else links.unionByName(found)
         if last or not n:
+            scratch.drop(members, degrees)
             return links
-        roots, before, turn = components(links), found.count(), turn + 1
-        members = large.select("bucket", "id", "size").join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("root"))
+        stars, last_members = star_edges(links, scratch), members
+        before, turn = found.count(), turn + 1
+        members = large.select("bucket", "id", "size").join(rooted(stars), F.col("id") == F.col("node"), "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("root"))
+
+
+def settled_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members of one bucket and different components, for buckets with no more than `EACH` such pairs a member.
+
+    Only members outside a bucket's largest component look for partners. With n members, c of them in that component, there are at least
+    n (n - c) / 2 pairs, so the join makes twice the pairs at most, however large the component is. In such a bucket n - c is no more than 2 `EACH`:
+    the few are repeated, so that many members are spread over several tasks.
+    """
+    n_salts = F.floor(F.col("n") / SALTED).cast("int")
+    left = members.filter("minor").select("bucket", "id", "size", "root", F.explode(F.sequence(F.lit(0), n_salts)).alias("salt"))
+    right = members.select(
+        "bucket", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("root").alias("root2"), F.col("minor").alias("minor2"),
+        F.pmod(F.xxhash64("id"), n_salts + 1).cast("int").alias("salt"),
+    )
+    apart = (F.col("root") != F.col("root2")) & (~F.col("minor2") | (F.col("root") < F.col("root2")))
+    return left.join(right, ["bucket", "salt"]).filter(apart & fits("size", "size2", threshold)).select(*ordered("id", "id2"))
 
 
 KEY = ["null_id", "id", "h1", "h2"]  # of a row: its id (0 for null) and its text's hashes

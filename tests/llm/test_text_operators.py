@@ -395,3 +395,15 @@ def test_null_ids(spark):
     assert removed == {(1, 70): 63, (None, 70): 70, (None, 0): 0}  # null ids come last; the first seven windows are the only ones
     assert mixing.mix(docs).count() == packing.pack(docs).select("doc_id", "piece").count() == 3
     assert quality.judged(docs).count() == licenses.license_scan(docs).count() == 3
+
+
+def test_settled_pairs_grow_with_the_open_pairs(spark, monkeypatch):
+    """A joined group of 20,000 and three others in its bucket: three rows look for partners, spread over several tasks."""
+    monkeypatch.setattr(near_dedup, "SALTED", 1000)
+    n = 20_000
+    members = spark.range(n + 3).selectExpr("7L AS bucket", "id", "100 AS size", f"if(id < {n}, 0L, id) AS root", f"{n + 3}L AS n", f"id >= {n} AS minor")
+    got = near_dedup.settled_pairs(members, 0.8)
+    assert got.count() == 3 * n + 3 == got.distinct().count()
+    small = spark.createDataFrame([(1, i, 100, r, 5, m) for i, r, m in [(1, 1, False), (2, 1, False), (3, 3, True), (4, 4, True), (5, 4, True)]], members.schema)
+    assert {tuple(r) for r in near_dedup.settled_pairs(small, 0.8).collect()} == {(1, 3), (2, 3), (1, 4), (2, 4), (1, 5), (2, 5), (3, 4), (3, 5)}
+
