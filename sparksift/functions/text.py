@@ -69,7 +69,8 @@ def comment_ratio(profile: Column) -> Column:
 
 def normalise_code(column: Column) -> Column:
     """Each comment and each run of white space becomes one blank; then trimmed."""
-    return trim_control(F.regexp_replace(column, r"//[^\n]*|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/|\s+", " "))
+    # a single blank stays as it is, so it is not matched at all
+    return trim_control(F.regexp_replace(column, r"//[^\n]*|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/| \s+|[^\S ]\s*", " "))
 
 
 def content_hash(column: Column) -> Column:

@@ -6,6 +6,9 @@ task. Instead an item gets a chunk, a slice of the file order: numbers are
 counted inside (hash, chunk), one row per (hash, chunk) carries the counts of
 the chunks before it, and the two are added. A hash seen in every file still
 spreads over all chunks, and the offsets hold at most ``CHUNKS`` rows per hash.
+
+Copies meet their group twice, so items are narrow rows that are stored first:
+a text is read, normalised and hashed once.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
+from ..storage import Scratch
 from .findings import emit, hit
 from .members import methods
 
@@ -42,7 +46,10 @@ def clone_groups(items: DataFrame) -> DataFrame:
 
 
 def numbered_copies(items: DataFrame) -> DataFrame:
-    """Items of clone groups with their occurrence number ``n`` and the first and second occurrence."""
+    """Items of clone groups with their occurrence number ``n`` and the first and second occurrence.
+
+    ``items`` are read several times, see ``stored_items``.
+    """
     place = F.struct("path", "label")
     # counts combine before the shuffle; what occurs once leaves before anything is sorted
     copied = clone_groups(items).select("hash")
@@ -66,7 +73,13 @@ def numbered_copies(items: DataFrame) -> DataFrame:
     return local.join(offsets, ["hash", "chunk"]).withColumn("n", (F.col("before") + F.col("local_n")).cast("int"))
 
 
+def stored_items(items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Items (path, label, line, node, hash) that have a text, written once."""
+    return (scratch or Scratch(items.sparkSession)).stored(items.filter("hash IS NOT NULL"))
+
+
 def clone_findings(items: DataFrame) -> DataFrame:
+    """Findings on stored items."""
     detail = """CASE n WHEN 1 THEN concat('(duplicated in ', substring_index(second.path, '/', -1), ':', second.label, ')')
         WHEN 2 THEN concat('(duplicated from ', substring_index(first.path, '/', -1), ':', first.label, ')')
         ELSE concat('(', n, ' copies found across files)') END"""

@@ -49,20 +49,26 @@ def hit(
     return f"CASE WHEN coalesce({condition}, false) THEN named_struct({struct}) END"
 
 
-def emit(rows: DataFrame, hits: Iterable[str] = (), many: Iterable[str] = ()) -> DataFrame:
-    """All findings of one grain in a single pass over its rows.
-
-    ``hits`` are single candidates, ``many`` are arrays of findings of a row.
-    """
+def found_array(hits: Iterable[str] = (), many: Iterable[str] = ()) -> str:
+    """SQL for all findings of a row: ``hits`` are single candidates, ``many`` are arrays of findings."""
     arrays = [f"array_compact(array({', '.join(hits)}))"] if hits else []
     arrays += many
-    found = rows.selectExpr("path", f"explode({arrays[0] if len(arrays) == 1 else 'concat(' + ', '.join(arrays) + ')'}) AS f")
-    return found.selectExpr(
+    return arrays[0] if len(arrays) == 1 else "concat(" + ", ".join(arrays) + ")"
+
+
+def exploded(rows: DataFrame, found: str) -> DataFrame:
+    """Rows with an array of findings, as a table of findings."""
+    return rows.selectExpr("path", f"explode({found}) AS f").selectExpr(
         "f.type", "f.message", "f.severity", "substring_index(path, '/', -1) AS file_name", "f.line_number", "f.rule_id",
         "f.category", "f.suggestion", "path", "f.ord",
     )
 
 
+def emit(rows: DataFrame, hits: Iterable[str] = (), many: Iterable[str] = ()) -> DataFrame:
+    """All findings of one grain in a single pass over its rows."""
+    return exploded(rows, found_array(hits, many))
+
+
 def findings_union(parts: Iterable[DataFrame]) -> DataFrame:
     """All findings in one table; every part has the columns in the order ``emit`` gives them."""
     return reduce(DataFrame.union, parts)

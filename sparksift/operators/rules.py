@@ -413,7 +413,10 @@ def sum_rules(tokens: DataFrame, files: DataFrame, cfg: AuditConfig, only: Only
 
 
 def local_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
-    """Locals and parameters no expression of the method body names, in one aggregation per name."""
+    """Locals and parameters no expression of the method body names, in one aggregation per method.
+
+    The lists hold the declared and the used names of one method.
+    """
     named = either("is_var", "is_param", "is_name_use")
     rows = add(
         method_tokens(tokens, named),
@@ -423,25 +426,26 @@ def local_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataF
         opens=yes("depth > 0 AND pos = m_open"),
         own_start=yes("p1 = '=' AND p2 = tok AND n1 IN (';', ',')"),
     ).filter("declares OR param OR uses OR opens")
-    rows = add(rows, has_body="max(opens) OVER (PARTITION BY path, member)").filter("NOT opens")
-    per_name = rows.groupBy("path", "member", "tok").agg(
-        F.expr("min(CASE WHEN declares THEN named_struct('pos', pos, 'name', m_name, 'line', m_line) END) AS var"),
-        F.expr("min(CASE WHEN param THEN named_struct('pos', pos, 'name', mname, 'line', line) END) AS par"),
-        F.expr("max(uses) AS used"),
-        F.expr("max(uses AND NOT own_start) AS used_elsewhere"),
-        F.expr("max(has_body) AS has_body"),
+    per_method = rows.groupBy("path", "member").agg(
+        F.expr("collect_list(CASE WHEN declares THEN named_struct('pos', pos, 'tok', tok) END) AS vars"),
+        F.expr("collect_list(CASE WHEN param THEN named_struct('pos', pos, 'tok', tok, 'line', line) END) AS pars"),
+        F.expr("collect_set(CASE WHEN uses THEN tok END) AS used"),
+        F.expr("collect_set(CASE WHEN uses AND NOT own_start THEN tok END) AS used_elsewhere"),
+        F.expr("max(opens) AS has_body"),
+        F.expr("max(CASE WHEN declares THEN m_name END) AS m_name"), F.expr("max(CASE WHEN declares THEN m_line END) AS m_line"),
+        F.expr("max(CASE WHEN param THEN mname END) AS mname"),
     )
-    hits = {
-        "DEAD-002": hit(
-            "DEAD-002", "var IS NOT NULL AND NOT used_elsewhere", "MINOR", "Unused variable -> {tok} in method -> {var.name}",
-            "var.line", "var.pos",
-        ),
-        "DEAD-006": hit(
-            "DEAD-006", "par IS NOT NULL AND has_body AND NOT used AND tok NOT IN ('arg', 'args')", "MINOR",
-            "Unused parameter '{tok}' in method -> {par.name}", "par.line", "par.pos",
-        ),
-    }
-    return emit(per_name, wanted(only, hits))
+    parts = []
+    if only is None or "DEAD-002" in only:
+        rows = per_method.selectExpr("path", "m_name", "m_line", "explode(filter(vars, v -> NOT array_contains(used_elsewhere, v.tok))) AS v")
+        found = hit("DEAD-002", "true", "MINOR", "Unused variable -> {v.tok} in method -> {m_name}", "m_line", "v.pos")
+        parts.append(emit(rows, [found]))
+    if only is None or "DEAD-006" in only:
+        unused = "filter(pars, p -> p.tok NOT IN ('arg', 'args') AND NOT array_contains(used, p.tok))"
+        rows = per_method.filter("has_body").selectExpr("path", "mname", f"explode({unused}) AS p")
+        found = hit("DEAD-006", "true", "MINOR", "Unused parameter '{p.tok}' in method -> {mname}", "p.line", "p.pos")
+        parts.append(emit(rows, [found]))
+    return findings_union(parts)
 
 
 def class_tokens(tokens: DataFrame, keep: str) -> DataFrame:

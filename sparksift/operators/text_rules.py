@@ -1,8 +1,8 @@
 """Rules that hold for any text, applied to document tables.
 
 A document is a file here: its path is ``source/id``, its lines are the lines of
-the text. All rules but the clone rule come from one projection over the texts,
-so a table is read twice for a full audit: once for the hits, once for hashes.
+the text. All rules and the hash of the clone rule come from one projection over
+the texts, which is stored: a full audit reads a table of texts once.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from ..catalog import SENSITIVE_TERMS
 from ..config import AuditConfig
 from ..functions import text as tx
 from ..functions.sql import contains_any, quote
-from .clones import clone_findings
-from .findings import emit, findings_union, hit
+from ..storage import Scratch
+from .clones import clone_findings, stored_items
+from .findings import emit, exploded, findings_union, found_array, hit
 from .rules import file_hits, measured_files
 
 # A word that a quoted text is given to. It starts where a word starts and gives nothing back, so a long line takes time in proportion to its
@@ -61,16 +62,16 @@ def address_findings(files: DataFrame) -> DataFrame:
     return emit(files, many=[hits_of(line_matches(ADDRESS, ADDRESS_SIGN), ADDRESS_HIT)])
 
 
-def text_items(files: DataFrame) -> DataFrame:
+def text_items(files: DataFrame, *keep: str) -> DataFrame:
     """Whole texts as items to compare; the label is the file name."""
     return files.select(
-        "path", F.substring_index("path", "/", -1).alias("label"), F.lit(1).alias("line"), F.lit(0).cast("long").alias("node"),
+        *keep, "path", F.substring_index("path", "/", -1).alias("label"), F.lit(1).alias("line"), F.lit(0).cast("long").alias("node"),
         tx.content_hash(F.col("content")).alias("hash"),
     )
 
 
-def text_clones(files: DataFrame) -> DataFrame:
-    return clone_findings(text_items(files))
+def text_clones(files: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    return clone_findings(stored_items(text_items(files), scratch))
 
 
 def text_maintainability(files: DataFrame, complexity: int = 1) -> DataFrame:
@@ -89,15 +90,18 @@ def low_maintainability(files: DataFrame, cfg: AuditConfig = AuditConfig()) -> D
     return graded.withColumn("severity", F.when(F.col("grade") == "B", "MINOR").otherwise("MAJOR"))
 
 
-def text_audit(files: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
+def text_audit(files: DataFrame, cfg: AuditConfig = AuditConfig(), scratch: Scratch | None = None) -> DataFrame:
     """All text rules on a document table, before de-duplication."""
-    parts, single, many = [], [], []
+    single, many = [], []
     if cfg.enable_security:
         many = [hits_of(line_matches(SECRET, SECRET_SIGN), SECRET_HIT), hits_of(line_matches(ADDRESS, ADDRESS_SIGN), ADDRESS_HIT)]
     if cfg.enable_metrics:
         single = list(file_hits(cfg).values())
-    if single or many:
-        parts.append(emit(measured_files(files) if single else files, single, many))
-    if cfg.enable_duplication:
-        parts.append(text_clones(files))
-    return findings_union(parts)
+    measured = measured_files(files) if single else files
+    if not cfg.enable_duplication:
+        return emit(measured, single, many)
+    if not single and not many:
+        return text_clones(files, scratch)
+    rows = measured.withColumn("found", F.expr(found_array(single, many)))
+    seen = (scratch or Scratch(files.sparkSession)).stored(text_items(rows, "found"))
+    return findings_union([exploded(seen.filter("size(found) > 0"), "found"), clone_findings(seen)])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..catalog import RULES
 from ..config import AuditConfig
 from ..operators import rules as R
-from ..operators.clones import clone_findings, method_items
+from ..operators.clones import clone_findings, method_items, stored_items
 from ..operators.findings import apply_toggles, findings_dedup, findings_union
 from ..operators.tokens import rejects, text_parts, tokens
 from ..session import ensure_checkpoint_dir
@@ -48,7 +48,7 @@ def findings_of(files: DataFrame, facts: DataFrame, only: set[str], cfg: AuditCo
     if FILES & only:
         parts.append(R.file_rules(files, cfg, FILES & only))
     if CLONES & only:
-        parts.append(clone_findings(method_items(facts)))
+        parts.append(clone_findings(stored_items(method_items(facts))))
     return findings_union(parts)
 
 
