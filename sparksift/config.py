@@ -1,4 +1,8 @@
-"""Thresholds and switches of an audit run."""
+"""Thresholds and switches of an audit run.
+
+Rules put a threshold into their SQL as it stands in the settings: a number of ``AuditConfig``, or
+a column of ``ProjectLimits``, which gives every file the thresholds of its project.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,9 @@ import json
 import math
 from dataclasses import asdict, dataclass, fields, replace
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 # Names in a settings file of the fields below, and its settings for other parts, with their types.
 NAMES = {
@@ -68,6 +75,10 @@ class AuditConfig:
     def with_(self, **changes) -> "AuditConfig":
         return replace(self, **changes)
 
+    def limited(self, rows: DataFrame) -> DataFrame:
+        """Rows with what the thresholds need: nothing here."""
+        return rows
+
     def enabled_analyzers(self) -> list[str]:
         switches = {
             "smell": self.enable_code_smells,
@@ -111,3 +122,46 @@ class AuditConfig:
                 return cls()
             chosen[field] = float(value) if types[field] == "float" else value
         return cls(**chosen)
+
+
+# Thresholds that may differ by project.
+LIMITS = [f.name for f in fields(AuditConfig) if not f.name.startswith("enable_")]
+# A limits table of more rows is joined by a shuffle.
+MOST_BROADCAST = 10_000
+
+
+class ProjectLimits:
+    """Thresholds by project, with the interface of ``AuditConfig`` that rules use.
+
+    ``limits(prefix, ...)`` has a row per project: the folder its files lie below (``""`` for all
+    files), and any of the thresholds. Of several prefixes the longest counts, as a whole; what it leaves
+    null or out, and files of no project, have the thresholds of ``base``. Of rows with one prefix the greatest counts.
+    """
+
+    def __init__(self, limits: DataFrame, files: DataFrame, base: AuditConfig = AuditConfig()):
+        self.base = base
+        given = [name for name in LIMITS if name in limits.columns]
+        table = limits.filter("prefix IS NOT NULL").select(F.rtrim("prefix", F.lit("/")).alias("prefix"), *given)
+        if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+            table = F.broadcast(table)
+        # all folders a file lies in, and the file itself: an equi-join instead of a comparison of each path with each prefix
+        steps = "concat(array(''), transform(sequence(1, size(split(path, '/'))), n -> array_join(slice(split(path, '/'), 1, n), '/')))"
+        paths = files.select("path").distinct()
+        of_project = paths.select("path", F.explode(F.expr(steps)).alias("prefix")).join(table, "prefix")
+        longest = of_project.groupBy("path").agg(F.max(F.struct(F.length("prefix").alias("size"), *given)).alias("own"))
+        values = [
+            F.coalesce(F.col(f"own.{name}"), F.lit(getattr(base, name))).alias(name) if name in given else F.lit(getattr(base, name)).alias(name)
+            for name in LIMITS
+        ]
+        self.of_path = paths.join(longest, "path", "left").select("path", F.struct(*values).alias("limits"))
+
+    def __getattr__(self, name: str) -> str:
+        if name not in LIMITS:
+            raise AttributeError(name)
+        return f"limits.{name}"
+
+    def limited(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.of_path, "path")
+
+    def enabled_analyzers(self) -> list[str]:
+        return self.base.enabled_analyzers()

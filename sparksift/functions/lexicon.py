@@ -8,9 +8,9 @@ is matched by iteration rather than by recursion inside the regex engine.
 COMMENT = r"//[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
 TRIVIA = r"(?:\s++|" + COMMENT + r")*+"
 
-_TEXT_BLOCK = r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""'
-_STRING = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
-_CHAR = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+TEXT_BLOCK = r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""'
+STRING_LITERAL = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+CHAR_LITERAL = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 _HEX = r"0[xX][0-9a-fA-F_]*+(?:\.[0-9a-fA-F_]*+)?(?:[pP][+-]?[0-9]++)?[lLfFdD]?"
 _BIN = r"0[bB][01_]++[lL]?"
 _DEC = r"(?:[0-9][0-9_]*+(?:\.[0-9_]*+)?|\.[0-9][0-9_]*+)(?:[eE][+-]?[0-9]++)?[lLfFdD]?"
@@ -23,7 +23,7 @@ _OPERATOR = r"<<=|->|::|\+\+|--|&&|\|\||\.\.\.|[-+*/%&|^!=<>]="
 TOKEN = (
     TRIVIA
     + "(?:"
-    + "|".join([_TEXT_BLOCK, _STRING, _CHAR, _HEX, _BIN, _DEC, _WORD, _OPERATOR, r"\S"])
+    + "|".join([TEXT_BLOCK, STRING_LITERAL, CHAR_LITERAL, _HEX, _BIN, _DEC, _WORD, _OPERATOR, r"\S"])
     + r"|\z)"
 )
 

@@ -11,8 +11,9 @@ from string import Formatter
 
 from pyspark.sql import DataFrame
 
-READ = "PARTITION BY path ORDER BY pos"
-LEVEL = "PARTITION BY path, lvl ORDER BY pos"
+# A file is one part unless it is long. Where the text is hashed by path alone, parts change nothing about how it is dealt.
+READ = "PARTITION BY path, part ORDER BY pos"
+LEVEL = "PARTITION BY path, part, lvl ORDER BY pos"
 UP_TO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 

@@ -35,25 +35,45 @@ def _gap() -> str:
     return f"CASE WHEN {tight} THEN '' ELSE ' ' END"
 
 
+# Tokens that begin a line in the printed layout.
+BEGINS_LINE = either(
+    "starts", "tok = 'case'", "tok = 'default' AND " + among("n1", ":", "->"),
+    yes("p1 = ':' AND case_pos > coalesce(boundary_pos, -1)"),
+    yes("p1 = ')' AND closed_bk = '(if' AND tok <> '{'"),
+    yes("p1 = 'else' AND tok NOT IN ('{', 'if')"),
+    "tok = '}' AND NOT " + among("inner_bk", "arr"),
+    yes("tok = 'else' AND p1 = ';'"),
+)
+
+
 def printed_piece() -> str:
     """The token with the white space a pretty printer puts in front of it.
 
     Line counts, token counts and clone hashes are taken from code in one
     layout, so that the author's line breaks do not change them.
     """
-    alone = either(
-        "starts", "tok = 'case'", "tok = 'default' AND " + among("n1", ":", "->"),
-        yes("p1 = ':' AND case_pos > coalesce(boundary_pos, -1)"),
-        yes("p1 = ')' AND closed_bk = '(if' AND tok <> '{'"),
-        yes("p1 = 'else' AND tok NOT IN ('{', 'if')"),
-        "tok = '}' AND NOT " + among("inner_bk", "arr"),
-        yes("tok = 'else' AND p1 = ';'"),
-    )
     member = among("encl_bk", "anon", *CLASS_KINDS)
-    gap = f"CASE WHEN {alone} THEN CASE WHEN {member} THEN '\\n\\n' ELSE '\\n' END ELSE {_gap()} END"
+    gap = f"CASE WHEN {BEGINS_LINE} THEN CASE WHEN {member} THEN '\\n\\n' ELSE '\\n' END ELSE {_gap()} END"
     return f"concat({gap}, coalesce(concat(array_join(comments, '\\n'), '\\n'), ''), tok)"
 
 
+# Lines of the comments in front of a token; a comment's own empty lines are none.
+_COMMENT_LINES = r"size(filter(flatten(transform(comments, c -> split(c, '\n'))), x -> x RLIKE r'[^\x00-\x20]'))"
+
+
+def printed_lines(tokens: DataFrame) -> DataFrame:
+    """(path, code, comment): lines of each file in the printed layout, where every comment stands on lines of its own.
+
+    A sum over tokens: no text is put together, and a long file's lines are added up from all its parts. Comments
+    behind the last token belong to no token and are left out.
+    """
+    first = "p1 IS NULL"
+    # a comment inside a statement goes on in the line begun, and what follows it begins a new one
+    code = f"CASE WHEN {BEGINS_LINE} OR {first} OR size(comments) > 0 THEN 1 ELSE 0 END + CASE WHEN kind = 's' THEN length(tok) - length(replace(tok, '\n', '')) ELSE 0 END"
+    comment = f"CASE WHEN size(comments) > 0 THEN {_COMMENT_LINES} - CASE WHEN {BEGINS_LINE} OR {first} THEN 0 ELSE 1 END ELSE 0 END"
+    return tokens.filter("NOT ghost").groupBy("path").agg(F.expr(f"CAST(sum({code}) AS INT) AS code"), F.expr(f"CAST(sum({comment}) AS INT) AS comment"))
+
+
 # What a token row knows about the method around it.
 METHOD = {
     "member": "decl_pos", "line": "decl_line", "name": "mname", "open": "pos", "owner": "decl_owner",
@@ -82,8 +102,8 @@ def method_tokens(tokens: DataFrame, keep: str | None = None) -> DataFrame:
     inside = f"({IN_HEADER} OR method_level > 0)"
     kept = inside if keep is None else f"{inside} AND {either(keep, opens, OPENS_BLOCK)}"
     depths = f"explode(sequence(CASE WHEN {IN_HEADER} THEN 0 ELSE 1 END, method_level))"
-    rows = add(tokens.filter(kept), depth=depths)
-    order = "PARTITION BY path, depth ORDER BY pos"
+    rows = add(tokens.filter(f"NOT ghost AND {kept}"), depth=depths)
+    order = "PARTITION BY path, part, depth ORDER BY pos"
     own = f"{opens} AND method_level = depth AND depth > 0"
     rows = add(rows, **{f"m_{name}": last_when(own, source, order) for name, source in METHOD.items()})
     blocked = "tok = '{' AND NOT " + among("inner_bk", "method", "arr") + " AND NOT inner_entc AND blkc_level = m_blkc + 1"

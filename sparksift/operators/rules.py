@@ -7,7 +7,7 @@ no more than its own columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import (
@@ -16,13 +16,12 @@ from ..catalog import (
 )
 from ..config import AuditConfig
 from ..functions import text as tx
-from ..functions.lexicon import TOKEN, TRIVIA
 from ..functions.sql import (
-    EARLIER, READ, UP_TO, add, among, both, contains_any, either, last_when, max_when, quote, say, words, yes,
+    EARLIER, LEVEL, READ, UP_TO, add, among, both, contains_any, either, last_when, max_when, quote, say, words, yes,
 )
 from .findings import emit, findings_union, hit
-from .members import class_rollup, method_tokens, methods
-from .tokens import BODY_KINDS, SUM_ADDS, SUM_ENDS, by_path, since_decl, unix_lines
+from .members import class_rollup, method_tokens, methods, printed_lines
+from .tokens import BODY_KINDS, SUM_ADDS, SUM_ENDS, since_decl
 
 Only = set[str] | None
 
@@ -73,7 +72,7 @@ def class_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataF
             "Exception class '{class_name}' does not end with 'Exception'", *at, suggestion=advice("NAME-008", "class_name"),
         ),
     }
-    return emit(class_rollup(tokens), wanted(only, hits))
+    return emit(cfg.limited(class_rollup(tokens)), wanted(only, hits))
 
 
 # Methods -----------------------------------------------------------------
@@ -86,7 +85,7 @@ def with_maintainability(found: DataFrame) -> DataFrame:
     ).withColumn("mi", tx.maintainability(F.col("body_words"), F.col("cc_no_ternary"), F.col("body_lines")))
 
 
-def by_band(value: str, bands: list[tuple[int, str]]) -> str:
+def by_band(value: str, bands: list[tuple[int | str, str]]) -> str:
     """The text of the first band whose bound the value passes."""
     return "CASE " + " ".join(f"WHEN {value} > {bound} THEN {text}" for bound, text in bands) + " END"
 
@@ -100,9 +99,9 @@ def method_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Data
     cc_advice = by_band(
         "cc",
         [
-            (critical, say(f"Refactor this method into smaller, focused sub-methods. Complexity: {{cc}} (threshold: {critical})")),
-            (major, say(f"Consider breaking this method into smaller methods. Complexity: {{cc}} (threshold: {major})")),
-            (minor, say(f"Method is becoming complex. Complexity: {{cc}} (threshold: {minor})")),
+            (critical, say(f"Refactor this method into smaller, focused sub-methods. Complexity: {{cc}} (threshold: {{{critical}}})")),
+            (major, say(f"Consider breaking this method into smaller methods. Complexity: {{cc}} (threshold: {{{major}}})")),
+            (minor, say(f"Method is becoming complex. Complexity: {{cc}} (threshold: {{{minor}}})")),
         ],
     )
     hits = {
@@ -141,7 +140,7 @@ def method_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Data
         ),
         "MET-002": hit(
             "MET-002", f"has_body AND cognitive > {limit}",
-            by_band("cognitive", [(limit * 3, "'CRITICAL'"), (limit * 2, "'MAJOR'"), (limit, "'MINOR'")]),
+            by_band("cognitive", [(f"{limit} * 3", "'CRITICAL'"), (f"{limit} * 2", "'MAJOR'"), (limit, "'MINOR'")]),
             "High cognitive complexity ({cognitive}) in method -> {name}", *at, suggestion=advice("MET-002", str(limit)),
         ),
         "MET-005": hit(
@@ -154,7 +153,7 @@ def method_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Data
     }
     with_text = only is None or bool(only & {"SMELL-003", "MET-005"})
     found = add(
-        with_maintainability(methods(tokens, with_text)),
+        cfg.limited(with_maintainability(methods(tokens, with_text))),
         node="coalesce(close_pos, open_pos, member)",
         flag="get(filter(params, p -> p.simple AND p.type IN ('boolean', 'Boolean')), 0)",
         odd_param=f"get(filter(params, p -> length(p.name) > 1 AND NOT {is_camel('p.name')}), 0)",
@@ -162,18 +161,13 @@ def method_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Data
         grade=grade,
         mi_shown="format_string('%.1f', mi)",
     )
-    parts = []
-    chosen = wanted(only, hits)
-    if chosen:
-        parts.append(emit(found, chosen))
+    many = []
     if only is None or "SMELL-016" in only:
-        typed = found.filter("has_body AND return_type NOT IN ('void', 'Void')")
-        rows = typed.selectExpr("path", "name", "return_type", "node", "explode(null_returns) AS r")
+        typed = "has_body AND return_type NOT IN ('void', 'Void')"
         message = "Returning null from method -> '{name}' (return type: {return_type})"
-        parts.append(
-            emit(rows, [hit("SMELL-016", "true", "MAJOR", message, "r.line", "node", "r.pos", advice("SMELL-016", "return_type"))])
-        )
-    return findings_union(parts)
+        null = hit("SMELL-016", typed, "MAJOR", message, "r.line", "node", "r.pos", advice("SMELL-016", "return_type"))
+        many.append(f"array_compact(transform(null_returns, r -> {null}))")
+    return emit(found, wanted(only, hits), many)
 
 
 # Tokens inside methods ---------------------------------------------------
@@ -249,7 +243,7 @@ def block_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataF
         },
     )
     if catch_hits:
-        opens = "(inner_bk = 'catch' AND tok = '{') OR (inner_bk = '(catch' AND tok = '(')"
+        opens = "NOT ghost AND ((inner_bk = 'catch' AND tok = '{') OR (inner_bk = '(catch' AND tok = '('))"
         rows = add(
             tokens.filter(opens),
             caught="CASE WHEN n1 = 'final' THEN n2 ELSE n1 END",
@@ -262,7 +256,7 @@ def block_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataF
     )
     if switch_hits:
         default = yes("tok = 'default' AND n1 IN (':', '->') AND p1 <> ','")
-        rows = tokens.filter(f"inner_bk = 'switch' AND (tok = '{{' OR {default})").groupBy("path", F.expr("inner_pos AS block")).agg(
+        rows = tokens.filter(f"NOT ghost AND inner_bk = 'switch' AND (tok = '{{' OR {default})").groupBy("path", F.expr("inner_pos AS block")).agg(
             F.expr(f"max({default}) AS has_default"), F.expr("max(CASE WHEN tok = '{' THEN sib_line END) AS at_line")
         )
         parts.append(emit(rows, switch_hits))
@@ -303,7 +297,7 @@ def variable_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Da
             "NAME-007", f"{variable} AND lower(tok) IN ({words(*VAGUE_NAMES)})", "MINOR", "Non-descriptive variable name '{tok}'", *at
         ),
     }
-    return emit(tokens.filter("is_var"), wanted(only, hits))
+    return emit(tokens.filter("is_var AND NOT ghost"), wanted(only, hits))
 
 
 # Calls, creations, literals ----------------------------------------------
@@ -359,14 +353,22 @@ def expression_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) ->
         kinds.append(string)
     if only is None or only - {"SEC-012"}:
         kinds.append("kind = 'i' AND n1 = '('")
-    return emit(rows.filter(either(*kinds)), wanted(only, hits))
+    return emit(rows.filter(f"NOT ghost AND {either(*kinds)}"), wanted(only, hits))
 
 
-def sums(tokens: DataFrame) -> DataFrame:
-    """Every "+" expression with its extent in the text; a sum of n terms has n-1 of them, all with one beginning.
+# Characters of an expression that are shown.
+SHOWN = 80
 
-    A word occurs in the expression if its last position before the end lies
-    after the beginning, so no text is assembled to search it.
+
+def sum_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
+    """Injection rules on "+" expressions, quoted from their tokens.
+
+    A sum of n terms has n-1 candidates, all with one beginning; a word occurs in it
+    if the word's last position before the end lies after the beginning. To quote
+    it, tokens are kept from the beginning of a flagged sum to its end: going
+    backwards, a token lies in one if the least beginning of the flagged ends so far is
+    not after it. Of these few, each beginning looks ahead as many tokens as there are
+    characters to show, and the end finds them on its bracket level. Nothing is shuffled.
     """
     wordy = "kind IN ('i', 's', 'c', 'k')"
     seen = {
@@ -375,38 +377,24 @@ def sums(tokens: DataFrame) -> DataFrame:
         "file_pos": f"{wordy} AND contains(lower(tok), 'file')",
         "mark_pos": contains_any("tok", PATH_MARKS),
     }
-    rows = add(tokens, **{name: max_when(found, "pos", READ, EARLIER) for name, found in seen.items()})
-    return rows.filter(both(either(SUM_ENDS, SUM_ADDS), "sum_op = '+'")).selectExpr(
-        "path", "pos", "sum_line AS line", "sum_end_off AS text_from", "end_off - raw_len AS text_to",
-        f"{yes('sql_pos > sum_pos')} AS sql", f"{yes('ldap_pos > sum_pos')} AS ldap",
-        f"{yes('file_pos > sum_pos AND mark_pos > sum_pos')} AS file",
-    )
-
-
-def spaced_tokens(text: Column) -> Column:
-    """The tokens of an expression, one blank where blanks or comments stood; what is inside a literal stays as it is."""
-    pieces = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    bare = F.transform(pieces, lambda p: F.regexp_replace(p, "^" + TRIVIA, ""))
-    spaced = F.transform(F.arrays_zip(pieces.alias("p"), bare.alias("t")), lambda z: F.concat(F.when(z["p"] != z["t"], " ").otherwise(""), z["t"]))
-    return F.trim(F.array_join(spaced, ""))
-
-
-def sum_rules(tokens: DataFrame, files: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
-    """Injection rules. Only flagged expressions, one per line and rule, meet the text again to be quoted."""
     kinds = {
-        "SEC-002": ("sql", "Possible SQL Injection -> {expr}"),
-        "SEC-007": ("ldap", "Possible LDAP Injection -> {expr}"),
-        "SEC-008": ("file", "Possible Path Traversal -> {expr}"),
+        "SEC-002": ("sql_pos > sum_pos", "Possible SQL Injection -> {expr}"),
+        "SEC-007": ("ldap_pos > sum_pos", "Possible LDAP Injection -> {expr}"),
+        "SEC-008": ("file_pos > sum_pos AND mark_pos > sum_pos", "Possible Path Traversal -> {expr}"),
     }
     chosen = {r: k for r, k in kinds.items() if only is None or r in only}
-    flags = ", ".join(f"CASE WHEN {flag} THEN '{rule}' END" for rule, (flag, _) in chosen.items())
-    flagged = sums(tokens).selectExpr("path", "line", "pos", "text_from", "text_to", f"explode(array_compact(array({flags}))) AS rule")
-    first = flagged.groupBy("path", "line", "rule").agg(F.min(F.struct("pos", "text_from", "text_to")).alias("e"))
-    source = by_path(files).withColumn("content", unix_lines(F.col("content")))
-    quoted = F.expr("substring(content, CAST(e.text_from + 1 AS INT), CAST(e.text_to - e.text_from AS INT))")
-    shown = tx.truncate_text(spaced_tokens(quoted), 80)
-    rows = first.join(source, "path").select("path", "line", "rule", F.col("e.pos").alias("pos"), shown.alias("expr"))
-    return emit(rows, [hit(r, f"rule = '{r}'", "CRITICAL", message, "line", "pos") for r, (_, message) in chosen.items()])
+    ends = both(either(SUM_ENDS, SUM_ADDS), "sum_op = '+'")
+    flagged = yes(both(ends, either(*[flag for flag, _ in chosen.values()])))
+    rows = add(tokens.filter("NOT ghost"), **{name: max_when(found, "pos", READ, EARLIER) for name, found in seen.items()})
+    rows = add(rows, flagged=flagged, sum_ends=yes(SUM_ENDS))
+    backwards = f"PARTITION BY path, part ORDER BY pos DESC {UP_TO}"
+    inside = add(rows, since=f"min(CASE WHEN flagged THEN sum_pos END) OVER ({backwards})").filter("since <= pos")
+    piece = "named_struct('pos', pos, 'text', concat(CASE WHEN raw_len > length(tok) THEN ' ' ELSE '' END, tok))"
+    ahead = add(inside, ahead=f"collect_list({piece}) OVER ({READ} ROWS BETWEEN 1 FOLLOWING AND {SHOWN + 1} FOLLOWING)")
+    quoted = add(ahead, quote=last_when("sum_ends", "ahead", LEVEL, EARLIER)).filter("flagged")
+    text = "trim(array_join(transform(filter(quote, x -> x.pos < pos), x -> x.text), ''))"
+    shown = add(quoted, whole=text).withColumn("expr", tx.truncate_text(F.col("whole"), SHOWN))
+    return emit(shown, [hit(r, flag, "CRITICAL", message, "sum_line", "pos") for r, (flag, message) in chosen.items()])
 
 
 # Names: declared against used --------------------------------------------
@@ -435,17 +423,15 @@ def local_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataF
         F.expr("max(CASE WHEN declares THEN m_name END) AS m_name"), F.expr("max(CASE WHEN declares THEN m_line END) AS m_line"),
         F.expr("max(CASE WHEN param THEN mname END) AS mname"),
     )
-    parts = []
-    if only is None or "DEAD-002" in only:
-        rows = per_method.selectExpr("path", "m_name", "m_line", "explode(filter(vars, v -> NOT array_contains(used_elsewhere, v.tok))) AS v")
-        found = hit("DEAD-002", "true", "MINOR", "Unused variable -> {v.tok} in method -> {m_name}", "m_line", "v.pos")
-        parts.append(emit(rows, [found]))
-    if only is None or "DEAD-006" in only:
-        unused = "filter(pars, p -> p.tok NOT IN ('arg', 'args') AND NOT array_contains(used, p.tok))"
-        rows = per_method.filter("has_body").selectExpr("path", "mname", f"explode({unused}) AS p")
-        found = hit("DEAD-006", "true", "MINOR", "Unused parameter '{p.tok}' in method -> {mname}", "p.line", "p.pos")
-        parts.append(emit(rows, [found]))
-    return findings_union(parts)
+    unused = {
+        "DEAD-002": "filter(vars, v -> NOT array_contains(used_elsewhere, v.tok))",
+        "DEAD-006": "CASE WHEN has_body THEN filter(pars, v -> v.tok NOT IN ('arg', 'args') AND NOT array_contains(used, v.tok)) ELSE slice(pars, 1, 0) END",
+    }
+    found = {
+        "DEAD-002": hit("DEAD-002", "true", "MINOR", "Unused variable -> {v.tok} in method -> {m_name}", "m_line", "v.pos"),
+        "DEAD-006": hit("DEAD-006", "true", "MINOR", "Unused parameter '{v.tok}' in method -> {mname}", "v.line", "v.pos"),
+    }
+    return emit(per_method, many=[f"transform({unused[r]}, v -> {found[r]})" for r in unused if only is None or r in only])
 
 
 def class_tokens(tokens: DataFrame, keep: str) -> DataFrame:
@@ -453,8 +439,8 @@ def class_tokens(tokens: DataFrame, keep: str) -> DataFrame:
     opens = "tok = '{' AND " + among("inner_bk", "class", "interface")
     rows = tokens.filter(f"class_level > 0 AND {either(keep, opens)}")
     rows = add(rows, depth="explode(sequence(1, class_level))")
-    order, own = "PARTITION BY path, depth ORDER BY pos", f"{opens} AND class_level = depth"
-    return add(rows, c_block=max_when(own, "pos", order), c_name=last_when(own, "class_name", order)).filter(keep)
+    order, own = "PARTITION BY path, part, depth ORDER BY pos", f"{opens} AND class_level = depth"
+    return add(rows, c_block=max_when(own, "pos", order), c_name=last_when(own, "class_name", order)).filter(f"NOT ghost AND {keep}")
 
 
 def private_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
@@ -502,7 +488,7 @@ def envy_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFr
 def import_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     """Single imports whose last name occurs neither as an expression nor as a type."""
     imported = yes("head = 'import' AND (kind = 'i' OR tok = '.')")
-    rows = add(tokens, imported=imported).filter("imported OR is_name_use OR is_type_use").selectExpr(
+    rows = add(tokens.filter("NOT ghost"), imported=imported).filter("imported OR is_name_use OR is_type_use").selectExpr(
         "path", "pos", "tok", "n1", "imported", "decl_line", "decl_pos"
     )
     parts = f"collect_list(CASE WHEN imported THEN tok END) OVER (PARTITION BY path, decl_pos ORDER BY pos {UP_TO})"
@@ -514,17 +500,26 @@ def import_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Data
 # Files -------------------------------------------------------------------
 
 
+def named_files(measured: DataFrame) -> DataFrame:
+    """Files with (code, ratio), and what the messages show."""
+    return add(measured, name="substring_index(path, '/', -1)", percent="format_string('%.1f%%', ratio * 100)")
+
+
 def measured_files(files: DataFrame) -> DataFrame:
-    """Files with code lines and comment share of the raw text; a projection, no shuffle."""
+    """Texts with code lines and comment share as they stand; a projection, no shuffle."""
     profiled = files.withColumn("profile", tx.line_profile(F.col("content")))
-    return profiled.select(
-        *files.columns, F.expr("substring_index(path, '/', -1) AS name"), F.col("profile.code").alias("code"),
-        tx.comment_ratio(F.col("profile")).alias("ratio"),
-    ).withColumn("percent", F.expr("format_string('%.1f%%', ratio * 100)"))
+    return named_files(
+        profiled.select(*files.columns, F.col("profile.code").alias("code"), tx.comment_ratio(F.col("profile")).alias("ratio"))
+    )
+
+
+def measured_layouts(tokens: DataFrame) -> DataFrame:
+    """Source files with code lines and comment share of the printed layout."""
+    return named_files(add(printed_lines(tokens), ratio="CASE WHEN code > 0 THEN CAST(comment AS DOUBLE) / code ELSE 0.0D END"))
 
 
 def file_hits(cfg: AuditConfig) -> dict[str, str]:
-    least = f"{cfg.min_comment_ratio * 100:.0f}%"
+    least = f"concat(format_string('%.0f', CAST({cfg.min_comment_ratio} AS DOUBLE) * 100), '%')"
     return {
         "MET-003": hit(
             "MET-003", f"code > {cfg.max_file_loc}", "MAJOR", "Large file -> {name} ({code} code lines)", "1", "0",
@@ -532,10 +527,16 @@ def file_hits(cfg: AuditConfig) -> dict[str, str]:
         ),
         "MET-004": hit(
             "MET-004", f"ratio < {cfg.min_comment_ratio} AND code > {cfg.min_commented_loc}", "MINOR",
-            "Low comment-to-code ratio in {name} ({percent})", "1", "0", suggestion=advice("MET-004", quote(least)),
+            "Low comment-to-code ratio in {name} ({percent})", "1", "0", suggestion=advice("MET-004", least),
         ),
     }
 
 
 def file_rules(files: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
-    return emit(measured_files(files), wanted(only, file_hits(cfg)))
+    """On texts of any kind, as they stand."""
+    return emit(cfg.limited(measured_files(files)), wanted(only, file_hits(cfg)))
+
+
+def layout_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
+    """On source files, in the printed layout."""
+    return emit(cfg.limited(measured_layouts(tokens)), wanted(only, file_hits(cfg)))

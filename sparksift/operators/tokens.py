@@ -6,14 +6,19 @@ something, so none of them shuffles again; Spark only re-sorts inside a task.
 All columns are lazy: a rule that needs three of them pays for those alone,
 because unused window expressions are pruned from the plan.
 
-Two window orders are used: reading order ``(path, pos)`` and, for bracket
-matching, ``(path, lvl, pos)``. On one level an opener and its closer are
+Two window orders are used: reading order ``(path, part, pos)`` and, for bracket
+matching, ``(path, part, lvl, pos)``. On one level an opener and its closer are
 neighbours among the brackets, so "last opener so far" is the innermost open
 bracket for an inside token and the matching one for a closer.
+
+A file is part 0 of itself. ``long_files`` cuts longer ones between members; each
+part then begins with "ghosts", the tokens of the class header around it, so that
+the same windows give the same facts. Broken files are mended by ``mending``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -87,19 +92,19 @@ def unix_lines(column: Column) -> Column:
     return F.when(column.contains("\r"), F.regexp_replace(column, r"\r\n?", "\n")).otherwise(column)
 
 
-def lex(files: DataFrame) -> DataFrame:
-    """``files(path, content)`` to one row per token; ``comments`` are those in front of it."""
+def cut(texts: DataFrame, *keys: str) -> DataFrame:
+    """``texts(*keys, content)`` to one row per token, numbered from 0 in ``pos``; ``comments`` are those in front of it."""
     raw = F.col("raw")
-    pieces = by_path(files).select(
-        "path", F.posexplode(F.regexp_extract_all(unix_lines(F.col("content")), F.lit(TOKEN), F.lit(0))).alias("pos", "raw")
+    pieces = texts.select(
+        *keys, F.posexplode(F.regexp_extract_all(unix_lines(F.col("content")), F.lit(TOKEN), F.lit(0))).alias("pos", "raw")
     )
     stripped = F.ltrim(raw, F.lit(" \t\n\r\f\x0b"))
     commented = stripped.startswith("//") | stripped.startswith("/*")
     token = F.when(commented, F.regexp_replace("raw", "^" + TRIVIA, "")).otherwise(stripped)
-    cut = pieces.withColumn("tok", token).filter("length(tok) > 0")
+    found = pieces.withColumn("tok", token).filter("length(tok) > 0")
     before = F.substring("raw", F.lit(1), F.length(raw) - F.length("tok"))
     maybe = (F.length(raw) - F.length("tok") >= 2) & (before.contains("//") | before.contains("/*"))
-    measured = cut.withColumns(
+    measured = found.withColumns(
         {"raw_nl": newlines(raw), "comments": F.when(maybe, F.regexp_extract_all(before, F.lit(COMMENT), F.lit(0)))}
     )
     first = "substring(tok, 1, 1)"
@@ -107,7 +112,12 @@ def lex(files: DataFrame) -> DataFrame:
         WHEN {first} BETWEEN '0' AND '9' OR ({first} = '.' AND substring(tok, 2, 1) BETWEEN '0' AND '9') THEN 'n'
         WHEN tok IN ({words(*KEYWORDS)}) THEN 'k'
         WHEN lower({first}) <> upper({first}) OR {first} IN ('_', '$') OR {first} RLIKE r'^\\p{{L}}' THEN 'i' ELSE 'o' END"""
-    return measured.selectExpr("path", "pos", "tok", f"{kind} AS kind", "length(raw) AS raw_len", "raw_nl", "comments")
+    return measured.selectExpr(*keys, "pos", "tok", f"{kind} AS kind", "length(raw) AS raw_len", "raw_nl", "comments")
+
+
+def lex(files: DataFrame) -> DataFrame:
+    """``files(path, content)`` to one row per token."""
+    return add(cut(by_path(files), "path"), part="0", ghost="false")
 
 
 def _reading_columns(tokens: DataFrame) -> DataFrame:
@@ -121,7 +131,6 @@ def _reading_columns(tokens: DataFrame) -> DataFrame:
         **columns,
         level_after=f"CAST(sum({BRACE_STEP}) OVER ({READ} {UP_TO}) AS INT)",
         nl_total=f"sum(raw_nl) OVER ({READ} {UP_TO})",
-        end_off=f"sum(raw_len) OVER ({READ} {UP_TO})",
         boundary_pos=max_when(f"tok IN ({words(*BOUNDARY)})", "pos", READ, EARLIER),
     )
     own_lines = "CASE WHEN contains(tok, '\n') THEN length(tok) - length(replace(tok, '\n', '')) ELSE 0 END"
@@ -135,12 +144,20 @@ def _reading_columns(tokens: DataFrame) -> DataFrame:
 # Over all tokens of a file: brackets left open, and the lowest level reached.
 SURPLUS = f"sum({BRACE_STEP}) OVER (PARTITION BY path)"
 LOWEST = "min(level_after) OVER (PARTITION BY path)"
+BROKEN = """CASE WHEN lowest < 0 THEN 'closing bracket without an opening one' WHEN surplus <> 0 THEN 'bracket left open' END"""
 
 
 def _balanced_files(tokens: DataFrame) -> DataFrame:
     return add(tokens, surplus=SURPLUS, lowest=LOWEST).filter("surplus = 0 AND lowest >= 0")
 
 
+def _marked_files(tokens: DataFrame) -> DataFrame:
+    """Of a file whose brackets don't balance one ghost row stays, with the reason in ``reject``."""
+    marked = add(tokens, surplus=SURPLUS, lowest=LOWEST).filter("(surplus = 0 AND lowest >= 0) OR pos = 0")
+    named = add(marked.withColumnRenamed("ghost", "was_ghost"), reject=BROKEN)
+    return add(named, ghost="was_ghost OR reject IS NOT NULL")
+
+
 def _generic_columns(tokens: DataFrame) -> DataFrame:
     """``gd``: how many type-argument lists are open after the token; ``gd1`` to ``gd3`` for the tokens before.
 
@@ -242,7 +259,6 @@ def _chain_columns() -> dict[str, str]:
         "operand_pos": max_when(begins, "pos", LEVEL),
         "operand_line": last_when(begins, "line", LEVEL),
         "sum_pos": max_when(SUM_ENDS, "pos", LEVEL, EARLIER),
-        "sum_end_off": last_when(SUM_ENDS, "end_off", LEVEL, EARLIER),
         "sum_line": last_when(SUM_ENDS, "next_line", LEVEL, EARLIER),
         "sum_op": last_when(either(SUM_ENDS, SUM_ADDS), "tok", LEVEL, EARLIER),
     }
@@ -418,22 +434,33 @@ def _roles(tokens: DataFrame) -> DataFrame:
 
 
 # The columns that rules read; everything else is scaffolding.
-FACTS = """path pos tok kind raw_len comments p1 p2 p3 n1 n2 n3 n4 pk1 nk1 nk2 end_off boundary_pos line lvl gd gd1 gd2 g_open g_close
-    head class_name mname mname_pos is_mname case_pos sib_direct sib_line prior_if_direct operand_pos operand_line sum_pos sum_end_off
+FACTS = """path part ghost pos tok kind raw_len comments p1 p2 p3 n1 n2 n3 n4 pk1 nk1 nk2 boundary_pos line lvl gd gd1 gd2 g_open g_close
+    head class_name mname mname_pos is_mname case_pos sib_direct sib_line prior_if_direct operand_pos operand_line sum_pos
     sum_line sum_op inner_pos inner_bk inner_ent inner_entc closed_bk eq_pos bare_loop_pos method_level class_level loop_level try_level
     ent_level blk_level entc_level blkc_level if_paren_level private_pos static_pos final_pos starts encl_pos encl_bk decl_pos decl_line
     decl_owner decl_owner_kind decl_doc is_first_var is_var is_param is_call is_scoped_call is_new is_type_use is_name_use""".split()
 
 
+STAGES = [_generic_columns, _head_columns, _bracket_columns, _statement_columns, _roles]
+
+
+def facts_of(lexed: DataFrame, *checks: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The facts of lexed files, of those that pass the checks."""
+    return reduce(lambda df, stage: stage(df), [_reading_columns, *checks, *STAGES], lexed)
+
+
 def tokens(files: DataFrame) -> DataFrame:
-    """The token facts every rule reads; files with unbalanced brackets are left to ``rejects``."""
-    stages = [lex, _reading_columns, _balanced_files, _generic_columns, _head_columns, _bracket_columns, _statement_columns, _roles]
-    return reduce(lambda df, stage: stage(df), stages, files).select(*FACTS)
+    """The token facts every rule reads; files with unbalanced brackets are left to ``rejects`` and ``mending``."""
+    return facts_of(lex(files), _balanced_files).select(*FACTS)
+
+
+def marked_tokens(files: DataFrame) -> DataFrame:
+    """The same facts, and one ghost row with its reason for each file with unbalanced brackets."""
+    return facts_of(lex(files), _marked_files).select(*FACTS, "reject")
 
 
 def rejects(files: DataFrame) -> DataFrame:
     """Files whose brackets do not balance, with the reason."""
     level_now = add(lex(files), level_after=f"sum({BRACE_STEP}) OVER ({READ} {UP_TO})")
     per_file = level_now.groupBy("path").agg(F.expr(f"sum({BRACE_STEP}) AS surplus"), F.min("level_after").alias("lowest"))
-    reason = "CASE WHEN lowest < 0 THEN 'closing bracket without an opening one' ELSE 'bracket left open' END AS reason"
-    return per_file.filter("surplus <> 0 OR lowest < 0").selectExpr("path", reason)
+    return per_file.selectExpr("path", f"{BROKEN} AS reason").filter("reason IS NOT NULL")

@@ -5,16 +5,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..catalog import RULES
-from ..config import AuditConfig
+from ..config import AuditConfig, ProjectLimits
 from ..operators import rules as R
 from ..operators.clones import clone_findings, method_items, stored_items
 from ..operators.findings import apply_toggles, findings_dedup, findings_union
-from ..operators.tokens import rejects, text_parts, tokens
+from ..operators.long_files import LONG_FILE, PART_TOKENS, long_tokens
+from ..operators.mending import mended
+from ..operators.tokens import marked_tokens, rejects, text_parts, tokens
 from ..session import ensure_checkpoint_dir
+from ..storage import Scratch
 
 # Which function yields which rules.
 GRAINS = {
@@ -34,78 +39,107 @@ GRAINS = {
     R.private_rules: {"DEAD-004", "DEAD-005"},
     R.envy_rules: {"SMELL-009"},
     R.import_rules: {"DEAD-003"},
+    R.layout_rules: {"MET-003", "MET-004"},
+    R.sum_rules: {"SEC-002", "SEC-007", "SEC-008"},
 }
-SUMS = {"SEC-002", "SEC-007", "SEC-008"}
-FILES = {"MET-003", "MET-004"}
 CLONES = {"DUP-001"}
 
 
-def findings_of(files: DataFrame, facts: DataFrame, only: set[str], cfg: AuditConfig) -> DataFrame:
-    """Findings of the wanted rules, before de-duplication."""
-    parts = [grain(facts, cfg, ids & only) for grain, ids in GRAINS.items() if ids & only]
-    if SUMS & only:
-        parts.append(R.sum_rules(facts, files, cfg, SUMS & only))
-    if FILES & only:
-        parts.append(R.file_rules(files, cfg, FILES & only))
+def findings_of(facts: DataFrame | list[DataFrame], only: set[str], cfg: AuditConfig | ProjectLimits) -> DataFrame:
+    """Findings of the wanted rules, before de-duplication; each table of facts holds whole files."""
+    tables = facts if isinstance(facts, list) else [facts]
+    parts = [grain(table, cfg, ids & only) for table in tables for grain, ids in GRAINS.items() if ids & only]
     if CLONES & only:
-        parts.append(clone_findings(stored_items(method_items(facts))))
+        parts.append(clone_findings(stored_items(reduce(DataFrame.unionByName, map(method_items, tables)))))
     return findings_union(parts)
 
 
-def rule_findings(files: DataFrame, rule_id: str, cfg: AuditConfig = AuditConfig()) -> DataFrame:
-    """De-duplicated findings of one rule, as one lazy plan."""
-    return findings_dedup(findings_of(files, tokens(files), {rule_id}, cfg))
+def rule_findings(files: DataFrame, rule_id: str, cfg: AuditConfig | ProjectLimits = AuditConfig()) -> DataFrame:
+    """De-duplicated findings of one rule, as one lazy plan; each file is one part, and files with unbalanced brackets have none."""
+    return findings_dedup(findings_of(tokens(files), {rule_id}, cfg))
 
 
-def stored_facts(facts: DataFrame, buckets: int, name: str | None = None) -> DataFrame:
-    """The token facts as a table bucketed by path in the shared checkpoint folder.
+FACTS_PREFIX = "sparksift_tokens_"
 
-    Each grain then reads its own columns only, and reads them already
-    partitioned by path, so no grain shuffles tokens. The facts arrive hashed
-    into as many parts as there are buckets: one file per bucket is written.
-    ``drop_facts`` with the name of the table removes it and its folder.
+
+def written(facts: DataFrame, buckets: int, name: str, *by: str) -> None:
+    """Appends facts, hashed into ``buckets`` by the columns, to a table in the shared checkpoint folder."""
+    folder = f"{ensure_checkpoint_dir(facts.sparkSession)}/{name}"
+    facts.write.format("parquet").mode("append").option("path", folder).bucketBy(buckets, *by).saveAsTable(name)
+
+
+def stored_facts(files: DataFrame, name: str, long_file: int = LONG_FILE, part_tokens: int = PART_TOKENS) -> list[DataFrame]:
+    """The token facts of all files, in one or two tables.
+
+    The first table is bucketed by path: each grain reads its own columns, already partitioned by path, so no grain
+    shuffles tokens. Files whose brackets don't balance leave their path there and are
+    added once ``mended``. Files of more than ``long_file`` bytes go to a second table bucketed by path and part, if there are any.
     """
-    spark = facts.sparkSession
-    name = name or f"sparksift_tokens_{uuid.uuid4().hex}"
-    folder = f"{ensure_checkpoint_dir(spark)}/{name}"
-    facts.write.format("parquet").option("path", folder).bucketBy(buckets, "path").saveAsTable(name)
-    return spark.table(name)
+    spark, buckets = files.sparkSession, text_parts(files)
+    files = files.select("path", "content")
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    seen = Observation()
+    counted = files.observe(seen, F.count(F.when(size > long_file, 1)).alias("n_long"))
+    written(marked_tokens(counted.filter(size <= long_file)), buckets, name, "path")
+    broken = spark.table(name).filter("reject IS NOT NULL").select("path").distinct()
+    if not broken.isEmpty():
+        # held apart from the table that is added to
+        paths = Scratch(spark).stored(broken)
+        again = mended(files.filter(size <= long_file).join(paths, "path", "left_semi"))
+        written(tokens(again).withColumn("reject", F.lit(None).cast("string")), buckets, name, "path")
+    tables = [spark.table(name)]
+    if seen.get["n_long"]:
+        scratch, long_name = Scratch(spark), f"{name}_long"
+        long_files = files.filter(size > long_file)
+        facts, unbalanced = long_tokens(long_files, scratch, part_tokens=part_tokens)
+        written(facts, buckets, long_name, "path", "part")
+        unbalanced = scratch.stored(unbalanced)
+        if not unbalanced.isEmpty():
+            again, _ = long_tokens(mended(long_files.join(unbalanced, "path", "left_semi")), scratch, part_tokens=part_tokens)
+            written(again, buckets, long_name, "path", "part")
+        scratch.drop_all()
+        tables.append(spark.table(long_name))
+    return tables
 
 
 def drop_facts(spark: SparkSession, name: str) -> None:
-    """Drops the table and empties its folder, which an external table would leave."""
-    folder = f"{ensure_checkpoint_dir(spark)}/{name}"
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.range(0).write.mode("overwrite").parquet(folder)
+    """Drops the tables of a run and empties their folders, which external tables would leave."""
+    for table in (name, f"{name}_long"):
+        if spark.catalog.tableExists(table):
+            spark.sql(f"DROP TABLE {table}")
+            spark.range(0).write.mode("overwrite").parquet(f"{ensure_checkpoint_dir(spark)}/{table}")
 
 
-def audit(files: DataFrame, cfg: AuditConfig = AuditConfig(), key: str = "path", facts_name: str | None = None) -> DataFrame:
+def audit(
+    files: DataFrame, cfg: AuditConfig = AuditConfig(), key: str = "path", facts_name: str | None = None, limits: DataFrame | None = None,
+    long_file: int = LONG_FILE, part_tokens: int = PART_TOKENS,
+) -> DataFrame:
     """De-duplicated findings of all rules that are switched on.
 
     A dozen grains read the token facts, so these are computed and written once,
-    into a table that stays until ``drop_facts``; ``audit_run`` sees to that.
-    Files with unbalanced brackets have no token facts, see ``rejects``; the
-    rules on size and comments look at the text alone and cover them too.
+    into tables that stay until ``drop_facts``; ``audit_run`` sees to that.
+    Files with unbalanced brackets are audited as far as they can be read, see ``mending``; ``coverage`` lists them.
+    ``limits`` are thresholds by project, see ``ProjectLimits``.
     """
     on = cfg.enabled_analyzers()
     only = {r.rule_id for r in RULES.values() if r.analyzer in on}
-    facts = stored_facts(tokens(files), text_parts(files), facts_name)
-    return apply_toggles(findings_dedup(findings_of(files, facts, only, cfg), key), on)
+    facts = stored_facts(files, facts_name or FACTS_PREFIX + uuid.uuid4().hex, long_file, part_tokens)
+    chosen = cfg if limits is None else ProjectLimits(limits, files, cfg)
+    return apply_toggles(findings_dedup(findings_of(facts, only, chosen), key), on)
 
 
 @contextmanager
-def audit_run(files: DataFrame, cfg: AuditConfig = AuditConfig(), key: str = "path") -> Iterator[DataFrame]:
+def audit_run(files: DataFrame, cfg: AuditConfig = AuditConfig(), key: str = "path", limits: DataFrame | None = None) -> Iterator[DataFrame]:
     """``with audit_run(files) as findings:`` the findings, whose stored facts are gone afterwards."""
-    name = f"sparksift_tokens_{uuid.uuid4().hex}"
+    name = FACTS_PREFIX + uuid.uuid4().hex
     try:
-        yield audit(files, cfg, key, name)
+        yield audit(files, cfg, key, name, limits)
     finally:
-        if files.sparkSession.catalog.tableExists(name):
-            drop_facts(files.sparkSession, name)
+        drop_facts(files.sparkSession, name)
 
 
 def coverage(files: DataFrame) -> DataFrame:
-    """(path, reason) of every file that the token rules did not see: no file drops out of an audit unnoticed.
+    """(path, reason) of every file that the token rules saw only after mending, or not at all: none drops out of an audit unnoticed.
 
     ``reason`` is that of ``rejects``, or that the file has no text.
     """

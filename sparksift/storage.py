@@ -35,3 +35,6 @@ class Scratch:
             if id(found) in self.paths:
                 _, path = self.paths.pop(id(found))
                 self.spark.range(0).write.mode("overwrite").parquet(path)
+
+    def drop_all(self) -> None:
+        self.drop(*(found for found, _ in list(self.paths.values())))

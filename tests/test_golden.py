@@ -1,6 +1,7 @@
 """Findings of a sample file, worked out by hand from the rule texts."""
 
 import os
+import re
 
 import pytest
 
@@ -61,9 +62,22 @@ def test_blank_lines_and_comments_move_findings_only(spark, java_files, ledger):
     text = ledger.first().content
     spread = text.replace(";\n", ";\n\n").replace("{\n", "{ /* { */\n")
     moved = audit(java_files(("src/Ledger.java", spread)))
-    # A comment inside a body is printed with it and so counts as a line there.
-    counted = lambda found: sorted(r.rule_id for r in found.collect() if r.rule_id != "MET-005")
-    assert counted(moved) == sorted(k[1] for k in LEDGER if k[1] != "MET-005")
+    # A comment is printed on a line of its own and so counts as one, in its body and in the file.
+    counted = lambda found: sorted(r.rule_id for r in found.collect() if r.rule_id not in ("MET-004", "MET-005"))
+    assert counted(moved) == sorted(k[1] for k in LEDGER if k[1] not in ("MET-004", "MET-005"))
+
+
+def test_reformatting_moves_findings_only(java_files, ledger):
+    """Every statement on one line, or every token on its own: what depends on lines is taken from the printed layout."""
+    text = ledger.first().content
+    no_comments = re.sub(r"/\*.*?\*/|//[^\n]*", "", text, flags=re.S)
+    dense = re.sub(r"\s*\n\s*", " ", no_comments)
+    loose = re.sub(r"(?<=[;{}()])\s*", "\n\n   ", no_comments)
+    shown = lambda found: {(r.rule_id, r.severity, r.message) for r in found.collect()}
+    one, two, three = (shown(audit(java_files(("src/Ledger.java", t)))) for t in (no_comments, dense, loose))
+    assert one == three and {"MET-004", "MET-005", "SMELL-005"} <= {f[0] for f in one}
+    # with all on one line, several findings of a rule share that line and the first of them stays
+    assert two <= one and {f for f in two if f[0] == "MET-004"} == {f for f in one if f[0] == "MET-004"}
 
 
 def test_dedup_is_idempotent(ledger):
