@@ -6,32 +6,36 @@ of the landmark texts, so a text is a row of zeros and ones over this vocabulary
 landmarks is one matrix product. Nyström features are that product times the inverse root of the landmarks' own kernel matrix; one-versus-rest
 kernel ridge regression on them has a closed form. Prediction is batched matrix products only.
 
-Fitting takes a bounded sample (`PER_LANGUAGE` labelled rows of each language, those with the smallest hash of the id; `LANDMARKS` of all
-of them are landmarks). The label counts that set the sample's threshold are of all labelled rows. At most `LANGUAGES` languages are learned,
-the most frequent ones first; a corpus with more raises an error instead of leaving some out.
+Fitting takes a bounded sample: `PER_LANGUAGE` different labelled texts of each language, those with the smallest hash of id and text, as far as `SAMPLE_BYTES`
+bytes of text a language go, and one at least. `LANDMARKS` of all of them are landmarks, two of each language at least. The label counts that set the
+sample's threshold are of all labelled rows. The `LANGUAGES` most frequent languages are learned, of equal ones those first by code point. Fitting reads the table twice.
 
-Defined cases: text null or without a letter gives `und` with score 0. If there is no labelled row, every text with a letter is `und` too. Equal scores
-go to the language that comes first by code point. Rows are neither dropped nor merged.
+Defined cases: text null or without a letter (Unicode category L) gives `und` with score 0. If there is no labelled row, every text with a letter is `und` too. Equal scores
+go to the language that comes first by code point. A null id counts as the empty string, whose remainder is 0. Rows are neither dropped nor merged.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 PER_LANGUAGE, LANDMARKS, LANGUAGES, RIDGE = 300, 160, 400, 1e-2
+SAMPLE_BYTES = 4 << 20
 NGRAMS = 3
 BUCKET_BITS = 18
 BATCH = 64
 UNKNOWN = "und"
-OTHER = re.compile(r"[\W\d_]+")
+# all but letters: numbers such as one half or Roman numerals are word characters too
+OTHER = re.compile(rf"[\W\d_{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ('Nl', 'No'))}]+")
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -94,7 +98,7 @@ def fitted(texts: list[str], labels: list[str], n_landmarks: int = LANDMARKS, ri
     for k, (_, y) in enumerate(rows):
         turn[y] = turn.get(y, -1) + 1
         place.append((turn[y], y, k))
-    chosen = [rows[k][0] for _, _, k in sorted(place)[: max(n_landmarks, len(languages))]]
+    chosen = [rows[k][0] for _, _, k in sorted(place)[: max(n_landmarks, 2 * len(languages))]]
     used = np.zeros(NGRAMS << BUCKET_BITS, bool)
     grams = [np.unique(np.concatenate(gram_buckets(t))) for t in chosen]
     for g in grams:
@@ -122,23 +126,27 @@ def fitted(texts: list[str], labels: list[str], n_landmarks: int = LANDMARKS, ri
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, str]]:
-    """A sample of at most `per_language` labelled rows of each language that have a letter and aren't held out."""
+    """A sample of at most `per_language` labelled texts of each language that have a letter and aren't held out."""
     rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h")
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")
     )
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    sample: list[tuple[str, str]] = []
-    for lang in sorted(counts):
-        share = min(1.0, 4 * per_language / counts[lang])
-        low = F.col("h") <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1)
-        sample += [(r.text, lang) for r in rows.filter((F.col("lang") == lang) & low).orderBy("h", "text").limit(per_language).collect()]
-    return sample
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col("lang").cast("binary")).limit(LANGUAGES).collect()
+    if not counts:
+        return []
+    # hashes up to a threshold: of each language about four times as many rows as are wanted
+    low = []
+    for r in counts:
+        share = min(1.0, 4 * per_language / r.n)
+        low += [F.lit(r.lang), F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1)]
+    few = rows.filter(F.col("h") <= F.create_map(*low)[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    ranked = few.withColumn("n", F.row_number().over(order)).withColumn("bytes", F.sum(F.octet_length("text")).over(order))
+    sample = ranked.filter((F.col("n") == 1) | (F.col("n") <= per_language) & (F.col("bytes") <= SAMPLE_BYTES)).select("lang", "n", "text").collect()
+    return [(r.text, r.lang) for r in sorted(sample, key=lambda r: (r.lang, r.n))]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:

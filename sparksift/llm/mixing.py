@@ -159,9 +159,14 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows of equal id, size and source share out the copies that were drawn for them.
     """
-    drawn = mix(docs, id_col, text_col, source_col).groupBy("doc_id", "size", "source").agg(F.sort_array(F.collect_list("copies"), False).alias("__copies")).select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "size", "source")), "__copies")
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    joined = docs.withColumn("__n", size).join(drawn, F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__n") == F.col("__size")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    turn = F.row_number().over(Window.partitionBy("__doc_id", "__size", "__source").orderBy(F.xxhash64(text_col)))
-    times = joined.withColumn("__times", F.element_at("__copies", turn)).withColumn("__time", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int"))))
-    return times.select(*(F.col(f"`{c}`") for c in docs.columns))
+    drawn = mix(docs, id_col, text_col, source_col).groupBy("doc_id", "size", "source").agg(F.sort_array(F.collect_list("copies"), False).alias("copies"))
+    id_, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
+    # the row travels as one column, so that no name of its own meets those used here
+    rows = docs.select(
+        id_.cast("long").alias("id"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n"), source.cast("string").alias("src"),
+        F.xxhash64(text).alias("h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+    )
+    joined = rows.join(drawn, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("n") == F.col("size")) & F.col("src").eqNullSafe(F.col("source")))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "size", "source").orderBy("h"))
+    times = joined.withColumn("times", F.element_at("copies", turn)).select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
+    return times.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -336,11 +336,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows of one id are classed by their own texts, and so are rows of null ids. Of rows without words those equal in id and text are one, and
     those of null ids all stay.
     """
-    named = [k.alias(f"__{n}") for k, n in zip(keys(docs[id_col], docs[text_col]), KEY, strict=True)]
-    marks, texts, links = text_links(docs.select(*keys(docs[id_col], docs[text_col]), docs[text_col].alias("text")), threshold)
+    # the row travels as one column, so that no name of its own meets those used here
+    rows = docs.select(*keys(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.col(f"`{text_col}`").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    marks, texts, links = text_links(rows.select(*KEY, "text"), threshold)
     classes = texts.join(components(links), F.col("rep") == F.col("node"), "left").groupBy(F.coalesce("root", "rep").alias("class")).agg(F.min("first").alias("first"))
     chosen = classes.select("first.*", F.lit(True).alias("some")).unionByName(marks.filter("not some").select(*KEY, "some").distinct())
-    chosen = chosen.select(*(F.col(k).alias(f"__{k}") for k in KEY), F.col("some").alias("__some"))
-    found = docs.select("*", *named).join(chosen, [f"__{k}" for k in KEY])
-    own = F.when(F.col("__null_id") & ~F.col("__some"), F.monotonically_increasing_id())
-    return found.withColumn("__own", own).dropDuplicates([*(f"__{k}" for k in KEY), "__own"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = rows.select(*KEY, "row").join(chosen, KEY)
+    own = F.when(F.col("null_id") & ~F.col("some"), F.monotonically_increasing_id())
+    kept = found.withColumn("own", own).dropDuplicates([*KEY, "own"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -19,7 +19,9 @@ SPLIT = "CASE WHEN {0} = '' THEN CAST([] AS VARCHAR[]) ELSE string_split({0}, '
 
 def license_sql() -> str:
     phrases = ", ".join(f"({words(p.split())}, {text(label)})" for p, label in licenses.PHRASES.items())
-    templates = ", ".join(f"({text(label)}, {words(s)}, {licenses.least_common(len(s))})" for label, s in licenses.template_sets())
+    templates = ", ".join(
+        f"({text(label)}, {words(s)}, {licenses.least_common(len(s))}, {n})" for (label, s), n in zip(licenses.template_sets(), licenses.block_lengths(), strict=True)
+    )
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 worded AS (SELECT doc_id, {SPLIT.format('plain')} AS w FROM (SELECT doc_id, {PLAIN.format('text')} AS plain FROM docs)),
@@ -28,9 +30,10 @@ places AS (
   SELECT doc_id, label, unnest(list_filter(range(len(w) - len(p) + 1), lambda i: w[i + 1 : i + len(p)] = p)) AS place FROM worded, phrases WHERE len(w) >= len(p)),
 base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY doc_id),
-templates(label, t, alpha) AS (VALUES {templates}),
-lines AS (SELECT doc_id, {SPLIT.format('plain')} AS w FROM (SELECT doc_id, {PLAIN.format('line')} AS plain FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs))),
-held AS (SELECT doc_id, label, len(t) AS size, alpha, len(list_intersect(list_distinct(w), t)) AS n FROM lines, templates),
+templates(label, t, alpha, length) AS (VALUES {templates}),
+near AS (SELECT * FROM worded, templates WHERE len(list_intersect(list_distinct(w), t)) >= alpha),
+held AS (
+  SELECT doc_id, label, len(t) AS size, alpha, list_max(list_transform(range(len(w)), lambda i: len(list_intersect(list_distinct(w[i + 1 : i + length]), t)))) AS n FROM near),
 own AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(CAST(n AS DOUBLE) / size) AS share FROM held WHERE n >= alpha GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
   CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,

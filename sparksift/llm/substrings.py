@@ -296,7 +296,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (result, text_col)]
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.hash(text_col).alias("__key"), F.col(text_col).alias("__text"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("__row"))
     rows = keyed.select(F.col("__id").alias("id"), F.col("__key").alias("text_key"), F.col("__text").alias("text"))
-    spans = removed_spans(rows, window=window, bits=bits).groupBy("id", "text_key").agg(F.collect_list(F.struct("at", "until")).alias("__spans"))  # no more than the words of one document
+    spans = removed_spans(rows, window=window, bits=bits).groupBy("id", "text_key").agg(F.collect_set(F.struct("at", "until")).alias("__spans"))  # different ones: no more than the words of one text
     joined = keyed.join(spans, (F.col("__id") == F.col("id")) & (F.col("__key") == F.col("text_key")), "left").select("__row", "__text", "__spans")
     fields = StructType([StructField("__row", joined.schema["__row"].dataType), StructField("__kept", RESULT)])
     out = joined.mapInArrow(kept_words(with_text), fields)

@@ -11,9 +11,11 @@ Vectors are linked if their labels are equal and their cosine, in double precisi
 4. *Union.* Adjacency lists of a point from all shards are put together, and a slice's graph has all those edges between its points.
 5. *Search.* For every point of the home shard, greedy search from the slice's medoid with a beam; once it settles, every point in range is expanded in turn,
    until nothing in range is left to expand. Points in range are counted; only a spanning forest of them leaves the task, so groups of near copies cost rows in
-   proportion to their size. Distances are exact cosines of the vectors as stored, so nothing below the threshold is ever linked.
-6. *Audit.* Links of a bounded sample of points are counted by brute force over all rows, in blocks. If the recall is below `RECALL`, all is done again
-   with a wider margin and beam; after `TRIES` that is an error.
+   proportion to their size. Distances are exact cosines of the vectors as stored, so nothing below the threshold is ever linked. A link
+   counts on both sides: between two queries of a task it is made mutual, and a point that is found where it isn't at home, by a query that its own home
+   shard doesn't hold, gets the link added there, as its own search can't find it. A point that any link was found for has one at least.
+6. *Audit.* Links of a bounded sample of points are counted by brute force over all rows, in blocks: `AUDIT` points each of those that have no, few or many links by
+   the search. If the least recall of the three is below `RECALL`, all is done again with a wider margin and beam; after `TRIES` that is an error.
 
 Defined cases: vectors null, empty, zero, or with null or non-finite components, and those with a null label, link with nothing; neither do vectors of different lengths.
 Rows with one id are vectors of their own with the same id: they count as links and share the id's component. An empty table gives no rows.
@@ -37,7 +39,7 @@ SHARD, SLICE, BLOCK = 1024, 4096, 2048
 MARGIN, BEAM, DEGREE, CANDIDATES, ALPHA = 0.1, 24, 24, 64, 1.2
 AT_ONCE = 4  # points that a search expands in one step
 SAMPLE, MOST_CENTROIDS, LLOYD = 20_000, 4096, 6
-AUDIT, RECALL, TRIES = 128, 0.9, 3
+AUDIT, FEW, RECALL, TRIES = 64, 10, 0.9, 3
 
 
 def unit(rows: list) -> np.ndarray:
@@ -81,18 +83,18 @@ def centroids_of(points: DataFrame, shard: int) -> dict[tuple[str, int], np.ndar
     return out
 
 
-MEMBER = "shard string, home boolean, rep long, weight long, v array<double>"
-FIELDS = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+MEMBER = "shard string, home boolean, rep long, weight long, v array<double>, at int, also array<int>"
+FIELDS = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int32())]
 
 
 def assigned(centroids, margin: float):
-    """Each point in its home shard and in those whose centroid is nearly as near."""
+    """Each point in its home shard and in those whose centroid is nearly as near; `at` is its home's number, `also` are those of all its shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = centroids.value
         for batch in batches:
             rep, weight, label, dim, v = (batch.column(i).to_pylist() for i in range(5))
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in FIELDS]
             groups: dict[tuple, list[int]] = {}
             for i, key in enumerate(zip(label, dim, strict=True)):
                 groups.setdefault(key, []).append(i)
@@ -100,8 +102,10 @@ def assigned(centroids, margin: float):
                 # a label without centroids has few points, none of them in the sample: one shard
                 near = unit([v[i] for i in rows]) @ tables[key].T if key in tables else np.zeros((len(rows), 1))
                 best = near.argmax(1)
-                for r, s in zip(*np.nonzero(near >= near.max(1, keepdims=True) - margin), strict=True):
-                    for column, value in zip(out, (f"{int(s)}|{key[1]}|{key[0]}", bool(s == best[r]), rep[rows[r]], weight[rows[r]], v[rows[r]]), strict=True):
+                inside = near >= near.max(1, keepdims=True) - margin
+                also = [np.flatnonzero(row).tolist() for row in inside]
+                for r, s in zip(*np.nonzero(inside), strict=True):
+                    for column, value in zip(out, (f"{int(s)}|{key[1]}|{key[0]}", bool(s == best[r]), rep[rows[r]], weight[rows[r]], v[rows[r]], int(best[r]), also[r]), strict=True):
                         column.append(value)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, FIELDS, strict=True)], [x.split()[0] for x in MEMBER.split(", ")])
 
@@ -214,7 +218,7 @@ FOUND = "rep long, n long, other long"
 
 
 def searched(threshold: float, beam: int):
-    """For one slice and block of queries: (rep, weight of the points in range, null) and forest edges (rep, null, other)."""
+    """For one slice and block of queries: (rep, weight of points in range, null), parts that add up, and forest edges (rep, null, other)."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep")
@@ -230,16 +234,29 @@ def searched(threshold: float, beam: int):
         # the queries stand behind the points, so that the forest joins both
         own = np.minimum(np.searchsorted(ids, who), len(ids) - 1)
         present = ids[own] == who
+        mutual = np.flatnonzero(present)
+        square = in_range[np.ix_(mutual, own[mutual])]
+        in_range[np.ix_(mutual, own[mutual])] = square | square.T
+        # for a point that is at home elsewhere, the queries that its home shard doesn't hold
+        home = index["at"].to_numpy(np.int64)
+        there = np.zeros((len(who), int(home.max()) + 1), bool)
+        for i, shards in enumerate(asked.also):
+            there[i, [k for k in shards if k < there.shape[1]]] = True
+        unseen = in_range & ~there[:, home]
+        extra = unseen.T @ asked.weight.to_numpy(np.int64)
+        more = np.flatnonzero(extra)
+        met = np.flatnonzero(in_range.any(0))
         own = np.where(present, own, len(ids) + np.arange(len(who)))
         every = np.concatenate([ids, who])
         root = forest(np.hstack([in_range, np.zeros((len(who), len(who)), bool)]), own)
         tree = np.flatnonzero(root != np.arange(len(root)))
         n = (in_range * weight).sum(1)
+        # a point that was met has a link, whether its own search finds it or not: parts of 0 say so
         return pd.DataFrame(
             {
-                "rep": np.concatenate([who, every[tree]]),
-                "n": pd.array([*n.tolist(), *[None] * len(tree)], "Int64"),
-                "other": pd.array([*[None] * len(who), *every[root[tree]].tolist()], "Int64"),
+                "rep": np.concatenate([who, ids[more], ids[met], every[tree]]),
+                "n": pd.array([*n.tolist(), *extra[more].tolist(), *[0] * len(met), *[None] * len(tree)], "Int64"),
+                "other": pd.array([*[None] * (len(who) + len(more)), *ids[met].tolist(), *every[root[tree]].tolist()], "Int64"),
             }
         )
 
@@ -254,19 +271,29 @@ def searched_links(points: DataFrame, threshold: float, margin: float, beam: int
     slices = members.groupBy("shard").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"), F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).cast("int").alias("blocks"))
     cut = members.join(slices, "shard").withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
     cut = stored(cut)
-    lists = cut.groupBy("shard", "slice").applyInPandas(built, "rep long, neighbours array<long>")
+    lists = cut.select("shard", "slice", "rep", "v").groupBy("shard", "slice").applyInPandas(built, "rep long, neighbours array<long>")
     union = stored(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours")))  # a point is in a few shards, a list is short
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
     none = F.array().cast("array<long>")
-    index = cut.join(union, "rep").withColumn("block", blocks("blocks")).select("shard", "slice", "block", F.lit(False).alias("query"), "rep", "weight", "v", "neighbours")
+    columns = ["rep", "weight", "v", "at", "also"]
+    index = cut.join(union, "rep").withColumn("block", blocks("blocks")).select("shard", "slice", "block", F.lit(False).alias("query"), *columns, "neighbours")
     asked = cut.filter("home").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int")).drop("slice").withColumn("slice", blocks("slices"))
-    asked = asked.select("shard", "slice", "block", F.lit(True).alias("query"), "rep", "weight", "v", none.alias("neighbours"))
+    asked = asked.select("shard", "slice", "block", F.lit(True).alias("query"), *columns, none.alias("neighbours"))
     return index.unionByName(asked).groupBy("shard", "slice", "block").applyInPandas(searched(threshold, beam), FOUND)
 
 
+def counted(found: DataFrame) -> DataFrame:
+    """(rep, n): the parts of each point's links added up; a point that was met has one at least."""
+    parts = found.filter("n is not null").groupBy("rep").agg(F.sum("n").alias("n"), F.max(F.col("other").isNotNull().cast("int")).alias("met"))
+    return parts.select("rep", F.greatest("n", "met").cast("long").alias("n"))
+
+
 def audited(points: DataFrame, counts: DataFrame, threshold: float, size: int = AUDIT) -> float:
-    """The share of the links of at most `size` points, counted by brute force over all points in blocks, that `counts` (rep, n) has."""
-    rows = points.select("rep", "label", "v").orderBy(F.xxhash64("rep", F.lit(3))).limit(size).collect()
+    """The share of links that `counts` (rep, n) has of those counted by brute force over all points in blocks: the least of three
+    samples of at most `size` points each, with no, fewer than `FEW` and more links by `counts`."""
+    level = F.when(F.col("n") == 0, 0).when(F.col("n") < FEW, 1).otherwise(2)
+    known = points.select("rep", "label", "v").join(counts, "rep", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = [r for k in range(3) for r in known.filter(level == k).orderBy(F.xxhash64("rep", F.lit(3))).limit(size).collect()]
     if not rows:
         return 1.0
     sample = points.sparkSession.sparkContext.broadcast([(r.rep, r.label, r.v) for r in rows])
@@ -286,9 +313,15 @@ def audited(points: DataFrame, counts: DataFrame, threshold: float, size: int =
         yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["rep", "n"])
 
     exact = {r.rep: r.n for r in points.select("rep", "weight", "label", "v").mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n")).collect()}
-    found = {r.rep: r.n for r in counts.filter(F.col("rep").isin([r.rep for r in rows])).collect()}
-    wanted = sum(exact.values())
-    return sum(min(n, found.get(k, 0)) for k, n in exact.items()) / wanted if wanted else 1.0
+    found = {r.rep: r.n for r in rows}
+    shares = []
+    for of_level in ((lambda n: n == 0), (lambda n: 0 < n < FEW), (lambda n: n >= FEW)):
+        own = {rep: n for rep, n in found.items() if of_level(n)}
+        wanted = sum(exact.get(rep, 0) for rep in own)
+        # points without links by the search are judged with the few that should have some
+        if wanted:
+            shares.append(sum(min(n, exact.get(rep, 0)) for rep, n in own.items()) / wanted if any(own.values()) else 1 - sum(exact.get(rep, 0) > 0 for rep in own) / len(own))
+    return min(shares, default=1.0)
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -300,14 +333,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     margin, beam = MARGIN, BEAM
     for turn in range(TRIES):
         found = stored(searched_links(points, threshold, margin, beam))
-        counts = stored(found.filter("n is not null").groupBy("rep").agg(F.sum("n").alias("n")))
+        counts = stored(counted(found))
         if audited(points, counts, threshold) >= RECALL:
             break
         margin, beam = 3 * margin, 2 * beam
         if turn == TRIES - 1:
             raise RuntimeError(f"recall stays below {RECALL}")
     names = points.select(F.col("rep").alias("r"), "vec_id")
-    edges = found.filter("other is not null").select("rep", "other").distinct()
+    edges = found.filter("n is null").select("rep", "other").distinct()
     named = edges.join(names, edges.rep == names.r).select(F.col("vec_id").alias("a"), "other").join(names, F.col("other") == F.col("r")).select("a", F.col("vec_id").alias("b"))
     copies = good.join(points.select("k1", "k2", F.col("vec_id").alias("b")), ["k1", "k2"]).select(F.col("vec_id").alias("a"), "b")
     roots = components(named.unionByName(copies))

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 import brute
+from pyspark.sql import functions as F
 from sparksift.llm import graph, hosts, html_text, vectors
 from sparksift.llm.html_text import render
 
@@ -189,6 +190,43 @@ def test_near_vectors(spark, vector_rows, monkeypatch, shard, piece):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("size", [4, 40])
+def test_links_count_on_both_sides(spark, monkeypatch, size):
+    """Points between many small shards, and a group of copies that outnumbers them: no row contradicts its component."""
+    monkeypatch.setattr(vectors, "SHARD", 60)
+    monkeypatch.setattr(vectors, "SLICE", 400)
+    monkeypatch.setattr(vectors, "BLOCK", 150)
+    rng = np.random.default_rng(size)
+    centres = rng.normal(size=(300, 8))
+    rows = [(centres[k % 300] + rng.normal(size=8) * 0.2) for k in range(300 * size // 4)] + [centres[0] + rng.normal(size=8) * 0.01 for _ in range(400)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rows)]
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    n, classes = vectors_brute(rows)
+    sizes = Counter(r.component_id for r in got.values())
+    assert all((r.n_links > 0) == (sizes[r.component_id] > 1) for r in got.values())
+    assert all(r.n_links <= n[i] for i, r in got.items())
+    outside = [i for i in got if n[i] < 300]
+    assert sum(got[i].n_links for i in outside) >= 0.99 * sum(n[i] for i in outside)
+    assert sum(got[i].n_links for i in got) >= 0.99 * sum(n.values())
+
+
+def test_audit_sees_lost_links(spark):
+    """The links of a large group don't hide that those of the others are lost."""
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=8)
+    rows = [(centre + 0.01 * rng.normal(size=8)).tolist() for _ in range(300)]
+    for _ in range(100):
+        c = rng.normal(size=8)
+        rows += [(c + 0.02 * rng.normal(size=8)).tolist() for _ in range(3)]
+    points = spark.createDataFrame([(i, 1, "0", 8, v) for i, v in enumerate(rows)], "rep long, weight long, label string, dim int, v array<double>")
+    n, _ = vectors_brute([(i, v, 0) for i, v in enumerate(rows)])
+    share = lambda lost: vectors.audited(points, spark.createDataFrame([(i, c - lost(i, c)) for i, c in n.items()], "rep long, n long"), 0.93)
+    assert share(lambda i, c: 0) == 1.0
+    assert share(lambda i, c: c if i >= 300 else 0) < 0.5
+    assert share(lambda i, c: c // 2 if i >= 300 else 0) < 0.7
+    assert share(lambda i, c: c // 2 if i < 300 else 0) < 0.7
+
+
 def test_no_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -235,6 +273,32 @@ def test_pipeline_stages(spark):
     assert last.filter("piece = 0").count() == seen["source_mix"].count()
 
 
+CLASHING = ["repeats", "__lang", "__n", "__id", "a.b", "row", "lang_pred", "size", "null_id", "h1"]
+
+
+def test_pipeline_with_clashing_columns_nulls_and_repeated_rows(spark):
+    """Extra columns come through each stage as they are; null ids and texts, repeated rows and an empty table are no error."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    odd = docs.select(*[F.expr(f"CAST(NULL AS {t})").alias(c) for c, t in docs.dtypes]).limit(1)
+    extra = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    rows = docs.unionByName(odd).unionByName(extra).unionByName(extra).unionByName(docs.limit(5)).unionByName(docs.limit(2).withColumn("text", F.lit("")))
+    rows = rows.select("*", *(F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHING))
+    now = rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = graph.stored(stage(spark, now, "/root/testdata/sf0.001"))
+        assert now.columns == rows.columns, name
+        for r in now.collect():
+            assert all(r[c] == f"{c}:{'none' if r.doc_id is None else r.doc_id}" for c in CLASHING), name
+        assert now.count() > 20, name
+    assert corpus_pipeline.packed_sequences(spark, now, "").count() >= now.count()
+    now = rows.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        now = graph.stored(stage(spark, now, "/root/testdata/sf0.001"))
+        assert now.count() == 0, name
+
+
 def test_registry_and_import_without_this_part():
     import __spark_entry__
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -187,6 +188,47 @@ def test_language_odd_inputs(docs, empty):
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_language_needs_a_letter(spark):
+    model = language.fitted(["der die das und", "the of and with"], ["de", "en"])
+    assert model.predict(["½", "²", "Ⅷ", "12 ¾ ٣", "_", "ª", "漢"])[0][:5] == ["und"] * 5
+    assert all(x != "und" for x in model.predict(["ª", "漢"])[0])
+    docs = spark.createDataFrame([(None, "a"), (5, "b")], "doc_id long, text string")
+    assert {r.h for r in docs.select(language.held_out().alias("h")).collect()} <= {True, False}
+
+
+def test_language_sample(spark, monkeypatch):
+    rows = [(k if k % 11 else None, f"text {chr(97 + k % 26)}{k}" if k % 2 else "same text", "abc"[k % 3] if k % 7 else None) for k in range(400)]
+    rows += [(k, "long " * 1000, "big") for k in range(400, 420)] + [(k, "12", "numbers") for k in range(420, 440)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "SAMPLE_BYTES", 6000)
+    sample = language.training_rows(docs, "doc_id", "text", "lang", 5)
+    count = {lang: sum(y == lang for _, y in sample) for lang in ("a", "b", "c", "big", "numbers")}
+    assert count == {"a": 5, "b": 5, "c": 5, "big": 1, "numbers": 0}
+    assert sample == language.training_rows(docs.repartition(7), "doc_id", "text", "lang", 5)
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    assert len({y for _, y in language.training_rows(docs, "doc_id", "text", "lang", 5)}) == 2  # more languages than are learned are no error
+
+
+def test_language_against_plain_kernel_ridge():
+    """With every text a landmark, Nystroem features give kernel ridge regression itself."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(words) for _ in range(8)) for words in (["der", "die", "und", "haus"], ["the", "and", "house", "of"]) for _ in range(12)]
+    labels = ["de"] * 12 + ["en"] * 12
+    model = language.fitted(texts, labels, n_landmarks=len(texts))
+    grams = lambda t: {f" {t} "[i : i + n] for n in (1, 2, 3) for i in range(len(t) + 3 - n)}
+    known = set().union(*map(grams, texts))
+    kernel = lambda x, y: len(grams(x) & grams(y) & known) / np.sqrt(len(grams(x) & known) * len(grams(y)))
+    k = np.array([[kernel(x, y) for y in texts] for x in texts])
+    # ridge in the kernel's own feature space, with a free intercept and equal weight for each language
+    values, vectors_ = np.linalg.eigh(k)
+    phi = vectors_[:, values > 1e-6 * values.max()] * np.sqrt(values[values > 1e-6 * values.max()])
+    x = np.hstack([phi, np.ones((len(texts), 1))]) / np.sqrt(12)
+    target = np.array([[float(y == z) for z in ("de", "en")] for y in labels]) / np.sqrt(12)
+    penalty = np.diag([language.RIDGE] * phi.shape[1] + [0.0])
+    want = np.hstack([phi, np.ones((len(texts), 1))]) @ np.linalg.solve(x.T @ x + penalty, x.T @ target)
+    assert np.abs(model.scores([language.normal(t) for t in texts]) - want).max() < 0.02
+
+
 def test_language_never_sees_labels(docs):
     model = language.fit(docs)
     swapped = docs.drop("lang", "source")
@@ -359,24 +401,61 @@ def test_licenses(spark):
     assert got[8][5] == ""
 
 
+NOTICES = {
+    "mit": """/*
+ * Permission is hereby granted, free of charge, to any person obtaining
+ * a copy of this software and associated documentation files, to deal
+ * in the Software without restriction, including without limitation
+ */""",
+    "gpl-3": """# This program is free software: you can redistribute it
+# and/or modify it under the terms of the GNU General Public
+# License as published by the Free Software Foundation.""",
+    "apache-2": """you may not use this file except in
+compliance with the License.
+
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0""",
+}
+
+
+def test_wrapped_notices(spark):
+    long = "word " * 3000
+    texts = [(k, f"{long}\n{text}\n{long}") for k, text in enumerate(NOTICES.values())]
+    texts += [(10, " filler ".join(NOTICES["mit"].split())), (11, long + " ".join(sorted(set(NOTICES["gpl-3"].split()))) + long * 2)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[k].labels for k in range(3)] == list(NOTICES) and all(got[k].score >= 0.8 for k in range(3))
+    assert got[10].labels == ""  # twice as many words: no block of the template's length holds enough of them
+
+
+def blocks_by_hand(text, sets, lengths):
+    """The largest share of each template in any run of its number of words."""
+    words = re.sub(licenses.BETWEEN, " ", text.lower()).split()
+    found = {}
+    for (label, s), n in zip(sets, lengths, strict=True):
+        share = max((len(set(words[i : i + n]) & set(s)) for i in range(len(words))), default=0) / len(s)
+        if share >= 0.8 - 1e-9:
+            found[label] = max(share, found.get(label, 0))
+    return found
+
+
 def test_license_join_is_exact(spark):
     """All blocks and templates, by counting words."""
     rng = random.Random(8)
-    sets = licenses.template_sets()
+    sets, lengths = licenses.template_sets(), licenses.block_lengths()
     vocabulary = sorted({w for _, s in sets for w in s})
     texts = ["\n".join(" ".join(rng.sample(rng.choice(sets)[1] * 2 + vocabulary[:6], rng.randrange(3, 10)) + rng.sample(vocabulary, 3)) for _ in range(6)) for _ in range(60)]
     texts += ["\n".join(" ".join(rng.sample(s, licenses.least_common(len(s)) - d)) for _, s in sets) for d in (0, 1)]
+    texts += [" ".join(w + " of" * rng.randrange(3) for w in rng.sample(s, len(s))) + "," + "x " * rng.randrange(9) for _, s in sets for _ in range(3)]
     got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    n = 0
     for i, text in enumerate(texts):
-        found = {}
-        for line in text.split("\n"):
-            for label, s in sets:
-                share = len(set(line.split()) & set(s)) / len(s)
-                if share >= 0.8 - 1e-9:
-                    found[label] = max(share, found.get(label, 0))
+        found = blocks_by_hand(text, sets, lengths)
         base = set(filter(None, got[i].base_labels.split(",")))
         assert set(filter(None, got[i].labels.split(","))) == set(found) | base
         assert got[i].score == pytest.approx(1.0 if base else max(found.values(), default=0.0))
+        n += bool(found)
+    assert 10 < n < len(texts)
 
 
 def test_empty_tables(empty):
