@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparksift.llm import language, mixing, near_dedup, packing, substrings
@@ -19,16 +19,26 @@ from sparksift.sources.tables import table
 LEAST_SCORE, SURE_LETTERS = 0.5, 40
 
 
+def carried(docs: DataFrame) -> Column:
+    """All columns of a row but the text as one, `row`: whatever they are called, they meet no column of a stage."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of `row`, those in `new` with their new values."""
+    return rows.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a letter whose predicted language is certain enough; `lang` is the prediction.
 
     The model is fitted on the labelled rows of `docs`. If none are labelled nothing can be recognised, and no row stays.
     """
-    columns = docs.columns
-    found = language.identify(docs, language.fit(docs), lang="__lang", score="__score")
+    rows = docs.select(carried(docs), "text")
+    found = language.identify(rows, language.fit(docs))
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]+", ""))
-    kept = found.filter((F.col("__lang") != language.UNKNOWN) & ((F.col("__score") >= LEAST_SCORE) | (letters < SURE_LETTERS)))
-    return kept.withColumn("lang", F.col("__lang")).select(*(F.col(f"`{c}`") for c in columns))
+    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & ((F.col("score") >= LEAST_SCORE) | (letters < SURE_LETTERS)))
+    return unpacked(kept, docs.columns, text=F.col("text"), lang=F.col("lang_pred"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +48,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row, its text without words of repeated windows; `n_chars` follows the text."""
-    found = substrings.remove_repeats(docs)
+    found = substrings.remove_repeats(docs.select(carried(docs), "doc_id", "text"), keep=["row"])
     text = F.col("repeats.kept")
-    new = {"text": text, "n_chars": F.when(F.col("repeats.n_removed") > 0, F.length(text)).otherwise(F.col("n_chars")).cast("long")}
-    return found.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    n_chars = F.when(F.col("repeats.n_removed") > 0, F.length(text)).otherwise(F.col("row.n_chars")).cast("long")
+    return unpacked(found, docs.columns, text=text, n_chars=n_chars)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
