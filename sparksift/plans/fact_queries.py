@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
@@ -41,15 +41,35 @@ def on_documents(build: Callable[[DataFrame], DataFrame]) -> Query:
 # Sources -----------------------------------------------------------------
 
 
+def write_files(named: DataFrame, folder: str) -> None:
+    """Writes (name, content) as files below a folder that all executors share, one folder for each first letter of a name."""
+
+    def run(rows: Iterator[Row]) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        for row in rows:
+            store.create_dir(f"{base}/{row.name[0]}", recursive=True)
+            with store.open_output_stream(f"{base}/{row.name[0]}/{row.name}") as out:
+                out.write(bytes(row.content))
+
+    named.foreachPartition(run)
+
+
+# Of four parts one is a source, one has a byte that is no UTF-8, and two have other suffixes.
+SCAN_NAME = "concat(element_at(array('A', 'B', 'C', 'D'), cast(k % 4 as int) + 1), k, element_at(array('.java', '.java', '.JAVA', '.txt'), cast(k % 4 as int) + 1))"
+
+
 def scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write parts as a tree of text files, one folder per size, and scan the tree."""
+    """Write parts as a tree of files, whole bytes and suffixes of both cases, and scan the tree for sources."""
     folder = f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4()}"
-    parts = table(spark, sf_dir, "part").select("p_size", F.col("p_name").alias("value"))
-    parts.write.partitionBy("p_size").text(folder)
-    found = scan_sources(spark, folder, suffix=".txt")
-    size = F.regexp_extract("path", r"p_size=(\d+)", 1).cast("int").alias("p_size")
-    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
-    return found.select(size, lines.alias("lines")).groupBy("p_size").agg(F.sum("lines").alias("n_lines"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("text"))
+    odd = F.when(F.col("k") % 4 == 1, F.lit(b"\xe9")).otherwise(F.lit(b""))
+    write_files(parts.select(F.expr(SCAN_NAME).alias("name"), F.concat(F.encode("text", "UTF-8"), odd, F.encode(F.lit("\n"), "UTF-8")).alias("content")), folder)
+    return scan_sources(spark, folder).select(
+        F.substring_index("path", "/", -2).alias("place"), "file_name", F.sha2(F.encode("content", "UTF-8"), 256).alias("content_sha256"),
+        F.length("content").alias("n_chars"),
+    )
 
 
 def upload_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +304,12 @@ METHOD_ITEMS = (
 )
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
-    "scan_sources": (scan_query, "SELECT p_size, count(*) AS n_lines FROM part GROUP BY p_size"),
+    "scan_sources": (
+        scan_query,
+        "SELECT concat(letter, '/', name) AS place, name AS file_name, sha256(content) AS content_sha256, CAST(length(content) AS INTEGER) AS n_chars FROM "
+        "(SELECT letter, concat(letter, p_partkey, '.java') AS name, concat(p_name, mark, chr(10)) AS content FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 'A' ELSE 'B' END AS letter, "
+        "CASE p_partkey % 4 WHEN 1 THEN chr(65533) ELSE '' END AS mark FROM part WHERE p_partkey % 4 < 2))",
+    ),
     "source_upload_filter": (
         upload_query,
         "SELECT name AS file_name, content, upload_ord FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY upload_ord DESC) AS r FROM "
