@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash
 from ..storage import Scratch
 from .findings import emit, hit
-from .members import methods
+from .members import methods_of
 
 # Three hexadecimal digits of the path's digest.
 CHUNKS = 4096
@@ -31,12 +31,11 @@ def file_chunk(path: Column) -> Column:
     return F.substring(F.md5(path.cast("string")), 1, 3)
 
 
-def method_items(tokens: DataFrame, min_statements: int = 3) -> DataFrame:
+def method_items(members: DataFrame, min_statements: int = 3) -> DataFrame:
     """Methods large enough to compare, with the hash of their body in one layout."""
-    rows = methods(tokens).filter(F.col("has_body") & (F.col("n_stmts") >= min_statements))
+    rows = methods_of(members).filter(F.col("has_body") & (F.col("n_stmts") >= min_statements))
     return rows.select(
-        "path", F.col("name").alias("label"), "line", F.coalesce("close_pos", "member").alias("node"),
-        content_hash(F.col("printed")).alias("hash"),
+        "path", F.col("name").alias("label"), "line", F.coalesce("close_pos", "member").alias("node"), F.col("body_hash").alias("hash")
     )
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.lexicon import MODIFIERS
 from ..functions.sql import UP_TO, add, among, either, last_when, words, yes
 from .tokens import BODY_KINDS, CLASS_KINDS, IS_BRANCH, IS_TERNARY, since_decl
@@ -188,9 +189,23 @@ def declared_members(tokens: DataFrame, with_text: bool = True) -> DataFrame:
     return rows.groupBy("path", "member").agg(*[F.expr(f"{value} AS {name}") for name, value in measures.items()])
 
 
+def members(tokens: DataFrame, with_text: bool = True) -> DataFrame:
+    """``declared_members`` with the lines, words and hash of the printed body in place of its text: narrow rows, worth storing."""
+    found = declared_members(tokens, with_text)
+    printed = F.col("printed")
+    text = {"body_lines": tx.code_lines(printed), "body_words": tx.code_words(printed), "body_hash": tx.content_hash(printed)}
+    if not with_text:
+        text = {"body_lines": F.lit(1), "body_words": F.lit(0), "body_hash": F.lit(None).cast("string")}
+    return found.withColumns(text).drop("printed")
+
+
 def methods(tokens: DataFrame, with_text: bool = True) -> DataFrame:
+    return methods_of(members(tokens, with_text))
+
+
+def methods_of(declared: DataFrame) -> DataFrame:
     """Declared methods, without constructors and annotation members."""
-    found = declared_members(tokens, with_text).filter("method_name IS NOT NULL AND owner_kind <> 'annotation'")
+    found = declared.filter("method_name IS NOT NULL AND owner_kind <> 'annotation'")
     no_annotations = r"regexp_replace(header, r'@ [^ ]+(?: \. [^ ]+)* ?', '')"
     modifiers = "|".join(MODIFIERS)
     no_modifiers = f"trim(regexp_replace({no_annotations}, r'(?:(?<=^| )(?:{modifiers}) ?)+', ''))"
@@ -220,6 +235,10 @@ def _names_after(word: str) -> Column:
 
 
 def class_rollup(tokens: DataFrame) -> DataFrame:
+    return classes_of(members(tokens, with_text=False))
+
+
+def classes_of(declared: DataFrame) -> DataFrame:
     """Classes and interfaces with counts over their direct members, in one aggregation."""
     own = among("class_kind", *PLAIN_CLASSES)
     method = "method_name IS NOT NULL"
@@ -233,8 +252,8 @@ def class_rollup(tokens: DataFrame) -> DataFrame:
         "n_constructors": count("open_kind = 'ctor' AND method_name IS NULL AND class_kind IS NULL"),
         "n_accessors": count(accessor),
     }
-    members = add(declared_members(tokens, with_text=False), block=f"CASE WHEN {own} THEN open_pos ELSE owner END")
-    rolled = members.filter("block >= 0").groupBy("path", "block").agg(
+    blocks = add(declared, block=f"CASE WHEN {own} THEN open_pos ELSE owner END")
+    rolled = blocks.filter("block >= 0").groupBy("path", "block").agg(
         *[F.expr(f"{value} AS {name}") for name, value in measures.items()]
     )
     return rolled.filter("class_name IS NOT NULL").withColumns(

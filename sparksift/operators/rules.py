@@ -1,6 +1,6 @@
 """The rules, grouped by grain: one pass over the rows of a grain yields all its findings.
 
-Every function takes the token facts, the settings and an optional set of rule
+Every function takes the token facts, or the members made from them, the settings and an optional set of rule
 ids. Only the wanted rules enter the plan, so a single rule reads and computes
 no more than its own columns.
 """
@@ -20,7 +20,7 @@ from ..functions.sql import (
     EARLIER, LEVEL, READ, UP_TO, add, among, both, contains_any, either, last_when, max_when, quote, say, words, yes,
 )
 from .findings import emit, findings_union, hit
-from .members import class_rollup, method_tokens, methods, printed_lines
+from .members import classes_of, method_tokens, methods_of, printed_lines
 from .tokens import BODY_KINDS, SUM_ADDS, SUM_ENDS, since_decl
 
 Only = set[str] | None
@@ -45,7 +45,7 @@ def is_pascal(name: str) -> str:
 # Classes -----------------------------------------------------------------
 
 
-def class_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
+def class_rules(members: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     many_methods, many_fields = f"n_methods > {cfg.max_class_methods}", f"n_fields > {cfg.max_class_fields}"
     is_error = "exists(extended, p -> endswith(p, 'Exception') OR p = 'Error')"
     at = ("line", "block")
@@ -72,17 +72,15 @@ def class_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataF
             "Exception class '{class_name}' does not end with 'Exception'", *at, suggestion=advice("NAME-008", "class_name"),
         ),
     }
-    return emit(cfg.limited(class_rollup(tokens)), wanted(only, hits))
+    return emit(cfg.limited(classes_of(members)), wanted(only, hits))
 
 
 # Methods -----------------------------------------------------------------
 
 
 def with_maintainability(found: DataFrame) -> DataFrame:
-    """Body lines, words and index of methods that have a body."""
-    return found.withColumns(
-        {"body_lines": tx.code_lines(F.col("printed")), "body_words": tx.code_words(F.col("printed"))}
-    ).withColumn("mi", tx.maintainability(F.col("body_words"), F.col("cc_no_ternary"), F.col("body_lines")))
+    """Methods with the index of their body."""
+    return found.withColumn("mi", tx.maintainability(F.col("body_words"), F.col("cc_no_ternary"), F.col("body_lines")))
 
 
 def by_band(value: str, bands: list[tuple[int | str, str]]) -> str:
@@ -90,7 +88,7 @@ def by_band(value: str, bands: list[tuple[int | str, str]]) -> str:
     return "CASE " + " ".join(f"WHEN {value} > {bound} THEN {text}" for bound, text in bands) + " END"
 
 
-def method_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
+def method_rules(members: DataFrame, cfg: AuditConfig, only: Only = None) -> DataFrame:
     at = ("line", "node")
     minor, major, critical = cfg.complexity_minor, cfg.complexity_major, cfg.complexity_critical
     limit = cfg.cognitive_threshold
@@ -151,9 +149,8 @@ def method_rules(tokens: DataFrame, cfg: AuditConfig, only: Only = None) -> Data
             "DOC-001", "visibility = 'public' AND NOT has_doc", "MINOR", "Missing Javadoc on public method -> {name}", *at
         ),
     }
-    with_text = only is None or bool(only & {"SMELL-003", "MET-005"})
     found = add(
-        cfg.limited(with_maintainability(methods(tokens, with_text))),
+        cfg.limited(with_maintainability(methods_of(members))),
         node="coalesce(close_pos, open_pos, member)",
         flag="get(filter(params, p -> p.simple AND p.type IN ('boolean', 'Boolean')), 0)",
         odd_param=f"get(filter(params, p -> length(p.name) > 1 AND NOT {is_camel('p.name')}), 0)",

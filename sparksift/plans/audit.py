@@ -14,20 +14,25 @@ from ..catalog import RULES
 from ..config import AuditConfig, ProjectLimits
 from ..operators import rules as R
 from ..operators.clones import clone_findings, method_items, stored_items
-from ..operators.findings import apply_toggles, findings_dedup, findings_union
+from ..operators.findings import SCHEMA, apply_toggles, findings_dedup, findings_union
 from ..operators.long_files import LONG_FILE, PART_TOKENS, long_tokens
+from ..operators.members import members
 from ..operators.mending import mended
 from ..operators.tokens import marked_tokens, rejects, text_parts, tokens
 from ..session import ensure_checkpoint_dir
 from ..storage import Scratch
 
-# Which function yields which rules.
-GRAINS = {
+# Which function yields which rules: of members, and of tokens.
+MEMBER_GRAINS = {
     R.class_rules: {"SMELL-001", "SMELL-006", "SMELL-007", "SMELL-008", "NAME-001", "NAME-008"},
     R.method_rules: {
         "SMELL-002", "SMELL-003", "SMELL-005", "SMELL-010", "SMELL-016", "SMELL-017", "NAME-002", "NAME-004", "NAME-009",
         "MET-001", "MET-002", "MET-005", "DOC-001",
     },
+}
+CLONES = {"DUP-001"}
+PRINTED = {"SMELL-003", "MET-005", "DUP-001"}
+GRAINS = {
     R.body_rules: {"SMELL-011", "SMELL-013"},
     R.exit_rules: {"DEAD-001"},
     R.block_rules: {"SMELL-004", "SMELL-012", "SMELL-014"},
@@ -42,15 +47,33 @@ GRAINS = {
     R.layout_rules: {"MET-003", "MET-004"},
     R.sum_rules: {"SEC-002", "SEC-007", "SEC-008"},
 }
-CLONES = {"DUP-001"}
 
 
-def findings_of(facts: DataFrame | list[DataFrame], only: set[str], cfg: AuditConfig | ProjectLimits) -> DataFrame:
-    """Findings of the wanted rules, before de-duplication; each table of facts holds whole files."""
+def found_by_file(
+    facts: DataFrame | list[DataFrame], only: set[str], cfg: AuditConfig | ProjectLimits, scratch: Scratch | None = None
+) -> tuple[list[DataFrame], DataFrame | None]:
+    """Findings of the wanted rules that look at one file, and the items of the clone rule, which compares all files, if it is wanted.
+
+    Each table of facts holds whole files. Classes, methods and clones are all made from members. With ``scratch`` these are
+    stored, and made from the tokens once.
+    """
     tables = facts if isinstance(facts, list) else [facts]
     parts = [grain(table, cfg, ids & only) for table in tables for grain, ids in GRAINS.items() if ids & only]
-    if CLONES & only:
-        parts.append(clone_findings(stored_items(reduce(DataFrame.unionByName, map(method_items, tables)))))
+    if not only & CLONES.union(*MEMBER_GRAINS.values()):
+        return parts, None
+    declared = reduce(DataFrame.unionByName, [members(table, bool(only & PRINTED)) for table in tables])
+    declared = scratch.stored(declared) if scratch else declared
+    parts += [grain(declared, cfg, ids & only) for grain, ids in MEMBER_GRAINS.items() if ids & only]
+    return parts, method_items(declared) if CLONES & only else None
+
+
+def findings_of(
+    facts: DataFrame | list[DataFrame], only: set[str], cfg: AuditConfig | ProjectLimits, scratch: Scratch | None = None
+) -> DataFrame:
+    """Findings of the wanted rules, before de-duplication."""
+    parts, items = found_by_file(facts, only, cfg, scratch)
+    if items is not None:
+        parts.append(clone_findings(items.filter("hash IS NOT NULL") if scratch else stored_items(items)))
     return findings_union(parts)
 
 
@@ -112,7 +135,7 @@ def drop_facts(spark: SparkSession, name: str) -> None:
 
 def audit(
     files: DataFrame, cfg: AuditConfig = AuditConfig(), key: str = "path", facts_name: str | None = None, limits: DataFrame | None = None,
-    long_file: int = LONG_FILE, part_tokens: int = PART_TOKENS,
+    long_file: int = LONG_FILE, part_tokens: int = PART_TOKENS, scratch: Scratch | None = None,
 ) -> DataFrame:
     """De-duplicated findings of all rules that are switched on.
 
@@ -125,17 +148,56 @@ def audit(
     only = {r.rule_id for r in RULES.values() if r.analyzer in on}
     facts = stored_facts(files, facts_name or FACTS_PREFIX + uuid.uuid4().hex, long_file, part_tokens)
     chosen = cfg if limits is None else ProjectLimits(limits, files, cfg)
-    return apply_toggles(findings_dedup(findings_of(facts, only, chosen), key), on)
+    return apply_toggles(findings_dedup(findings_of(facts, only, chosen, scratch or Scratch(files.sparkSession)), key), on)
+
+
+# Bytes of text in a part; its facts take some fifty times that.
+PART_BYTES = 4 << 20
+
+
+def audit_rounds(
+    files: DataFrame, scratch: Scratch, rounds: int | None = None, cfg: AuditConfig = AuditConfig(), key: str = "path", limits: DataFrame | None = None
+) -> DataFrame:
+    """The findings of ``audit``, for a corpus whose token facts would not fit on disk at once, nor into the buckets of one table.
+
+    The text is written once, dealt into rounds by path; each round is audited and its facts are dropped. Findings on
+    one file and the narrow items of the clone rule are kept, and clones are found over all rounds in the end. The number of
+    rounds follows from the size of the text, unless it is given. What is stored goes with ``scratch``.
+    """
+    spark = files.sparkSession
+    on = cfg.enabled_analyzers()
+    only = {r.rule_id for r in RULES.values() if r.analyzer in on}
+    if rounds is None:
+        total = files.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+        rounds = -(-total // (PART_BYTES * text_parts(files))) or 1
+    texts = scratch.path("texts")
+    files.select("path", "content", F.pmod(F.xxhash64("path"), F.lit(rounds)).alias("round")).write.partitionBy("round").parquet(texts)
+    dealt = spark.read.schema("path string, content string, round int").parquet(texts)
+    found_path, items_path, items = scratch.path("findings"), scratch.path("items"), None
+    for number in range(rounds):
+        batch, own, name = dealt.filter(F.col("round") == number).drop("round"), Scratch(spark), FACTS_PREFIX + uuid.uuid4().hex
+        chosen = cfg if limits is None else ProjectLimits(limits, batch, cfg)
+        parts, items = found_by_file(stored_facts(batch, name), only, chosen, own)
+        findings_union(parts).write.mode("append").parquet(found_path)
+        if items is not None:
+            items.filter("hash IS NOT NULL").write.mode("append").parquet(items_path)
+        drop_facts(spark, name)
+        own.drop_all()
+    found = spark.read.schema(SCHEMA).parquet(found_path)
+    if items is not None:
+        found = findings_union([found, clone_findings(spark.read.schema(items.schema).parquet(items_path))])
+    return apply_toggles(findings_dedup(found, key), on)
 
 
 @contextmanager
 def audit_run(files: DataFrame, cfg: AuditConfig = AuditConfig(), key: str = "path", limits: DataFrame | None = None) -> Iterator[DataFrame]:
     """``with audit_run(files) as findings:`` the findings, whose stored facts are gone afterwards."""
-    name = FACTS_PREFIX + uuid.uuid4().hex
+    name, scratch = FACTS_PREFIX + uuid.uuid4().hex, Scratch(files.sparkSession)
     try:
-        yield audit(files, cfg, key, name, limits)
+        yield audit(files, cfg, key, name, limits, scratch=scratch)
     finally:
         drop_facts(files.sparkSession, name)
+        scratch.drop_all()
 
 
 def coverage(files: DataFrame) -> DataFrame:
@@ -147,4 +209,4 @@ def coverage(files: DataFrame) -> DataFrame:
     return rejects(files.filter("content IS NOT NULL")).unionByName(empty)
 
 
-__all__ = ["audit", "audit_run", "coverage", "drop_facts", "findings_of", "rejects", "rule_findings"]
+__all__ = ["audit", "audit_rounds", "audit_run", "coverage", "drop_facts", "findings_of", "rejects", "rule_findings"]

@@ -13,7 +13,7 @@ from ..functions import text as tx
 from ..operators import text_rules as T
 from ..operators.clones import clone_findings, clone_groups, method_items, stored_items
 from ..operators.findings import findings_dedup
-from ..operators.members import class_rollup, methods
+from ..operators.members import class_rollup, members, methods
 from ..operators.rules import file_rules, with_maintainability
 from ..operators.tokens import rejects, tokens
 from ..session import ensure_checkpoint_dir
@@ -423,7 +423,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         f"SELECT sha256({NORMAL}) AS hash, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",
     ),
     "dup_001_clone_methods": (
-        on_part(CLONE_FILE, lambda files: findings_dedup(clone_findings(stored_items(method_items(tokens(files))))).select(*SHOWN)),
+        on_part(CLONE_FILE, lambda files: findings_dedup(clone_findings(stored_items(method_items(members(tokens(files)))))).select(*SHOWN)),
         clones_sql(METHOD_ITEMS),
     ),
 }

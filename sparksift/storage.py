@@ -20,6 +20,7 @@ class Scratch:
         self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.named: list[str] = []
 
     def stored(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -29,6 +30,11 @@ class Scratch:
         self.paths[id(found)] = (found, path)
         return found
 
+    def path(self, name: str) -> str:
+        """A folder to write to by hand; it goes with the others."""
+        self.named.append(f"{self.folder}/{name}")
+        return self.named[-1]
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Empties tables that nothing reads any more; others, and None, are left alone."""
         for found in tables:
@@ -38,3 +44,5 @@ class Scratch:
 
     def drop_all(self) -> None:
         self.drop(*(found for found, _ in list(self.paths.values())))
+        while self.named:
+            self.spark.range(0).write.mode("overwrite").parquet(self.named.pop())

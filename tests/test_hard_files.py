@@ -10,7 +10,7 @@ from sparksift.operators.findings import findings_dedup
 from sparksift.operators.long_files import block_ends, blocks_of, long_tokens, pieces_of
 from sparksift.operators.mending import mended
 from sparksift.operators.tokens import FACTS, rejects, tokens
-from sparksift.plans.audit import audit, audit_run, coverage, findings_of
+from sparksift.plans.audit import audit, audit_rounds, audit_run, coverage, findings_of
 from sparksift.storage import Scratch
 
 SAMPLES = os.path.join(os.path.dirname(__file__), "samples")
@@ -79,6 +79,18 @@ def test_an_audit_takes_long_files_apart(java_files):
     assert shown(audit(files, long_file=3000, part_tokens=200)) == shown(audit(files))
 
 
+def test_rounds_add_up(spark, java_files):
+    """Clones are found across rounds, broken files in theirs; nothing is left behind."""
+    ledger = sample("Ledger.java")
+    files = java_files(*[(f"p/F{k}.java", ledger.replace("Ledger", f"L{k}")) for k in range(5)], ("p/Open.java", "class A { void m() { System.exit(1); }"), ("p/No.java", None))
+    shown = lambda df: sorted(str(r) for r in df.drop("ord").collect())
+    scratch = Scratch(spark)
+    assert shown(audit_rounds(files, scratch, 3)) == shown(audit(files))
+    assert shown(audit_rounds(files, Scratch(spark), cfg=AuditConfig(enable_duplication=False, enable_metrics=False))) == shown(audit(files, AuditConfig(enable_duplication=False, enable_metrics=False)))
+    scratch.drop_all()
+    assert spark.read.parquet(f"{scratch.folder}/findings").count() == 0
+
+
 def test_states_of_the_lexer_at_line_blocks(java_files):
     text = "\n".join(["class A {", "/* a", 'b "x', "c */ int x;", 'String s = """', "/* no", '// \\""" no', '""" + "/*";', "// x {", "}"])
     files = java_files(("A.java", text))
