@@ -62,12 +62,13 @@ fits AS (SELECT DISTINCT host, path, kind, concat(h, p) AS rule FROM urls, rules
 ruled AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(kind, length(rule)) AS kind FROM fits GROUP BY host, path),
 outcomes AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1.0 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0.0 END) AS bad FROM labels GROUP BY doc_id),
+bare AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS b FROM urls),
 hosts AS (
-  SELECT host, CASE WHEN regexp_extract(host, '[^.]*\.?[^.]*$') IN ({two}) THEN regexp_extract(host, '[^.]*\.?[^.]*\.?[^.]*$')
-      ELSE regexp_extract(host, '[^.]*\.?[^.]*$') END AS domain,
-    CASE WHEN regexp_extract(host, '[^.]*\.?[^.]*$') IN ({two}) THEN regexp_extract(host, '[^.]*\.?[^.]*$') ELSE regexp_extract(host, '[^.]*$') END AS suffix,
+  SELECT host, CASE WHEN regexp_matches(b, '{hosts.ADDRESS}') THEN b WHEN regexp_extract(b, '[^.]*\.?[^.]*$') IN ({two}) THEN regexp_extract(b, '[^.]*\.?[^.]*\.?[^.]*$')
+      ELSE regexp_extract(b, '[^.]*\.?[^.]*$') END AS domain,
+    CASE WHEN regexp_matches(b, '{hosts.ADDRESS}') THEN b WHEN regexp_extract(b, '[^.]*\.?[^.]*$') IN ({two}) THEN regexp_extract(b, '[^.]*\.?[^.]*$') ELSE regexp_extract(b, '[^.]*$') END AS suffix,
     CAST(count(bad) AS DOUBLE) AS n, coalesce(sum(bad), 0.0) AS k
-  FROM urls LEFT JOIN outcomes ON page_id = doc_id GROUP BY host),
+  FROM bare LEFT JOIN outcomes ON page_id = doc_id GROUP BY host, b),
 s1 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1.0) / (sum(n) + 2.0) FROM hosts) AS m FROM hosts GROUP BY suffix),
 s2 AS (SELECT suffix, (k + m * g) / (n + g) AS m FROM s1, (SELECT {STRENGTH} AS g FROM s1)),
 d1 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM hosts JOIN s2 USING (suffix) GROUP BY domain, suffix),

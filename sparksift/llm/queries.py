@@ -51,7 +51,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is bad if the row of `labels` with its number is of low quality or toxic."""
+    """`labels` speaks of documents; here a page is bad if the row of `labels` with its number as doc_id is of low quality or toxic."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return hosts.judge_urls(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
 

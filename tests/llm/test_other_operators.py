@@ -141,6 +141,28 @@ def test_reputation(spark):
     assert got["h2.farm.net"] == "block" and got["new.farm.net"] == "block"
 
 
+def test_domains(spark, tmp_path):
+    path = tmp_path / "suffixes.dat"
+    path.write_text("// comment\nuk\nco.uk // inline\ngithub.io\n*.ck\n!www.ck\nk12.ma.us\n\n")
+    listed = hosts.suffix_lists(spark, str(path))
+    assert listed == ["!www.ck", "*.ck", "co.uk", "github.io", "k12.ma.us", "uk"]
+    want = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.github.io:8080": ("a.github.io", "github.io"), "x.y.foo.ck": ("y.foo.ck", "foo.ck"),
+        "a.www.ck": ("www.ck", "ck"), "p.q.k12.ma.us": ("q.k12.ma.us", "k12.ma.us"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"),
+        "localhost": ("localhost", "localhost"), "": ("", ""), "1.2.3": ("2.3", "3"),
+    }
+    domain, suffix = hosts.domains(F.col("host"), listed)
+    rows = spark.createDataFrame([(h,) for h in want], "host string").select("host", domain.alias("d"), suffix.alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in rows} == want
+
+
+def test_urls_with_null_and_repeated_ids(spark):
+    pages = spark.createDataFrame([(None, "http://a.com/x"), (None, "http://a.com/x"), (1, "http://10.0.0.1/"), (1, None), (2, "http://b.net:80/p")], "page_id long, url string")
+    outcomes = spark.createDataFrame([(None, True), (1, True), (1, False), (2, None)], "page_id long, bad boolean")
+    got = Counter((r.page_id, r.host, r.path) for r in hosts.judge_urls(pages, outcomes).collect())
+    assert got == {(None, "a.com", "/x"): 2, (1, "10.0.0.1", "/"): 1, (1, "", ""): 1, (2, "b.net:80", "/p"): 1}
+
+
 def vectors_brute(rows, threshold=0.93):
     units = {}
     for k, (i, v, label) in enumerate(rows):
@@ -303,4 +325,4 @@ def test_registry_and_import_without_this_part():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 14)} and "pipeline" in names
