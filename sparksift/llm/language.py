@@ -34,13 +34,15 @@ NGRAMS = 3
 BUCKET_BITS = 18
 BATCH = 64
 UNKNOWN = "und"
-# all but letters: numbers such as one half or Roman numerals are word characters too
-OTHER = re.compile(rf"[\W\d_{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ('Nl', 'No'))}]+")
+OTHER = re.compile(r"[\W\d_]+")
+# word characters that are neither letters nor digits, such as one half and Roman numerals; a class of its own, as together with the others it is slow
+NUMBERS = re.compile(f"[{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ('Nl', 'No'))}]")
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def normal(text: str | None) -> str:
-    return OTHER.sub(" ", (text or "").lower()).strip()
+    low = (text or "").lower()
+    return OTHER.sub(" ", low if low.isascii() else NUMBERS.sub(" ", low)).strip()
 
 
 def gram_buckets(text: str) -> list[np.ndarray]:
