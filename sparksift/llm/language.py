@@ -35,14 +35,21 @@ BUCKET_BITS = 18
 BATCH = 64
 UNKNOWN = "und"
 OTHER = re.compile(r"[\W\d_]+")
-# word characters that are neither letters nor digits, such as one half and Roman numerals; a class of its own, as together with the others it is slow
-NUMBERS = re.compile(f"[{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ('Nl', 'No'))}]")
+# word characters that are neither letters nor digits, such as one half and Roman numerals; in classes of their own, which are tables only without categories
+# and without characters beyond the first plane
+_NUMERALS = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")]
+NUMBERS, BEYOND = re.compile(f"[{''.join(c for c in _NUMERALS if c < chr(0x10000))}]"), re.compile("[\U00010000-\U0010ffff]")
+NUMBERS_BEYOND = re.compile(f"[{''.join(c for c in _NUMERALS if c >= chr(0x10000))}]")
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def normal(text: str | None) -> str:
     low = (text or "").lower()
-    return OTHER.sub(" ", low if low.isascii() else NUMBERS.sub(" ", low)).strip()
+    if not low.isascii():
+        low = NUMBERS.sub(" ", low)
+        if BEYOND.search(low):
+            low = NUMBERS_BEYOND.sub(" ", low)
+    return OTHER.sub(" ", low).strip()
 
 
 def gram_buckets(text: str) -> list[np.ndarray]:
