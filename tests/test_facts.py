@@ -5,7 +5,9 @@ import os
 import pytest
 
 from sparksift.operators.members import class_rollup, methods
+from sparksift.operators.text_rules import text_audit
 from sparksift.operators.tokens import lex, rejects, tokens
+from sparksift.plans.audit import rule_findings
 
 SAMPLES = os.path.join(os.path.dirname(__file__), "samples")
 
@@ -102,3 +104,22 @@ def test_tokens_shuffle_the_text_once(java_files):
     assert plan.count("Exchange") == 1
     member_plan = methods(tokens(java_files(("A.java", "class A { }"))))._jdf.queryExecution().executedPlan().toString()
     assert member_plan.count("Exchange") == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_expressions_are_quoted_without_the_text(java_files):
+    """One exchange of the text, which serves the findings too; nothing is joined."""
+    plan = plan_of(rule_findings(java_files(("A.java", "class A { }")), "SEC-002"))
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_texts_are_read_once(spark, java_files, tmp_path):
+    """What the text rules and the clone rule need is stored in one pass: the plan of the findings reads no text."""
+    path = str(tmp_path / "texts")
+    java_files(("a/1", "same text here"), ("a/2", "same text here"), ("a/3", 'token = "x"')).write.parquet(path)
+    found = text_audit(spark.read.parquet(path))
+    assert path not in plan_of(found)
+    assert sorted(r.rule_id for r in found.collect()) == ["DUP-001", "DUP-001", "SEC-001"]

@@ -14,7 +14,8 @@ CHOICE = (
     "source_tokens class_profile cognitive smell_009_feature_envy dead_003_unused_import sec_002_sql_injection "
     "dup_001_clone dup_001_clone_methods findings_dedup quality_gate summary_rollup write_csv maintainability "
     "method_profile name_008_exception_suffix smell_016_null_return sec_001_hardcoded_secret_documents sec_012_hardcoded_ip "
-    "sec_007_ldap_injection sec_008_path_traversal content_hash"
+    "sec_007_ldap_injection sec_008_path_traversal content_hash scan_sources source_mended source_parts met_004_low_comments_layout "
+    "met_005_low_mi_methods"
 ).split()
 KEYS = sorted(entry.queries()) if os.environ.get("SIFT_ALL") else CHOICE
 
