@@ -8,7 +8,8 @@ and under `visibility: hidden` all but elements that are visible again; closed d
 
 Layout: white space is collapsed but in `pre` and `textarea`; blocks start a line, paragraphs, headings, lists, quotes, tables and `pre` have an empty
 line around them; `br` ends a line, `hr` is a line of dashes; list items have their bullet or number and are indented by level; table
-cells are padded to the widest of their column, columns are two spaces apart; a cell of several columns takes the first of them.
+cells are padded to the widest of their column, columns are two spaces apart; a cell of several columns takes the first of them, and of several rows keeps its
+columns free in the rows below. Wide characters count as two. Of several declarations in a style the last one counts.
 
 Defined cases: null or blank pages give an empty text; broken markup never fails; an unclosed element ends with its page; a page of any length is
 read whole; rows with one id are rendered each. Pages are rows of one Arrow batch at a time, a few megabytes.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,11 +63,12 @@ PART_CONTEXT = {"td": ("tr", *SECTIONS), "th": ("tr", *SECTIONS), "tr": SECTIONS
 FOREIGN_UNSEEN = {"svg": set("desc metadata defs symbol clippath mask marker pattern".split()), "math": set("annotation annotation-xml".split())}
 HEAD_ONLY = set("title meta link base style script noscript template".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?)*+)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDDEN = re.compile(r"display\s*:\s*none", re.I)
-VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)(\s*!\s*important)?", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)(\s*!\s*important)?", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
+MOST_SPAN = 1000
 
 
 class Node:
@@ -268,17 +271,24 @@ class Lines:
         return "\n".join(self.lines).strip("\n")
 
 
+def declared(pattern: re.Pattern, style: str) -> str:
+    """The value that counts of those a style gives: the last one, or the last important one; empty if there is none."""
+    found = pattern.findall(style)
+    strong = [value for value, important in found if important]
+    return (strong or [value for value, _ in found] or [""])[-1].lower()
+
+
 def style_of(node: Node, seen: bool) -> tuple[bool, bool]:
     """(whether it is rendered at all, whether its own text is visible)."""
     if node.tag in UNSEEN or "hidden" in node.attributes or (node.tag == "dialog" and "open" not in node.attributes) or (node.tag == "input"):
         return False, seen
     style = node.attributes.get("style", "")
     if style:
-        if HIDDEN.search(style):
+        if declared(DISPLAY, style) == "none":
             return False, seen
-        found = VISIBILITY.findall(style)
-        if found:
-            seen = found[-1].lower() == "visible"
+        visibility = declared(VISIBILITY, style)
+        if visibility:
+            seen = visibility == "visible"
     return True, seen
 
 
@@ -303,30 +313,52 @@ def cells_of(table: Node) -> tuple[list[Node], list[list[Node]]]:
     return captions, rows
 
 
-def columns(node: Node) -> int:
+def span(node: Node, name: str) -> int:
+    """How many columns or rows a cell takes; 0 rows are all that follow."""
     try:
-        return min(max(1, int(node.attributes.get("colspan", 1))), 1000)
+        n = int(node.attributes.get(name, 1))
     except ValueError:
         return 1
+    return MOST_SPAN if n == 0 and name == "rowspan" else min(max(1, n), MOST_SPAN)
+
+
+def width(text: str) -> int:
+    """Places that a line takes where wide characters take two."""
+    return len(text) if text.isascii() else sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def table_lines(rows: list[list[list[str]]], spans: list[list[int]]) -> list[str]:
-    """Rows of cells, each a list of lines, with their columns aligned."""
+def table_lines(rows: list[list[list[str]]], spans: list[list[tuple[int, int]]]) -> list[str]:
+    """Rows of cells, each a list of lines, with their columns aligned; spans: (columns, rows) of each cell."""
     widths: dict[int, int] = {}
-    for row, span in zip(rows, spans, strict=True):
-        at = 0
-        for cell, n in zip(row, span, strict=True):
+    taken: dict[int, int] = {}  # columns that cells of earlier rows still take, and for how many rows
+    placed = []
+    for row, span_ in zip(rows, spans, strict=True):
+        at, here, new = 0, [], {}
+        for cell, (n, down) in zip(row, span_, strict=True):
+            while taken.get(at, 0):
+                at += 1
+            here.append((at, cell))
             if n == 1:
-                widths[at] = max([widths.get(at, 0), *map(len, cell)])
+                widths[at] = max([widths.get(at, 0), *map(width, cell)])
+            if down > 1:
+                new |= {at + i: down for i in range(n)}
             at += n
+        placed.append(here)
+        taken = {c: left - 1 for c, left in (taken | new).items() if left > 1}
+    last = max((at for here in placed for at, _ in here), default=0)
+    offset = [0]
+    for c in range(last):
+        offset.append(offset[-1] + widths.get(c, 0) + 2)
     out = []
-    for row, span in zip(rows, spans, strict=True):
-        for k in range(max(map(len, row), default=0)):
-            line, at = "", 0
-            for cell, n in zip(row, span, strict=True):
-                width = sum(widths.get(at + i, 0) for i in range(n)) + 2 * (n - 1)
-                line += (cell[k] if k < len(cell) else "").ljust(width) + "  "
-                at += n
+    for here in placed:
+        for k in range(max((len(cell) for _, cell in here), default=0)):
+            line, size = "", 0
+            for at, cell in here:
+                text = cell[k] if k < len(cell) else ""
+                if text:
+                    # what takes more than its columns pushes the next cell on
+                    gap = max(offset[at] - size, 2 if size else 0)
+                    line, size = line + " " * gap + text, size + gap + width(text)
             out.append(line.rstrip())
     return out
 
@@ -362,7 +394,7 @@ def render(page: str | None) -> str:
             table, outer, rows, spans, left = tables[-1]
             if left and left[0]:
                 cell = left[0].pop(0)
-                spans[-1].append(columns(cell))
+                spans[-1].append((span(cell, "colspan"), span(cell, "rowspan")))
                 steps.append(("cells", node, seen, pre, None))
                 frames.append([Lines(), [("open", cell, seen, pre, "cell")]])
             elif left:

@@ -46,12 +46,28 @@ def test_layout():
         ("<p>unclosed <b attr='x", "unclosed"),
         ("<select><option>a<option>b</select>", "a\nb"),
         ("<dl><dt>t<dd>d</dl>", "t\n  d"),
+        ("<p style='display:none;display:block'>a<p style='display: block; display :NONE'>b<p style='display:none !important; display:block'>c<p style='x-display:none'>d", "a d"),
+        ("a<!-->b<!--->c<!-- x --!>d<!-- y", "abcd"),
+        ("<i style='visibility:hidden;visibility:visible'>a</i>", "a"),
     ],
 )
 def test_rules(page, text):
     assert " ".join(render(page).split()) == " ".join(text.split())
 
 
+def test_cells_of_several_rows():
+    page = "<table><tr><th rowspan=2>head<td>a<td colspan=2>b<tr><td>c<td rowspan=0>d<td>e<tr><td>1<td>2<td>3<tr><td colspan=2 rowspan=x>f<td>g</table>"
+    assert render(page).split("\n") == ["head  a  b", "      c  d  e", "1     2     3", "f           g"]
+    wide = "<table><tr><td>漢字<td>x<tr><td>abcdef<td>y<tr><td>é<td>z</table>"
+    assert render(wide).split("\n") == ["漢字    x", "abcdef  y", "é       z"]
+
+
+def test_pages_with_null_and_repeated_ids(spark):
+    rows = [(None, "<p>a", "x"), (1, None, "y"), (1, "<p>b", "z"), (1, "<p>b", "z")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
+    assert Counter((r.page_id, r.text) for r in got) == {(None, "a"): 1, (1, ""): 1, (1, "b"): 2}
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
