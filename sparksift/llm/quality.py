@@ -2,8 +2,9 @@
 
 Every document has a vector of five transformed statistics: log of its words, log of its mean word length, and the logs of 1 + 20 times its shares of
 symbols, of repeated lines and of words in repeated windows. For each group (language, source) the minimum covariance determinant estimate
-of centre and scatter is found by concentration steps: start from medians and quartile ranges, take the `SUBSET` of the group's documents with the
-smallest distances, estimate again from those, `STEPS` times. A document is rejected if its squared Mahalanobis distance exceeds the
+of centre and scatter is found by concentration steps: take the `SUBSET` of the group's documents with the smallest distances, estimate again from those. Every
+group has several starts, its medians and quartile ranges and `DRAWS` draws of `DRAWN` documents by hash. After `FIRST` steps the start of the least
+determinant goes on, until its determinant falls no more (`MOST_STEPS` at most). A document is rejected if its squared Mahalanobis distance exceeds the
 chi-squared quantile of `LEVEL`.
 
 All of it is over all documents. A step is one aggregation of counts, sums and products by group and band of distance, which combines before the
@@ -30,7 +31,8 @@ from .graph import stored
 from .text_arrays import IS_SPACE, Texts, Words, rolling, slices, span_hashes, texts_of, windows_inside, words_of
 
 MIN_WORDS, MOST_REPEATED, REPEAT_WINDOW = 20, 30, 8
-SUBSET, STEPS, LEAST, LEVEL = 0.75, 4, 60, 0.999
+SUBSET, LEAST, LEVEL = 0.75, 60, 0.999
+DRAWS, DRAWN, FIRST, MOST_STEPS = 3, 12, 2, 12
 FLOOR = np.array([0.1, 0.05, 0.1, 0.4, 0.4])  # beside a centre of 0, shares over 2.9 % of symbols or 25.6 % of repeats reject alone
 DIMENSIONS = len(FLOOR)
 FINE = 64  # bins of a statistic for medians and quartiles: 1 / FINE
@@ -114,7 +116,7 @@ def groups(stats: DataFrame) -> DataFrame:
     return pooled.select(F.col("lang").alias("l"), F.col("source").alias("s"), name.alias("group"))
 
 
-ESTIMATE = "group string, centre array<double>, whiten array<double>"
+ESTIMATE = "group string, start int, logdet double, centre array<double>, whiten array<double>"
 
 
 def triangle(d: int = DIMENSIONS) -> list[tuple[int, int]]:
@@ -126,6 +128,12 @@ def whitened(scatter: np.ndarray) -> list[float]:
     return [float(inverse[i, j]) for i, j in triangle()]
 
 
+def estimate(group: str, start: int, centre: np.ndarray, scatter: np.ndarray) -> dict:
+    return {
+        "group": group, "start": start, "logdet": float(np.linalg.slogdet(scatter + np.diag(FLOOR**2))[1]), "centre": [float(c) for c in centre], "whiten": whitened(scatter)
+    }
+
+
 def started(frame: pd.DataFrame) -> pd.DataFrame:
     """Medians and quartile ranges from the counts of a group's bins (group, k, bin, n)."""
     centre, spread = [], []
@@ -135,7 +143,16 @@ def started(frame: pd.DataFrame) -> pd.DataFrame:
         low, middle, high = (part.bin.to_numpy()[np.searchsorted(below, q * below[-1])] / FINE for q in (0.25, 0.5, 0.75))
         centre.append(float(middle))
         spread.append(((high - low) / 1.349) ** 2)
-    return pd.DataFrame({"group": [frame.group.iloc[0]], "centre": [centre], "whiten": [whitened(np.diag(spread))]})
+    return pd.DataFrame([estimate(frame.group.iloc[0], 0, np.array(centre), np.diag(spread))])
+
+
+def drawn(frame: pd.DataFrame) -> pd.DataFrame:
+    """Means and scatters of the documents drawn of a group (group, slot, d1, ...)."""
+    out = []
+    for k in range(1, DRAWS + 1):
+        x = np.array([row["x"] for row in frame[f"d{k}"]])
+        out.append(estimate(frame.group.iloc[0], k, x.mean(0), np.cov(x.T, bias=True)))
+    return pd.DataFrame(out)
 
 
 def concentrated(frame: pd.DataFrame) -> pd.DataFrame:
@@ -150,7 +167,7 @@ def concentrated(frame: pd.DataFrame) -> pd.DataFrame:
         scatter[i, j] = scatter[j, i] = used[f"p{i}_{j}"].sum() / n - mean[i] * mean[j]
     values, vectors = np.linalg.eigh(scatter)  # rounding may leave it a little below zero
     scatter = (vectors * np.maximum(values, 0)) @ vectors.T
-    return pd.DataFrame({"group": [frame.group.iloc[0]], "centre": [mean.tolist()], "whiten": [whitened(scatter * consistency(SUBSET))]})
+    return pd.DataFrame([estimate(frame.group.iloc[0], int(frame.start.iloc[0]), mean, scatter * consistency(SUBSET))])
 
 
 def chi_squared(x: float, d: int) -> float:
@@ -187,16 +204,37 @@ def squared_distance() -> Column:
     return sum((r * r for r in rows[1:]), rows[0] * rows[0])
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """(group, centre, whiten) of rows (group, x): the lower triangle `whiten` makes the distance a plain one."""
+def starts(rows: DataFrame) -> DataFrame:
+    """The estimates that each group begins with."""
     bins = rows.select("group", F.posexplode("x").alias("k", "v")).groupBy("group", "k", F.floor(F.col("v") * FINE).alias("bin")).agg(F.count("*").alias("n"))
-    found = stored(bins.groupBy("group").applyInPandas(started, ESTIMATE))
+    # of the rows of a slot the one with the smallest hash, another for each draw
+    draws = [F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("h"), "x")).alias(f"d{k}") for k in range(1, DRAWS + 1)]
+    slots = rows.groupBy("group", F.pmod(F.xxhash64("x"), F.lit(DRAWN)).alias("slot")).agg(*draws)
+    return bins.groupBy("group").applyInPandas(started, ESTIMATE).unionByName(slots.groupBy("group").applyInPandas(drawn, ESTIMATE))
+
+
+def step(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The estimates from the documents nearest to each of the estimates `found`."""
     products = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(DIMENSIONS)] + [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i, j in triangle()]
-    for _ in range(STEPS):
-        band = F.floor(8 * F.log2(squared_distance() + 2.0**-20))
-        banded = rows.join(found, "group").groupBy("group", band.alias("band")).agg(F.count("*").alias("n"), *products)
-        found = stored(banded.groupBy("group").applyInPandas(concentrated, ESTIMATE))
-    return found
+    band = F.floor(8 * F.log2(squared_distance() + 2.0**-20))
+    banded = rows.join(found, "group").groupBy("group", "start", band.alias("band")).agg(F.count("*").alias("n"), *products)
+    return stored(banded.groupBy("group", "start").applyInPandas(concentrated, ESTIMATE))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """(group, centre, whiten) of rows (group, x): the lower triangle `whiten` makes the distance a plain one."""
+    found = stored(starts(rows))
+    for _ in range(FIRST):
+        found = step(rows, found)
+    best = found.groupBy("group").agg(F.min(F.struct("logdet", "start", "centre", "whiten")).alias("b")).select("group", "b.*")
+    for _ in range(MOST_STEPS):
+        new = step(rows, best).select("group", *(F.col(c).alias(f"new_{c}") for c in ("start", "logdet", "centre", "whiten")))
+        lower = F.col("new_logdet") < F.col("logdet") - 1e-6
+        both = stored(best.join(new, "group").withColumn("lower", lower))
+        best = both.select("group", *(F.when(F.col("lower"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("start", "logdet", "centre", "whiten")))
+        if not both.filter("lower").count():
+            break
+    return best.select("group", "centre", "whiten")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", level: float = LEVEL) -> DataFrame:

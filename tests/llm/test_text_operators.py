@@ -374,6 +374,42 @@ def test_quality_rejects_by_one_statistic(spark):
     assert not any(got[i].kept for i, *_ in symbols + repeats)
 
 
+def determinant_by_hand(x, tries=40):
+    """The least log determinant of the scatter of 75 % of the rows, with the floor, by plain concentration from many random starts."""
+    rng, best = np.random.default_rng(0), np.inf
+    h = -(-3 * len(x) // 4)
+    floor = np.diag(quality.FLOOR**2)
+    for _ in range(tries):
+        own = rng.choice(len(x), 8, replace=False)
+        for _ in range(30):
+            centre, scatter = x[own].mean(0), np.cov(x[own].T, bias=True) * (quality.consistency(0.75) if len(own) == h else 1) + floor
+            d = x - centre
+            own = np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(scatter), d))[:h]
+        best = min(best, np.linalg.slogdet(np.cov(x[own].T, bias=True) * quality.consistency(0.75) + floor)[1])
+    return best
+
+
+def test_determinant_is_the_least(spark):
+    """Against many random starts: an eighth of the rows far away in all statistics, and another far away in one."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in ("a", "b"):
+        x = rng.normal(size=(240, 5)) * [1, 0.3, 0.2, 0.5, 0.1] + [5, 1, 0, 0, 0]
+        x[:30] = rng.normal(size=(30, 5)) * 0.02 + [9, 3, 2, 2, 2]
+        x[30:60] += [0, 0, 3, 0, 0]
+        rows += [(g, v.tolist()) for v in x]
+    table = spark.createDataFrame(rows, "`group` string, x array<double>").repartition(5)
+    for r in quality.estimates(table).collect():
+        x = np.array([v for g, v in rows if g == r.group])
+        whiten = np.zeros((5, 5))
+        for (i, j), v in zip(quality.triangle(), r.whiten, strict=True):
+            whiten[i, j] = v
+        logdet = -2 * np.log(np.diag(whiten)).sum()
+        assert logdet <= determinant_by_hand(x) + 0.25  # the subset is whole bands, so a little more than 75 %
+        distance = (((x - np.array(r.centre)) @ whiten.T) ** 2).sum(1)
+        assert (distance[:60] > quality.quantile(quality.LEVEL, 5)).all() and (distance[60:] > quality.quantile(quality.LEVEL, 5)).mean() < 0.05
+
+
 def test_chi_squared():
     assert quality.chi_squared(quality.quantile(0.95, 5), 5) == pytest.approx(0.95)
     assert quality.quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
