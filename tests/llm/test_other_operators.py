@@ -185,12 +185,15 @@ def vectors_brute(rows, threshold=0.93):
         if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
             a = np.array(v, float)
             units[k] = (i, a / np.abs(a).max() / np.linalg.norm(a / np.abs(a).max()), label)
-    links, n = [], Counter()
-    for a, (i, x, l) in units.items():
-        for b, (j, y, m) in units.items():
-            if a != b and l == m and len(x) == len(y) and x @ y >= threshold:
-                n[a] += 1
-                links.append((i, j))
+    links, n, alike = [], Counter(), defaultdict(list)
+    for k, (_, x, label) in units.items():
+        alike[label, len(x)].append(k)
+    for keys in alike.values():
+        x = np.array([units[k][1] for k in keys])
+        for a, b in zip(*np.nonzero(x @ x.T >= threshold), strict=True):
+            if a != b:
+                n[units[keys[a]][0]] += 1
+                links.append((units[keys[a]][0], units[keys[b]][0]))
     return n, brute.classes({r[0] for r in rows}, links)
 
 
