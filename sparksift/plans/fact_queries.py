@@ -19,7 +19,7 @@ from ..operators.tokens import rejects, tokens
 from ..session import ensure_checkpoint_dir
 from ..sources.files import scan_sources, uploaded_sources
 from ..sources.tables import table
-from .planted import java, method, planted, repeat, when
+from .planted import java, method, planted, repeat, spread, when
 from .rule_queries import NESTED, PART
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +63,7 @@ SCAN_NAME = "concat(element_at(array('A', 'B', 'C', 'D'), cast(k % 4 as int) + 1
 def scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write parts as a tree of files, whole bytes and suffixes of both cases, and scan the tree for sources."""
     folder = f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4()}"
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("text"))
+    parts = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("text")), "k")
     odd = F.when(F.col("k") % 4 == 1, F.lit(b"\xe9")).otherwise(F.lit(b""))
     write_files(parts.select(F.expr(SCAN_NAME).alias("name"), F.concat(F.encode("text", "UTF-8"), odd, F.encode(F.lit("\n"), "UTF-8")).alias("content")), folder)
     return scan_sources(spark, folder).select(
