@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sparksift.functions.sql import CODED, CODES, coded
 from sparksift.operators.tokens import PART_TEXT, lex, sized_parts, text_parts, tokens
 from sparksift.plans import planted as P
+from sparksift.plans.audit_queries import project_limits
 
 
 def test_parts_follow_the_size_of_the_text(spark):
@@ -33,3 +34,10 @@ def test_codes_say_the_same_as_texts(java_files):
             value = row[name]
             literal = name == "tok" and row.kind in "sc"
             assert row[f"c_{name}"] == (None if value is None else 0 if literal else CODES.get(value, 0)), (name, value)
+
+
+def test_limits_by_project_lex_members_once(spark, tmp_path):
+    """Classes and methods come from members that are stored; only the file measures read the tokens again."""
+    spark.createDataFrame([(1, 3), (2, 40)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    plan = project_limits(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode(") == 1
