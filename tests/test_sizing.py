@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparksift.functions.sql import CODED, CODES, coded
+from sparksift.functions.sql import BLOCK_CODES, BLOCK_KINDS, CODED, CODES, coded
 from sparksift.operators.tokens import PART_TEXT, lex, sized_parts, text_parts, tokens
 from sparksift.plans import planted as P
 from sparksift.plans.audit_queries import project_limits
@@ -36,6 +36,19 @@ def test_codes_say_the_same_as_texts(java_files):
             assert row[f"c_{name}"] == (None if value is None else 0 if literal else CODES.get(value, 0)), (name, value)
 
 
+def test_kinds_of_brackets_are_held_as_codes(java_files):
+    assert BLOCK_KINDS == sorted(set(BLOCK_KINDS)) and coded("inner_bk = 'arr' OR inner_bk IS NULL") == f"c_inner_bk = {BLOCK_CODES['arr']} OR c_inner_bk IS NULL"
+    text = "import a.B; record R(int a) { R { } int[] f = {1}; void m(A a) throws E { for (;;) { } try (B b = c()) { } catch (D d) { } new X(1) { int g; }; } }"
+    facts = tokens(java_files(("A.java", text)))
+    names = ["inner_bk", "closed_bk", "encl_bk", "decl_owner_kind"]
+    for row in facts.collect():
+        for name in names:
+            assert row[f"c_{name}"] == (None if row[name] is None else BLOCK_CODES[row[name]]), (name, row.tok)
+    # the rows that are sorted hold texts of a token and its path, and of the words that are compared with each other
+    plan = facts.filter("starts AND inner_bk = 'method'").select("path", "pos", "tok")._jdf.queryExecution().sparkPlan().toString()
+    assert "c_inner_bk" in plan and not any(f" AS {name}#" in plan for name in names)
+
+
 def test_limits_by_project_lex_members_once(spark, tmp_path):
     """Classes and methods come from members that are stored; only the file measures read the tokens again."""
     spark.createDataFrame([(1, 3), (2, 40)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
