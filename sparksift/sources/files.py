@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +19,89 @@ def as_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+# Names, and bytes of files, that a task hands on at once.
+NAMES, BYTES = 10_000, 8 << 20
+
+
+def local_root(folder: str) -> str | None:
+    """The path in a ``file:`` address without wildcards, else null."""
+    named = re.fullmatch(r"file:(?:///|/(?!/))([^{}\[\]*?\\]*)", folder)
+    return named and "/" + re.sub("/+", "/", named[1]).strip("/")
+
+
+def local_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """(path, content) of the files below a folder that all executors see, as ``binaryFile`` has them: no empty ones, none that are hidden.
+
+    Its index holds all names in the driver. Here one task walks the tree and hands the names on as it meets them, and as
+    many tasks as a shuffle has read the files, so nothing grows with their number.
+    """
+
+    def walk(batches: Iterator) -> Iterator:
+        import os
+
+        import pyarrow as pa
+
+        def hidden(name: str) -> bool:
+            return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+        def below() -> Iterator[str]:
+            if os.path.isfile(root):
+                yield root
+            folders = [root] if os.path.isdir(root) else []
+            while folders:
+                with os.scandir(folders.pop()) as entries:
+                    for entry in entries:
+                        if entry.is_dir():
+                            if not hidden(entry.name) or entry.name.startswith(("_common_metadata", "_metadata")):
+                                folders.append(entry.path)
+                        elif entry.is_file() and not hidden(entry.name):
+                            yield entry.path
+
+        for _ in batches:
+            names = []
+            for path in below():
+                if path.endswith(suffix):
+                    names.append(path)
+                if len(names) == NAMES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["path"])
+                    names = []
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["path"])
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+        paths, contents, size = [], [], 0
+        for names in batches:
+            for path in names.column(0).to_pylist():
+                with open(path, "rb") as source:
+                    content = source.read()
+                if not content:
+                    continue
+                paths.append(f"file:{path}")
+                contents.append(content)
+                size += len(content)
+                if size >= BYTES or len(paths) == NAMES:
+                    yield batch()
+                    paths, contents, size = [], [], 0
+        if paths:
+            yield batch()
+
+    names = spark.range(0, 1, 1, 1).mapInArrow(walk, "path string")
+    return names.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(read, "path string, content binary")
+
+
 def scan_sources(spark: SparkSession, folder: str, suffix: str = ".java") -> DataFrame:
     """All files below a folder whose name ends with the suffix in exactly this case.
 
-    A folder that does not exist yields an empty table.
+    A folder that does not exist yields an empty table. One that is given as ``file:`` is listed by a task, any other by the driver.
     """
+    root = local_root(folder)
+    if root and not re.search(r"[{}\[\]*?\\]", suffix):
+        return with_text(local_files(spark, root, suffix))
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
     try:
         found = reader.load(folder)
@@ -28,6 +109,10 @@ def scan_sources(spark: SparkSession, folder: str, suffix: str = ".java") -> Dat
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "path string, file_name string, content string")
+    return with_text(found)
+
+
+def with_text(found: DataFrame) -> DataFrame:
     return found.select("path", F.substring_index("path", "/", -1).alias("file_name"), as_text(F.col("content")).alias("content"))
 
 
